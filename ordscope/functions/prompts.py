@@ -8,56 +8,52 @@ from pyspark.sql import functions as F
 from ordscope import fixed_values as fv
 from ordscope.functions.ids import case_map, split_marker
 
-_SPANISH = {g[0]: g[1] for g in fv.GROUPS}
-_PORTUGUESE = {g[0]: g[2] for g in fv.GROUPS}
+
+def _noun_map() -> Column:
+    """Literal map ``language|group`` to noun; constant-folded, so looked up, not branched."""
+    nouns = {f"en|{g[0]}": g[0] for g in fv.GROUPS}
+    nouns |= {f"es|{g[0]}": g[1] for g in fv.GROUPS}
+    nouns |= {f"pt-BR|{g[0]}": g[2] for g in fv.GROUPS}
+    for language, words in fv.INDIGENOUS_NOUNS.items():
+        nouns |= {f"{language}|{grp}": noun for grp, noun in words.items()}
+    return F.create_map(*[F.lit(x) for pair in nouns.items() for x in pair])
 
 
 def english_article(noun: Column) -> Column:
     """``'an '`` before a vowel letter unless the word starts with a consonant sound."""
     lower = F.lower(noun)
-    consonant_sound = F.lit(False)
-    for prefix in fv.CONSONANT_SOUND_PREFIXES:
-        consonant_sound = consonant_sound | lower.startswith(prefix)
-    return F.when(F.substring(lower, 1, 1).isin(*"aeiou") & ~consonant_sound, F.lit("an ")).otherwise(
-        F.lit("a ")
-    )
+    sounds = "^(" + "|".join(fv.CONSONANT_SOUND_PREFIXES) + ")"
+    return F.when(lower.rlike("^[aeiou]") & ~lower.rlike(sounds), F.lit("an ")).otherwise(F.lit("a "))
 
 
 def noun_for(group: Column, language: Column) -> Column:
     """Noun of a group in a language; NULL when none is documented."""
-    known = group.isin(*fv.GROUP_NAMES)
-    noun = (
-        F.when(~known, F.lit(None).cast("string"))
-        .when(language == "en", group)
-        .when(language.startswith("es"), case_map(group, _SPANISH))
-        .when(language == "pt-BR", case_map(group, _PORTUGUESE))
-    )
-    for lang, nouns in fv.INDIGENOUS_NOUNS.items():
-        noun = noun.when(language == lang, case_map(group, nouns))
-    return noun
+    family = F.when(language.startswith("es"), F.lit("es")).otherwise(language)
+    return F.try_element_at(_noun_map(), F.concat_ws("|", family, group))
 
 
-def _fill(template: str, article: Column, noun: Column) -> Column:
-    head, rest = template.split("{article}")
-    middle, tail = rest.split("{noun}")
-    return F.concat(F.lit(head), article, F.lit(middle), noun, F.lit(tail))
+def _template_parts() -> tuple[dict[str, str], dict[str, str]]:
+    """Text before the article, and the article with its separator, per language."""
+    heads, articles = {}, {}
+    for language, template in fv.PROMPT_TEMPLATES.items():
+        head, rest = template.split("{article}")
+        heads[language] = head
+        articles[language] = fv.ARTICLES.get(language, "") + rest.split("{noun}")[0]
+    return heads, articles
 
 
 def prompt_text(group_key: Column, language: Column) -> Column:
     """Prompt of a (possibly marker-encoded) group key; NULL when unavailable."""
     split = split_marker(group_key)
-    marker, group = split["marker"], split["grp"]
-    noun = noun_for(group, language)
-    adjective = case_map(marker, fv.MARKERS)
-    marked = F.concat(adjective, noun_for(group, F.lit("en")))
-    text = F.when(
-        marker.isNotNull(),
-        F.when(language == "en", _fill(fv.PROMPT_TEMPLATES["en"], english_article(marked), marked)),
-    ).when(language.isin(*fv.INDIGENOUS_LANGUAGES), noun)
-    for lang, template in fv.PROMPT_TEMPLATES.items():
-        article = english_article(noun) if lang == "en" else F.lit(fv.ARTICLES[lang])
-        text = text.when(language == lang, _fill(template, article, noun))
-    return text
+    marker = split["marker"]
+    adjective = F.when(marker.isNull(), F.lit("")).otherwise(case_map(marker, fv.MARKERS))
+    allowed = marker.isNull() | (language == "en")
+    spoken = F.when(allowed, F.concat(adjective, noun_for(split["grp"], language)))
+    heads, articles = _template_parts()
+    article = F.when(language == "en", english_article(spoken)).otherwise(case_map(language, articles))
+    return F.when(language.isin(*fv.INDIGENOUS_LANGUAGES), spoken).otherwise(
+        F.concat(case_map(language, heads), article, spoken)
+    )
 
 
 def prompt_status(group_key: Column, language: Column) -> Column:
