@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordscope import fixed_values as fv
 
@@ -24,7 +25,9 @@ _RGB_TO_XYZ = np.array(
 )
 _WHITE = np.array([0.950456, 1.0, 1.088754])
 
-PATCH_SCHEMA = "l_med double, b_med double, r_med double, g_med double, b_med_rgb double"
+PATCH_SCHEMA = T.StructType(
+    [T.StructField(c, T.DoubleType()) for c in ("l_med", "b_med", "r_med", "g_med", "b_med_rgb")]
+)
 
 
 def lab_of(rgb: np.ndarray) -> np.ndarray:
@@ -55,8 +58,7 @@ def patch_medians(data: bytes | None) -> tuple:
 
 @F.pandas_udf(PATCH_SCHEMA)
 def patch_statistics(data: pd.Series) -> pd.DataFrame:
-    columns = [c.split()[0] for c in PATCH_SCHEMA.split(", ")]
-    return pd.DataFrame([patch_medians(d) for d in data], columns=columns, dtype="float64")
+    return pd.DataFrame([patch_medians(d) for d in data], columns=PATCH_SCHEMA.fieldNames(), dtype="float64")
 
 
 def with_patch_statistics(df: DataFrame, data_col: str = "data") -> DataFrame:
