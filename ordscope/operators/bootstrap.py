@@ -54,8 +54,9 @@ def replicate_table(
     bins: Sequence[int] = fv.BINS,
     n_replicates: int = fv.N_REPLICATES,
     seed: int = fv.BASE_SEED,
+    ci_level: float = fv.CI_LEVEL,
 ) -> DataFrame:
-    """One row per (cell, group) with arrays of replicate distances and shifts.
+    """One row per (cell, group) with intervals and arrays of replicate distances and shifts.
 
     ``metrics`` is the output of ``group_metrics``. Each row gets its own random
     stream, seeded by a hash of its keys: replicates do not depend on
@@ -76,7 +77,11 @@ def replicate_table(
     )
     out_fields = [f for f in carried.schema.fields if f.name not in ("counts", "base_probs", "stream")]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields)
-    out_schema += ", rep_distance array<double>, rep_delta array<double>"
+    out_schema += (
+        ", distance_lower double, distance_upper double, delta_lower double, delta_upper double"
+        ", rep_distance array<double>, rep_delta array<double>"
+    )
+    levels = interval_levels(ci_level)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,6 +90,10 @@ def replicate_table(
                 for c, n, b, s in zip(batch["counts"], batch["n_rows"], batch["base_probs"], batch["stream"])
             ]
             batch = batch.drop(columns=["counts", "base_probs", "stream"])
+            for name, which in (("distance", 0), ("delta", 1)):
+                bounds = [np.quantile(p[which], levels) for p in pairs]
+                batch[f"{name}_lower"] = [float(x) for x, _ in bounds]
+                batch[f"{name}_upper"] = [float(x) for _, x in bounds]
             batch["rep_distance"] = [d for d, _ in pairs]
             batch["rep_delta"] = [m for _, m in pairs]
             yield batch
@@ -95,34 +104,10 @@ def replicate_table(
     return carried.repartition(parallelism, *keys).mapInPandas(draw, out_schema)
 
 
-def _array_interval(column: str, ci_level: float):
-    """Interpolated lower and upper quantile of an array column."""
-    ordered = F.array_sort(column)
-
-    def at(p: float):
-        pos = (F.size(column) - 1) * F.lit(p)
-        low = F.floor(pos).cast("int")
-        x0 = F.get(ordered, low)
-        x1 = F.get(ordered, F.least(low + 1, F.size(column) - 1))
-        return x0 + (x1 - x0) * (pos - low)
-
-    lo, hi = interval_levels(ci_level)
-    return at(lo), at(hi)
-
-
 def group_intervals(replicates: DataFrame, ci_level: float = fv.CI_LEVEL) -> DataFrame:
     """Interval of distance and shift per (cell, group)."""
-    d_lo, d_hi = _array_interval("rep_distance", ci_level)
-    m_lo, m_hi = _array_interval("rep_delta", ci_level)
     return replicates.withColumns(
-        {
-            "distance_lower": d_lo,
-            "distance_upper": d_hi,
-            "delta_lower": m_lo,
-            "delta_upper": m_hi,
-            "n_replicates": F.size("rep_distance"),
-            "ci_level": F.lit(ci_level),
-        }
+        {"n_replicates": F.size("rep_distance"), "ci_level": F.lit(ci_level)}
     ).drop("rep_distance", "rep_delta")
 
 
@@ -176,7 +161,7 @@ def bootstrap_by_cell(
     """
     metrics = group_metrics(hist, baseline, on, bins)
     point = weighted_index(metrics, cell_keys)
-    reps = replicate_table(metrics, cell_keys, group_key, bins, n_replicates, seed)
+    reps = replicate_table(metrics, cell_keys, group_key, bins, n_replicates, seed, ci_level)
     return point.join(index_intervals(reps, cell_keys, ci_level), list(cell_keys), "left")
 
 

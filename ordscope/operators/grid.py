@@ -16,6 +16,7 @@ from ordscope import fixed_values as fv
 from ordscope.functions import ids
 from ordscope.functions.prompts import prompt_status, prompt_text
 from ordscope.operators.checks import require_columns
+from ordscope.session import materialise
 from ordscope.sources.literals import literal_table
 
 
@@ -172,6 +173,8 @@ def pending_cells(
     ready = done.select(F.col(id_col).cast("string").alias(id_col)).where(
         ids.in_shard(F.col(id_col).cast("string"), shard_id, n_shards)
     )
+    # Distinct ids collapse map-side, so an id logged very often is one row in the join.
+    ready = ready.distinct()
     return cells.where(mine).join(ready, id_col, "left_anti")
 
 
@@ -210,7 +213,11 @@ def missing_manifest(
     keyed = cells.withColumn("cell_id", cid)
     ready = done.select(F.col(id_col).cast("string").alias(id_col), F.lit(1).alias("__done")).distinct()
     flagged = keyed.join(ready, id_col, "left")
-    counts = flagged.groupBy("cell_id").agg(F.count("__done").alias("current_n"))
+    # One row per cell, written out so that the join back is planned with its size:
+    # broadcast while small, and the missing rows are not shuffled again.
+    counts = materialise(
+        flagged.groupBy("cell_id").agg(F.count("__done").alias("current_n")), "cell-counts"
+    )
     runner = ids.runner_for(F.col("model"))
     return (
         flagged.where(F.col("__done").isNull())
@@ -299,7 +306,7 @@ def top_rows(df: DataFrame, order: Sequence[str], n: int = 0) -> DataFrame:
 
 def keep_targets(manifest: DataFrame, targets: DataFrame, id_col: str = "image_id") -> DataFrame:
     """Manifest rows whose id is listed."""
-    return manifest.join(targets.select(id_col), id_col, "left_semi")
+    return manifest.join(targets.select(id_col).distinct(), id_col, "left_semi")
 
 
 def metadata_rows(

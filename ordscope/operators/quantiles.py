@@ -5,6 +5,10 @@ task. Here a first pass counts rows per order-preserving coarse bucket (map-side
 combined, a bounded number of buckets per group), the cumulative counts locate
 the bucket that holds each wanted rank, and a second pass looks only at the rows
 of those buckets. No row is sampled and no group passes through one task.
+
+The bucket list between the passes is a materialised table: the second pass can
+then be planned with its real size and filters the scan by a broadcast join
+instead of shuffling all rows.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordscope.session import materialise
+
 
 def coarse_bucket(value: Column, per_octave: int = 1024) -> Column:
     """Monotone bucket number: fixed relative resolution on both sides of zero."""
@@ -33,13 +39,16 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value_col: str,
-    quantiles: Mapping[str, float],
-    exclusive: bool = False,
+    quantiles: Mapping[str, float | tuple[float, bool]],
     per_octave: int = 1024,
 ) -> DataFrame:
-    """``keys`` + ``n`` (non-NULL values) + one exact, interpolated column per quantile."""
+    """``keys`` + ``n`` (non-NULL values) + one exact, interpolated column per quantile.
+
+    A quantile is ``p`` (inclusive definition, as NumPy) or ``(p, True)`` for the
+    exclusive one. NULL keys form a group.
+    """
     keys = list(keys) or ["__all"]
-    named = list(quantiles.items())
+    named = [(name, *(q if isinstance(q, tuple) else (q, False))) for name, q in quantiles.items()]
     rows = df.withColumn("__all", F.lit(1)) if keys == ["__all"] else df
     rows = rows.select(*keys, F.col(value_col).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
@@ -55,35 +64,33 @@ def exact_quantiles(
         .withColumn("__before", F.col("__upto") - F.col("__c"))
     )
     wanted = F.lit(False)
-    for _, p in named:
+    for _, p, exclusive in named:
         low = F.floor(rank_position(F.col("__n"), p, exclusive))
-        high = F.least(low + 1, F.col("__n"))
-        for r in (low, high):
-            wanted = wanted | ((F.col("__before") < r) & (r <= F.col("__upto")))
-    targets = buckets.where(wanted).select(
-        *[F.col(k).alias(f"__t_{k}") for k in keys], F.col("__b").alias("__tb"), "__n", "__before"
+        for rank in (low, F.least(low + 1, F.col("__n"))):
+            wanted = wanted | ((F.col("__before") < rank) & (rank <= F.col("__upto")))
+    targets = materialise(
+        buckets.where(wanted).select(
+            *[F.col(k).alias(f"__t_{k}") for k in keys], F.col("__b").alias("__tb"), "__n", "__before"
+        ),
+        "ranks",
     )
     match = [F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in keys] + [F.col("__b") == F.col("__tb")]
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         rows.join(targets, match, "inner")
         .groupBy(*keys, "__b", "__v", "__n", "__before")
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn(
-            "__rank_hi",
-            F.col("__before")
-            + F.sum("__c").over(
-                Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
+        .withColumn("__rank_hi", F.col("__before") + F.sum("__c").over(inside))
         .withColumn("__rank_lo", F.col("__rank_hi") - F.col("__c"))
     )
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__rank_lo") < rank) & (rank <= F.col("__rank_hi")), F.col("__v")))
+
     aggregates = [F.max("__n").alias("n")]
-    for name, p in named:
+    for name, p, exclusive in named:
         pos = rank_position(F.col("__n"), p, exclusive)
         low = F.floor(pos)
-        high = F.least(low + 1, F.col("__n"))
-        at_low = F.max(F.when((F.col("__rank_lo") < low) & (low <= F.col("__rank_hi")), F.col("__v")))
-        at_high = F.max(F.when((F.col("__rank_lo") < high) & (high <= F.col("__rank_hi")), F.col("__v")))
-        frac = F.max(pos - low)
-        aggregates.append((at_low + (at_high - at_low) * frac).alias(name))
+        at_low, at_high = value_at(low), value_at(F.least(low + 1, F.col("__n")))
+        aggregates.append((at_low + (at_high - at_low) * F.max(pos - low)).alias(name))
     return hits.groupBy(*keys).agg(*aggregates).drop("__all")

@@ -23,9 +23,11 @@ from ordscope.functions.probability import (
     normal_cdf_col,
     one_sided,
     t_cdf,
+    t_cdf_col,
     two_sided_normal,
 )
 from ordscope.operators.checks import require_columns
+from ordscope.operators.quantiles import coarse_bucket
 
 INTERCEPT = "Intercept"
 OUTCOME = "__y"
@@ -227,30 +229,33 @@ def benjamini_hochberg(
     fdr: float = fv.FALSE_DISCOVERY_RATE,
     effect_col: str | None = None,
     min_effect: float = fv.MIN_EFFECT,
-    slices: int = 4096,
+    per_octave: int = 64,
 ) -> DataFrame:
     """Step-up adjusted p-values, without ordering the whole table in one task.
 
-    Rows are cut into ``slices`` value ranges. Ranks inside a slice plus the
-    counts of the slices before it give the global rank; the running minimum from
-    the top is built the same way.
+    Distinct p-values with their counts are cut into order-preserving slices
+    (relative width, so crowds near zero are split as well). Ranks inside a slice
+    plus the counts of the slices before it give the global rank; the running
+    minimum from the top is built the same way.
     """
     keys = list(by)
-    rows = df.where(F.col(p_col).isNotNull()).withColumn(
-        "__slice", F.least(F.floor(F.col(p_col) * slices), F.lit(slices - 1)).cast("int")
-    )
-    per_slice = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
-    across = Window.partitionBy(*keys).orderBy("__slice")
-    per_slice = per_slice.withColumn(
-        "__before", F.sum("__c").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
-    ).withColumn("__m", F.sum("__c").over(Window.partitionBy(*keys)))
+    rows = df.where(F.col(p_col).isNotNull())
+    distinct = rows.groupBy(*keys, p_col).agg(F.count(F.lit(1)).alias("__c"))
+    distinct = distinct.withColumn("__slice", coarse_bucket(F.col(p_col), per_octave))
     on = [*keys, "__slice"]
-    inside = Window.partitionBy(*on).orderBy(p_col)
-    ranked = rows.join(per_slice, on, "inner").withColumn(
-        "__raw",
-        F.col(p_col)
-        * F.col("__m")
-        / (F.col("__before") + F.rank().over(inside) + F.count(F.lit(1)).over(Window.partitionBy(*on, p_col)) - 1),
+    across = Window.partitionBy(*keys).orderBy("__slice")
+    per_slice = (
+        distinct.groupBy(*on)
+        .agg(F.sum("__c").alias("__s"))
+        .withColumn("__m", F.sum("__s").over(Window.partitionBy(*keys)))
+        .withColumn(
+            "__before", F.sum("__s").over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")
+        )
+        .drop("__s")
+    )
+    upto = Window.partitionBy(*on).orderBy(p_col).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.join(per_slice, on, "inner").withColumn(
+        "__raw", F.col(p_col) * F.col("__m") / (F.col("__before") + F.sum("__c").over(upto))
     )
     above = (
         ranked.groupBy(*on)
@@ -263,19 +268,18 @@ def benjamini_hochberg(
         )
         .drop("__low")
     )
-    down = Window.partitionBy(*on).orderBy(F.desc(p_col)).rangeBetween(Window.unboundedPreceding, 0)
-    out = (
-        ranked.join(above, on, "inner")
-        .withColumn(
-            "p_adjusted",
-            F.least(F.lit(1.0), F.coalesce(F.col("__above"), F.lit(1.0)), F.min("__raw").over(down)),
-        )
-        .drop("__slice", "__c", "__before", "__m", "__raw", "__above")
+    down = Window.partitionBy(*on).orderBy(F.desc(p_col)).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = ranked.join(above, on, "inner").select(
+        *keys,
+        p_col,
+        F.least(F.lit(1.0), F.coalesce(F.col("__above"), F.lit(1.0)), F.min("__raw").over(down)).alias(
+            "p_adjusted"
+        ),
     )
     claim = F.col("p_adjusted") < fdr
     if effect_col:
         claim = claim & (F.col(effect_col) < min_effect)
-    return out.withColumn("claimed", claim)
+    return rows.join(adjusted, [*keys, p_col], "inner").withColumn("claimed", claim)
 
 
 # ---- general least squares -------------------------------------------------
@@ -403,7 +407,7 @@ def _one_model(gram: DataFrame, by: Sequence[str], func, schema: str) -> DataFra
     keyed = gram if by else gram.withColumn("__one", F.lit(1))
     keys = list(by) or ["__one"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = func(pdf)
         for name, value in zip(by, key):
             out[name] = value
@@ -493,7 +497,7 @@ def scaling_test(
     few = F.col("n_obs") < 4
     return (
         fit.where(F.col("term") == size_col)
-        .withColumn("p_one_sided", _lower_t(F.col("t_statistic"), F.col("df_resid")))
+        .withColumn("p_one_sided", t_cdf_col(F.col("t_statistic"), F.col("df_resid")))
         .withColumn(
             "n_obs",
             F.when(few, F.raise_error(F.lit("at least 4 observations are needed")).cast("long")).otherwise(
@@ -503,12 +507,6 @@ def scaling_test(
     )
 
 
-def _lower_t(t: Column, df: Column) -> Column:
-    from ordscope.functions.probability import t_cdf_col
-
-    return t_cdf_col(t, df)
-
-
 def outcome_share(df: DataFrame, labels: Sequence[str] = fv.OUTCOME_LABELS, name: str = "outcome") -> DataFrame:
     """Row sum of label columns; the query fails if a sum leaves [0, 1]."""
     require_columns(df, labels, "image panel")

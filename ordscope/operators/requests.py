@@ -39,13 +39,13 @@ def phase_metrics(
         F.max(F.when(ok, F.col("wall_s"))).alias("__max_ok"),
     )
     good = log.where(ok)
-    middle = exact_quantiles(good, [phase_col], "wall_s", {"p50_wall_s": 0.5}).drop("n")
-    tail = exact_quantiles(good, [phase_col], "wall_s", {"__p95": 0.95}, exclusive=True).drop("n")
+    latency = exact_quantiles(
+        good, [phase_col], "wall_s", {"p50_wall_s": 0.5, "__p95": (0.95, True)}
+    ).drop("n")
     errors = first_errors(log.where(has_error), [phase_col], order_cols)
     per_min = F.when(F.col("wall_total_s") > 0, F.col("n_ok") / F.col("wall_total_s") * 60.0).otherwise(0.0)
     return (
-        counts.join(middle, phase_col, "left")
-        .join(tail, phase_col, "left")
+        counts.join(latency, phase_col, "left")
         .join(errors, phase_col, "left")
         .withColumn("p95_wall_s", F.when(F.col("n_ok") >= 20, F.col("__p95")).otherwise(F.col("__max_ok")))
         .withColumn("per_minute", per_min)

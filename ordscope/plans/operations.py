@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordscope import fixed_values as fv
 from ordscope.functions import ids
 from ordscope.operators import agreement, grid, merge, progress, quality, sampling
+from ordscope.session import materialise
 from ordscope.sources.readers import read_shards
 from ordscope.sources.sinks import replace_table
 
@@ -48,10 +49,18 @@ def run_merge(
 
 
 def progress_report(
-    cells: DataFrame, metadata: DataFrame, now: Column | int | None = None, top: int = 10
+    cells: DataFrame, metadata: DataFrame, now: Column | int | str | None = None, top: int = 10
 ) -> dict[str, DataFrame]:
-    """The tables of a progress report over deduplicated metadata."""
-    unique = merge.latest_by_key(metadata)
+    """The tables of a progress report over deduplicated metadata.
+
+    ``now`` is epoch seconds, a column, ``"latest"`` (newest row) or the clock.
+    """
+    # Five tables read the deduplicated log; sort it out once.
+    columns = ["image_id", "model", "language", "backend", "duration_s", "timestamp", "src_ord", "row_ord"]
+    slim = metadata.select(*[c for c in columns if c in metadata.columns])
+    unique = materialise(merge.latest_by_key(slim, drop_source_order=True), "unique")
+    if isinstance(now, str):
+        now = progress.latest_time(unique)
     rates = progress.recent_throughput(unique, now)
     by_grid = progress.grid_progress(cells, unique)
     main = cells.where(F.col("grid") == "main")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "ordscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,3 +57,27 @@ def enable_checkpoints(spark: SparkSession) -> None:
     """Point reliable checkpoints at the scratch folder if nothing is set yet."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(scratch_base(spark))
+
+
+def materialise(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back.
+
+    Spark re-runs a shared sub-plan for every branch that needs other columns of
+    it. A table in the shared scratch folder is computed once, survives lost
+    executors, and carries its real size into join planning. Use it after an
+    aggregation or deduplication, where the table is far smaller than its input.
+    """
+    path = scratch_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a plain scan at least one partition per core.
+
+    Large tables have far more splits than cores and pass through unchanged; only
+    a scan with fewer splits is redistributed. For scans and projections only:
+    asking a plan with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -65,6 +65,61 @@ def upsert_stream(
     return _trigger(writer, trigger_seconds).start()
 
 
+def append_delta(
+    batch: DataFrame, epoch: int, folder: str, key: str = "image_id", order_col: str = "timestamp"
+) -> None:
+    """Write one micro-batch, deduplicated, as its own delta folder.
+
+    The cost follows the batch, not the table. A replayed batch overwrites its own
+    folder, so it is not counted twice.
+    """
+    newest = latest_by_key(batch.drop("source"), key, order_col)
+    newest.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+
+def delta_stream(
+    stream: DataFrame,
+    folder: str,
+    checkpoint: str,
+    key: str = "image_id",
+    order_col: str = "timestamp",
+    trigger_seconds: int | None = None,
+) -> StreamingQuery:
+    """Upsert by appending deltas; readers resolve them, ``compact`` folds them in."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, epoch: append_delta(batch, epoch, folder, key, order_col)
+    )
+    return _trigger(writer, trigger_seconds).start()
+
+
+def current_rows(
+    spark: SparkSession,
+    canonical: str | None,
+    deltas: str,
+    key: str = "image_id",
+    order_col: str = "timestamp",
+) -> DataFrame:
+    """Latest row per id over the canonical table (first) and all deltas (by epoch)."""
+    parts = []
+    if canonical and path_exists(spark, canonical):
+        old = spark.read.parquet(canonical)
+        parts.append(old.withColumns({"src_ord": F.lit(-1).cast("long"), "row_ord": F.lit(0).cast("long")}))
+    if path_exists(spark, f"{deltas}/epoch=*"):
+        parts.append(
+            spark.read.parquet(deltas).withColumn("src_ord", F.col("epoch").cast("long")).drop("epoch")
+        )
+    if not parts:
+        raise FileNotFoundError(f"neither {canonical} nor {deltas} holds rows")
+    return latest_by_key(union_all(parts), key, order_col, drop_source_order=True)
+
+
+def compact(
+    spark: SparkSession, canonical: str, deltas: str, key: str = "image_id", order_col: str = "timestamp"
+) -> None:
+    """Fold all deltas into the canonical table. Folding twice changes nothing."""
+    replace_table(current_rows(spark, canonical, deltas, key, order_col), canonical)
+
+
 def shard_sink(
     stream: DataFrame,
     directory: str,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ordscope.operators import requests
+from ordscope.session import materialise
+from ordscope.sources.readers import path_exists
 
 
 def windowed_throughput(
@@ -42,34 +44,51 @@ def windowed_throughput(
 
 
 def failure_alerts(
-    stream: DataFrame, key_col: str, time_col: str, failed_col: str, limit: int
-) -> DataFrame:
-    """Emit a row whenever a key reaches ``limit`` consecutive failures.
+    batch: DataFrame,
+    state_path: str,
+    alerts_path: str,
+    epoch: int,
+    keys: Sequence[str],
+    order_cols: Sequence[str],
+    chunk: Column,
+    failed: Column,
+    limit: int,
+) -> None:
+    """Fold one micro-batch: report runs of at least ``limit`` failures as they get there.
 
-    The state is one number per key. Rows of a micro-batch are ordered by time
-    per key; order across batches follows arrival, as with any stream.
+    The state is one row per key (length of the run the key is in). Runs inside
+    the batch come from the two-level running total, so a key that sends most of
+    the batch is spread over its time chunks. A replayed batch rewrites the same
+    alert folder from the same previous state.
     """
-    key_type = dict(stream.dtypes)[key_col]
+    spark = batch.sparkSession
+    keys = list(keys)
+    schema = ", ".join(f"`{k}` {dict(batch.dtypes)[k]}" for k in keys)
+    previous = f"{state_path}/epoch={epoch - 1}"
+    if path_exists(spark, previous):
+        carried = spark.read.schema(f"{schema}, carry bigint").parquet(previous)
+    else:
+        carried = spark.createDataFrame([], f"{schema}, carry bigint")
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        hits = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(time_col, kind="stable")
-        for at, failed in zip(rows[time_col], rows[failed_col]):
-            run = run + 1 if failed else 0
-            if run == limit:
-                hits.append(at)
-        state.update((run,))
-        yield pd.DataFrame({key_col: [key[0]] * len(hits), "reached_at": hits, "run_length": [limit] * len(hits)})
-
-    return (
-        stream.select(key_col, time_col, failed_col)
-        .groupBy(key_col)
-        .applyInPandasWithState(
-            advance,
-            f"{key_col} {key_type}, reached_at timestamp, run_length int",
-            "run int",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
+    labelled = requests.running_total(
+        batch.withColumn("__failed", failed), keys, order_cols, F.when(F.col("__failed"), 0).otherwise(1), chunk, "run"
+    )
+    runs = labelled.groupBy(*keys, "run").agg(
+        F.count_if("__failed").alias("n_failed"),
+        F.min(F.when(F.col("__failed"), F.col(order_cols[0]))).alias("run_start"),
+        F.max(F.when(F.col("__failed"), F.col(order_cols[0]))).alias("run_end"),
+    )
+    runs = runs.join(carried, keys, "left").withColumn(
+        "carried_in", F.when(F.col("run") == 0, F.coalesce("carry", F.lit(0))).otherwise(F.lit(0))
+    )
+    runs = materialise(
+        runs.withColumn("run_length", F.col("n_failed") + F.col("carried_in")).drop("carry"), "runs"
+    )
+    runs.where(
+        (F.col("n_failed") > 0) & (F.col("run_length") >= limit) & (F.col("carried_in") < limit)
+    ).select(*keys, "run_length", "run_start", "run_end").write.mode("overwrite").parquet(
+        f"{alerts_path}/epoch={epoch}"
     )
+    trailing = runs.groupBy(*keys).agg(F.max_by("run_length", "run").alias("carry"))
+    untouched = carried.join(trailing.select(*keys), keys, "left_anti")
+    trailing.unionByName(untouched).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")

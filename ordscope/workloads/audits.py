@@ -9,6 +9,7 @@ from ordscope import fixed_values as fv
 from ordscope.functions import distances
 from ordscope.operators import baselines, bootstrap, distributions, imputation, weights
 from ordscope.plans import audit
+from ordscope.session import materialise, spread
 from ordscope.sources.dimensions import groups_dim
 from ordscope.workloads import bindings as b
 from ordscope.workloads.registry import query, r, tidy
@@ -22,7 +23,7 @@ def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the panel: everything the index needs, per (cell, group)."""
     rows = b.panel(spark, sf_dir)
     every = [F.count_if(F.col("bin") == x) for x in fv.BINS]
-    return distributions.count_bins(
+    counted = distributions.count_bins(
         rows,
         KEYS,
         extra=(
@@ -30,6 +31,8 @@ def cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("income").alias("income_sum"),
         ),
     )
+    # Observed side and baseline both come from these few rows: count once.
+    return materialise(counted, "cells")
 
 
 def baseline_of(cells: DataFrame) -> DataFrame:
@@ -295,7 +298,7 @@ FROM point p JOIN ci ON ci.country = p.country AND ci.language = p.language AND
 @query("A13_bootstrap_by_cell", A13_SQL)
 def a13(spark, sf_dir):
     """Interval per cell from portable row-level draws (checked against SQL)."""
-    rows = b.panel(spark, sf_dir)
+    rows = b.panel(spark, sf_dir, spread)
     cells = cell_counts(spark, sf_dir)
     hist = distributions.with_probabilities(cells).drop("all_counts", "income_sum")
     out = bootstrap.hash_draw_by_cell(

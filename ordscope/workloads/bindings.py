@@ -6,12 +6,15 @@ All of them are row-wise derivations of whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions import ids
 from ordscope.operators.grid import enumerate_grid
+from ordscope.session import spread
 from ordscope.workloads.registry import epoch_seconds
 
 SCHEMAS = {
@@ -70,30 +73,29 @@ def quantity_bin(q: Column) -> Column:
     return (F.floor((q - 1) / 4.5) + 1).cast("int")
 
 
-def supplier_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("r_name").alias("country"))
-    )
-
+def panel(
+    spark: SparkSession, sf_dir: str, prepare: Callable[[DataFrame], DataFrame] = lambda scan: scan
+) -> DataFrame:
+    """Units with group, cell keys, bin, eligibility flag and an income.
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units with group, cell keys, bin, eligibility flag and an income."""
+    ``prepare`` may redistribute the line item scan. The joins are left-deep on
+    base tables on purpose: each dimension is planned with its own file size, so
+    it is broadcast only while it is small and shuffled by key beyond that.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("grp"))
-    lines = table(spark, sf_dir, "lineitem")
+    lines = prepare(table(spark, sf_dir, "lineitem"))
     q = F.col("l_quantity")
     return (
         lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier_region(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.concat_ws(
                 "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q.cast("long")
             ).alias("unit_id"),
             "grp",
-            "country",
+            F.col("r_name").alias("country"),
             F.col("l_returnflag").alias("language"),
             F.col("l_linestatus").alias("model"),
             F.when(q != 50, quantity_bin(q)).alias("bin"),
@@ -217,7 +219,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid over customers x languages x models x replicates."""
-    groups = table(spark, sf_dir, "customer").select(
+    groups = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         F.col("c_custkey").alias("grp_index"), pick(fv.GROUP_NAMES, F.col("c_custkey") % 25).alias("grp")
     )
     return enumerate_grid(groups, fv.MAIN_LANGUAGES, fv.MAIN_MODELS, N_REPLICATES)

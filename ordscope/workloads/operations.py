@@ -8,6 +8,7 @@ from ordscope import fixed_values as fv
 from ordscope.functions import ids
 from ordscope.operators import distributions, grid, merge, progress, quality, requests, sampling
 from ordscope.plans import operations as plans
+from ordscope.session import materialise
 from ordscope.workloads import audits
 from ordscope.workloads import bindings as b
 from ordscope.workloads.registry import query, r, tidy
@@ -76,6 +77,14 @@ def a19(spark, sf_dir):
 
 # ---- progress ----------------------------------------------------------------
 
+
+def unique_log(spark, sf_dir):
+    """Deduplicated log with the columns the reports read; several branches use it."""
+    cols = ["image_id", "backend", "duration_s", "timestamp", "src_ord", "row_ord"]
+    slim = b.metadata(spark, sf_dir).select(*cols)
+    return materialise(merge.latest_by_key(slim, drop_source_order=True), "unique")
+
+
 WINDOW_S = 400 * 86_400
 THROUGHPUT_SQL = f"""recent AS (SELECT * FROM metadata_unique WHERE timestamp >= (SELECT max(timestamp) FROM metadata_unique) - {WINDOW_S}),
 rates AS (
@@ -91,7 +100,7 @@ rates AS (
     + f", {THROUGHPUT_SQL} SELECT coalesce(backend, 'none') AS backend, n_units, {r('per_minute', 9)} AS per_minute, {r('p50_duration_s')} AS p50_duration_s FROM rates",
 )
 def a20(spark, sf_dir):
-    unique = merge.latest_by_key(b.metadata(spark, sf_dir))
+    unique = unique_log(spark, sf_dir)
     rates = progress.recent_throughput(unique, progress.latest_time(unique), window_s=WINDOW_S)
     out = rates.withColumn("per_minute", F.round("per_minute", 9)).withColumn("backend", F.coalesce("backend", F.lit("none")))
     return tidy(out, 9).withColumn("p50_duration_s", F.round("p50_duration_s", 6))
@@ -106,7 +115,7 @@ rate AS (SELECT coalesce(sum(per_minute), 0) AS pm FROM rates)
 SELECT language AS grid, done, total, {r('100.0 * done / total')} AS pct, {r('CASE WHEN pm > 0 AND done < total THEN (total - done) / pm * 60.0 END', 3)} AS eta_s FROM prog, rate""",
 )
 def a21(spark, sf_dir):
-    unique = merge.latest_by_key(b.metadata(spark, sf_dir))
+    unique = unique_log(spark, sf_dir)
     rates = progress.recent_throughput(unique, progress.latest_time(unique), window_s=WINDOW_S)
     by_language = b.customer_grid(spark, sf_dir).withColumn("grid", F.col("language"))
     out = progress.with_eta(progress.grid_progress(by_language, unique), rates)
@@ -179,8 +188,7 @@ UNION ALL SELECT 'rate:' || coalesce(backend, 'none'), n_units FROM (SELECT back
 )
 def l7(spark, sf_dir):
     meta = b.metadata(spark, sf_dir)
-    unique = merge.latest_by_key(meta)
-    tables = plans.progress_report(b.customer_grid(spark, sf_dir), meta, progress.latest_time(unique))
+    tables = plans.progress_report(b.customer_grid(spark, sf_dir), meta, "latest")
 
     def named(df, name, value):
         return df.select(name.alias("name"), value.cast("double").alias("value"))

@@ -127,12 +127,28 @@ def t5(spark, sf_dir):
     return spark.read.parquet(out).select("user_id", "event_type")
 
 
-@query("T6_stream_failure_alerts")
+@query(
+    "T6_stream_failure_alerts",
+    """WITH m AS (SELECT *, event_type <> 'error' AS ok, sum((event_type <> 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events)
+SELECT user_id, count(*) AS run_length, min(event_id) AS run_start, max(event_id) AS run_end FROM m WHERE NOT ok GROUP BY user_id, run HAVING count(*) >= 3""",
+)
 def t6_stream(spark, sf_dir):
-    out, checkpoint = scratch_dir(spark, "t6"), scratch_dir(spark, "chk")
-    stream = event_stream(spark, sf_dir).select(
-        "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed")
-    )
-    alerts = throughput.failure_alerts(stream, "user_id", "ts", "failed", 3)
-    shards.drain(shards.shard_sink(alerts, out, checkpoint))
-    return spark.read.schema("user_id bigint, reached_at timestamp, run_length int").parquet(out).drop("reached_at")
+    state, alerts, checkpoint = (scratch_dir(spark, tag) for tag in ("state", "alerts", "chk"))
+    failed, chunk = F.col("event_type") == "error", F.floor(F.col("event_id") / 1000)
+
+    def fold(batch, epoch):
+        throughput.failure_alerts(batch, state, alerts, epoch, ["user_id"], ["event_id"], chunk, failed, 3)
+
+    stream = event_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    shards.run_batches(stream, checkpoint, fold, "append")
+    return spark.read.parquet(alerts).drop("epoch")
+
+
+@query("T2_stream_deltas", UPSERT_SQL)
+def t2_deltas(spark, sf_dir):
+    """Upsert by deltas, folded into the canonical table and resolved once more."""
+    canonical, deltas = scratch_dir(spark, "t2c"), scratch_dir(spark, "t2d")
+    shards.drain(shards.delta_stream(unit_stream(spark, sf_dir), deltas, scratch_dir(spark, "chk")))
+    shards.compact(spark, canonical, deltas)
+    rows = shards.current_rows(spark, canonical, deltas)
+    return tidy(rows.select("image_id", "timestamp", "event_id", "value"))
