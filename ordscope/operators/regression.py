@@ -101,7 +101,13 @@ def clustered_slope(df: DataFrame, x: str, y: str, cluster: Sequence[str]) -> Da
     moments = _cluster_moments(df, x, y, cluster)
     n, sx, sy, sxx, sxy = (F.sum(c) for c in ("n", "sx", "sy", "sxx", "sxy"))
     beta = (sxy - sx * sy / n) / (sxx - sx * sx / n)
-    line = moments.agg(F.struct(beta.alias("b"), ((sy - beta * sx) / n).alias("a")).alias("line"))
+    # The subquery names every moment, so that it and the main plan need the same
+    # columns and share one exchange of the cluster moments.
+    line = moments.agg(
+        F.struct(
+            beta.alias("b"), ((sy - beta * sx) / n).alias("a"), F.sum("syy").alias("syy")
+        ).alias("line")
+    )
     scored = moments.withColumn("line", line.scalar())
     a, b = F.col("line.a"), F.col("line.b")
     scored = scored.withColumns(
