@@ -26,7 +26,7 @@ def stratified_sample(
     window group limit: every map task keeps at most n rows per stratum before
     the shuffle, so a stratum that holds most of the data is not moved.
     """
-    require_columns(df, [stratum, id_col, *([flag_col] if flag_col else [])], "panel")
+    require_columns(df, [stratum, id_col, *(carry or ()), *([flag_col] if flag_col else [])], "panel")
     rows = df.where(F.coalesce(F.col(flag_col), F.lit(False))) if flag_col else df
     rows = rows.where(F.col(stratum).isNotNull())
     if carry is not None:
