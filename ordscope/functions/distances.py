@@ -13,10 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ordscope.fixed_values import BINS, DISTRIBUTION_TOLERANCE
+from ordscope.functions.literals import array_of, structs_of
 
 
 def bin_array(bins: Sequence[int] = BINS) -> Column:
-    return F.array(*[F.lit(float(b)) for b in bins])
+    return array_of(float(b) for b in bins)
 
 
 def distribution_error(p: Column, bins: Sequence[int] = BINS) -> Column:
@@ -39,10 +40,7 @@ def checked(value: Column, bins: Sequence[int], *distributions: Column) -> Colum
 def wasserstein1(p: Column, q: Column, bins: Sequence[int] = BINS, validate: bool = False) -> Column:
     """Sum over bins of |CDF_p - CDF_q| times the gap to the next bin."""
     order = sorted(range(len(bins)), key=lambda i: bins[i])
-    gaps = [
-        F.struct(F.lit(i).alias("pos"), F.lit(float(bins[j] - bins[i])).alias("gap"))
-        for i, j in zip(order, order[1:])
-    ]
+    gaps = [(i, float(bins[j] - bins[i])) for i, j in zip(order, order[1:])]
     if not gaps:
         value = F.lit(0.0)
     else:
@@ -52,7 +50,7 @@ def wasserstein1(p: Column, q: Column, bins: Sequence[int] = BINS, validate: boo
             cdf = acc["cdf"] + F.get(p, s["pos"]) - F.get(q, s["pos"])
             return F.struct(cdf.alias("cdf"), (acc["total"] + F.abs(cdf) * s["gap"]).alias("total"))
 
-        value = F.aggregate(F.array(*gaps), start, step, lambda acc: acc["total"])
+        value = F.aggregate(structs_of(gaps, ("pos", "gap")), start, step, lambda acc: acc["total"])
     return checked(value, bins, p, q) if validate else value
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
+from ordscope.functions.literals import array_of
 
 
 def consensus(values: Sequence[Column], tolerance: int = 1) -> Column:
@@ -38,7 +39,7 @@ def stretch(fraction: Column, bins: Sequence[int] = fv.BINS) -> Column:
     idx = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction)) * last).cast("int")
     if list(bins) == list(range(bins[0], bins[0] + len(bins))):
         return idx + bins[0]
-    return F.get(F.array(*[F.lit(b) for b in bins]), idx)
+    return F.get(array_of(bins), idx)
 
 
 def midpoint(bins: Sequence[int] = fv.BINS) -> int:
@@ -107,9 +108,7 @@ def nearest_anchor(
 
 def palette_to_bin(code: Column, palette: Sequence[str] = fv.PALETTE_DARK_TO_LIGHT) -> Column:
     """Palette code to bin (darkest code is the highest bin); unknown codes to NULL."""
-    pos = F.array_position(
-        F.array(*[F.lit(c.lower()) for c in palette]), F.lower(F.trim(code))
-    )
+    pos = F.array_position(array_of(c.lower() for c in palette), F.lower(F.trim(code)))
     return F.when(pos > 0, (len(palette) + 1 - pos).cast("int"))
 
 

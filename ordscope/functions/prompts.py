@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions.ids import case_map, split_marker
+from ordscope.functions.literals import map_of
 
 
 def _noun_map() -> Column:
@@ -16,7 +17,7 @@ def _noun_map() -> Column:
     nouns |= {f"pt-BR|{g[0]}": g[2] for g in fv.GROUPS}
     for language, words in fv.INDIGENOUS_NOUNS.items():
         nouns |= {f"{language}|{grp}": noun for grp, noun in words.items()}
-    return F.create_map(*[F.lit(x) for pair in nouns.items() for x in pair])
+    return map_of(nouns)
 
 
 def english_article(noun: Column) -> Column:

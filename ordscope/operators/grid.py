@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions import ids
+from ordscope.functions.literals import structs_of
 from ordscope.functions.prompts import prompt_status, prompt_text
 from ordscope.operators.checks import require_columns
 from ordscope.session import materialise
@@ -22,9 +23,7 @@ from ordscope.sources.literals import literal_table
 
 def indexed(values: Sequence[str], index_name: str, value_name: str) -> Column:
     """Literal array of (index, value), ready to be exploded with ``inline``."""
-    return F.array(
-        *[F.struct(F.lit(i).alias(index_name), F.lit(v).alias(value_name)) for i, v in enumerate(values)]
-    )
+    return structs_of(enumerate(values), (index_name, value_name))
 
 
 def enumerate_grid(

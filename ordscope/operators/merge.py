@@ -10,24 +10,52 @@ from pyspark.sql import functions as F
 from ordscope.operators.checks import require_columns
 
 
-def _keep_best(df: DataFrame, keys: Sequence[str], order: Column, drop: Sequence[str] = ()) -> DataFrame:
+def _keep_best(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Column,
+    drop: Sequence[str] = (),
+    invariant: Sequence[str] = (),
+) -> DataFrame:
     """One row per key: the one with the greatest ``order``.
 
     An aggregate rather than a window: duplicates collapse map-side, so a key
     repeated in a third of all rows costs one row per map task in the shuffle.
+    Columns in ``invariant`` must not vary within a key; the query fails if one does.
     """
     rest = [c for c in df.columns if c not in keys and c not in drop]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row"))
-    kept = best.select(*keys, "__row.*") if rest else best.select(*keys)
+    best = df.groupBy(*keys).agg(
+        F.max_by(F.struct(F.lit(True).alias("__any"), *rest), order).alias("__row"), *_spread(invariant)
+    )
+    if invariant:
+        message = F.concat(F.lit("ambiguous ids: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
+        best = best.where(
+            F.when(_varies(invariant), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+        )
+    kept = best.select(*keys, "__row.*")
     return kept.select(*[c for c in df.columns if c not in drop])
 
 
+def _spread(columns: Sequence[str]) -> list[Column]:
+    """Smallest and largest value per column: two numbers that combine map-side."""
+    return [F.min(c).alias(f"__lo_{c}") for c in columns] + [F.max(c).alias(f"__hi_{c}") for c in columns]
+
+
+def _varies(columns: Sequence[str]) -> Column:
+    """Does any of the columns take more than one value? NULLs are not values."""
+    bad = F.lit(False)
+    for c in columns:
+        bad = bad | F.coalesce(F.col(f"__lo_{c}") < F.col(f"__hi_{c}"), F.lit(False))
+    return bad
+
+
 def latest_by_key(
     df: DataFrame,
     key: str = "image_id",
     order_col: str = "timestamp",
     source_order: Sequence[str] = ("src_ord", "row_ord"),
     drop_source_order: bool = False,
+    invariant: Sequence[str] = (),
 ) -> DataFrame:
     """Highest order value per key; unknown order last; ties keep the earliest inserted row.
 
@@ -38,13 +66,13 @@ def latest_by_key(
     present = [c for c in source_order if c in df.columns]
     drop = present if drop_source_order else ()
     if order_col not in df.columns:
-        return last_by_position(df, key, source_order, drop_source_order)
+        return last_by_position(df, key, source_order, drop_source_order, invariant)
     order = F.struct(
         F.col(order_col).isNotNull().alias("known"),
         F.col(order_col).alias("value"),
         *[(-F.col(c).cast("long")).alias(f"o_{c}") for c in present],
     )
-    return _keep_best(df, [key], order, drop)
+    return _keep_best(df, [key], order, drop, invariant)
 
 
 def last_by_position(
@@ -52,11 +80,12 @@ def last_by_position(
     key: str = "image_id",
     source_order: Sequence[str] = ("src_ord", "row_ord"),
     drop_source_order: bool = False,
+    invariant: Sequence[str] = (),
 ) -> DataFrame:
     """Keep the last inserted row per key."""
     require_columns(df, [key, *source_order], "shards")
     order = F.struct(*[F.col(c).cast("long").alias(f"o_{c}") for c in source_order])
-    return _keep_best(df, [key], order, list(source_order) if drop_source_order else ())
+    return _keep_best(df, [key], order, list(source_order) if drop_source_order else (), invariant)
 
 
 def duplicate_summary(df: DataFrame, key: str = "image_id") -> DataFrame:
@@ -78,21 +107,10 @@ def duplicate_summary(df: DataFrame, key: str = "image_id") -> DataFrame:
 def ambiguous_keys(
     df: DataFrame, key: str = "image_id", columns: Sequence[str] = ("model", "occupation", "seed")
 ) -> DataFrame:
-    """Keys that map to more than one value of any of the columns.
-
-    "More than one value" is ``min < max``, which needs two numbers per key and
-    combines map-side, unlike a distinct count. NULLs are not values.
-    """
+    """Keys that map to more than one value of any of the columns."""
     require_columns(df, [key, *columns], "shards")
-    spread = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.min(c).alias(f"__lo_{c}") for c in columns],
-        *[F.max(c).alias(f"__hi_{c}") for c in columns],
-    )
-    bad = F.lit(False)
-    for c in columns:
-        bad = bad | F.coalesce(F.col(f"__lo_{c}") < F.col(f"__hi_{c}"), F.lit(False))
-    return spread.where(bad).select(key, "n_rows")
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *_spread(columns))
+    return per_key.where(_varies(columns)).select(key, "n_rows")
 
 
 def drop_mislabelled(df: DataFrame, model: str, backend: str) -> DataFrame:

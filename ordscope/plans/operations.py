@@ -18,19 +18,11 @@ from ordscope.sources.sinks import replace_table
 def merged_shards(rows: DataFrame, key: str = "image_id", order_col: str = "timestamp") -> DataFrame:
     """Deduplicated table; the query fails on ids that mean two different units.
 
-    The ambiguity check runs on the rows before deduplication (afterwards it could
-    never fire) and joins back only the ambiguous ids, normally none.
+    The ambiguity check looks at the rows before deduplication (afterwards it could
+    never fire) and rides on the same aggregate.
     """
-    needed = [c for c in ("model", "occupation", "seed") if c in rows.columns]
-    best = merge.latest_by_key(rows, key, order_col, drop_source_order=True).drop("source")
-    if not needed:
-        return best
-    bad = merge.ambiguous_keys(rows, key, needed).agg(F.count(F.lit(1)).alias("n"))
-    checked = best.withColumn("__bad", bad.scalar())
-    message = F.concat(F.lit("ambiguous ids: "), F.col("__bad").cast("string"))
-    return checked.where(
-        F.when(F.col("__bad") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    ).drop("__bad")
+    invariant = [c for c in ("model", "occupation", "seed") if c in rows.columns]
+    return merge.latest_by_key(rows, key, order_col, drop_source_order=True, invariant=invariant).drop("source")
 
 
 def run_merge(

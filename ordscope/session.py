@@ -49,8 +49,9 @@ def scratch_base(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path (not yet created) below the scratch folder."""
-    return f"{scratch_base(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path (not yet created) in this application's part of the scratch folder."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_base(spark)}/{app}/{tag}-{uuid.uuid4().hex}"
 
 
 def enable_checkpoints(spark: SparkSession) -> None:
@@ -80,4 +81,5 @@ def spread(scan: DataFrame) -> DataFrame:
     asking a plan with shuffles for its partitions would run it.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if splits < cores else scan

@@ -7,17 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return "TRUE" if value else "FALSE"
-    if isinstance(value, float):
-        return f"{value!r}D"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return str(value)
+from ordscope.functions.literals import sql_literal
 
 
 def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
@@ -27,7 +17,7 @@ def literal_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> Da
     names = [name.strip("`") for name, _ in fields]
     if not rows:
         return spark.createDataFrame([], schema)
-    body = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    body = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
     columns = ", ".join(f"`{n}`" for n in names)
     values = spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
     return values.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, (_, t) in zip(names, fields)])

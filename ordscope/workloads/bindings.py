@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions import ids
+from ordscope.functions.literals import array_of, map_of
 from ordscope.operators.grid import enumerate_grid
 from ordscope.session import spread
 from ordscope.workloads.registry import epoch_seconds
@@ -46,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values, index: Column) -> Column:
     """Element of a literal list by 0-based index."""
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(array_of(values), index.cast("int"))
 
 
 def sql_list(values) -> str:
@@ -189,9 +190,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     o = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    lang_index = F.lit(None).cast("int")
-    for priority, i in PRIORITY_LANGUAGE.items():
-        lang_index = F.when(F.col("o_orderpriority") == priority, F.lit(i)).otherwise(lang_index)
+    lang_index = F.try_element_at(map_of(PRIORITY_LANGUAGE), F.col("o_orderpriority"))
     staged = o.select(
         "*",
         lang_index.alias("lang_index"),
