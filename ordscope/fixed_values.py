@@ -326,5 +326,6 @@ RATE_LIMIT_SOFT = 0.05
 # Tolerance of sum checks, effect threshold, error rate.
 SUM_TOLERANCE = 1e-3
 DISTRIBUTION_TOLERANCE = 1.1e-5
+SHIFT_TOLERANCE = 1e-12
 MIN_EFFECT = -0.5
 FALSE_DISCOVERY_RATE = 0.05

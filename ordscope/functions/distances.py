@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ordscope.fixed_values import BINS, DISTRIBUTION_TOLERANCE
+from ordscope.fixed_values import BINS, DISTRIBUTION_TOLERANCE, SHIFT_TOLERANCE
 from ordscope.functions.literals import array_of, structs_of
 
 
@@ -65,8 +65,12 @@ def signed_shift(p: Column, q: Column, bins: Sequence[int] = BINS) -> Column:
 
 
 def signed_distance(distance: Column, shift: Column) -> Column:
-    """Distance carrying the sign of the shift; zero when there is no shift."""
-    return distance * F.signum(shift)
+    """Distance carrying the sign of the shift; zero when there is no shift.
+
+    Two distributions with equal means leave a shift of a few ulps whose sign only
+    reflects the order of additions, so anything below the tolerance counts as none.
+    """
+    return F.when(F.abs(shift) < SHIFT_TOLERANCE, F.lit(0.0)).otherwise(distance * F.signum(shift))
 
 
 def cumulative(p: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
-from ordscope.functions.distances import cumulative
+from ordscope.functions.distances import cumulative, signed_distance
 from ordscope.functions.ids import hash_uniform_index
 from ordscope.operators.distributions import (
     group_metrics,
@@ -128,7 +128,9 @@ def index_intervals(
         )
         .groupBy(*cell_keys, "rep")
         .agg(
-            F.sum(F.col("weight") * F.col("r.rep_distance") * F.signum("r.rep_delta")).alias("index_value")
+            F.sum(
+                F.col("weight") * signed_distance(F.col("r.rep_distance"), F.col("r.rep_delta"))
+            ).alias("index_value")
         )
     )
     # One value per replicate, so the exact percentile holds n_replicates numbers.

@@ -171,11 +171,11 @@ def a6(spark, sf_dir):
 
 @query(
     "A7_expected_bin",
-    OBS_SQL + f" SELECT country, language, model, grp, {r('sum(prob * bin)')} AS expected_bin FROM obs GROUP BY ALL",
+    OBS_SQL + f" SELECT country, language, model, grp, {r('sum(prob * bin)', 9)} AS expected_bin FROM obs GROUP BY ALL",
 )
 def a7(spark, sf_dir):
     hist = distributions.ordinal_histogram(b.panel(spark, sf_dir), KEYS)
-    return tidy(hist.select(*KEYS, distances.expected_bin(F.col("probs"), validate=True).alias("expected_bin")))
+    return tidy(hist.select(*KEYS, distances.expected_bin(F.col("probs"), validate=True).alias("expected_bin")), 9)
 
 
 @query(
@@ -278,7 +278,7 @@ rep_metric AS (
   FROM rep_cdf GROUP BY ALL
 ),
 rep_index AS (
-  SELECT m.country, m.language, m.model, m.rep, sum(w.weight * m.distance * sign(round(m.delta, 12))) AS index_value
+  SELECT m.country, m.language, m.model, m.rep, sum(CASE WHEN abs(m.delta) < 1e-12 THEN 0 ELSE w.weight * m.distance * sign(m.delta) END) AS index_value
   FROM rep_metric m JOIN weights w ON w.country = m.country AND w.grp = m.grp GROUP BY ALL
 ),
 ci AS (
@@ -518,7 +518,7 @@ vmetric AS (
   SELECT country, language, model, grp, variant, sum(CASE WHEN bin < 11 THEN abs(cdf_diff) ELSE 0 END) AS distance, sum(diff * bin) AS delta
   FROM vdiff GROUP BY ALL
 )
-SELECT m.country, m.language, m.model, m.variant, {r('sum(w.weight * m.distance * sign(m.delta))')} AS index_value, {r('median(m.delta)')} AS median_delta
+SELECT m.country, m.language, m.model, m.variant, {r('sum(CASE WHEN abs(m.delta) < 1e-12 THEN 0 ELSE w.weight * m.distance * sign(m.delta) END)')} AS index_value, {r('median(m.delta)')} AS median_delta
 FROM vmetric m JOIN weights w ON w.country = m.country AND w.grp = m.grp GROUP BY ALL"""
 
 

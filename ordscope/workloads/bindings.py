@@ -174,7 +174,7 @@ metrics AS (
   FROM diffs d LEFT JOIN weights w ON w.country = d.country AND w.grp = d.grp
   GROUP BY d.country, d.language, d.model, d.grp
 ),
-signed AS (SELECT *, distance * sign(delta) AS signed_distance FROM metrics)"""
+signed AS (SELECT *, CASE WHEN abs(delta) < 1e-12 THEN 0 ELSE distance * sign(delta) END AS signed_distance FROM metrics)"""
 )
 
 # ---- generation metadata: one row per order --------------------------------
