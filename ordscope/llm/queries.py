@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import exact_dedup
+from ordscope.llm import exact_dedup, pii, simhash
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -19,3 +19,29 @@ FROM d WINDOW w AS (PARTITION BY t)""",
 def op10(spark, sf_dir):
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("digest", "text_sha256").withColumn("group_size", F.col("group_size").cast("long"))
+
+
+def _span_text(spans):
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(parts, ",")
+
+
+@query("op1_pii")
+def op1(spark, sf_dir):
+    """Counts and digest of the plain spans; ``spans`` lists these and the disguised ones."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["plain"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_span_text(base).cast("binary"), 256).alias("base_sha256"),
+        _span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long").alias("n_disguised"),
+    )
+
+
+@query("op7_simhash")
+def op7(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
