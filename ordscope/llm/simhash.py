@@ -31,7 +31,7 @@ from ordscope.session import materialise
 SEED = 42
 _SPLIT = " \t\n\v\f\r"
 _CHUNK = 50_000
-_SIGN = 1 << 63
+_SIGN, _ALL = 1 << 63, (1 << 64) - 1
 
 
 def _words(text: str) -> list[str]:
@@ -162,17 +162,21 @@ def _forests(radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, asks, out = None, [], [], []
+
+        def links() -> list[tuple[int, int]]:
+            if not tree or len(tree) + len(asks) < 2:
+                return []
+            return [(_signed(a), _signed(b)) for a, b in shard_forest(tree, asks or tree, radius)]
+
         for choice, bits, t, q, fp, role in rows_of(batches, "choice", "bits", "t", "q", "fp", "role"):
             if (choice, bits, t, q) != key:
-                if len(tree) > 1 or asks and tree:
-                    out += shard_forest(tree, asks or tree, radius)
+                out += links()
                 key, tree, asks = (choice, bits, t, q), [], []
                 if len(out) >= 10_000:
                     yield batch_of(_LINKS, out)
                     out = []
-            (tree if role == 0 else asks).append(fp)
-        if len(tree) > 1 or asks and tree:
-            out += shard_forest(tree, asks or tree, radius)
+            (tree if role == 0 else asks).append(fp & _ALL)  # bits are counted on unsigned values
+        out += links()
         yield batch_of(_LINKS, out)
 
     return run
