@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import exact_dedup, pii, simhash
+from ordscope.llm import bpe, exact_dedup, pii, simhash
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -47,3 +47,14 @@ def op1(spark, sf_dir):
 def op7(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_bpe")
+def op2(spark, sf_dir):
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
