@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import bpe, exact_dedup, pii, simhash
+from ordscope.llm import bpe, exact_dedup, mixing, pii, simhash, spotsigs
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -58,3 +58,22 @@ def op2(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_mixing")
+def op3(spark, sf_dir):
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+@query("op8_spotsigs")
+def op8(spark, sf_dir):
+    out = spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
