@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import bpe, exact_dedup, mixing, pii, simhash, spotsigs
+from ordscope.llm import bpe, exact_dedup, mixing, pii, simhash, spotsigs, urls
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -77,3 +77,32 @@ def op8(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+_HOST = f"translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}')"
+
+
+@query(
+    "op9_url_filter",
+    f"""WITH r AS (SELECT page_id, {_REST} AS rest FROM pages),
+h AS (SELECT page_id, rest, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}'))) AS q FROM r),
+k AS (SELECT page_id, host, path,
+  regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/$', '')
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM h),
+n AS (SELECT *, key <> '' AND count(*) OVER (PARTITION BY key) >= 2 AS listed FROM k),
+v AS (SELECT *, CASE
+  WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+  WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM n)
+SELECT page_id, host, path, rule, listed, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block'
+  WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+  ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict FROM v""",
+)
+def op9(spark, sf_dir):
+    """The list: canonical URLs of two or more pages."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.repeated_urls(pages))
