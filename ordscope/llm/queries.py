@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import bpe, exact_dedup, mixing, pii, simhash, spotsigs, urls
+from ordscope.llm import bpe, exact_dedup, mixing, pii, quality, simhash, spotsigs, urls
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -106,3 +106,8 @@ def op9(spark, sf_dir):
     """The list: canonical URLs of two or more pages."""
     pages = table(spark, sf_dir, "pages")
     return urls.filter_urls(pages, urls.repeated_urls(pages))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
