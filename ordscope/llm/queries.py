@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import bpe, chat, exact_dedup, mixing, pii, quality, simhash, spotsigs, urls
+from ordscope.llm import bpe, chat, exact_dedup, mixing, pii, quality, simhash, spotsigs, suffix_tree, urls
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -85,7 +85,7 @@ _HOST = f"translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}')"
 
 @query(
     "op9_url_filter",
-    f"""WITH r AS (SELECT page_id, {_REST} AS rest FROM pages),
+    rf"""WITH r AS (SELECT page_id, {_REST} AS rest FROM pages),
 h AS (SELECT page_id, rest, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
   list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
     lambda p: p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}'))) AS q FROM r),
@@ -148,3 +148,8 @@ def op5(spark, sf_dir):
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_suffix_tree")
+def op6(spark, sf_dir):
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
