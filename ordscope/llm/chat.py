@@ -108,7 +108,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     for table in reversed(tables):  # marked nodes and their ancestors at each power of two: all ancestors in the end
         up = table.select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         above = marked.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).select("tree", "root", "branch", F.col("up").alias("id"))
-        marked = marked.unionAll(above)
+        marked = materialise(marked.unionAll(above), "marked")  # read twice by the next round
     depth = reached.select(F.col("tree").alias("t"), F.col("id").alias("i"), "depth")
     return marked.join(depth, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).select("tree", "root", "branch", "id", "depth")
 
