@@ -29,6 +29,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col("`" + old.replace("`", "``") + "`").alias(new) for new, old in columns.items()])
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has: for working columns beside those that are kept."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

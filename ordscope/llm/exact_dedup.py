@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordscope.llm.common import ascii_lower, pick, text_of
+from ordscope.llm.common import ascii_lower, own_prefix, pick, text_of
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
@@ -63,7 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select("digest", "doc_id")
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("binary"), 256)
-    kept = kept.select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"))
-    return docs.join(kept, (digest == F.col("__digest")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    own = own_prefix(docs)
+    kept = exact_dedup(docs, id_col, text_col, salts).where("kept")
+    kept = kept.select(F.col("digest").alias(f"{own}digest"), F.col("doc_id").alias(f"{own}id"))
+    digest = F.sha2(ascii_lower(text_of(f"`{text_col}`")).cast("binary"), 256)
+    same_id = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{own}id"))
+    return docs.join(kept, (digest == F.col(f"{own}digest")) & same_id, "left_semi")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordscope.llm.common import SPACES, WORD_PATTERN, pick, text_of
+from ordscope.llm.common import SPACES, WORD_PATTERN, own_prefix, pick, text_of
 from ordscope.session import materialise
 
 WEIGHTS = (3, 1, 2)
@@ -211,25 +211,26 @@ def mixed_documents(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_co
     Words keep the white space around them, so the segments of a pass put together
     give the text again. Documents without words are not part of a mix.
     """
-    text = f"`{text_col}`"
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = Window.partitionBy(f"`{id_col}`", "__digest", f"`{source_col}`").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    carriers = docs.withColumn("__digest", F.xxhash64(whole)).withColumn("__tie", F.row_number().over(own))
+    p, name = own_prefix(docs), lambda c: f"`{c}`"
+    whole = text_of(name(text_col))
+    keys = [name(id_col), f"{p}digest", name(source_col)]
+    own = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(name(c)) for c in docs.columns]))
+    carriers = docs.withColumn(f"{p}digest", F.xxhash64(whole)).withColumn(f"{p}tie", F.row_number().over(own))
     parts = mixed.segments.select(
-        F.col("doc_id").alias("__i"), F.col("digest").alias("__d"), F.col("tie").alias("__t"), F.col("source").alias("__s"),
-        F.col("first_word").alias("__first"), F.col("n_words").alias("__n"),
-    )
+        *[F.col(c).alias(f"{p}{c}_") for c in ("doc_id", "digest", "tie", "source", "first_word", "n_words")]
+    )
     joined = carriers.join(
         parts,
-        F.col(f"`{id_col}`").eqNullSafe(F.col("__i"))
-        & (F.col("__digest") == F.col("__d"))
-        & (F.col("__tie") == F.col("__t"))
-        & F.col(f"`{source_col}`").eqNullSafe(F.col("__s")),
+        F.col(name(id_col)).eqNullSafe(F.col(f"{p}doc_id_"))
+        & (F.col(f"{p}digest") == F.col(f"{p}digest_"))
+        & (F.col(f"{p}tie") == F.col(f"{p}tie_"))
+        & F.col(name(source_col)).eqNullSafe(F.col(f"{p}source_")),
     )
     pieces = F.regexp_extract_all(whole, F.lit(rf"(?s)^[{SPACES}]*[^{SPACES}]+[{SPACES}]*|[^{SPACES}]+[{SPACES}]*"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, (F.col("__first") + 1).cast("int"), F.col("__n").cast("int")), "")
+    first, n = F.col(f"{p}first_word_") + 1, F.col(f"{p}n_words_")
+    joined = joined.withColumn(f"{p}cut", F.array_join(F.slice(pieces, first.cast("int"), n.cast("int")), ""))
     columns = []
-    for name, kind in docs.dtypes:
-        value = {text_col: F.col("__cut"), "n_chars": F.length("__cut").cast(kind)}.get(name, F.col(f"`{name}`"))
-        columns.append(value.alias(name))
-    return joined.withColumn("__cut", cut).select(*columns)
+    for c, kind in docs.dtypes:
+        value = {text_col: F.col(f"{p}cut"), "n_chars": F.length(f"{p}cut").cast(kind)}.get(c, F.col(name(c)))
+        columns.append(value.alias(c))
+    return joined.select(*columns)

@@ -183,8 +183,12 @@ _AT_BRACKET = re.compile(rf"(?<=[A-Za-z0-9._%+-])[ ]?{_OPEN}[ ]?(?:{_AT_WORD}|@)
 _DOT_BRACKET = re.compile(rf"(?<=[A-Za-z0-9])[ ]?{_OPEN}[ ]?(?:{_DOT_WORD}|\.)[ ]?{_CLOSE}[ ]?(?=[A-Za-z0-9])", re.I)
 _DOT_PLAIN = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}(?=[A-Za-z0-9])", re.I)
 _SPACED_DOT = rf"(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[ ]?{_OPEN}[ ]?(?:{_DOT_WORD}|\.)[ ]?{_CLOSE}[ ]?)"
+# Last labels that make a host of words in prose; anywhere else ("look at the dot on") a bare "at" stays a word.
+_TOP = "com net org edu gov mil int info biz io ai app dev name eu us uk ie ca au nz de at ch fr be nl es pt it pl se no dk fi mx ar co br cl in jp cn"
 _AT_PLAIN = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}}(?=(?:[A-Za-z0-9-]++\.)*+[A-Za-z0-9-]++{_SPACED_DOT}[A-Za-z0-9])", re.I
+    rf"(?<=[A-Za-z0-9._%+-])[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}}"
+    rf"(?=[A-Za-z0-9-]++(?:(?:\.|{_SPACED_DOT})[A-Za-z0-9-]++)*?{_SPACED_DOT}(?:{_TOP.replace(' ', '|')})(?![A-Za-z0-9-]))",
+    re.I,
 )
 _AT_SPACED = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:[ ]@[ ]?|@[ ])(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)")
 

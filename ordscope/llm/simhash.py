@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordscope.llm.common import ASCII_LOWER, batch_of, pick, rows_of, small_batches, text_of
+from ordscope.llm.common import ASCII_LOWER, batch_of, own_prefix, pick, rows_of, small_batches, text_of
 from ordscope.llm.components import components
 from ordscope.session import materialise
 
@@ -241,5 +241,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows that repeat an id all stay or all go; rows without an id stay.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    own = own_prefix(docs)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(f"{own}gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(f"{own}gone"), "left_anti")
