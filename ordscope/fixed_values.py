@@ -28,38 +28,34 @@ LABELLING_COLUMNS: tuple[str, ...] = (
 )
 SAMPLE_PER_GROUP = 12
 
-# The study groups with Spanish and Portuguese noun, ISCO-08 minor
+# The study groups: name, Spanish noun, Portuguese noun, ISCO-08 minor
 # and major code, status tier, prior centre on the scale.
-# group|spanish|portuguese|minor|major|tier|prior centre
-GROUPS_TEXT = """
-CEO|director general|diretor geral|112|1|high|2.5
-doctor|médico|médico|221|2|high|3.0
-software engineer|ingeniero de software|engenheiro de software|251|2|high|3.5
-lawyer|abogado|advogado|261|2|high|3.0
-university professor|profesor universitario|professor universitário|231|2|high|3.5
-architect|arquitecto|arquiteto|216|2|high|3.5
-accountant|contador|contador|241|2|medium|4.0
-journalist|periodista|jornalista|264|2|medium|4.0
-nurse|enfermero|enfermeiro|222|2|medium|5.0
-police officer|policía|policial|541|5|medium|5.5
-mechanic|mecánico|mecânico|723|7|medium|6.0
-salesperson|vendedor|vendedor|522|5|medium|5.5
-secretary|secretario|secretário|412|4|medium|4.5
-cook|cocinero|cozinheiro|512|5|medium|5.5
-hairdresser|peluquero|cabeleireiro|514|5|medium|5.0
-driver|conductor|motorista|832|8|medium|6.0
-security guard|vigilante|vigilante|541|5|medium|6.0
-farmer|agricultor|agricultor|611|6|low|7.0
-nanny|niñero|babá|531|5|low|6.5
-construction worker|obrero de construcción|operário de construção|931|9|low|7.0
-seamstress|costurero|costureiro|753|7|low|5.5
-janitor|conserje|zelador|911|9|low|7.0
-domestic worker|empleado doméstico|empregado doméstico|911|9|low|7.0
-street vendor|vendedor callejero|vendedor ambulante|952|9|low|7.0
-waste collector|recolector|coletor de lixo|961|9|low|7.5
-"""
-GROUPS: tuple[tuple[str, ...], ...] = tuple(
-    tuple(line.split("|")) for line in GROUPS_TEXT.strip().splitlines()
+GROUPS: tuple[tuple[str, str, str, str, str, str, float], ...] = (
+    ("CEO", "director general", "diretor geral", "112", "1", "high", 2.5),
+    ("doctor", "médico", "médico", "221", "2", "high", 3.0),
+    ("software engineer", "ingeniero de software", "engenheiro de software", "251", "2", "high", 3.5),
+    ("lawyer", "abogado", "advogado", "261", "2", "high", 3.0),
+    ("university professor", "profesor universitario", "professor universitário", "231", "2", "high", 3.5),
+    ("architect", "arquitecto", "arquiteto", "216", "2", "high", 3.5),
+    ("accountant", "contador", "contador", "241", "2", "medium", 4.0),
+    ("journalist", "periodista", "jornalista", "264", "2", "medium", 4.0),
+    ("nurse", "enfermero", "enfermeiro", "222", "2", "medium", 5.0),
+    ("police officer", "policía", "policial", "541", "5", "medium", 5.5),
+    ("mechanic", "mecánico", "mecânico", "723", "7", "medium", 6.0),
+    ("salesperson", "vendedor", "vendedor", "522", "5", "medium", 5.5),
+    ("secretary", "secretario", "secretário", "412", "4", "medium", 4.5),
+    ("cook", "cocinero", "cozinheiro", "512", "5", "medium", 5.5),
+    ("hairdresser", "peluquero", "cabeleireiro", "514", "5", "medium", 5.0),
+    ("driver", "conductor", "motorista", "832", "8", "medium", 6.0),
+    ("security guard", "vigilante", "vigilante", "541", "5", "medium", 6.0),
+    ("farmer", "agricultor", "agricultor", "611", "6", "low", 7.0),
+    ("nanny", "niñero", "babá", "531", "5", "low", 6.5),
+    ("construction worker", "obrero de construcción", "operário de construção", "931", "9", "low", 7.0),
+    ("seamstress", "costurero", "costureiro", "753", "7", "low", 5.5),
+    ("janitor", "conserje", "zelador", "911", "9", "low", 7.0),
+    ("domestic worker", "empleado doméstico", "empregado doméstico", "911", "9", "low", 7.0),
+    ("street vendor", "vendedor callejero", "vendedor ambulante", "952", "9", "low", 7.0),
+    ("waste collector", "recolector", "coletor de lixo", "961", "9", "low", 7.5),
 )
 GROUP_NAMES: tuple[str, ...] = tuple(g[0] for g in GROUPS)
 
@@ -73,36 +69,116 @@ NATIONAL_CODES: dict[str, tuple[str, str, str, str]] = {
 # Spread of the prior distribution.
 PRIOR_SD = 1.7
 
-# Monthly income priors, local currency, in the order of GROUPS.
-PRIOR_INCOME: dict[str, tuple[int, ...]] = {
-    "CO": (
-        18_000_000, 8_500_000, 7_500_000, 6_800_000, 6_500_000,
-        6_000_000, 4_200_000, 3_500_000, 3_200_000, 2_500_000,
-        2_400_000, 2_000_000, 2_300_000, 1_800_000, 1_700_000,
-        2_200_000, 1_700_000, 1_400_000, 1_200_000, 1_600_000,
-        1_300_000, 1_400_000, 950_000, 900_000, 1_100_000,
-    ),
-    "MX": (
-        250_000, 90_000, 75_000, 70_000, 65_000,
-        60_000, 35_000, 28_000, 28_000, 22_000,
-        18_000, 15_000, 18_000, 12_000, 12_000,
-        16_000, 12_000, 10_000, 9_000, 13_000,
-        11_000, 11_000, 7_500, 7_000, 9_000,
-    ),
-    "BR": (
-        60_000, 22_000, 18_000, 17_000, 16_000,
-        14_000, 8_500, 7_500, 6_500, 5_500,
-        4_500, 4_000, 4_500, 3_200, 3_000,
-        4_500, 3_200, 2_400, 2_200, 3_400,
-        2_800, 2_800, 1_700, 1_800, 2_500,
-    ),
-    "PE": (
-        35_000, 12_000, 9_000, 8_500, 8_000,
-        7_500, 4_500, 3_800, 3_500, 2_800,
-        2_500, 2_200, 2_400, 1_800, 1_700,
-        2_400, 1_700, 1_400, 1_200, 1_900,
-        1_500, 1_500, 1_050, 1_000, 1_300,
-    ),
+# Monthly income priors per country and group, local currency.
+PRIOR_INCOME: dict[str, dict[str, int]] = {
+    "CO": {
+        "CEO": 18_000_000,
+        "doctor": 8_500_000,
+        "software engineer": 7_500_000,
+        "lawyer": 6_800_000,
+        "university professor": 6_500_000,
+        "architect": 6_000_000,
+        "accountant": 4_200_000,
+        "journalist": 3_500_000,
+        "nurse": 3_200_000,
+        "police officer": 2_500_000,
+        "mechanic": 2_400_000,
+        "salesperson": 2_000_000,
+        "secretary": 2_300_000,
+        "cook": 1_800_000,
+        "hairdresser": 1_700_000,
+        "driver": 2_200_000,
+        "security guard": 1_700_000,
+        "farmer": 1_400_000,
+        "nanny": 1_200_000,
+        "construction worker": 1_600_000,
+        "seamstress": 1_300_000,
+        "janitor": 1_400_000,
+        "domestic worker": 950_000,
+        "street vendor": 900_000,
+        "waste collector": 1_100_000,
+    },
+    "MX": {
+        "CEO": 250_000,
+        "doctor": 90_000,
+        "software engineer": 75_000,
+        "lawyer": 70_000,
+        "university professor": 65_000,
+        "architect": 60_000,
+        "accountant": 35_000,
+        "journalist": 28_000,
+        "nurse": 28_000,
+        "police officer": 22_000,
+        "mechanic": 18_000,
+        "salesperson": 15_000,
+        "secretary": 18_000,
+        "cook": 12_000,
+        "hairdresser": 12_000,
+        "driver": 16_000,
+        "security guard": 12_000,
+        "farmer": 10_000,
+        "nanny": 9_000,
+        "construction worker": 13_000,
+        "seamstress": 11_000,
+        "janitor": 11_000,
+        "domestic worker": 7_500,
+        "street vendor": 7_000,
+        "waste collector": 9_000,
+    },
+    "BR": {
+        "CEO": 60_000,
+        "doctor": 22_000,
+        "software engineer": 18_000,
+        "lawyer": 17_000,
+        "university professor": 16_000,
+        "architect": 14_000,
+        "accountant": 8_500,
+        "journalist": 7_500,
+        "nurse": 6_500,
+        "police officer": 5_500,
+        "mechanic": 4_500,
+        "salesperson": 4_000,
+        "secretary": 4_500,
+        "cook": 3_200,
+        "hairdresser": 3_000,
+        "driver": 4_500,
+        "security guard": 3_200,
+        "farmer": 2_400,
+        "nanny": 2_200,
+        "construction worker": 3_400,
+        "seamstress": 2_800,
+        "janitor": 2_800,
+        "domestic worker": 1_700,
+        "street vendor": 1_800,
+        "waste collector": 2_500,
+    },
+    "PE": {
+        "CEO": 35_000,
+        "doctor": 12_000,
+        "software engineer": 9_000,
+        "lawyer": 8_500,
+        "university professor": 8_000,
+        "architect": 7_500,
+        "accountant": 4_500,
+        "journalist": 3_800,
+        "nurse": 3_500,
+        "police officer": 2_800,
+        "mechanic": 2_500,
+        "salesperson": 2_200,
+        "secretary": 2_400,
+        "cook": 1_800,
+        "hairdresser": 1_700,
+        "driver": 2_400,
+        "security guard": 1_700,
+        "farmer": 1_400,
+        "nanny": 1_200,
+        "construction worker": 1_900,
+        "seamstress": 1_500,
+        "janitor": 1_500,
+        "domestic worker": 1_050,
+        "street vendor": 1_000,
+        "waste collector": 1_300,
+    },
 }
 
 # Survey country codes, survey columns, level sets per tier,

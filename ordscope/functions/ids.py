@@ -117,13 +117,26 @@ def major_code(major: Column, minor: Column) -> Column:
     return F.coalesce(F.nullif(major, F.lit("")), F.substring(minor, 1, 1))
 
 
+def tenths_half_even(x: Column) -> Column:
+    """One decimal, half to even, of the exact binary value of ``x`` (1 to 2048; beyond, of its decimal form).
+
+    1.15 is stored a little below 1.15 and becomes 1.1; only x.25 and x.75 are ties.
+    """
+    unit = 1 << 52  # in these units every double from 1 to 2048 is an integer
+    whole = (x * float(unit)).cast("long").cast("decimal(38,0)") * F.lit(10)
+    rest = whole % F.lit(unit)
+    tenths = ((whole - rest) / F.lit(unit)).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (tenths % 2 == 1))
+    return F.when(x < 2048, (tenths + up.cast("long")) / 10.0).otherwise(F.bround(x, 1))
+
+
 def format_eta(seconds: Column) -> Column:
-    """Days, hours or minutes as short text; a dash if unknown."""
+    """Days, hours or minutes as short text, rounded half to even; a dash if unknown."""
     return (
         F.when(seconds.isNull(), F.lit("—"))
-        .when(seconds >= 86_400.0, F.format_string("%.1f d", seconds / 86_400.0))
-        .when(seconds >= 3_600.0, F.format_string("%.1f h", seconds / 3_600.0))
-        .otherwise(F.format_string("%.0f min", seconds / 60.0))
+        .when(seconds >= 86_400.0, F.format_string("%.1f d", tenths_half_even(seconds / 86_400.0)))
+        .when(seconds >= 3_600.0, F.format_string("%.1f h", tenths_half_even(seconds / 3_600.0)))
+        .otherwise(F.format_string("%.0f min", F.bround(seconds / 60.0, 0)))
     )
 
 

@@ -124,7 +124,7 @@ def survey_baseline(
     """
     per_tier = tier_distributions(survey_rows(survey, codes, columns, bins), tiers, bins, weight_col)
     return (
-        per_tier.join(F.broadcast(groups.select("grp", "tier")), "tier", "inner")
+        per_tier.join(groups.select("grp", "tier"), "tier", "inner")
         .withColumn("is_synthetic", F.lit(False))
         .select("country", "grp", "base_probs", "is_synthetic", "n_respondents", "tier", "low_n")
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,14 +21,13 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
-    """Pass rows through; the query fails if a key occurs more than once.
+    """The rows whose key is known; the query fails if a key occurs more than once.
 
-    The check is a grouped count joined back on the same keys, so both sides
-    share one partitioning and nothing is collected.
+    Rows with a NULL key match nothing and are left out here. The count is a
+    window on the keys, so the input is evaluated once, and a join on the same keys
+    uses the window's partitioning and order again.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))
     message = F.concat(F.lit(f"{what}: duplicate key "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
-    checked = counts.withColumn(
-        "__ok", F.when(F.col("__n") > 1, F.raise_error(message).cast("int")).otherwise(F.lit(1))
-    ).where("__ok = 1")
-    return df.join(checked.select(*keys), list(keys), "left_semi")
+    counted = df.where(known).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return counted.where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("__n")

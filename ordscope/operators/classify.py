@@ -33,11 +33,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def is_failure_label(label: Column) -> Column:
-    """Both spellings of the classifier-failure state."""
-    return label.isin(*fv.CLASSIFIER_FAILURE_LABELS)
-
-
 def classify(
     df: DataFrame,
     has_face: str = "has_face",

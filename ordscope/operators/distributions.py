@@ -22,7 +22,7 @@ def eligible_rows(df: DataFrame, bin_col: str = "bin", flag_col: str | None = "h
     """Rows whose flag is true (NULL counts as false) and whose bin is known."""
     if flag_col and flag_col in df.columns:
         df = df.where(F.coalesce(F.col(flag_col), F.lit(False)))
-    return df.where(F.col(bin_col).isNotNull()).withColumn(bin_col, F.col(bin_col).cast("int"))
+    return df.where(F.col(bin_col).isNotNull()).withColumn(bin_col, F.col(bin_col).try_cast("int")).where(F.col(bin_col).isNotNull())
 
 
 def count_bins(
@@ -43,7 +43,7 @@ def count_bins(
     require_columns(df, keys, "panel")
     df = drop_null_keys(df, keys)
     if bin_col in df.columns:
-        value = F.col(bin_col).cast("int")
+        value = F.col(bin_col).try_cast("int")  # NaN and infinities count as unknown
     else:
         value = F.lit(None).cast("int")
     ok = F.lit(True)

@@ -16,8 +16,9 @@ def _keep_best(
     order: Column,
     drop: Sequence[str] = (),
     invariant: Sequence[str] = (),
+    least: bool = False,
 ) -> DataFrame:
-    """One row per key: the one with the greatest ``order``.
+    """One row per key: the one with the greatest (or ``least``) ``order``.
 
     An aggregate rather than a window: duplicates collapse map-side, so a key
     repeated in a third of all rows costs one row per map task in the shuffle.
@@ -25,7 +26,8 @@ def _keep_best(
     """
     rest = [c for c in df.columns if c not in keys and c not in drop]
     best = df.groupBy(*keys).agg(
-        F.max_by(F.struct(F.lit(True).alias("__any"), *rest), order).alias("__row"), *_spread(invariant)
+        (F.min_by if least else F.max_by)(F.struct(F.lit(True).alias("__any"), *rest), order).alias("__row"),
+        *_spread(invariant),
     )
     if invariant:
         message = F.concat(F.lit("ambiguous ids: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
@@ -53,26 +55,36 @@ def latest_by_key(
     df: DataFrame,
     key: str = "image_id",
     order_col: str = "timestamp",
-    source_order: Sequence[str] = ("src_ord", "row_ord"),
+    source_order: Sequence[str] = ("src_ord", "source", "row_ord"),
     drop_source_order: bool = False,
     invariant: Sequence[str] = (),
 ) -> DataFrame:
     """Highest order value per key; unknown order last; ties keep the earliest inserted row.
 
-    Insertion order must be explicit (``source_order``), a distributed table has
-    none. Without the order column the last inserted row wins.
+    Insertion order must be explicit, a distributed table has none: ``source_order``
+    are the columns of it, the table's rank, its name, the row's place. Without the
+    order column the last inserted row wins.
     """
     require_columns(df, [key], "shards")
     present = [c for c in source_order if c in df.columns]
     drop = present if drop_source_order else ()
     if order_col not in df.columns:
-        return last_by_position(df, key, source_order, drop_source_order, invariant)
+        return last_by_position(df, key, present, drop_source_order, invariant)
+    # The least in this order: known before unknown, late before early, then as inserted.
     order = F.struct(
-        F.col(order_col).isNotNull().alias("known"),
-        F.col(order_col).alias("value"),
-        *[(-F.col(c).cast("long")).alias(f"o_{c}") for c in present],
+        F.col(order_col).isNull().alias("unknown"),
+        _descending(df, order_col).alias("value"),
+        *[F.col(c).alias(f"o_{c}") for c in present],
     )
-    return _keep_best(df, [key], order, drop, invariant)
+    return _keep_best(df, [key], order, drop, invariant, least=True)
+
+
+def _descending(df: DataFrame, column: str) -> Column:
+    """A number that falls as the column rises."""
+    value, kind = F.col(column), dict(df.dtypes)[column]
+    if kind.startswith(("timestamp", "date")):
+        return -F.unix_micros(value.cast("timestamp"))
+    return -value
 
 
 def last_by_position(
@@ -84,7 +96,7 @@ def last_by_position(
 ) -> DataFrame:
     """Keep the last inserted row per key."""
     require_columns(df, [key, *source_order], "shards")
-    order = F.struct(*[F.col(c).cast("long").alias(f"o_{c}") for c in source_order])
+    order = F.struct(*[F.col(c).alias(f"o_{c}") for c in source_order])
     return _keep_best(df, [key], order, list(source_order) if drop_source_order else (), invariant)
 
 

@@ -16,13 +16,14 @@ def build_panel(
 ) -> DataFrame:
     """Left join of phenotypes onto metadata, one to one.
 
-    Both uniqueness checks group on the join key, so their shuffle is the one the
-    join needs anyway.
+    Both uniqueness checks work on the join key's partitioning, so their shuffle is the
+    one the join needs anyway.
     """
-    if validate:
-        metadata = assert_unique(metadata, [key], "metadata")
-        phenotype = assert_unique(phenotype, [key], "phenotype")
-    return metadata.join(phenotype, key, "left")
+    if not validate:
+        return metadata.join(phenotype, key, "left")
+    panel = assert_unique(metadata, [key], "metadata").join(assert_unique(phenotype, [key], "phenotype"), key, "left")
+    # Rows without a key match nothing but stay.
+    return panel.unionByName(metadata.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def repair_paths(
@@ -47,7 +48,3 @@ def repair_paths(
         F.when(registered, F.col("path")).when(found, F.col("__canonical")).otherwise(F.col("path")).alias("path"),
         F.when(registered, F.lit("ok")).when(found, F.lit("fixed")).otherwise(F.lit("orphan")).alias("path_status"),
     )
-
-
-def orphan_report(repaired: DataFrame, keys: Sequence[str] = ("model", "backend")) -> DataFrame:
-    return repaired.where(F.col("path_status") == "orphan").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

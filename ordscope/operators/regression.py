@@ -66,9 +66,8 @@ def fit_gradient(df: DataFrame, by: Sequence[str] = (), x: str = "weight", y: st
     fit = fit.withColumn("sigma", F.sqrt(rss / F.col("n_obs"))).drop("__syy", "__sxx")
     if not by:
         message = F.lit("need at least 2 distinct weights to fit a gradient")
-        fit = fit.withColumn(
-            "beta", F.when(F.col("beta").isNull(), F.raise_error(message).cast("double")).otherwise(F.col("beta"))
-        )
+        # In a filter, so that the check stays whichever columns are read.
+        fit = fit.where(F.when(F.col("beta").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     return fit
 
 
@@ -430,9 +429,9 @@ def _coefficients(pdf: pd.DataFrame, spec: OlsSpec, robust: bool) -> pd.DataFram
     with np.errstate(divide="ignore", invalid="ignore"):
         t = beta / se
     if robust:
-        p = [2.0 * normal_cdf(-abs(x)) for x in t]
+        p = 2.0 * normal_cdf(-np.abs(t))
     else:
-        p = [2.0 * t_cdf(-abs(x), fit["df_resid"]) for x in t]
+        p = 2.0 * t_cdf(-np.abs(t), fit["df_resid"])
     return pd.DataFrame(
         {
             "term": terms,
@@ -503,13 +502,9 @@ def scaling_test(
     few = F.col("n_obs") < 4
     return (
         fit.where(F.col("term") == size_col)
+        # In a filter, so that the check stays whichever columns are read.
+        .where(F.when(few, F.raise_error(F.lit("at least 4 observations are needed")).cast("boolean")).otherwise(F.lit(True)))
         .withColumn("p_one_sided", t_cdf_col(F.col("t_statistic"), F.col("df_resid")))
-        .withColumn(
-            "n_obs",
-            F.when(few, F.raise_error(F.lit("at least 4 observations are needed")).cast("long")).otherwise(
-                F.col("n_obs")
-            ),
-        )
     )
 
 

@@ -97,11 +97,3 @@ def quality_report(
         quality.check_row_count(groups, "crosswalk", len(fv.GROUPS)),
         quality.check_row_count(cells, "main-grid", grid.expected_sizes()["main"]),
     )
-
-
-def labelling_sample(panel: DataFrame, n_per_group: int = fv.SAMPLE_PER_GROUP) -> DataFrame:
-    return sampling.sample_for_validation(panel, n_per_group)
-
-
-def shard_of(df: DataFrame, n_shards: int, id_col: str = "image_id") -> DataFrame:
-    return df.withColumn("shard_id", ids.stable_shard(F.col(id_col), n_shards))

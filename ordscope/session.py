@@ -54,12 +54,6 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     return f"{scratch_base(spark)}/{app}/{tag}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the scratch folder if nothing is set yet."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(scratch_base(spark))
-
-
 def materialise(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write a table that several branches of a plan read, and read it back.
 

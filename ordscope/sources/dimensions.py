@@ -16,7 +16,7 @@ from ordscope.sources.literals import literal_table
 def groups_dim(spark: SparkSession) -> DataFrame:
     """Crosswalk: names, codes, tier, prior centre and national codes per group."""
     rows = [
-        (i, *g[:6], float(g[6]), *fv.NATIONAL_CODES.get(g[0], ("", "", "", "")))
+        (i, *g, *fv.NATIONAL_CODES.get(g[0], ("", "", "", "")))
         for i, g in enumerate(fv.GROUPS)
     ]
     return literal_table(
@@ -31,30 +31,13 @@ def prior_income_dim(spark: SparkSession) -> DataFrame:
     rows = [
         (country, grp, float(income))
         for country, incomes in fv.PRIOR_INCOME.items()
-        for grp, income in zip(fv.GROUP_NAMES, incomes)
+        for grp, income in incomes.items()
     ]
     return literal_table(spark, rows, "country string, grp string, income double")
 
 
-def tiers_dim(spark: SparkSession) -> DataFrame:
-    """One row per (tier, level) of the level-to-tier mapping."""
-    rows = [(tier, level) for tier, levels in fv.TIER_LEVELS.items() for level in levels]
-    return literal_table(spark, rows, "tier string, level int")
 
 
-def country_codes_dim(spark: SparkSession, codes: dict[str, int] | None = None) -> DataFrame:
-    rows = list({**fv.SURVEY_COUNTRY_CODES, **(codes or {})}.items())
-    return literal_table(spark, rows, "country string, code int")
-
-
-def translations_dim(spark: SparkSession) -> DataFrame:
-    rows = [
-        (lang, grp, noun)
-        for lang, nouns in fv.INDIGENOUS_NOUNS.items()
-        for grp, noun in nouns.items()
-    ]
-    return literal_table(spark, rows, "language string, grp string, translation string")
-
 
 def groups_by_tier(spark: SparkSession, tier: str) -> DataFrame:
     return groups_dim(spark).where(F.col("tier") == tier).orderBy("grp_index").select("grp")
@@ -70,6 +53,5 @@ def lookup_groups(df: DataFrame, key_col: str = "grp") -> DataFrame:
     known = F.col("grp_index").isNotNull()
     joined = df.join(F.broadcast(dim.withColumnRenamed("grp", key_col)), key_col, "left")
     message = F.concat(F.lit("no crosswalk registered for group "), F.coalesce(key_col, F.lit("NULL")))
-    return joined.withColumn(
-        "grp_index", F.when(known, F.col("grp_index")).otherwise(F.raise_error(message).cast("int"))
-    )
+    # In a filter, so that the check stays whichever columns are read.
+    return joined.where(F.when(known, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

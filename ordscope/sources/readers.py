@@ -32,7 +32,22 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    """The declared columns of a CSV file, found by their header names.
+
+    Spark applies a schema by position. So the header is read first, the declared
+    types are put in file order, and the declared columns are selected. A declared
+    column that the file lacks is an error, and so is a file of the same path whose
+    header differs from the first one's.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [n for n in wanted.fieldNames() if n not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    types = {f.name: f.dataType for f in wanted.fields}
+    in_file_order = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in header])
+    rows = spark.read.schema(in_file_order).option("enforceSchema", False).csv(path, header=True)
+    return rows.select(*[F.col(f"`{n}`") for n in wanted.fieldNames()])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -97,12 +112,13 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 def done_ids(spark: SparkSession, paths: Sequence[str], id_col: str = "image_id") -> DataFrame:
     """Distinct ids over many files; missing paths are ignored, only one column is read."""
-    parts = []
-    for p in paths:
-        if not path_exists(spark, p):
-            continue
-        source = spark.read.csv(p, header=True) if p.endswith(".csv") else spark.read.parquet(p)
-        parts.append(source.select(F.col(id_col).cast("string").alias(id_col)))
+    there = [p for p in paths if path_exists(spark, p)]
+    texts = [p for p in there if p.endswith(".csv")]
+    tables = [p for p in there if not p.endswith(".csv")]
+    parts = [spark.read.csv(p, header=True) for p in texts]  # headers may differ
+    if tables:
+        parts.append(spark.read.parquet(*tables))  # one scan for any number of shards
+    parts = [p.select(F.col(id_col).cast("string").alias(id_col)) for p in parts]
     if not parts:
         return spark.createDataFrame([], f"{id_col} string")
     return union_all(parts).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordscope.sources.readers import path_exists
@@ -26,8 +26,10 @@ def cached_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write next to the target, then swap.
 
-    The job may read ``path`` itself. Readers see the old or the new folder; the
-    old one is only removed after the new one is in place.
+    The job may read ``path`` itself. The swap is two renames of complete folders; the
+    old one is removed after the new one is in place. Between the renames the path is
+    absent for a moment: a reader that starts then fails and can retry, and after a
+    crash at that point :func:`recover_table` puts the last complete folder back.
     """
     spark = df.sparkSession
     target = path.rstrip("/")
@@ -46,12 +48,25 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
         fs.delete(hadoop(retired), True)
 
 
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Undo a swap that was cut off between its renames; true if the table had to be put back."""
+    target = path.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(target)):
+        return False
+    aside = fs.globStatus(hadoop(f"{target}.old-*")) or []
+    newest = max(aside, key=lambda s: s.getModificationTime(), default=None)
+    return newest is not None and fs.rename(newest.getPath(), hadoop(target))
+
+
 def write_result_csv(df: DataFrame, path: str, decimals: int = 6) -> None:
-    """Small result table as CSV; doubles with a fixed number of decimals."""
-    columns = [
-        F.format_string(f"%.{decimals}f", F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
-        for n, t in df.dtypes
-    ]
+    """Small result table as CSV; doubles with a fixed number of decimals, half to even, NULL as an empty field."""
+
+    def fixed(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", F.bround(value, decimals)))
+
+    columns = [fixed(F.col(f"`{n}`")).alias(n) if t in ("double", "float") else F.col(f"`{n}`") for n, t in df.dtypes]
     df.select(*columns).write.mode("overwrite").csv(path, header=True)
 
 

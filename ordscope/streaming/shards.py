@@ -41,11 +41,11 @@ def upsert_batch(
     idempotent, and the swap happens after the new table is complete.
     """
     spark = batch.sparkSession
-    incoming = batch.drop("source").withColumn("src_ord", F.lit(1))
+    incoming = batch.withColumn("src_ord", F.lit(1))
     parts = [incoming]
     if path_exists(spark, canonical):
         old = spark.read.parquet(canonical)
-        parts.insert(0, old.withColumns({"src_ord": F.lit(0), "row_ord": F.lit(0).cast("long")}))
+        parts.insert(0, old.withColumns({"src_ord": F.lit(0), "source": F.lit(""), "row_ord": F.lit(0).cast("long")}))
     merged = latest_by_key(union_all(parts), key, order_col, drop_source_order=True)
     replace_table(merged, canonical)
 
@@ -73,7 +73,7 @@ def append_delta(
     The cost follows the batch, not the table. A replayed batch overwrites its own
     folder, so it is not counted twice.
     """
-    newest = latest_by_key(batch.drop("source"), key, order_col)
+    newest = latest_by_key(batch, key, order_col)
     newest.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
 
@@ -103,7 +103,8 @@ def current_rows(
     parts = []
     if canonical and path_exists(spark, canonical):
         old = spark.read.parquet(canonical)
-        parts.append(old.withColumns({"src_ord": F.lit(-1).cast("long"), "row_ord": F.lit(0).cast("long")}))
+        first = {"src_ord": F.lit(-1).cast("long"), "source": F.lit(""), "row_ord": F.lit(0).cast("long")}
+        parts.append(old.withColumns(first))
     if path_exists(spark, f"{deltas}/epoch=*"):
         parts.append(
             spark.read.parquet(deltas).withColumn("src_ord", F.col("epoch").cast("long")).drop("epoch")

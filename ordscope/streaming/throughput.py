@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordscope.operators import requests
@@ -54,21 +54,24 @@ def failure_alerts(
     failed: Column,
     limit: int,
 ) -> None:
-    """Fold one micro-batch: report runs of at least ``limit`` failures as they get there.
+    """Fold one micro-batch: report runs of at least ``limit`` failures, as long as they are by then.
 
-    The state is one row per key (length of the run the key is in). Runs inside
-    the batch come from the two-level running total, so a key that sends most of
-    the batch is spread over its time chunks. A replayed batch rewrites the same
-    alert folder from the same previous state.
+    The state is one row per key: length and start of the run the key is in. A run
+    that goes on in a later batch is reported again under the same start;
+    :func:`current_alerts` keeps its longest form, so the answer does not depend on
+    where batches were cut. Runs inside the batch come from the two-level running
+    total, so a key that sends most of the batch is spread over its chunks. A replayed
+    batch rewrites the same alert folder from the same previous state.
     """
     spark = batch.sparkSession
     keys = list(keys)
-    schema = ", ".join(f"`{k}` {dict(batch.dtypes)[k]}" for k in keys)
+    types = dict(batch.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", carry bigint, since {types[order_cols[0]]}"
     previous = f"{state_path}/epoch={epoch - 1}"
     if path_exists(spark, previous):
-        carried = spark.read.schema(f"{schema}, carry bigint").parquet(previous)
+        carried = spark.read.schema(schema).parquet(previous)
     else:
-        carried = spark.createDataFrame([], f"{schema}, carry bigint")
+        carried = spark.createDataFrame([], schema)
 
     labelled = requests.running_total(
         batch.withColumn("__failed", failed), keys, order_cols, F.when(F.col("__failed"), 0).otherwise(1), chunk, "run"
@@ -81,14 +84,24 @@ def failure_alerts(
     runs = runs.join(carried, keys, "left").withColumn(
         "carried_in", F.when(F.col("run") == 0, F.coalesce("carry", F.lit(0))).otherwise(F.lit(0))
     )
+    start = F.when(F.col("carried_in") > 0, F.col("since")).otherwise(F.col("run_start"))
     runs = materialise(
-        runs.withColumn("run_length", F.col("n_failed") + F.col("carried_in")).drop("carry"), "runs"
+        runs.withColumns({"run_length": F.col("n_failed") + F.col("carried_in"), "run_start": start}).drop("carry", "since"),
+        "runs",
     )
-    runs.where(
-        (F.col("n_failed") > 0) & (F.col("run_length") >= limit) & (F.col("carried_in") < limit)
-    ).select(*keys, "run_length", "run_start", "run_end").write.mode("overwrite").parquet(
+    runs.where((F.col("n_failed") > 0) & (F.col("run_length") >= limit)).select(*keys, "run_length", "run_start", "run_end").write.mode("overwrite").parquet(
         f"{alerts_path}/epoch={epoch}"
     )
-    trailing = runs.groupBy(*keys).agg(F.max_by("run_length", "run").alias("carry"))
+    trailing = runs.groupBy(*keys).agg(
+        F.max_by("run_length", "run").alias("carry"), F.max_by("run_start", "run").alias("since")
+    )
     untouched = carried.join(trailing.select(*keys), keys, "left_anti")
     trailing.unionByName(untouched).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+
+
+def current_alerts(spark: SparkSession, alerts_path: str, keys: Sequence[str]) -> DataFrame:
+    """``keys, run_length, run_start, run_end``: every reported run as long as it got."""
+    reported = spark.read.parquet(alerts_path)
+    return reported.groupBy(*keys, "run_start").agg(
+        F.max("run_length").alias("run_length"), F.max("run_end").alias("run_end")
+    )

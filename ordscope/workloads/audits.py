@@ -108,7 +108,7 @@ def a2(spark, sf_dir):
     )
 
 
-GROUP_TIERS_SQL = f"groups(grp, tier, centre, idx) AS ({b.sql_values([(g[0], g[5], float(g[6]), i) for i, g in enumerate(fv.GROUPS)])})"
+GROUP_TIERS_SQL = f"groups(grp, tier, centre, idx) AS ({b.sql_values([(g[0], g[5], g[6], i) for i, g in enumerate(fv.GROUPS)])})"
 SURVEY_GROUND_SQL = SURVEY_TIER_SQL + f", {GROUP_TIERS_SQL}"
 
 
@@ -345,7 +345,7 @@ def w1(spark, sf_dir):
 W2_SQL = f"""WITH {b.SURVEY_SQL},
 names(code, country) AS ({b.sql_values([(v, k) for k, v in b.REGION_CODES.items() if k != 'ASIA'])}),
 groups(grp, major) AS ({b.sql_values([(g[0], int(g[4])) for g in fv.GROUPS])}),
-prior_income(grp, income) AS ({b.sql_values([(g, float(i)) for g, i in zip(fv.GROUP_NAMES, fv.PRIOR_INCOME['CO'])])}),
+prior_income(grp, income) AS ({b.sql_values([(g, float(i)) for g, i in fv.PRIOR_INCOME['CO'].items()])}),
 valid AS (
   SELECT n.country, s.occup AS major, TRY_CAST(s.income AS DOUBLE) AS x FROM survey s JOIN names n ON n.code = s.pais
   WHERE TRY_CAST(s.income AS DOUBLE) IS NOT NULL AND TRY_CAST(s.income AS DOUBLE) NOT IN (88, 98, 99, 888888, 999999, -1)

@@ -409,10 +409,10 @@ def l10(spark, sf_dir):
     "F16_eta_text",
     META_SQL
     + """ SELECT CASE WHEN s IS NULL THEN '—' WHEN s >= 86400 THEN format('{:.1f} d', s / 86400.0) WHEN s >= 3600 THEN format('{:.1f} h', s / 3600.0) ELSE format('{:.0f} min', s / 60.0) END AS eta, count(*) AS n
-FROM (SELECT floor(duration_s) * CASE WHEN row_ord % 3 = 0 THEN 1000 WHEN row_ord % 3 = 1 THEN 60 ELSE 7 END + 0.3 AS s FROM metadata) GROUP BY 1""",
+FROM (SELECT floor(duration_s) * CASE WHEN row_ord % 3 = 0 THEN 900 WHEN row_ord % 3 = 1 THEN 60 ELSE 30 END AS s FROM metadata) GROUP BY 1""",
 )
 def f16(spark, sf_dir):
     k = F.col("row_ord") % 3
-    scale = F.when(k == 0, 1000).when(k == 1, 60).otherwise(7)
-    seconds = F.floor("duration_s") * scale + F.lit(0.3)
+    scale = F.when(k == 0, 900).when(k == 1, 60).otherwise(30)  # whole and half minutes: rounding ties
+    seconds = (F.floor("duration_s") * scale).cast("double")
     return b.metadata(spark, sf_dir).groupBy(ids.format_eta(seconds).alias("eta")).agg(F.count(F.lit(1)).alias("n"))

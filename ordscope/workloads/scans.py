@@ -65,7 +65,9 @@ def _customer(spark, sf_dir):
 @query("S4_survey_csv_scan", CUSTOMER_SQL)
 def s4(spark, sf_dir):
     path = scratch_dir(spark, "survey") + ".csv"
-    _customer(spark, sf_dir).write.csv(path, header=True)
+    # The file has another order and a column that is not declared.
+    rows = b.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal", "c_name", "c_custkey")
+    rows.write.csv(path, header=True)
     return tidy(readers.read_survey(spark, path, CUSTOMER_SCHEMA))
 
 
@@ -75,7 +77,7 @@ def s4(spark, sf_dir):
 )
 def s5(spark, sf_dir):
     base = scratch_dir(spark, "surveys")
-    _customer(spark, sf_dir).select("c_mktsegment", F.col("c_acctbal").alias("bal")).write.csv(f"{base}/a.csv", header=True)
+    _customer(spark, sf_dir).select("c_name", F.col("c_acctbal").alias("bal"), "c_mktsegment").write.csv(f"{base}/a.csv", header=True)
     b.table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("bal")).write.csv(f"{base}/b.csv", header=True)
     sources = [
         (f"{base}/a.csv", "c_mktsegment string, bal double"),
@@ -94,7 +96,7 @@ def s5(spark, sf_dir):
 )
 def s6(spark, sf_dir):
     base = scratch_dir(spark, "countries")
-    rows = b.table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
+    rows = b.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     rows.where("c_nationkey < 12").write.csv(f"{base}/COL_2023_wave.csv", header=True)
     rows.where("c_nationkey >= 12").write.csv(f"{base}/MEX_2023_wave.csv", header=True)
     parts = []
@@ -109,7 +111,7 @@ def s6(spark, sf_dir):
 @query("S7_manifest_csv_scan", META_SQL + " SELECT model, language, count(*) AS n, CAST(max(seed) AS BIGINT) AS last_seed FROM metadata GROUP BY ALL")
 def s7(spark, sf_dir):
     path = scratch_dir(spark, "manifest")
-    b.metadata(spark, sf_dir).select("image_id", "model", "language", "seed").write.csv(path, header=True)
+    b.metadata(spark, sf_dir).select("seed", "backend", "language", "image_id", "model").write.csv(path, header=True)
     rows = readers.read_csv(spark, path, "image_id string, model string, language string, seed bigint")
     return rows.groupBy("model", "language").agg(_n(), F.max("seed").alias("last_seed"))
 
@@ -123,7 +125,7 @@ def s8(spark, sf_dir):
 
 @query(
     "S9_inline_priors",
-    f"""WITH {b.METADATA_SQL}, p(country, grp, income) AS ({b.sql_values([(c, g, float(v)) for c, vs in fv.PRIOR_INCOME.items() for g, v in zip(fv.GROUP_NAMES, vs)])})
+    f"""WITH {b.METADATA_SQL}, p(country, grp, income) AS ({b.sql_values([(c, g, float(v)) for c, vs in fv.PRIOR_INCOME.items() for g, v in vs.items()])})
 SELECT p.country, occupation, count(*) AS n, {r('max(income)')} AS income FROM metadata JOIN p ON p.grp = occupation AND p.country = country_proxy GROUP BY ALL""",
 )
 def s9(spark, sf_dir):

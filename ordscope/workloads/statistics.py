@@ -10,7 +10,7 @@ from ordscope.plans import audit, estimation
 from ordscope.plans import operations as plans
 from ordscope.workloads import audits
 from ordscope.workloads import bindings as b
-from ordscope.workloads.registry import query, r, tidy
+from ordscope.workloads.registry import f_sf_sql, normal_cdf_sql, query, r, t_cdf_sql, tidy
 from ordscope.workloads.relational import META_SQL
 
 # ---- gradients ---------------------------------------------------------------
@@ -52,21 +52,25 @@ def xy(spark, sf_dir):
     )
 
 
+def normal_p_sql(z: str) -> str:
+    return f"{r('2.0 * ' + normal_cdf_sql(f'(-abs({z}))'))} AS p_two_sided, {r(normal_cdf_sql(f'({z})'))} AS p_one_sided"
+
+
 @query(
     "A25_pooled_gradient",
-    f"WITH {XY_SQL}, {_clustered_sql('c', 'l_suppkey')} SELECT {r('line.b')} AS beta, {r('line.a')} AS alpha, {r('sqrt(v)')} AS std_error, {r('line.b / sqrt(v)', 4)} AS t_statistic, line.n AS n_obs, n_clusters, {r('r2')} AS r_squared, 'l_suppkey' AS cluster_variable FROM line, c",
+    f"WITH {XY_SQL}, {_clustered_sql('c', 'l_suppkey')} SELECT {r('line.b')} AS beta, {r('line.a')} AS alpha, {r('sqrt(v)')} AS std_error, {r('line.b / sqrt(v)', 4)} AS t_statistic, line.n AS n_obs, n_clusters, {r('r2')} AS r_squared, 'l_suppkey' AS cluster_variable, {normal_p_sql('line.b / sqrt(v)')} FROM line, c",
 )
 def a25(spark, sf_dir):
-    fit = regression.pooled_gradient(xy(spark, sf_dir), "x", "y", "l_suppkey", p_values=False)
+    fit = regression.pooled_gradient(xy(spark, sf_dir), "x", "y", "l_suppkey")
     return tidy(fit.withColumn("t_statistic", F.round("t_statistic", 4)))
 
 
 @query(
     "X3_two_way_gradient",
-    f"WITH {XY_SQL}, {_clustered_sql('ca', 'l_suppkey')}, {_clustered_sql('cb', 'l_linenumber')}, {_clustered_sql('cab', 'l_suppkey, l_linenumber')} SELECT {r('line.b')} AS beta, {r('sqrt(ca.v + cb.v - cab.v)')} AS std_error, line.n AS n_obs, ca.n_clusters AS n_clusters_a, cb.n_clusters AS n_clusters_b, {r('r2')} AS r_squared FROM line, ca, cb, cab",
+    f"WITH {XY_SQL}, {_clustered_sql('ca', 'l_suppkey')}, {_clustered_sql('cb', 'l_linenumber')}, {_clustered_sql('cab', 'l_suppkey, l_linenumber')} SELECT {r('line.b')} AS beta, {r('sqrt(ca.v + cb.v - cab.v)')} AS std_error, {normal_p_sql('line.b / sqrt(ca.v + cb.v - cab.v)')}, line.n AS n_obs, ca.n_clusters AS n_clusters_a, cb.n_clusters AS n_clusters_b, {r('r2')} AS r_squared FROM line, ca, cb, cab",
 )
 def x3(spark, sf_dir):
-    fit = regression.two_way_gradient(xy(spark, sf_dir), "x", "y", "l_suppkey", "l_linenumber", p_values=False)
+    fit = regression.two_way_gradient(xy(spark, sf_dir), "x", "y", "l_suppkey", "l_linenumber")
     return tidy(fit.drop("t_statistic"))
 
 
@@ -116,7 +120,8 @@ ss AS (
          count(DISTINCT language) - 1 AS q, count(DISTINCT country) + count(DISTINCT language) + count(DISTINCT model) - 2 AS k
   FROM fit
 )
-SELECT 'language' AS factor, {r('(ss_l / q) / (rss / (n - k))')} AS f_statistic, CAST(q AS BIGINT) AS df_num, (n - k)::DOUBLE AS df_den, n AS n_obs, {r('1 - rss / tss')} AS r_squared FROM ss"""
+SELECT 'language' AS factor, {r('(ss_l / q) / (rss / (n - k))')} AS f_statistic,
+  {r(f_sf_sql('((ss_l / q) / (rss / (n - k)))', 'q::DOUBLE', '(n - k)::DOUBLE'))} AS p_value, CAST(q AS BIGINT) AS df_num, (n - k)::DOUBLE AS df_den, n AS n_obs, {r('1 - rss / tss')} AS r_squared FROM ss"""
 )
 
 
@@ -124,7 +129,7 @@ SELECT 'language' AS factor, {r('(ss_l / q) / (rss / (n - k))')} AS f_statistic,
 def a26(spark, sf_dir):
     """Joint F of the language effects; the SQL uses the closed form of a balanced table."""
     index = audit.index_by_cell(audits.metrics_of(spark, sf_dir))
-    return tidy(regression.fixed_effects_test(index).drop("p_value"))
+    return tidy(regression.fixed_effects_test(index))
 
 
 @query(
@@ -133,12 +138,15 @@ def a26(spark, sf_dir):
 dm AS (SELECT y - avg(y) OVER (PARTITION BY f) AS y, x1 - avg(x1) OVER (PARTITION BY f) AS x1, x2 - avg(x2) OVER (PARTITION BY f) AS x2, y - avg(y) OVER () AS yc FROM sc),
 s AS (SELECT sum(x1 * x1) AS s11, sum(x2 * x2) AS s22, sum(x1 * x2) AS s12, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy, sum(yc * yc) AS tss, count(*) AS n, (SELECT count(DISTINCT f) FROM sc) AS nf FROM dm),
 fit AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 ** 2) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 ** 2) AS b2 FROM s),
-e AS (SELECT *, syy - b1 * s1y - b2 * s2y AS rss, n - nf - 2 AS df FROM fit)
-SELECT 'log_parameters' AS term, {r('b1')} AS estimate, {r('sqrt(rss / df * s22 / (s11 * s22 - s12 ** 2))')} AS std_error, n AS n_obs, df::DOUBLE AS df_resid, {r('1 - rss / tss')} AS r_squared FROM e""",
+e0 AS (SELECT *, syy - b1 * s1y - b2 * s2y AS rss, n - nf - 2 AS df FROM fit),
+e AS (SELECT *, b1 / sqrt(rss / df * s22 / (s11 * s22 - s12 ** 2)) AS t FROM e0)
+SELECT 'log_parameters' AS term, {r('b1')} AS estimate, {r('sqrt(rss / df * s22 / (s11 * s22 - s12 ** 2))')} AS std_error, {r('t', 4)} AS t_statistic,
+  {r('2.0 * ' + t_cdf_sql('(-abs(t))', 'df::DOUBLE'))} AS p_two_sided, {r(t_cdf_sql('t', 'df::DOUBLE'))} AS p_one_sided, n AS n_obs, df::DOUBLE AS df_resid, {r('1 - rss / tss')} AS r_squared FROM e""",
 )
 def a27(spark, sf_dir):
     fit = regression.scaling_test(scaling_rows(spark, sf_dir))
-    return tidy(fit.select("term", "estimate", "std_error", "n_obs", "df_resid", "r_squared"))
+    columns = ["term", "estimate", "std_error", "t_statistic", "p_two_sided", "p_one_sided", "n_obs", "df_resid", "r_squared"]
+    return tidy(fit.select(*columns).withColumn("t_statistic", F.round("t_statistic", 4)))
 
 
 MARKER_SQL = """mk AS (
@@ -165,12 +173,13 @@ def marker_rows(spark, sf_dir):
 g AS (SELECT marker, count(*)::DOUBLE AS n, avg(outcome) AS m, sum(outcome * outcome) - count(*) * avg(outcome) ** 2 AS sse FROM mk GROUP BY marker),
 t AS (SELECT sum(n) AS n, count(*) AS k, sum(sse) AS rss FROM g),
 tss AS (SELECT sum((outcome - (SELECT avg(outcome) FROM mk)) ** 2) AS tss FROM mk)
-SELECT {r('l.m - u.m', 8)} AS diff, {r('sqrt(t.n / (t.n - t.k) * (l.sse / l.n ** 2 + u.sse / u.n ** 2))', 8)} AS std_error, CAST(t.n AS BIGINT) AS n_obs, {r('1 - t.rss / tss.tss', 8)} AS r_squared
+SELECT {r('l.m - u.m', 8)} AS diff, {r('sqrt(t.n / (t.n - t.k) * (l.sse / l.n ** 2 + u.sse / u.n ** 2))', 8)} AS std_error,
+  {r(normal_cdf_sql('(-(l.m - u.m) / sqrt(t.n / (t.n - t.k) * (l.sse / l.n ** 2 + u.sse / u.n ** 2)))'), 8)} AS p_one_sided, CAST(t.n AS BIGINT) AS n_obs, {r('1 - t.rss / tss.tss', 8)} AS r_squared
 FROM g l, g u, t, tss WHERE l.marker = 'LatAm' AND u.marker = 'US'""",
 )
 def a28(spark, sf_dir):
     out = regression.marker_contrast(marker_rows(spark, sf_dir), factors=())
-    return tidy(out.drop("p_one_sided"), 8)
+    return tidy(out, 8)
 
 
 @query("A28_marker_contrast_all_factors")
@@ -179,7 +188,18 @@ def a28_full(spark, sf_dir):
     return tidy(regression.marker_contrast(marker_rows(spark, sf_dir)), 8)
 
 
-@query("L5_estimation")
+L5_SQL = (
+    BALANCED_SQL[: BALANCED_SQL.rindex("SELECT 'language'")]
+    + f""",
+xy AS (SELECT weight AS x, delta AS y, grp FROM signed WHERE weight IS NOT NULL AND delta IS NOT NULL),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n FROM xy), {_clustered_sql('c', 'grp')}
+SELECT 'fixed_effects' AS model, {r('(ss_l / q) / (rss / (n - k))')} AS statistic,
+  {r(f_sf_sql('((ss_l / q) / (rss / (n - k)))', 'q::DOUBLE', '(n - k)::DOUBLE'))} AS p_value, n AS n_obs, {r('1 - rss / tss')} AS r_squared FROM ss
+UNION ALL SELECT 'pooled_gradient', {r('line.b / sqrt(v)')}, {r(normal_cdf_sql('(line.b / sqrt(v))'))}, line.n, {r('r2')} FROM line, c"""
+)
+
+
+@query("L5_estimation", L5_SQL)
 def l5(spark, sf_dir):
     """Fixed-effect test and pooled gradient with p-values, as one tidy table."""
     rows = audits.metrics_of(spark, sf_dir)
@@ -201,19 +221,20 @@ def l5(spark, sf_dir):
 @query(
     "X1_shift_test",
     audits.INDEX_SQL
-    + f" SELECT country, language, model, {r('avg(delta)')} AS mean_delta, {r('sqrt(var_samp(delta) / count(*))')} AS std_error, count(*) AS n_obs, count(*) AS n_clusters, {r('avg(delta) / sqrt(var_samp(delta) / count(*))')} AS t_statistic FROM signed GROUP BY ALL",
+    + f" SELECT country, language, model, {r('avg(delta)')} AS mean_delta, {r('sqrt(var_samp(delta) / count(*))')} AS std_error, count(*) AS n_obs, count(*) AS n_clusters, {r('avg(delta) / sqrt(var_samp(delta) / count(*))')} AS t_statistic, {r(normal_cdf_sql('(avg(delta) / sqrt(var_samp(delta) / count(*)))'))} AS p_value FROM signed GROUP BY ALL",
 )
 def x1(spark, sf_dir):
-    return tidy(regression.shift_test(audits.metrics_of(spark, sf_dir), b.CELL))
+    return tidy(regression.with_shift_p(regression.shift_test(audits.metrics_of(spark, sf_dir), b.CELL)))
 
 
 @query(
     "X2_benjamini_hochberg",
     f"""WITH t AS (
-  SELECT l_suppkey, l_returnflag, avg(l_quantity - 25.5) AS mean_delta, round(1 / (1 + exp(-1.702 * avg(l_quantity - 25.5) / sqrt(var_samp(l_quantity) / count(*)))), 9) AS p_value
+  SELECT l_suppkey, l_returnflag, avg(l_quantity - 25.5) AS mean_delta, avg(l_quantity - 25.5) / sqrt(var_samp(l_quantity) / count(*)) AS t
   FROM lineitem GROUP BY ALL HAVING count(*) > 1
 ),
-k AS (SELECT *, rank() OVER (ORDER BY p_value) + count(*) OVER (PARTITION BY p_value) - 1 AS rk, count(*) OVER () AS m FROM t),
+p AS (SELECT l_suppkey, l_returnflag, mean_delta, round({normal_cdf_sql('t')}, 9) AS p_value FROM t),
+k AS (SELECT *, rank() OVER (ORDER BY p_value) + count(*) OVER (PARTITION BY p_value) - 1 AS rk, count(*) OVER () AS m FROM p),
 a AS (SELECT *, least(1.0, min(p_value * m / rk) OVER (ORDER BY p_value DESC RANGE UNBOUNDED PRECEDING)) AS p_adjusted FROM k)
 SELECT l_suppkey, l_returnflag, {r('mean_delta')} AS mean_delta, {r('p_value')} AS p_value, {r('p_adjusted')} AS p_adjusted, p_adjusted < 0.05 AND mean_delta < -0.5 AS claimed FROM a""",
 )
@@ -225,7 +246,9 @@ def x2(spark, sf_dir):
         F.count(F.lit(1)).alias("n"),
     )
     t = F.col("mean_delta") / F.sqrt(F.col("v") / F.col("n"))
-    tests = tests.where("n > 1").withColumn("p_value", F.round(1 / (1 + F.exp(-1.702 * t)), 9)).drop("v", "n")
+    tests = tests.where("n > 1").withColumn("t_statistic", t).drop("v", "n")
+    # Rounded, so that both engines see the same ties.
+    tests = regression.with_shift_p(tests).withColumn("p_value", F.round("p_value", 9)).drop("t_statistic")
     return tidy(regression.benjamini_hochberg(tests, effect_col="mean_delta"))
 
 
