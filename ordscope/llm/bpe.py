@@ -1,17 +1,18 @@
 """Byte-level BPE over a shuffle of distinct words, and decoding.
 
-1. Explode: a task splits its documents into pre-tokens and lists, per block of
-   documents, each distinct word with its positions. The lists are dealt by the
-   word's hash into buckets; a word that makes up a third of all text is one entry
-   per block there, so no key is hot.
-2. Encode: a bucket meets every block's entry of its words, encodes each distinct
-   word once and joins the ids back to the entries.
-3. Reassemble: a block meets its entries from all buckets and puts the ids in order
-   of the positions, document by document.
-
-Nothing but these lists is shuffled: texts stay where they are read. Decoding looks
-ids up in the token-byte table, which has as many rows as the vocabulary (50 256
-here) and is the only data sent to all tasks.
+1. Explode: a task splits its documents into pre-tokens. A block of documents is
+   written once, bucketed by its number: its distinct words, and per position the
+   number of the word there.
+2. Encode: the blocks' word lists are dealt by the words' hashes. A bucket meets every
+   block's list of its words, encodes each distinct word once and answers each list. A
+   word that makes up a third of all text is one entry per block there, so no key is
+   hot.
+3. Reassemble: a block meets its answers and puts the ids in order of the positions,
+   document by document. The bucketing saves moving the blocks for that.
+
+Only word lists and answers are shuffled: texts stay where they are read. Decoding
+looks ids up in the token-byte table, which has as many rows as the vocabulary (50 256
+here) and is the only data that every task has.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordscope.llm.common import batch_of, pick, rows_of, small_batches, text_of
-from ordscope.llm.packing import block_number, blocks, gather, least_dtype, pack, pack_bytes, unpack, unpack_bytes
+from ordscope.llm.packing import block_number, blocks, bucketed, gather, least_dtype, pack, pack_bytes, unpack, unpack_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _LONG_PIECE = 200
@@ -105,51 +106,12 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 # --- explode -----------------------------------------------------------------------
 
-_ENTRY = pa.schema([
-    ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()),
-    ("positions", pa.binary()), ("docs", pa.binary()),
-])
-_ENTRY_TYPE = "bucket int, block bigint, words binary, counts binary, positions binary, docs binary"
-_REPLY = pa.schema([
-    ("block", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()),
-    ("positions", pa.binary()), ("docs", pa.binary()),
-])
-_REPLY_TYPE = "block bigint, sizes binary, ids binary, counts binary, positions binary, docs binary"
-
-
-def _steps(positions: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of each word as gaps, the first from -1: all small, none zero."""
-    gaps = np.diff(positions, prepend=-1)
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    gaps[first] = positions[first] + 1
-    return gaps
-
-
-def _places(gaps: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The inverse of :func:`_steps`."""
-    total = np.cumsum(gaps)
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    return total - np.repeat(total[first] - gaps[first] + 1, counts)
-
-
-def _pack_gaps(gaps: np.ndarray) -> bytes:
-    """Little-endian bytes, most of them one byte: 255 announces that four bytes follow at the end."""
-    large = gaps >= 255
-    head = pack(np.where(large, 255, gaps).astype("<u1"))
-    return len(head).to_bytes(4, "little") + head + pack(gaps[large].astype("<u4"))
-
-
-def _unpack_gaps(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:4], "little")
-    gaps = unpack(data[4 : 4 + size], "<u1").astype(np.int64)
-    gaps[gaps == 255] = unpack(data[4 + size :], "<u4")
-    return gaps
-
-
-def _doc_table(ids: list, sizes: list[int]) -> bytes:
-    known = np.array([i is not None for i in ids], "<u1")
-    keys = np.array([i or 0 for i in ids], "<i8")
-    return pack_bytes([known.tobytes(), keys.tobytes(), np.array(sizes, "<u4").tobytes()])
+_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("words", pa.binary()), ("spread", pa.binary()), ("codes", pa.binary())])
+_BLOCK_TYPE = "block bigint, docs binary, words binary, spread binary, codes binary"
+_LIST = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+_LIST_TYPE = "bucket int, block bigint, words binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_ANSWER_TYPE = "block bigint, bucket int, sizes binary, ids binary"
 
 
 def _explode(buckets: int, chars: int):
@@ -165,52 +127,47 @@ def _explode(buckets: int, chars: int):
                         code[word] = len(code)
                 streams.append(np.fromiter(map(code.__getitem__, found), "<u4", len(found)))
                 sizes.append(len(found))
-            codes = np.concatenate(streams)
-            del streams
             words = [w.encode("utf-8", "surrogatepass") for w in code]
-            hashes = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % buckets
-            # Entries in order of (bucket, word); the positions of each follow.
-            entry_order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(words), np.int64)
-            place[entry_order] = np.arange(len(words))
-            by_entry = np.argsort(place[codes], kind="stable") if len(codes) else np.zeros(0, np.int64)
-            counts = np.bincount(codes, minlength=len(words))[entry_order]
-            upto = np.concatenate(([0], np.cumsum(counts)))
-            gaps = _steps(by_entry, counts) if len(by_entry) else by_entry
-            edges = np.searchsorted(hashes[entry_order], np.arange(buckets + 1))
-            name = block_number(part, number)
-            docs = _doc_table([i for i, _ in block], sizes)
-            rows = [(name % buckets, name, pack_bytes([]), pack(counts[:0].astype("<u4")), _pack_gaps(gaps[:0]), docs)]
-            for b in range(buckets):
-                a, z = int(edges[b]), int(edges[b + 1])
-                if z > a:
-                    mine = [words[i] for i in entry_order[a:z].tolist()]
-                    span = slice(int(upto[a]), int(upto[z]))
-                    rows.append((b, name, pack_bytes(mine), pack(counts[a:z].astype("<u4")), _pack_gaps(gaps[span]), None))
-            yield batch_of(_ENTRY, rows)
+            dealt = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % buckets
+            order = np.argsort(dealt, kind="stable")  # codes in order of the buckets
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            width = least_dtype(len(words))
+            codes = rank[np.concatenate(streams)].astype(width) if words else np.zeros(0, width)
+            docs = pack_bytes([
+                np.array([i is not None for i, _ in block], "<u1").tobytes(), np.array([i or 0 for i, _ in block], "<i8").tobytes(),
+                np.array(sizes, "<u4").tobytes(),
+            ])
+            spread = pack(np.bincount(dealt, minlength=buckets).astype("<u4"))
+            listed = pack_bytes([words[i] for i in order.tolist()])
+            yield batch_of(_BLOCK, [(block_number(part, number), docs, listed, spread, width.encode() + pack(codes))])
 
     return run
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, words, spread in rows_of(batches, "block", "words", "spread"):
+        listed, upto = unpack_bytes(words), np.concatenate(([0], np.cumsum(unpack(spread, "<u4"), dtype=np.int64))).tolist()
+        rows = [(b, block, pack_bytes(listed[a:z])) for b, (a, z) in enumerate(zip(upto, upto[1:])) if z > a]
+        yield batch_of(_LIST, rows)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries sorted by bucket; the ids of the current bucket's words are kept."""
+        """Lists sorted by bucket; the ids of the current bucket's words are kept."""
         ranks, bucket, known = load_ranks(path), None, {}
         width = least_dtype(max(ranks.values(), default=0))
-        for batch in batches:
-            rows = []
-            for b, block, words, counts, positions, docs in rows_of([batch], *_ENTRY.names):
-                if b != bucket:
-                    bucket, known = b, {}
-                ids, sizes = [], []
-                for word in unpack_bytes(words):
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = merge(word, ranks)
-                    ids += found
-                    sizes.append(len(found))
-                rows.append((block, pack(np.array(sizes, "<u4")), pack(np.array(ids, width)), counts, positions, docs))
-            yield batch_of(_REPLY, rows)
+        for b, block, words in rows_of(batches, *_LIST.names):
+            if b != bucket:
+                bucket, known = b, {}
+            ids, sizes = [], []
+            for word in unpack_bytes(words):
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = merge(word, ranks)
+                ids += found
+                sizes.append(len(found))
+            yield batch_of(_ANSWER, [(block, b, pack(np.array(sizes, "<u4")), pack(np.array(ids, width)))])
 
     return run
 
@@ -218,47 +175,24 @@ def _encode(path: str):
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _reassembled(replies: list[tuple], width: str) -> Iterator[pa.RecordBatch]:
-    sizes, ids, counts, places, docs = [], [], [], [], None
-    for _, s, i, c, p, d in replies:
-        sizes.append(unpack(s, "<u4").astype(np.int64))
-        ids.append(unpack(i, width))
-        counts.append(unpack(c, "<u4").astype(np.int64))
-        gaps = _unpack_gaps(p)
-        places.append(_places(gaps, counts[-1]) if len(gaps) else gaps)
-        docs = d if d is not None else docs
-    known, keys, n_words = unpack_bytes(docs)
-    known, keys, n_words = np.frombuffer(known, "<u1"), np.frombuffer(keys, "<i8"), np.frombuffer(n_words, "<u4").astype(np.int64)
-    sizes, ids, counts, places = map(np.concatenate, (sizes, ids, counts, places))
-    word_at = np.empty(len(places), np.int64)
-    word_at[places] = np.repeat(np.arange(len(counts)), counts)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-    word_upto = np.concatenate(([0], np.cumsum(n_words)))
-    rows, held = [], 0
-    for d in range(len(keys)):
-        words = word_at[word_upto[d] : word_upto[d + 1]]
-        out = ids[gather(starts[words], sizes[words])].astype("<u4").tobytes()
-        rows.append((int(keys[d]) if known[d] else None, out))
-        held += len(out)
-        if held > 16 << 20:
-            yield batch_of(_ENCODED, rows)
-            rows, held = [], 0
-    if rows:
-        yield batch_of(_ENCODED, rows)
-
-
 def _reassemble(width: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replies sorted by block: one block is in memory."""
-        block, replies = None, []
-        for row in rows_of(batches, *_REPLY.names):
-            if row[0] != block:
-                if replies:
-                    yield from _reassembled(replies, width)
-                block, replies = row[0], []
-            replies.append(row)
-        if replies:
-            yield from _reassembled(replies, width)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = sorted(right.to_pylist(), key=lambda a: a["bucket"])
+        sizes = [unpack(a["sizes"], "<u4").astype(np.int64) for a in answers]
+        sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        ids = np.concatenate([unpack(a["ids"], width) for a in answers]) if answers else np.zeros(0, width)
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        rows = []
+        for block in left.to_pylist():
+            known, keys, n_words = unpack_bytes(block["docs"])
+            known, keys = np.frombuffer(known, "<u1"), np.frombuffer(keys, "<i8")
+            upto = np.concatenate(([0], np.cumsum(np.frombuffer(n_words, "<u4"), dtype=np.int64)))
+            codes = unpack(block["codes"][3:], block["codes"][:3].decode())
+            for d in range(len(keys)):
+                words = codes[upto[d] : upto[d + 1]]
+                out = ids[gather(starts[words], sizes[words])].astype("<u4").tobytes()
+                rows.append((int(keys[d]) if known[d] else None, out))
+        return pa.Table.from_batches([batch_of(_ENCODED, rows)])
 
     return run
 
@@ -286,12 +220,13 @@ def encode(
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    entries = rows.mapInArrow(_explode(buckets, block_chars), _ENTRY_TYPE)
-    entries = entries.repartition("bucket").sortWithinPartitions("bucket")
-    replies = entries.mapInArrow(_encode(path), _REPLY_TYPE)
-    replies = replies.repartition("block").sortWithinPartitions("block")
+    made = bucketed(rows.mapInArrow(_explode(buckets, block_chars), _BLOCK_TYPE), "block")
+    lists = made.select("block", "words", "spread").mapInArrow(_lists, _LIST_TYPE)
+    lists = lists.repartition("bucket").sortWithinPartitions("bucket")
+    answers = lists.mapInArrow(_encode(path), _ANSWER_TYPE)
     width = least_dtype(max(load_ranks(path).values(), default=0))
-    return replies.mapInArrow(_reassemble(width), "doc_id bigint, ids binary")
+    stored = made.select("block", "docs", "codes").groupBy("block")
+    return stored.cogroup(answers.groupBy("block")).applyInArrow(_reassemble(width), "doc_id bigint, ids binary")
 
 
 _DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.binary())])

@@ -65,12 +65,12 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.col("tree").alias("t"), F.col("id").alias("i"), F.col("far").alias("next"),
             F.col("depth").alias("more"), F.col("total").alias("plus"), F.col("moved").alias("goes_on"),
         )
-        far = materialise(
-            far.join(other, (F.col("tree").eqNullSafe(F.col("t"))) & (F.col("far") == F.col("i"))).select(
-                "tree", "id", F.col("next").alias("far"), (F.col("depth") + F.col("more")).alias("depth"),
-                (F.col("total") + F.col("plus")).alias("total"), F.col("goes_on").alias("moved"),
-            ), "far",
+        # Only nodes whose furthest ancestor is no root yet take part: in most trees few, after the first rounds.
+        further = far.where("moved").join(other, F.col("tree").eqNullSafe(F.col("t")) & (F.col("far") == F.col("i"))).select(
+            "tree", "id", F.col("next").alias("far"), (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("total") + F.col("plus")).alias("total"), F.col("goes_on").alias("moved"),
         )
+        far = materialise(far.where("NOT moved").unionAll(further), "far")
         last = tables[-1]
         again = last.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("next"))
         tables.append(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import zstandard
+from pyspark.sql import DataFrame
+
+from ordscope.session import scratch_dir
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -56,6 +60,15 @@ def block_number(part: int, sequence: int) -> int:
     return (part << 32) | sequence
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``, so that joins on it need not move it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{key}s_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", scratch_dir(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the slices [start, start + size), one slice after the other."""
     total = int(sizes.sum())

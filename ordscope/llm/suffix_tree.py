@@ -22,7 +22,6 @@ are retained without a test and only their T(s) is summed, on at most 1 024 rows
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -35,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordscope.llm.common import ASCII_LOWER, WORD_PATTERN, batch_of, pick, rows_of, small_batches, text_of
-from ordscope.llm.packing import block_number, blocks, least_dtype, pack, pack_bytes, unpack, unpack_bytes
-from ordscope.session import materialise, scratch_dir
+from ordscope.llm.packing import block_number, blocks, bucketed, least_dtype, pack, pack_bytes, unpack, unpack_bytes
+from ordscope.session import materialise
 
 HOT_SHARE = 1024
 _END = xxhash.xxh64_intdigest(b"\x20end")  # words hold no blank
@@ -101,6 +100,7 @@ class Model:
     depth: int
     least: int
     threshold: float
+    hot_share: int
     tokens: int = 0
     distinct: int = 0
     hot_types: list[dict[int, int]] = field(default_factory=list)
@@ -180,7 +180,7 @@ class _Reader:
         """Distinct (context, word) entries of the present length, those of hot contexts apart."""
         shift = max(1, int(len(self.hashes)).bit_length())
         able = self.context_count >= self.model.least
-        hot = able & (self.context_count * HOT_SHARE > self.model.tokens)
+        hot = able & (self.context_count * self.model.hot_share > self.model.tokens)
         self.at = [np.flatnonzero(able & ~hot), np.flatnonzero(hot)]
         normal, common = self.at
         keys = (self.context[normal] << shift) | self.codes[normal]
@@ -410,6 +410,7 @@ def score_documents(
     least: int = 2,
     threshold: float = 2.0,
     block_chars: int = 8_000_000,
+    hot_share: int = HOT_SHARE,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -422,13 +423,11 @@ def score_documents(
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(4 * n, depth, least, threshold, hot_types=[{}])
+    model = Model(4 * n, depth, least, threshold, hot_share, hot_types=[{}])
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     made = rows.mapInArrow(_to_blocks(block_chars, parts, part), _BLOCK_TYPE)
-    name = f"blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(n, "block").option("path", scratch_dir(spark, "blocks")).saveAsTable(name)
-    kept = spark.table(name)
+    kept = bucketed(made, "block")
     model.tokens = kept.agg(F.coalesce(F.sum("n_trained"), F.lit(0))).first()[0]
 
     answers = None
@@ -443,7 +442,7 @@ def score_documents(
             model.distinct = new.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
         else:
             types = new.where("block IS NULL").select("contexts", "types").mapInArrow(_unpack_types, "context bigint, types bigint")
-            summed = types.groupBy("context").agg(F.sum("types").alias("types")).collect()  # at most HOT_SHARE rows
+            summed = types.groupBy("context").agg(F.sum("types").alias("types")).collect()  # at most hot_share rows
             model.hot_types.append({r["context"] & ((1 << 64) - 1): r["types"] for r in summed})
         new = new.where("block IS NOT NULL")
         answers = new if answers is None else answers.unionAll(new)
