@@ -140,17 +140,6 @@ def format_eta(seconds: Column) -> Column:
     )
 
 
-def hash_uniform_index(n: Column, *parts: Column, half: int = 0) -> Column:
-    """Integer 0..n-1 from 60 bits of an MD5 over the parts (``half`` 0 or 1).
-
-    One digest carries two independent draws. The value depends only on the
-    parts, so a retried or re-planned task draws the same numbers.
-    """
-    digest = F.md5(F.concat_ws("|", *parts))
-    bits = F.conv(F.substring(digest, 1 + 16 * half, 15), 16, 10).cast("long")
-    return F.pmod(bits, n.cast("long"))
-
-
 def case_map(key: Column, mapping: dict[str, str], default: str | None = None) -> Column:
     """CASE expression from a small fixed mapping."""
     items = list(mapping.items())

@@ -78,7 +78,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -
 
 def incomplete_beta(a, b, x, y=None):
     """Regularised I_x(a, b); ``y`` is 1 - x where the caller knows it better than the difference does."""
-    scalar = np.ndim(x) == 0
+    scalar = not any(np.ndim(v) for v in (a, b, x))
     a, b, x = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, dtype=float)) for v in (a, b, x)))
     y = 1.0 - x if y is None else np.broadcast_to(np.atleast_1d(np.asarray(y, dtype=float)), x.shape)
     out = np.full(x.shape, np.nan)
@@ -134,6 +134,52 @@ def normal_cdf(z):
     return float(out[0]) if scalar else out
 
 
+_TABLE = 20_000
+
+
+def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Smallest k with P(X <= k) >= u for X binomial(n, p), per pair of ``u`` and ``n``.
+
+    Up to ``_TABLE`` trials from the summed probabilities, one table row per distinct
+    ``n``; beyond by bisection on the incomplete beta function around the mean. Both
+    invert the same distribution function.
+    """
+    n = np.asarray(n, dtype=np.int64)
+    if p <= 0.0 or p >= 1.0:
+        return n * int(p >= 1.0)
+    out = np.zeros(len(n), np.int64)
+    small = n <= _TABLE
+    if small.any():
+        trials, row = np.unique(n[small], return_inverse=True)
+        logs = log_gamma(np.arange(trials[-1] + 1) + 1.0)
+        # In slices, so that the table stays within some megabytes.
+        width = max(1, 4_000_000 // (int(trials[-1]) + 1))
+        mine = np.flatnonzero(small)
+        for at in range(0, len(trials), width):
+            some = trials[at : at + width, None]
+            k = np.arange(int(some[-1, 0]) + 1)[None, :]
+            rest = np.maximum(some - k, 0)
+            mass = np.exp(logs[some] - logs[k] - logs[rest] + k * np.log(p) + rest * np.log1p(-p))
+            upto = np.cumsum(np.where(k <= some, mass, 0.0), axis=1)
+            of = np.flatnonzero((row >= at) & (row < at + width))
+            for r in np.unique(row[of]):
+                asks = of[row[of] == r]
+                found = np.searchsorted(upto[r - at], u[mine[asks]], "left")
+                out[mine[asks]] = np.minimum(found, trials[r])
+    if not small.all():
+        m, v = n[~small], u[~small]
+        spread = 12.0 * np.sqrt(m * p * (1.0 - p)) + 40.0
+        low = np.maximum(np.floor(m * p - spread), -1).astype(np.int64)  # P(X <= low) < u
+        high = np.minimum(np.ceil(m * p + spread), m).astype(np.int64)
+        while (high - low > 1).any():
+            middle = (low + high) // 2
+            below = incomplete_beta(m - middle, middle + 1.0, 1.0 - p, p)
+            enough = (middle >= m) | (below >= v)
+            high, low = np.where(enough, middle, high), np.where(enough, low, middle)
+        out[~small] = high
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _normal_cdf_udf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_cdf(z.to_numpy(float, na_value=np.nan)))

@@ -1,17 +1,20 @@
 """Bootstrap intervals for group distances, shifts and the weighted index.
 
 Resampling n rows with replacement and re-counting them is the same as drawing
-the counts of the K bins plus "ineligible" from a multinomial. The default path
-therefore draws from the histogram: its cost is replicates x groups x bins and
-does not depend on the number of raw rows.
-
-``hash_draw_*`` resamples row by row with a portable hash instead, for results
-that another engine has to reproduce digit by digit.
+the counts of the K bins plus "ineligible" from a multinomial. The draws therefore
+start from the histogram: their cost is replicates x groups x bins and does not depend
+on the number of raw rows.
+
+A multinomial is a chain of binomials, bin after bin, each of the rows and of the
+share that are left. Every binomial is inverted at a number between 0 and 1 that is a
+hash of (seed, keys, replicate, bin): reruns and retried tasks agree, and so does any
+other engine that inverts the same distribution function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -19,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
-from ordscope.functions.distances import cumulative, signed_distance
-from ordscope.functions.ids import hash_uniform_index
+from ordscope.functions.distances import signed_distance
+from ordscope.functions.probability import binomial_quantile
 from ordscope.operators.distributions import (
     group_metrics,
     roll_up,
     weighted_index,
-    with_probabilities,
 )
 
 
@@ -34,12 +36,27 @@ def interval_levels(ci_level: float) -> tuple[float, float]:
     return alpha, 1.0 - alpha
 
 
-def _replicate_metrics(counts, n_rows, base, bins, n_replicates, seed):
+def _uniforms(stream: str, n_replicates: int, n_bins: int) -> np.ndarray:
+    """Replicates x bins numbers in (0, 1): 60 bits of an MD5 each, two to a digest."""
+    out = np.empty((n_replicates, n_bins))
+    for r in range(n_replicates):
+        for half in range((n_bins + 1) // 2):
+            digest = md5(f"{stream}|{r}|{half}".encode()).hexdigest()
+            for side in range(min(2, n_bins - 2 * half)):
+                out[r, 2 * half + side] = float(int(digest[16 * side : 16 * side + 15], 16))
+    return (out + 0.5) / float(1 << 60)
+
+
+def _replicate_metrics(counts, n_rows, base, bins, n_replicates, stream):
     """Distances and shifts of ``n_replicates`` multinomial resamples of one group."""
     counts = np.asarray(counts, dtype=np.int64)
-    n = int(n_rows)
-    shares = np.append(counts, n - counts.sum()) / n
-    draws = np.random.default_rng(seed).multinomial(n, shares, size=n_replicates)[:, :-1]
+    left, rest = np.full(n_replicates, int(n_rows)), int(n_rows)
+    draws = np.zeros((n_replicates, len(bins)), np.int64)
+    uniforms = _uniforms(stream, n_replicates, len(bins))
+    for i, count in enumerate(counts.tolist()):
+        if count:
+            draws[:, i] = binomial_quantile(uniforms[:, i], left, count / rest)
+        left, rest = left - draws[:, i], rest - count
     total = draws.sum(axis=1, keepdims=True)
     probs = np.where(total > 0, draws / np.maximum(total, 1), 1.0 / len(bins))
     diff = probs - np.asarray(base, dtype=float)
@@ -58,9 +75,9 @@ def replicate_table(
 ) -> DataFrame:
     """One row per (cell, group) with intervals and arrays of replicate distances and shifts.
 
-    ``metrics`` is the output of ``group_metrics``. Each row gets its own random
-    stream, seeded by a hash of its keys: replicates do not depend on
-    partitioning, and different cells are not correlated.
+    ``metrics`` is the output of ``group_metrics``. Each row has its own stream, named
+    by the seed and its keys: replicates do not depend on partitioning, and different
+    cells are not correlated.
     """
     keys = [*cell_keys, group_key]
     scale = np.asarray(sorted(bins), dtype=float)
@@ -73,7 +90,7 @@ def replicate_table(
         "delta",
         F.array(*[F.get("counts", F.lit(i)) for i in order]).alias("counts"),
         F.array(*[F.get("base_probs", F.lit(i)) for i in order]).alias("base_probs"),
-        F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]).alias("stream"),
+        F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("stream"),
     )
     out_fields = [f for f in carried.schema.fields if f.name not in ("counts", "base_probs", "stream")]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields)
@@ -86,7 +103,7 @@ def replicate_table(
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pairs = [
-                _replicate_metrics(c, n, b, scale, n_replicates, s % 2**64)
+                _replicate_metrics(c, n, b, scale, n_replicates, s)
                 for c, n, b, s in zip(batch["counts"], batch["n_rows"], batch["base_probs"], batch["stream"])
             ]
             batch = batch.drop(columns=["counts", "base_probs", "stream"])
@@ -167,83 +184,9 @@ def bootstrap_by_cell(
     return point.join(index_intervals(reps, cell_keys, ci_level), list(cell_keys), "left")
 
 
-def hash_draw_histogram(
-    rows: DataFrame,
-    hist: DataFrame,
-    keys: Sequence[str],
-    id_col: str,
-    n_replicates: int,
-    bins: Sequence[int] = fv.BINS,
-    seed: int = fv.BASE_SEED,
-) -> DataFrame:
-    """Resampled histograms, one draw per raw row and replicate.
-
-    Every row contributes one draw per replicate to its own group: a hash of its
-    id picks a position 0..n-1, and the cumulative counts translate the position
-    to a bin. Draws are spread like the raw rows, so a hot group is not one task,
-    and partial counts collapse them before the shuffle.
-    """
-    thresholds = hist.select(*keys, F.col("n_rows").alias("__n"), cumulative(F.transform("counts", lambda c: c.cast("double"))).alias("__cum"))
-    draws = F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("rep"),
-                hash_uniform_index(
-                    F.col("__n"), F.lit(str(seed)), F.lit(str(r // 2)), F.col(id_col).cast("string"), half=r % 2
-                ).alias("at"),
-            )
-            for r in range(n_replicates)
-        ]
-    )
-    drawn = (
-        rows.dropna(subset=list(keys))
-        .select(*keys, id_col)
-        .join(thresholds, list(keys), "inner")
-        .select(*keys, "__cum", F.inline(draws))
-        .withColumn("__cat", F.size(F.filter("__cum", lambda c: c <= F.col("at"))))
-    )
-    counted = drawn.groupBy(*keys, "rep").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.array(*[F.count_if(F.col("__cat") == i) for i in range(len(bins))]).alias("counts"),
-    )
-    counted = counted.withColumn(
-        "n_support", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    )
-    return with_probabilities(counted, bins)
-
-
-def hash_draw_by_cell(
-    rows: DataFrame,
-    hist: DataFrame,
-    baseline: DataFrame,
-    cell_keys: Sequence[str],
-    on: Sequence[str],
-    id_col: str,
-    n_replicates: int,
-    group_key: str = "grp",
-    bins: Sequence[int] = fv.BINS,
-    ci_level: float = fv.CI_LEVEL,
-    seed: int = fv.BASE_SEED,
-) -> DataFrame:
-    """Same result table as ``bootstrap_by_cell`` from portable hash draws."""
-    keys = [*cell_keys, group_key]
-    resampled = hash_draw_histogram(rows, hist, keys, id_col, n_replicates, bins, seed)
-    replicate = weighted_index(group_metrics(resampled, baseline, on, bins), [*cell_keys, "rep"])
-    lo, hi = interval_levels(ci_level)
-    intervals = replicate.groupBy(*cell_keys).agg(
-        F.percentile("index_value", F.lit(lo)).alias("index_lower"),
-        F.percentile("index_value", F.lit(hi)).alias("index_upper"),
-        F.count(F.lit(1)).alias("n_replicates"),
-    )
-    point = weighted_index(group_metrics(hist, baseline, on, bins), cell_keys)
-    return point.join(intervals, list(cell_keys), "left").withColumn("ci_level", F.lit(ci_level))
-
-
 __all__ = [
     "bootstrap_by_cell",
     "group_intervals",
-    "hash_draw_by_cell",
-    "hash_draw_histogram",
     "index_intervals",
     "interval_levels",
     "replicate_table",

@@ -9,7 +9,7 @@ from ordscope import fixed_values as fv
 from ordscope.functions import distances
 from ordscope.operators import baselines, bootstrap, distributions, imputation, weights
 from ordscope.plans import audit
-from ordscope.session import materialise, spread
+from ordscope.session import materialise
 from ordscope.sources.dimensions import groups_dim
 from ordscope.workloads import bindings as b
 from ordscope.workloads.registry import query, r, tidy
@@ -225,58 +225,66 @@ def a11(spark, sf_dir):
     )
 
 
-@query("A12_bootstrap_groups")
-def a12(spark, sf_dir):
-    reps = bootstrap.replicate_table(metrics_of(spark, sf_dir), b.CELL)
-    return tidy(bootstrap.group_intervals(reps))
-
-
-HASH_REPLICATES = 8
-
-
-# The oracle finds the bin of a draw with cumulative bounds per bin.
-A13_SQL = (
-    INDEX_SQL
-    + f""",
-bounds AS (
-  SELECT country, language, model, grp, n_rows, bin, n,
-         CAST(sum(n) OVER (PARTITION BY country, language, model, grp ORDER BY bin) AS BIGINT) - n AS lo
-  FROM obs
-),
-hashed AS (
-  SELECT p.country, p.language, p.model, p.grp, h.rep, md5('{fv.BASE_SEED}|' || (h.rep // 2) || '|' || p.unit_id) AS h
-  FROM panel p CROSS JOIN (SELECT unnest(range(0, {HASH_REPLICATES})) AS rep) h
-),
-draws AS (
-  SELECT d.country, d.language, d.model, d.grp, d.rep,
-         ('0x' || CASE WHEN d.rep % 2 = 0 THEN substr(h, 1, 15) ELSE substr(h, 17, 15) END)::BIGINT % k.n_rows AS at
-  FROM hashed d JOIN obs_keys k ON k.country = d.country AND k.language = d.language AND k.model = d.model AND k.grp = d.grp
-),
-drawn AS (
-  SELECT d.country, d.language, d.model, d.grp, d.rep, c.bin, count(*) AS n
-  FROM draws d JOIN bounds c ON c.country = d.country AND c.language = d.language AND c.model = d.model AND c.grp = d.grp
-   AND d.at >= c.lo AND d.at < c.lo + c.n
+def _draw_sql(n_replicates: int) -> str:
+    """The chain of binomials per (group, replicate), inverted on summed probabilities; then replicate metrics."""
+    bins = list(fv.BINS)
+    counts = ", ".join(f"CAST(coalesce(max(o.n) FILTER (o.bin = {x}), 0) AS BIGINT) AS c{x}" for x in bins)
+    steps = [
+        f"""
+gg AS (
+  SELECT k.country, k.language, k.model, k.grp, CAST(k.n_rows AS BIGINT) AS n_rows, {counts}
+  FROM obs_keys k LEFT JOIN obs o ON o.country = k.country AND o.language = k.language AND o.model = k.model AND o.grp = k.grp
   GROUP BY ALL
 ),
-rep_keys AS (SELECT k.*, h.rep FROM obs_keys k CROSS JOIN (SELECT unnest(range(0, {HASH_REPLICATES})) AS rep) h),
-rep_dense AS (
-  SELECT k.country, k.language, k.model, k.grp, k.rep, bins.bin, coalesce(d.n, 0) AS n,
-         sum(coalesce(d.n, 0)) OVER (PARTITION BY k.country, k.language, k.model, k.grp, k.rep) AS tot
-  FROM rep_keys k CROSS JOIN bins LEFT JOIN drawn d ON d.country = k.country AND d.language = k.language
-   AND d.model = k.model AND d.grp = k.grp AND d.rep = k.rep AND d.bin = bins.bin
+d0 AS (
+  SELECT *, '{fv.BASE_SEED}|' || country || '|' || language || '|' || model || '|' || grp AS gid, n_rows AS lft, n_rows AS rst
+  FROM gg CROSS JOIN (SELECT unnest(range(0, {n_replicates})) AS rep)
+)"""
+    ]
+    for i, x in enumerate(bins):
+        digits = "substr(h, 1, 15)" if i % 2 == 0 else "substr(h, 17, 15)"
+        steps.append(f"""
+q{x} AS (SELECT DISTINCT gid, lft, rst, c{x} AS c FROM d{i} WHERE lft > 0 AND c{x} > 0 AND c{x} < rst),
+f{x} AS (
+  SELECT gid, lft, k, sum(exp(lgamma(lft + 1.0) - lgamma(k + 1.0) - lgamma(lft - k + 1.0) + k * ln(c::DOUBLE / rst) + (lft - k) * ln(1.0 - c::DOUBLE / rst)))
+    OVER (PARTITION BY gid, lft ORDER BY k) AS f
+  FROM (SELECT *, unnest(range(0, lft + 1)) AS k FROM q{x})
 ),
+u{x} AS (
+  SELECT *, (('0x' || {digits})::BIGINT::DOUBLE + 0.5) / {1 << 60}.0::DOUBLE AS u FROM (SELECT *, md5(gid || '|' || rep || '|{i // 2}') AS h FROM d{i})
+),
+d{x} AS (
+  SELECT * EXCLUDE (u, h, lft, rst, k), k AS k{x}, lft - k AS lft, rst - c{x} AS rst FROM (
+    SELECT u.*, CASE WHEN c{x} = 0 OR u.lft = 0 THEN 0 WHEN c{x} = rst THEN u.lft ELSE coalesce(t.k, u.lft) END AS k
+    FROM u{x} u ASOF LEFT JOIN f{x} t ON t.gid = u.gid AND t.lft = u.lft AND u.u <= t.f)
+)""")
+    last = bins[-1]
+    dense = " UNION ALL ".join(
+        f"SELECT country, language, model, grp, rep, {x} AS bin, k{x} AS n, n_rows - lft AS tot FROM d{last}" for x in bins
+    )
+    steps.append(f"""
+rep_dense AS ({dense}),
 rep_diff AS (
   SELECT e.country, e.language, e.model, e.grp, e.rep, e.bin,
-         CASE WHEN tot = 0 THEN 1.0::DOUBLE / 11 ELSE e.n::DOUBLE / tot END - b.prob AS diff
+         CASE WHEN tot = 0 THEN 1.0::DOUBLE / {len(bins)} ELSE e.n::DOUBLE / tot END - b.prob AS diff
   FROM rep_dense e JOIN base b ON b.country = e.country AND b.grp = e.grp AND b.bin = e.bin
 ),
 rep_cdf AS (
   SELECT *, sum(diff) OVER (PARTITION BY country, language, model, grp, rep ORDER BY bin) AS cdf_diff FROM rep_diff
 ),
 rep_metric AS (
-  SELECT country, language, model, grp, rep, sum(CASE WHEN bin < 11 THEN abs(cdf_diff) ELSE 0 END) AS distance, sum(diff * bin) AS delta
+  SELECT country, language, model, grp, rep, sum(CASE WHEN bin < {last} THEN abs(cdf_diff) ELSE 0 END) AS distance, sum(diff * bin) AS delta
   FROM rep_cdf GROUP BY ALL
-),
+)""")
+    return ",".join(steps)
+
+
+def _interval_sql(n_replicates: int) -> str:
+    return (
+        INDEX_SQL
+        + ","
+        + _draw_sql(n_replicates)
+        + f""",
 rep_index AS (
   SELECT m.country, m.language, m.model, m.rep, sum(CASE WHEN abs(m.delta) < 1e-12 THEN 0 ELSE w.weight * m.distance * sign(m.delta) END) AS index_value
   FROM rep_metric m JOIN weights w ON w.country = m.country AND w.grp = m.grp GROUP BY ALL
@@ -292,28 +300,51 @@ point AS (
 SELECT p.country, p.language, p.model, {r('p.index_value')} AS index_value, {r('ci.lo')} AS index_lower, {r('ci.hi')} AS index_upper,
        p.n_units, p.n_groups, ci.n_replicates, 0.95::DOUBLE AS ci_level
 FROM point p JOIN ci ON ci.country = p.country AND ci.language = p.language AND ci.model = p.model"""
+    )
+
+
+INTERVAL_COLUMNS = [*b.CELL, "index_value", "index_lower", "index_upper", "n_units", "n_groups", "n_replicates", "ci_level"]
+
+
+@query(
+    "A12_bootstrap_groups",
+    INDEX_SQL
+    + ","
+    + _draw_sql(fv.N_REPLICATES)
+    + f""",
+bounds AS (
+  SELECT country, language, model, grp, quantile_cont(distance, 0.025) AS distance_lower, quantile_cont(distance, 0.975) AS distance_upper,
+         quantile_cont(delta, 0.025) AS delta_lower, quantile_cont(delta, 0.975) AS delta_upper, count(*) AS n_replicates
+  FROM rep_metric GROUP BY ALL
+)
+SELECT s.country, s.language, s.model, s.grp, {r('weight')} AS weight, CAST(n_rows AS BIGINT) AS n_rows, {r('distance')} AS distance, {r('delta')} AS delta,
+  {r('distance_lower')} AS distance_lower, {r('distance_upper')} AS distance_upper, {r('delta_lower')} AS delta_lower, {r('delta_upper')} AS delta_upper,
+  n_replicates, 0.95::DOUBLE AS ci_level
+FROM signed s JOIN bounds i ON i.country = s.country AND i.language = s.language AND i.model = s.model AND i.grp = s.grp""",
 )
+def a12(spark, sf_dir):
+    reps = bootstrap.replicate_table(metrics_of(spark, sf_dir), b.CELL)
+    return tidy(bootstrap.group_intervals(reps))
 
 
-@query("A13_bootstrap_by_cell", A13_SQL)
+A13_REPLICATES = 200
+
+
+@query("A13_bootstrap_by_cell", _interval_sql(A13_REPLICATES))
 def a13(spark, sf_dir):
-    """Interval per cell from portable row-level draws (checked against SQL)."""
-    rows = b.panel(spark, sf_dir, spread)
+    """Interval per cell, with the number of replicates as an argument."""
     cells = cell_counts(spark, sf_dir)
     hist = distributions.with_probabilities(cells).drop("all_counts", "income_sum")
-    out = bootstrap.hash_draw_by_cell(
-        rows, hist, baseline_of(cells), b.CELL, ["country", "grp"], "unit_id", HASH_REPLICATES
-    )
-    cols = [*b.CELL, "index_value", "index_lower", "index_upper", "n_units", "n_groups", "n_replicates", "ci_level"]
-    return tidy(out.select(*cols))
+    out = bootstrap.bootstrap_by_cell(hist, baseline_of(cells), b.CELL, ["country", "grp"], n_replicates=A13_REPLICATES)
+    return tidy(out.select(*INTERVAL_COLUMNS))
 
 
-@query("L4_index_with_interval")
+@query("L4_index_with_interval", _interval_sql(fv.N_REPLICATES))
 def l4(spark, sf_dir):
-    """Flagship: index with a 1 000-replicate interval per cell."""
+    """Flagship: index with a 1 000-replicate interval per cell, from the panel's rows."""
     cells = cell_counts(spark, sf_dir)
-    hist = distributions.with_probabilities(cells).drop("all_counts", "income_sum")
-    return tidy(bootstrap.bootstrap_by_cell(hist, baseline_of(cells), b.CELL, ["country", "grp"]))
+    out = audit.index_with_interval(b.panel(spark, sf_dir), baseline_of(cells), b.CELL)
+    return tidy(out.select(*INTERVAL_COLUMNS))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -281,20 +282,27 @@ def test_bootstrap_degenerate_and_uncovered_cells(spark):
         audit.index_with_interval(rows.drop("model"), base)
 
 
-def test_multinomial_and_row_draws_agree(spark):
-    """Both resampling paths estimate the same interval."""
-    rows = noisy_panel(spark, 2).withColumn("unit_id", F.monotonically_increasing_id())
-    rows = spark.createDataFrame(rows.collect(), rows.schema)
-    hist = distributions.ordinal_histogram(rows, [*audit.CELL_KEYS, "grp"])
+def test_draws_estimate_the_interval_of_row_resampling(spark):
+    """Against rows resampled with NumPy's generator."""
+    rows = noisy_panel(spark, 2)
     base = two_group_baseline(spark)
-    on = ["country", "grp"]
-    fast = bootstrap.bootstrap_by_cell(hist, base, audit.CELL_KEYS, on, n_replicates=2000).orderBy("model").collect()
-    slow = bootstrap.hash_draw_by_cell(rows, hist, base, audit.CELL_KEYS, on, "unit_id", 400).orderBy("model").collect()
-    for a, b in zip(fast, slow):
-        assert a.index_value == pytest.approx(b.index_value)
-        width = a.index_upper - a.index_lower
-        assert abs(a.index_lower - b.index_lower) < 0.35 * width
-        assert abs(a.index_upper - b.index_upper) < 0.35 * width
+    hist = distributions.ordinal_histogram(rows, [*audit.CELL_KEYS, "grp"])
+    got = bootstrap.bootstrap_by_cell(hist, base, audit.CELL_KEYS, ["country", "grp"], n_replicates=2000).orderBy("model").collect()
+    probs = {r.grp: np.array(r.base_probs) for r in base.collect()}
+    weight = {r.grp: r.weight for r in base.collect()}
+    rng = np.random.default_rng(0)
+    table = [r.asDict() for r in rows.collect()]
+    for r in got:
+        index = np.zeros(2000)
+        for grp in probs:
+            bins = np.array([x["bin"] if x["has_signal"] else 0 for x in table if (x["model"], x["grp"]) == (r.model, grp)])
+            drawn = rng.choice(bins, (2000, len(bins)))
+            counts = np.stack([(drawn == k).sum(axis=1) for k in range(1, 12)], axis=1)
+            diff = counts / counts.sum(axis=1, keepdims=True) - probs[grp]
+            delta = diff @ np.arange(1, 12)
+            index += weight[grp] * np.sign(delta) * np.abs(np.cumsum(diff, axis=1)[:, :-1]).sum(axis=1)
+        low, high = np.quantile(index, [0.025, 0.975])
+        assert abs(r.index_lower - low) < 0.2 * (high - low) and abs(r.index_upper - high) < 0.2 * (high - low)
 
 
 def test_group_intervals_cover_point(spark):

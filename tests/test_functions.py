@@ -1,6 +1,7 @@
 """Scalar functions, grids, prompts."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -180,6 +181,38 @@ def test_extend_schema_idempotent(spark):
     assert row.has_face and row.ita_value is None and row.ita_label == "not_classified"
 
 
+def test_tails_at_very_many_degrees_of_freedom():
+    """The t tail becomes the normal one, the F tail with two numerator degrees an exponential."""
+    for df in (1e9, 1e12, 1e14):
+        for t in (-0.3, -1.0, -2.0, -5.0):
+            assert probability.t_cdf(t, df) == pytest.approx(probability.normal_cdf(t), rel=2e-7)
+        assert probability.f_sf(3.5, 2, df) == pytest.approx(math.exp(-3.5), rel=1e-7)
+    z = np.array([-38.0, -8.0, -3.0, -1.7, -0.2, 0.0, 0.5, 3.0, 9.0])
+    assert probability.normal_cdf(z) == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in z], rel=1e-12)
+    assert np.isnan(probability.t_cdf(float("nan"), 5)) and np.isnan(probability.normal_cdf(float("nan")))
+
+
+def test_binomial_quantile():
+    rng = np.random.default_rng(1)
+    for n, p in ((1, 0.5), (7, 0.3), (40, 0.999), (300, 0.02)):
+        mass = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+        u = rng.random(200)
+        want = [min(int(np.searchsorted(np.cumsum(mass), v)), n) for v in u]
+        assert probability.binomial_quantile(u, np.full(200, n), p).tolist() == want
+    assert probability.binomial_quantile(np.array([0.2, 0.9]), np.array([5, 0]), 1.0).tolist() == [5, 0]
+    assert probability.binomial_quantile(np.array([0.2]), np.array([5]), 0.0).tolist() == [0]
+    # Both ways of inversion agree where they meet, and the second holds far beyond.
+    u, n = rng.random(50), 20_000
+    table = probability.binomial_quantile(u, np.full(50, n), 0.3)
+    probability._TABLE, kept = 10, probability._TABLE
+    try:
+        assert (probability.binomial_quantile(u, np.full(50, n), 0.3) == table).all()
+        large = probability.binomial_quantile(np.array([0.025, 0.5, 0.975]), np.full(3, 10**12), 0.3)
+    finally:
+        probability._TABLE = kept
+    assert (large - 3 * 10**11) / math.sqrt(0.21e12) == pytest.approx([-1.959964, 0.0, 1.959964], abs=1e-4)
+
+
 def test_tail_probabilities():
     assert probability.normal_cdf(-1.959963985) == pytest.approx(0.025, abs=1e-9)
     assert probability.t_cdf(-2.228138852, 10) == pytest.approx(0.025, abs=1e-8)
