@@ -40,25 +40,40 @@ def lab_of(rgb: np.ndarray) -> np.ndarray:
     return np.column_stack([light, 500.0 * (f[:, 0] - f[:, 1]), 200.0 * (f[:, 1] - f[:, 2])])
 
 
-def patch_medians(data: bytes | None) -> tuple:
-    """Masked medians of one BGR byte buffer; NULLs where no pixel passes a mask."""
-    if not data:
-        return (None,) * 5
-    bgr = np.frombuffer(data, dtype=np.uint8)
-    rgb = bgr[: len(bgr) // 3 * 3].reshape(-1, 3)[:, ::-1].astype(float)
+def _segment_medians(values: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+    """Median of the values of every segment 0 .. n-1; NaN where there is none."""
+    order = np.lexsort((values, segment))
+    ordered, sizes = values[order], np.bincount(segment, minlength=n)
+    starts = np.cumsum(sizes) - sizes
+    out, some = np.full(n, np.nan), sizes > 0
+    low, high = starts + np.maximum(sizes - 1, 0) // 2, starts + sizes // 2
+    out[some] = (ordered[low[some]] + ordered[high[some]]) / 2.0
+    return out
+
+
+def batch_medians(buffers: list[bytes | None]) -> np.ndarray:
+    """Masked medians of many BGR buffers: one colour transform over all their pixels.
+
+    Columns as in ``PATCH_SCHEMA``; NaN where no pixel passes a mask. Bytes after the
+    last whole pixel are no pixel.
+    """
+    n, data = len(buffers), [b or b"" for b in buffers]
+    pixels = np.array([len(d) // 3 for d in data], dtype=np.int64)
+    joined = b"".join(d[: 3 * p] for d, p in zip(data, pixels.tolist()))
+    rgb = np.frombuffer(joined, dtype=np.uint8).reshape(-1, 3)[:, ::-1].astype(float)
+    segment = np.repeat(np.arange(n), pixels)
     lab = lab_of(rgb)
     low, high = fv.ANGLE_LUMINANCE_RANGE
     skin = (lab[:, 0] > low) & (lab[:, 0] < high)
-    l_med, b_med = (np.median(lab[skin, 0]), np.median(lab[skin, 2])) if skin.any() else (None, None)
     low, high = fv.COLOUR_LUMINANCE_RANGE
     usable = (lab[:, 0] > low) & (lab[:, 0] < high)
-    colour = np.median(rgb[usable], axis=0) if usable.any() else (None, None, None)
-    return (l_med, b_med, *colour)
+    columns = [(lab[:, 0], skin), (lab[:, 2], skin), *[(rgb[:, i], usable) for i in range(3)]]
+    return np.column_stack([_segment_medians(v[m], segment[m], n) for v, m in columns])
 
 
 @F.pandas_udf(PATCH_SCHEMA)
 def patch_statistics(data: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([patch_medians(d) for d in data], columns=PATCH_SCHEMA.fieldNames(), dtype="float64")
+    return pd.DataFrame(batch_medians(data.tolist()), columns=PATCH_SCHEMA.fieldNames(), dtype="float64").replace({np.nan: None})
 
 
 def with_patch_statistics(df: DataFrame, data_col: str = "data") -> DataFrame:
@@ -66,11 +81,23 @@ def with_patch_statistics(df: DataFrame, data_col: str = "data") -> DataFrame:
     return df.withColumn("__p", patch_statistics(F.col(data_col))).select("*", "__p.*").drop("__p")
 
 
+@F.pandas_udf(T.BinaryType())
+def _as_bgr(data: pd.Series, channels: pd.Series) -> pd.Series:
+    """Grey repeated for the three colours, alpha removed; None for what could not be decoded."""
+
+    def convert(raw: bytes | None, n: int) -> bytes | None:
+        if not raw or n not in (1, 3, 4):
+            return None
+        return np.frombuffer(raw, np.uint8).reshape(-1, n)[:, [0] * 3 if n == 1 else [0, 1, 2]].tobytes()
+
+    return pd.Series([convert(d, c) for d, c in zip(data, channels)])
+
+
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
-    """Images of a folder as ``path, data`` (BGR bytes), undecodable files dropped."""
-    images = spark.read.format("image").option("dropInvalid", "true").load(path)
-    return images.where(F.col("image.nChannels") == 3).select(
-        F.col("image.origin").alias("path"), F.col("image.data").alias("data")
+    """Images of a folder as ``path, data`` (BGR bytes). Undecodable files stay, with NULL data."""
+    images = spark.read.format("image").option("dropInvalid", "false").load(path)
+    return images.select(
+        F.col("image.origin").alias("path"), _as_bgr(F.col("image.data"), F.col("image.nChannels")).alias("data")
     )
 
 

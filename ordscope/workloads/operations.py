@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions import ids
+from ordscope.functions.ordinal import dominant_label
 from ordscope.operators import distributions, grid, merge, progress, quality, requests, sampling
 from ordscope.plans import operations as plans
 from ordscope.session import materialise
 from ordscope.workloads import audits
 from ordscope.workloads import bindings as b
-from ordscope.workloads.registry import query, r, tidy
+from ordscope.workloads.registry import longs, query, r, tidy
 from ordscope.workloads.relational import BACKEND_SQL, GRID_META_SQL, META_SQL, RUNNER_SQL, manifest
 
 # ---- invariants, duplicates -------------------------------------------------
@@ -369,6 +370,40 @@ def w10(spark, sf_dir):
     return sample.distinct()
 
 
+@query(
+    "W10_labelling_sheet",
+    META_SQL
+    + f"""SELECT image_id, occupation, language, model, country, path, CAST(-1 AS BIGINT) AS label_a, CAST(-1 AS BIGINT) AS label_b, CAST(-1 AS BIGINT) AS adjudication, '' AS notes
+FROM (SELECT image_id || ':' || src_ord || ':' || row_ord AS image_id, occupation, language, model, country_proxy AS country, 'images/' || image_id || '.png' AS path FROM metadata WHERE seed % 5 <> 0)
+WHERE occupation IS NOT NULL QUALIFY row_number() OVER (PARTITION BY occupation ORDER BY md5('{fv.BASE_SEED}|' || image_id), image_id) <= {fv.SAMPLE_PER_GROUP}""",
+)
+def w10_sheet(spark, sf_dir):
+    """The labelling sheet whole: sampled rows, fixed columns, empty labels (shown as -1)."""
+    panel = b.metadata(spark, sf_dir).withColumns(
+        {
+            "path": F.concat(F.lit("images/"), "image_id", F.lit(".png")),
+            "image_id": F.concat_ws(":", "image_id", F.col("src_ord").cast("string"), F.col("row_ord").cast("string")),
+            "country": F.col("country_proxy"),
+            "has_face": F.col("seed") % 5 != 0,
+        }
+    )
+    return longs(sampling.sample_for_validation(panel)).fillna(-1, ["label_a", "label_b", "adjudication"])
+
+
+@query(
+    "W9_dominant_label",
+    """SELECT event_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS label
+FROM (SELECT event_id, event_id * 7 % 5 AS a, event_id * 3 % 5 AS b, user_id % 5 AS c FROM events)""",
+)
+def w9_label(spark, sf_dir):
+    """Label with the largest score of a map; the first of equal ones."""
+    score = lambda e: F.expr(e).cast("double")
+    scores = F.create_map(
+        F.lit("a"), score("event_id * 7 % 5"), F.lit("b"), score("event_id * 3 % 5"), F.lit("c"), score("user_id % 5")
+    )
+    return b.table(spark, sf_dir, "events").select("event_id", dominant_label(scores).alias("label"))
+
+
 # ---- quality -------------------------------------------------------------------------
 
 
@@ -405,6 +440,26 @@ def l10(spark, sf_dir):
     )
 
 
+@query(
+    "L10_quality_report",
+    audits.INDEX_SQL
+    + f""",
+base_sums AS (SELECT country, grp, sum(prob) AS s FROM base GROUP BY ALL),
+weight_sums AS (SELECT country, sum(weight) AS s FROM weights GROUP BY ALL)
+SELECT 'baseline-columns' AS name, true AS passed, 'blocking' AS severity, 'missing columns: []' AS detail
+UNION ALL SELECT 'baseline-sums', count(*) FILTER (WHERE abs(s - 1) > 1e-3) = 0, 'blocking', count(*) FILTER (WHERE abs(s - 1) > 1e-3) || ' of ' || count(*) || ' groups do not sum to 1' FROM base_sums
+UNION ALL SELECT 'weight-sums', count(*) FILTER (WHERE abs(s - 1) > 1e-3) = 0, 'blocking', count(*) FILTER (WHERE abs(s - 1) > 1e-3) || ' of ' || count(*) || ' groups do not sum to 1' FROM weight_sums
+UNION ALL SELECT 'crosswalk', count(DISTINCT grp) = 25, 'blocking', count(DISTINCT grp) || ' rows (need 25)' FROM base
+UNION ALL SELECT 'main-grid', count(*) = 12000, 'blocking', count(*) || ' rows (need 12000)' FROM signed""",
+)
+def l10_report(spark, sf_dir):
+    """The report through the public plan, over counts taken once."""
+    cells = audits.cell_counts(spark, sf_dir)
+    base = audits.baseline_of(cells)
+    long = distributions.to_long(base, ["country", "grp"], arrays=("base_probs",), names=("prob",))
+    return plans.quality_report(long, base, base.select("grp").distinct(), cells)
+
+
 @query(
     "F16_eta_text",
     META_SQL

@@ -286,13 +286,15 @@ def patches(spark, sf_dir):
     level = F.transform(
         "embedding", lambda v: F.floor(F.least(F.greatest(v.cast("double") * 400.0 + 128.0, F.lit(0.0)), F.lit(255.0))).cast("int")
     )
+    # Whole pixels: the last component fills the last one up, so that every component is read.
+    level = F.concat(level, F.array_repeat(F.element_at(level, -1), F.pmod(-F.size("embedding"), F.lit(3))))
     hex_bytes = F.array_join(F.transform(level, lambda x: F.lpad(F.hex(x), 2, "0")), "")
     return b.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.unhex(hex_bytes).alias("data"))
 
 
 PATCH_SQL = """lv AS (
-  SELECT vec_id, label, i, CAST(floor(least(greatest(CAST(embedding[i] AS DOUBLE) * 400.0 + 128.0, 0.0), 255.0)) AS INTEGER) AS x
-  FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) // 3 * 3 + 1)) AS i FROM embeddings)
+  SELECT vec_id, label, i, CAST(floor(least(greatest(CAST(embedding[least(i, len(embedding))] AS DOUBLE) * 400.0 + 128.0, 0.0), 255.0)) AS INTEGER) AS x
+  FROM (SELECT vec_id, label, embedding, unnest(range(1, (len(embedding) + 2) // 3 * 3 + 1)) AS i FROM embeddings)
 ),
 px AS (
   SELECT vec_id, label, (i - 1) // 3 AS p, max(CASE WHEN i % 3 = 1 THEN x END)::DOUBLE AS bl, max(CASE WHEN i % 3 = 2 THEN x END)::DOUBLE AS gr, max(CASE WHEN i % 3 = 0 THEN x END)::DOUBLE AS rd
@@ -351,7 +353,9 @@ m3 AS (SELECT *, CAST(round_even((v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2
 SELECT vec_id, face AS has_face, CASE WHEN face THEN CASE WHEN angle >= -90 AND angle < -30 THEN 'dark' WHEN angle >= -30 AND angle < 10 THEN 'brown' WHEN angle >= 10 AND angle < 28 THEN 'tan'
  WHEN angle >= 28 AND angle < 41 THEN 'intermediate' WHEN angle >= 41 AND angle < 55 THEN 'light' WHEN angle >= 55 AND angle < 90 THEN 'very_light' ELSE 'unknown' END ELSE 'no_face' END AS ita_label,
  CAST(CASE WHEN face THEN c ELSE 0 END AS BIGINT) AS consensus_bin, CAST(CASE WHEN face THEN len(v) ELSE 0 END AS BIGINT) AS n_classifiers,
- CAST(CASE WHEN face THEN len(list_filter(v, lambda x: abs(x - c) <= 1)) ELSE 0 END AS BIGINT) AS n_concordant, face AND len(list_filter(v, lambda x: abs(x - c) <= 1)) >= 2 AS concordant_2of3 FROM m3""",
+ CAST(CASE WHEN face THEN len(list_filter(v, lambda x: abs(x - c) <= 1)) ELSE 0 END AS BIGINT) AS n_concordant, face AND len(list_filter(v, lambda x: abs(x - c) <= 1)) >= 2 AS concordant_2of3,
+ CAST(CASE WHEN face THEN 1 ELSE 0 END AS BIGINT) AS n_faces, {r('CASE WHEN face THEN angle END')} AS ita_value, CAST(coalesce(CASE WHEN face THEN ab END, 0) AS BIGINT) AS ita_bin,
+ CAST(coalesce(CASE WHEN face THEN tone END, 0) AS BIGINT) AS mst_value, CAST(coalesce(CASE WHEN face THEN tb END, 0) AS BIGINT) AS mst_bin, CAST(coalesce(CASE WHEN face THEN pb END, 0) AS BIGINT) AS palette_bin FROM m3""",
 )
 def m3(spark, sf_dir):
     stats = with_patch_statistics(patches(spark, sf_dir)).withColumns(
@@ -364,6 +368,6 @@ def m3(spark, sf_dir):
     return tidy(
         out.select(
             "vec_id", "has_face", "ita_label", F.coalesce("consensus_bin", F.lit(0)).alias("consensus_bin"),
-            "n_classifiers", "n_concordant", "concordant_2of3",
+            "n_classifiers", "n_concordant", "concordant_2of3", "n_faces", "ita_value", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ita_bin", "mst_value", "mst_bin", "palette_bin")],
         )
     )

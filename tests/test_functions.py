@@ -226,3 +226,46 @@ def test_tail_probabilities():
         assert probability.incomplete_beta(2.0, 3.0, x) == pytest.approx(
             6 * x**2 - 8 * x**3 + 3 * x**4, rel=1e-12
         )
+
+
+def png(width, height, kind, pixels):
+    """A PNG file: colour type 0 grey, 2 RGB, 6 RGB with alpha."""
+    import struct
+    import zlib
+
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    step = len(pixels) // height
+    lines = b"".join(b"\0" + pixels[i : i + step] for i in range(0, len(pixels), step))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images_of_every_kind_stay(spark, tmp_path):
+    from ordscope.sources.images import read_patches
+
+    (tmp_path / "grey.png").write_bytes(png(2, 1, 0, bytes([10, 200])))
+    (tmp_path / "rgb.png").write_bytes(png(1, 1, 2, bytes([1, 2, 3])))
+    (tmp_path / "alpha.png").write_bytes(png(1, 1, 6, bytes([1, 2, 3, 77])))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    got = {r.path.rsplit("/", 1)[-1]: r.data for r in read_patches(spark, str(tmp_path)).collect()}
+    assert got["grey.png"] == bytes([10, 10, 10, 200, 200, 200])
+    assert got["rgb.png"] == got["alpha.png"] == bytes([3, 2, 1])
+    assert got["broken.png"] is None
+
+
+def test_batch_medians_equal_single_medians():
+    from ordscope.sources.images import batch_medians, lab_of
+
+    rng = np.random.default_rng(3)
+    buffers = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 3, 4, 64, 300)] + [None, bytes(30)]
+    got = batch_medians(buffers)
+    for row, data in zip(got, buffers):
+        rgb = np.frombuffer(data or b"", np.uint8)
+        rgb = rgb[: len(rgb) // 3 * 3].reshape(-1, 3)[:, ::-1].astype(float)
+        lab = lab_of(rgb)
+        skin, usable = (lab[:, 0] > 20) & (lab[:, 0] < 95), (lab[:, 0] > 15) & (lab[:, 0] < 97)
+        want = [np.median(lab[skin, i]) if skin.any() else np.nan for i in (0, 2)]
+        want += [np.median(rgb[usable, i]) if usable.any() else np.nan for i in range(3)]
+        assert row == pytest.approx(want, nan_ok=True)

@@ -66,7 +66,7 @@ def test_hot_key_collapses_before_the_shuffle(spark):
     )
     out = merge.latest_by_key(df)
     assert out.where("image_id = 'hot'").first().timestamp == 39999
-    assert "partial_max_by" in out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in out._jdf.queryExecution().executedPlan().toString()
     assert merge.duplicate_summary(df).first().n_surplus == 40000 // 3
 
 
@@ -274,8 +274,8 @@ def test_failure_alerts_carry_over_batches(spark, tmp_path):
             throughput.failure_alerts(
                 batch, state, alerts, epoch, ["k"], ["at"], F.floor(F.col("at") / 100), F.col("failed"), 4
             )
-    got = [r.k for r in spark.read.parquet(alerts).collect()]
-    assert sorted(got) == sorted(k for k, _, _ in brute_runs(events, 4))
+    got = throughput.current_alerts(spark, alerts, ["k"]).collect()
+    assert sorted((r.k, r.run_length, r.run_start) for r in got) == brute_runs(events, 4)
 
 
 # ---- quality and imputation ------------------------------------------------------------------
@@ -378,8 +378,8 @@ def test_images(spark, tmp_path):
     png(tmp_path / "a.png", (243, 231, 219))
     (tmp_path / "broken.png").write_bytes(b"nope")
     patches = images.read_patches(spark, str(tmp_path))
-    row = images.with_patch_statistics(patches).first()
-    assert patches.count() == 1 and (row.r_med, row.g_med, row.b_med_rgb) == (243, 231, 219)
+    got = {r.path.rsplit("/", 1)[-1]: (r.r_med, r.g_med, r.b_med_rgb) for r in images.with_patch_statistics(patches).collect()}
+    assert got == {"a.png": (243, 231, 219), "broken.png": (None, None, None)}
     assert images.content_hashes(spark, str(tmp_path)).count() == 2
     assert {r.length for r in images.file_listing(spark, str(tmp_path)).collect()} > {4}
 
@@ -426,3 +426,94 @@ def test_batch_windows(spark):
     tumbling = throughput.windowed_throughput(df, window="1 hour", slide=None).collect()
     assert len(tumbling) == 2 and tumbling[0].per_minute == pytest.approx(1 / 60)
     assert throughput.windowed_throughput(df, window="2 hours", slide="1 hour").where("n_units = 2").count() == 1
+
+
+def test_ties_across_shards_keep_the_earliest_source(spark):
+    """Position 3 of the first shard comes before position 0 of the second."""
+    rows = [("x", 5, "metadata_b", 0, "late"), ("x", 5, "metadata_a", 3, "early"), ("x", 4, "metadata_a", 0, "old"), ("x", None, "metadata_a", 0, "unknown")]
+    df = spark.createDataFrame(rows, "image_id string, timestamp bigint, source string, row_ord bigint, v string")
+    assert merge.latest_by_key(df).first().v == "early"
+    stamped = df.withColumn("timestamp", F.timestamp_seconds("timestamp"))
+    assert merge.latest_by_key(stamped).first().v == "early"
+
+
+def test_alerts_do_not_depend_on_batch_cuts(spark, tmp_path):
+    from ordscope.streaming import throughput
+
+    events = [(1, i, i not in (0, 6, 9)) for i in range(12)] + [(2, 5, True), (2, 7, True), (2, 11, True)]
+    df = spark.createDataFrame(events, "user bigint, pos bigint, bad boolean")
+    want = {(1, 5, 1, 5), (2, 3, 5, 11)}
+    for name, cuts in {"whole": [12], "cut": [3, 4, 5, 8, 12], "fine": list(range(1, 13))}.items():
+        state, alerts, at = str(tmp_path / f"s{name}"), str(tmp_path / f"a{name}"), 0
+        for epoch, end in enumerate(cuts):
+            batch = df.where(F.col("pos").between(at, end - 1))
+            throughput.failure_alerts(batch, state, alerts, epoch, ["user"], ["pos"], F.floor(F.col("pos") / 4), F.col("bad"), 3)
+            at = end
+        got = throughput.current_alerts(spark, alerts, ["user"]).collect()
+        assert {(r.user, r.run_length, r.run_start, r.run_end) for r in got} == want, name
+
+
+def test_csv_is_read_by_name(spark, tmp_path):
+    from ordscope.sources import readers
+
+    (tmp_path / "s.csv").write_text("idnum,edre,pais,colorr\n7,3,8,5\n")
+    row = readers.read_csv(spark, str(tmp_path / "s.csv"), "pais int, colorr int, edre int").first()
+    assert (row.pais, row.colorr, row.edre) == (8, 5, 3)
+    with pytest.raises(ValueError, match="income"):
+        readers.read_csv(spark, str(tmp_path / "s.csv"), "pais int, income double")
+
+
+def test_panel_keeps_rows_without_a_key_and_checks_the_others(spark):
+    from ordscope.operators.panel import build_panel
+
+    meta = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "image_id string, m int")
+    face = spark.createDataFrame([("a", 9), (None, 8)], "image_id string, bin int")
+    got = {(r.image_id, r.m, r.bin) for r in build_panel(meta, face).collect()}
+    assert got == {("a", 1, 9), (None, 2, None), (None, 3, None)}
+    with pytest.raises(Exception, match="duplicate key"):
+        build_panel(meta, face.unionAll(face)).collect()
+
+
+def test_nan_bins_count_as_unknown(spark):
+    from ordscope.operators import distributions
+
+    df = spark.createDataFrame([("g", float("nan"), True), ("g", 3.0, True)], "grp string, bin double, has_signal boolean")
+    assert distributions.eligible_rows(df).count() == 1
+    row = distributions.count_bins(df, ["grp"]).first()
+    assert (row.n_rows, sum(row.counts)) == (2, 1)
+
+
+def test_unknown_groups_fail_whichever_column_is_read(spark):
+    from ordscope.sources.dimensions import lookup_groups
+
+    df = spark.createDataFrame([("CEO",), ("nobody",)], "grp string")
+    with pytest.raises(Exception, match="nobody"):
+        lookup_groups(df).select("tier").collect()
+
+
+def test_text_rounds_half_to_even(spark):
+    from ordscope.functions import ids
+
+    seconds = [30.0, 150.0, 270.0, 90.0, 1.15 * 3600, 4500.0, 6300.0, 86_400 * 1.25, None]
+    df = spark.createDataFrame([(s,) for s in seconds], "s double")
+    want = ["—" if s is None else f"{s / 86400:.1f} d" if s >= 86400 else f"{s / 3600:.1f} h" if s >= 3600 else f"{s / 60:.0f} min" for s in seconds]
+    assert [r.t for r in df.select(ids.format_eta(F.col("s")).alias("t")).collect()] == want
+
+
+def test_result_csv_leaves_nulls_empty(spark, tmp_path):
+    from ordscope.sources import sinks
+
+    df = spark.createDataFrame([("a", None), ("b", 0.5)], "k string, v double").coalesce(1)
+    sinks.write_result_csv(df, str(tmp_path / "out"), decimals=0)
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert sorted(text.split()) == ["a,", "b,0", "k,v"]
+
+
+def test_cut_off_swap_is_recovered(spark, tmp_path):
+    from ordscope.sources import sinks
+
+    target = tmp_path / "t"
+    sinks.replace_table(spark.range(3), str(target))
+    target.rename(tmp_path / "t.old-1")
+    assert sinks.recover_table(spark, str(target)) and spark.read.parquet(str(target)).count() == 3
+    assert not sinks.recover_table(spark, str(target))
