@@ -145,7 +145,7 @@ def fold_characters(text: str) -> tuple[str, list[Edit]]:
 
 # Digits as words in the languages of the corpus, and two further signs.
 SPELLED = {
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4",
     "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -181,26 +181,30 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT_WORD, _AT_WORD = r"(?:dot|punkt|point|punto)", r"(?:at|ät|arroba|arobase)"
 _AT_BRACKET = re.compile(rf"(?<=[A-Za-z0-9._%+-])[ ]?{_OPEN}[ ]?(?:{_AT_WORD}|@)[ ]?{_CLOSE}[ ]?(?=[A-Za-z0-9])", re.I)
 _DOT_BRACKET = re.compile(rf"(?<=[A-Za-z0-9])[ ]?{_OPEN}[ ]?(?:{_DOT_WORD}|\.)[ ]?{_CLOSE}[ ]?(?=[A-Za-z0-9])", re.I)
-_DOT_PLAIN = re.compile(rf"(?<=[A-Za-z0-9])[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}(?=[A-Za-z0-9])", re.I)
-_SPACED_DOT = rf"(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[ ]?{_OPEN}[ ]?(?:{_DOT_WORD}|\.)[ ]?{_CLOSE}[ ]?)"
+_DOT_PLAIN = re.compile(rf"(?<=[A-Za-z0-9])(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[_-]{_DOT_WORD}[_-])(?=[A-Za-z0-9])", re.I)
+_SPACED_DOT = rf"(?:[ ]{{1,2}}{_DOT_WORD}[ ]{{1,2}}|[_-]{_DOT_WORD}[_-]|[ ]?{_OPEN}[ ]?(?:{_DOT_WORD}|\.)[ ]?{_CLOSE}[ ]?)"
 # Last labels that make a host of words in prose; anywhere else ("look at the dot on") a bare "at" stays a word.
 _TOP = "com net org edu gov mil int info biz io ai app dev name eu us uk ie ca au nz de at ch fr be nl es pt it pl se no dk fi mx ar co br cl in jp cn"
 _AT_PLAIN = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}}"
+    rf"(?<=[A-Za-z0-9._%+-])(?:[ ]{{1,2}}{_AT_WORD}[ ]{{1,2}}|[_-]{_AT_WORD}[_-])"
     rf"(?=[A-Za-z0-9-]++(?:(?:\.|{_SPACED_DOT})[A-Za-z0-9-]++)*?{_SPACED_DOT}(?:{_TOP.replace(' ', '|')})(?![A-Za-z0-9-]))",
     re.I,
 )
 _AT_SPACED = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:[ ]@[ ]?|@[ ])(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)")
 
 
+_ESCAPED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:&#0*64;|&#x0*40;|&commat;|%40)(?=[A-Za-z0-9])", re.I)
+_ESCAPED_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:&#0*46;|&#x0*2e;|&period;)(?=[A-Za-z0-9])", re.I)
+
+
 def at_and_dot(text: str) -> list[Edit]:
-    """Bracketed or spelled ``at`` and ``dot``, and blanks around ``@``.
+    """Bracketed, spelled or escaped ``at`` and ``dot``, and blanks around ``@``.
 
     A bare word ``at`` counts only before a host whose dot is disguised as well:
     "at example.com" is ordinary prose.
     """
-    edits = [(m.start(), m.end(), "@") for p in (_AT_BRACKET, _AT_PLAIN, _AT_SPACED) for m in p.finditer(text)]
-    edits += [(m.start(), m.end(), ".") for p in (_DOT_BRACKET, _DOT_PLAIN) for m in p.finditer(text)]
+    edits = [(m.start(), m.end(), "@") for p in (_AT_BRACKET, _AT_PLAIN, _AT_SPACED, _ESCAPED_AT) for m in p.finditer(text)]
+    edits += [(m.start(), m.end(), ".") for p in (_DOT_BRACKET, _DOT_PLAIN, _ESCAPED_DOT) for m in p.finditer(text)]
     return sorted(edits)
 
 
@@ -239,7 +243,7 @@ class Rewriting:
         return begin, stop
 
 
-_SIGNS = ("dot", "punkt", "point", "punto", "@", "[at", "[ at", "(at", "( at", "{at", "{ at", "<at", "< at")
+_SIGNS = ("&#", "&commat", "%40", "dot", "punkt", "point", "punto", "@", "[at", "[ at", "(at", "( at", "{at", "{ at", "<at", "< at")
 _MANY_DIGITS = re.compile(r"[0-9OoIl|][0-9OoIl| -]{11,}[0-9OoIl|]")
 _BREAKS = str.maketrans("-,;:.!?()", "         ")
 #: The shortest identifier in spelled digits has this many number words (an address).

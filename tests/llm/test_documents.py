@@ -116,6 +116,8 @@ def test_detectors_are_linear_on_long_runs():
         ("x john.doe [at] exаmple [dot] com y", "email", "john.doe [at] exаmple [dot] com", "john.doe@example.com"),
         ("j​ohn(at)example.com", "email", "j​ohn(at)example.com", "john@example.com"),
         ("ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ!", "email", "ｊｏｈｎ＠ｅｘａｍｐｌｅ．ｃｏｍ", "john@example.com"),
+        ("x user_at_example_dot_com y", "email", "user_at_example_dot_com", "user@example.com"),
+        ("x user&#64;example&#46;com y", "email", "user&#64;example&#46;com", "user@example.com"),
         ("ring plus one four one four five five five seven one three four end", "phone",
          "plus one four one four five five five seven one three four", "+14145557134"),
         ("vier sieben vier neun sechs zwei sieben acht fünf vier neun neun null null sechs vier", "card",
