@@ -24,7 +24,7 @@ from ordscope.llm.common import SPACES, WORD_PATTERN, own_prefix, pick, text_of
 from ordscope.session import materialise
 
 WEIGHTS = (3, 1, 2)
-ROUNDS = 32
+ROUNDS = 24
 _MANY = 8192
 
 
@@ -109,7 +109,7 @@ def _slots(plan: DataFrame, block_words: int, shard_slots: int, seed: int) -> Da
     n = plan.withColumn("total_slots", F.sum("slots").over(Window.partitionBy()))
     n = n.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("total_slots") / shard_slots)).cast("long"))
     chunks = n.where("slots > 0").withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / _MANY))))
-    chunks = chunks.repartition("source", "c")
+    chunks = chunks.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "c")
     throws = chunks.withColumn(
         "k", F.explode(F.sequence(F.col("c") * _MANY, F.least((F.col("c") + 1) * _MANY, F.col("slots")) - 1))
     )
@@ -121,6 +121,9 @@ def _slots(plan: DataFrame, block_words: int, shard_slots: int, seed: int) -> Da
     counts = counts.join(
         plan.select(F.col("source").alias("s"), "source_size", "blocks", "take"), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
+    # Few bytes that become very many slots: a fixed number of partitions, which is not merged by size.
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.repartition(parts, "source", "shard")
     slots = counts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     slots = slots.withColumn("k", F.col("first") + F.col("i"))
     slots = slots.withColumn("pass", F.floor(F.col("k") / F.col("blocks"))).withColumn("j", F.col("k") % F.col("blocks"))
@@ -216,9 +219,10 @@ def mixed_documents(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_co
     keys = [name(id_col), f"{p}digest", name(source_col)]
     own = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(name(c)) for c in docs.columns]))
     carriers = docs.withColumn(f"{p}digest", F.xxhash64(whole)).withColumn(f"{p}tie", F.row_number().over(own))
-    parts = mixed.segments.select(
-        *[F.col(c).alias(f"{p}{c}_") for c in ("doc_id", "digest", "tie", "source", "first_word", "n_words")]
-    )
+    # A document's segments together: its text is joined and cut into words once, however long it is.
+    ids = ["doc_id", "digest", "tie", "source"]
+    parts = mixed.segments.groupBy(*ids).agg(F.collect_list(F.struct("first_word", "n_words")).alias("parts"))
+    parts = parts.select(*[F.col(c).alias(f"{p}{c}_") for c in parts.columns])
     joined = carriers.join(
         parts,
         F.col(name(id_col)).eqNullSafe(F.col(f"{p}doc_id_"))
@@ -227,8 +231,13 @@ def mixed_documents(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_co
         & F.col(name(source_col)).eqNullSafe(F.col(f"{p}source_")),
     )
     pieces = F.regexp_extract_all(whole, F.lit(rf"(?s)^[{SPACES}]*[^{SPACES}]+[{SPACES}]*|[^{SPACES}]+[{SPACES}]*"), F.lit(0))
-    first, n = F.col(f"{p}first_word_") + 1, F.col(f"{p}n_words_")
-    joined = joined.withColumn(f"{p}cut", F.array_join(F.slice(pieces, first.cast("int"), n.cast("int")), ""))
+    # By way of a generator, across which the words are not computed anew for every segment.
+    joined = joined.select("*", F.explode(F.array(pieces)).alias(f"{p}pieces"))
+    cuts = F.transform(
+        f"{p}parts_",
+        lambda s: F.array_join(F.slice(f"{p}pieces", (s["first_word"] + 1).cast("int"), s["n_words"].cast("int")), ""),
+    )
+    joined = joined.select(*[name(c) for c in docs.columns], F.explode(cuts).alias(f"{p}cut"))
     columns = []
     for c, kind in docs.dtypes:
         value = {text_col: F.col(f"{p}cut"), "n_chars": F.length(f"{p}cut").cast(kind)}.get(c, F.col(name(c)))
