@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordscope.llm.common import batch_of, pick, rows_of, small_batches, text_of
+from ordscope.llm.common import batch_of, own_prefix, pick, rows_of, small_batches, text_of
 from ordscope.session import materialise
 
 BITS = 18
-FIT_ROWS = 20_000
+FIT_ROWS = 8_000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _AGAIN = crc32(b"\x00again")
 _CACHE_WORDS = 1 << 18
@@ -84,7 +84,7 @@ def fit_hinge(rows: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray, co
     A row's vector is its slots' ratios over the root of their number, and a constant
     1 for the bias. Rows are visited in a fixed pseudorandom order per pass.
     """
-    values = [ratios[s] / np.sqrt(max(1, len(s))) for s in rows]
+    values = [(ratios[s] / np.sqrt(max(1, len(s)))).astype(np.float32) for s in rows]
     norms = np.array([float(v @ v) + 1.0 for v in values])
     signs = np.where(labels > 0, 1.0, -1.0)
     # Each class carries half of the cost, however rare it is.
@@ -150,7 +150,8 @@ def train(
     if keep is not None:
         # On both sides, so that unlabelled and held-out texts are not shuffled.
         rows, known = rows.where(keep), known.withColumn("doc_id", F.col("key")).where(keep).drop("doc_id")
-    joined = rows.join(known, F.col("doc_id") == F.col("key")).select(
+    # Labels grow with the corpus: the same shuffle join at every size, not a broadcast while they happen to be few.
+    joined = rows.hint("merge").join(known, F.col("doc_id") == F.col("key")).select(
         F.col("label").cast("int").alias("label"), F.xxhash64(F.lit("fit"), "doc_id", F.col("text")).alias("pick"), text_of().alias("text")
     )
 
@@ -179,8 +180,10 @@ def train(
         down[table["slot"].to_numpy()] += table["down"].to_numpy()
     ratios = np.log(up / up.sum()) - np.log(down / down.sum())
 
-    # At most ``fit_rows`` rows, those with the smallest hashes.
-    sample = vectors.orderBy("pick", "slots", "label").limit(fit_rows).toPandas()
+    # A share of the rows by their hash, so that no task returns more than its share; then at most ``fit_rows`` of these.
+    share = min(1.0, fit_rows / max(1, vectors.count()))
+    below = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    sample = vectors.where(F.col("pick") <= below).toPandas().sort_values(["pick", "slots", "label"], ignore_index=True).head(fit_rows)
     y = sample["label"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
         share = (float(y.sum()) + 1) / (len(y) + 2)
@@ -220,5 +223,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more, with all their columns."""
     model = train(docs, labels, id_col, text_col, label_col, keep=~held_out(F.col("doc_id")))
-    scored = score(docs, model, text_col, "__score")
-    return scored.where("__score >= 0.5").drop("__score")
+    column = f"{own_prefix(docs)}score"
+    return score(docs, model, text_col, column).where(F.col(column) >= 0.5).drop(column)
