@@ -239,14 +239,17 @@ def benjamini_hochberg(
     """Step-up adjusted p-values, without ordering the whole table in one task.
 
     Distinct p-values with their counts are cut into order-preserving slices
-    (relative width, so crowds near zero are split as well). Ranks inside a slice
+    (of relative width towards both ends, so crowds near zero and near one are split
+    as well). Ranks inside a slice
     plus the counts of the slices before it give the global rank; the running
     minimum from the top is built the same way.
     """
     keys = list(by)
     rows = df.where(F.col(p_col).isNotNull())
     distinct = rows.groupBy(*keys, p_col).agg(F.count(F.lit(1)).alias("__c"))
-    distinct = distinct.withColumn("__slice", coarse_bucket(F.col(p_col), per_octave))
+    low = coarse_bucket(F.col(p_col), per_octave)
+    high = 2 * coarse_bucket(F.lit(0.5), per_octave) + 1 - coarse_bucket(1.0 - F.col(p_col), per_octave)
+    distinct = distinct.withColumn("__slice", F.when(F.col(p_col) <= 0.5, low).when(F.col(p_col) < 1.0, high).otherwise(F.lit(1 << 40)))
     on = [*keys, "__slice"]
     across = Window.partitionBy(*keys).orderBy("__slice")
     per_slice = (
