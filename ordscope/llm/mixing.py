@@ -182,7 +182,9 @@ def mix(
     slot_rows = _slots(plan, block_words, shard_slots, seed).select(
         F.col("source").alias("s"), F.col("index").alias("x"), "shard", "slot", "pass", "words"
     )
-    joined = pieces.join(slot_rows, F.col("source").eqNullSafe(F.col("s")) & (F.col("index") == F.col("x")))
+    # Both sides have grown since their sizes were known (few rows that became many): neither may be broadcast.
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("index") == F.col("x"))
+    joined = pieces.hint("merge").join(slot_rows, same)
     # The last slot of a source ends at its target: it takes the first words of its block.
     end = F.least(F.col("to"), F.col("index") * block_words + F.col("words"))
     segments = joined.withColumn("n_words", end - F.col("from")).where("n_words > 0").select(
