@@ -30,7 +30,7 @@ BITS = 18
 FIT_ROWS = 8_000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _AGAIN = crc32(b"\x00again")
-_CACHE_WORDS = 1 << 18
+_CACHE_WORDS = 1 << 16
 
 
 class _Hashes(dict):
