@@ -243,21 +243,6 @@ class Rewriting:
         return begin, stop
 
 
-_SIGNS = ("&#", "&commat", "%40", "dot", "punkt", "point", "punto", "@", "[at", "[ at", "(at", "( at", "{at", "{ at", "<at", "< at")
-_MANY_DIGITS = re.compile(r"[0-9OoIl|][0-9OoIl| -]{11,}[0-9OoIl|]")
-_BREAKS = str.maketrans("-,;:.!?()", "         ")
-#: The shortest identifier in spelled digits has this many number words (an address).
-_LEAST_SPELLED = 4
-
-
-def _may_hide(text: str) -> bool:
-    """Whether a rewriting could matter, from a few substring searches and one split."""
-    lower = text.lower()
-    if any(sign in lower for sign in _SIGNS) or _MANY_DIGITS.search(text):
-        return True
-    return sum(map(SPELLED.__contains__, lower.translate(_BREAKS).split())) >= _LEAST_SPELLED
-
-
 def disguised(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normal form) of what the rewritten text shows, in source positions."""
     plain, edits = fold_characters(text)
@@ -266,8 +251,6 @@ def disguised(text: str) -> list[tuple[str, int, int, str]]:
         steps.append(Rewriting(plain, edits))
         plain = steps[-1].text
     folded = plain != text
-    if not (folded or _may_hide(plain)):
-        return []
     for rule in (spelled_digits, at_and_dot):
         if edits := rule(plain):
             steps.append(Rewriting(plain, edits))

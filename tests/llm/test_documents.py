@@ -130,6 +130,31 @@ def test_disguises_map_back_to_source_characters(text, kind, hidden, value):
     assert found == [(kind, hidden, value)]
 
 
+@pytest.mark.parametrize(
+    ("hidden", "kind", "value"),
+    [
+        ("192[.]168[.]1[.]1", "ip", "192.168.1.1"),
+        ("192(.)168(.)1(.)1", "ip", "192.168.1.1"),
+        ("192&period;168&period;1&period;1", "ip", "192.168.1.1"),
+        ("192.168.1O1.5", "ip", "192.168.101.5"),
+        ("192.168.one.two", "ip", "192.168.1.2"),
+        ("192.168.1.two", "ip", "192.168.1.2"),
+        ("user [arroba] ejemplo.es", "email", "user@ejemplo.es"),
+        ("user (arobase) exemple.fr", "email", "user@exemple.fr"),
+        ("user [ät] beispiel.de", "email", "user@beispiel.de"),
+        ("user at example[.]com", "email", "user@example.com"),
+        ("plus 1 (415) 555-2671", "phone", "+1 (415) 555-2671"),
+        ("+1 415 555 267one", None, None),
+        ("+1 415 555 26 seven one", "phone", "+1 415 555 26 71"),
+        ("4749 6278 5499 oh oh six four", "card", "4749 6278 5499 0064"),
+    ],
+)
+def test_a_disguise_alone_in_a_short_text(hidden, kind, value):
+    """Nothing else in the text hints at a disguise."""
+    found = [(k, s, e, v) for k, s, e, plain, v in pii.all_spans(hidden) if not plain]
+    assert (kind is None and not found) or (kind, 0, len(hidden), value) in found
+
+
 def test_prose_has_no_spans():
     for text in ("meet me at example.com at dot com", "un deux trois le plus un", "look at the dot on that point", "é" * 50, ""):
         assert pii.all_spans(text) == []
