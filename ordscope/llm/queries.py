@@ -152,4 +152,4 @@ def op5(spark, sf_dir):
 
 @query("op6_suffix_tree")
 def op6(spark, sf_dir):
-    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"), longer=True)

@@ -7,7 +7,9 @@ diverges from its parent's (the context without its first word) by more than
 probabilities, each occurrence left out of its own estimate. A state's distribution
 is smoothed with its parent's, (c(s, x) + T(s) P(x | parent)) / (c(s) + T(s)) with T(s)
 the number of distinct next words, down to the word counts. A word is scored in the
-longest suffix that is a state.
+longest suffix that is a state. With ``longer``, contexts of more than ``depth`` words
+are candidates as well if their parent is retained: rounds go on, one per length, until
+a round retains none.
 
 How it is spread: documents form blocks. A block is written once, as word hashes and
 codes, bucketed by its number. In each round (context length 0, 1, 2) a block lists
@@ -16,7 +18,8 @@ is one per block; the lists are dealt by the context's hash. A bucket sums the c
 tests its contexts and answers every block's list. The bucketing saves moving the
 blocks: only lists and answers are shuffled. Contexts that make up over 1 / 1024 of all
 words (so at most 1 024 of one length) are dealt by the next word's hash instead; they
-are retained without a test and only their T(s) is summed, on at most 1 024 rows.
+are retained without a test and only their T(s) is summed, on at most 1 024 rows. This
+holds up to ``depth``; longer contexts are all dealt by their own hash and tested.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -104,6 +108,7 @@ class Model:
     tokens: int = 0
     distinct: int = 0
     hot_types: list[dict[int, int]] = field(default_factory=list)
+    lengths: int = 0  # of the contexts answered so far
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -120,10 +125,10 @@ _LIST_TYPE = (
 )
 _ANSWER = pa.schema([
     ("block", pa.int64()), ("length", pa.int32()), ("hot", pa.bool_()), ("bucket", pa.int32()), ("counts", pa.binary()),
-    ("types", pa.binary()), ("kept", pa.binary()), ("distinct", pa.int64()), ("contexts", pa.binary()),
+    ("types", pa.binary()), ("kept", pa.binary()), ("distinct", pa.int64()), ("contexts", pa.binary()), ("totals", pa.binary()),
 ])
 _ANSWER_TYPE = (
-    "block bigint, length int, hot boolean, bucket int, counts binary, types binary, kept binary, distinct bigint, contexts binary"
+    "block bigint, length int, hot boolean, bucket int, counts binary, types binary, kept binary, distinct bigint, contexts binary, totals binary"
 )
 
 
@@ -169,18 +174,22 @@ class _Reader:
         # Candidates of length 1: the word before; -1 where there is none.
         self.context = np.where(self.within >= 1, np.concatenate(([-1], self.codes[:-1])), -1)
         self.context_hashes = self.hashes
+        self.longer = False  # whether the present candidates have more than ``depth`` words
         self.context_count = np.where(self.within >= 1, np.concatenate(([0], self.counts[:-1])), 0)
 
     def _answer(self, length: int, hot: bool, what: str) -> np.ndarray:
-        kind = {"counts": "<u4", "types": "<u4", "kept": "<u1"}[what]
+        kind = {"counts": "<u4", "types": "<u4", "kept": "<u1", "totals": "<u4"}[what]
         found = [unpack(a[what], kind) for a in self.answers if a["length"] == length and a["hot"] == hot]
         return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
     def entries(self) -> None:
         """Distinct (context, word) entries of the present length, those of hot contexts apart."""
         shift = max(1, int(len(self.hashes)).bit_length())
-        able = self.context_count >= self.model.least
-        hot = able & (self.context_count * self.model.hot_share > self.model.tokens)
+        if self.longer:
+            able, hot = self.context >= 0, np.zeros(len(self.codes), bool)
+        else:
+            able = self.context_count >= self.model.least
+            hot = able & (self.context_count * self.model.hot_share > self.model.tokens)
         self.at = [np.flatnonzero(able & ~hot), np.flatnonzero(hot)]
         normal, common = self.at
         keys = (self.context[normal] << shift) | self.codes[normal]
@@ -219,6 +228,7 @@ class _Reader:
     def advance(self, length: int) -> None:
         """Take the answers for ``length``: move probabilities on, and set up the next candidates."""
         self.entries()
+        retained = np.zeros(len(self.codes), bool)
         counts = np.zeros(len(self.codes), np.int64)
         pair_of, hashes_of, upto = np.full(len(self.codes), -1, np.int64), [], 0
         for hot in (False, True):
@@ -236,11 +246,16 @@ class _Reader:
                 types, kept = self._answer(length, False, "types")[nth], self._answer(length, False, "kept")[nth] > 0
             counts[at] = per_entry[inverse]
             t, keep = types[inverse], kept[inverse]
-            better = (per_entry[inverse] + t * self.p[at]) / (self.context_count[at] + t)
+            total = self._answer(length, False, "totals")[nth][inverse] if self.longer else self.context_count[at]
+            better = (per_entry[inverse] + t * self.p[at]) / np.maximum(total + t, 1)
             self.p[at] = np.where(keep, better, self.p[at])
+            retained[at] = keep
             pair_of[at] = upto + inverse
             hashes_of.append((self.context_hashes[context] * _M1) ^ (self.hashes[word] * _M2 + np.uint64(length)))
             upto += len(context)
+        if length >= self.model.depth:
+            self._extend(retained, length + 1)
+            return
         if not upto:
             self.context = np.full(len(self.codes), -1, np.int64)
             self.context_count = np.zeros(len(self.codes), np.int64)
@@ -259,6 +274,20 @@ class _Reader:
         self.context_hashes = mixed[order]
 
 
+    def _extend(self, retained: np.ndarray, length: int) -> None:
+        """Candidates of ``length``, more than ``depth``: a retained context and the word before it."""
+        self.longer = True
+        at = np.flatnonzero(retained & (self.within >= length))
+        mixed = np.full(len(at), length, np.uint64)
+        for back in range(1, length + 1):
+            mixed = (mixed ^ self.hashes[self.codes[at - back]]) * _M1
+            mixed ^= mixed >> np.uint64(29)
+        mixed *= _M2
+        self.context_hashes, rank = np.unique(mixed, return_inverse=True)
+        self.context = np.full(len(self.codes), -1, np.int64)
+        self.context[at] = rank
+
+
 def _short(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """40 bits of a word's hash tell the next words of one context apart."""
     return (hashes >> np.uint64(8)).astype("<u4"), (hashes & np.uint64(255)).astype("<u1")
@@ -291,7 +320,7 @@ def _score(model: Model):
         out = []
         for row in left.to_pylist():
             reader = _Reader(row, right.to_pylist(), model)
-            for length in range(1, model.depth + 1):
+            for length in range(1, model.lengths + 1):
                 reader.advance(length)
             sums = [np.add.reduceat(x, reader.starts) for x in (reader.n_known.astype(np.int64), reader.base, np.log10(reader.p))]
             for i in range(len(reader.ids)):
@@ -313,7 +342,7 @@ def _answer_words(rows: list[tuple]) -> list[tuple]:
     for i, (row, own) in enumerate(zip(rows, words)):
         answer = counts[inverse[at : at + len(own)]].astype("<u4")
         at += len(own)
-        out.append((row[3], 0, False, row[2], pack(answer), b"", b"", int((counts > 0).sum()) if i == 0 else 0, None))
+        out.append((row[3], 0, False, row[2], pack(answer), b"", b"", int((counts > 0).sum()) if i == 0 else 0, None, b""))
     return out
 
 
@@ -331,13 +360,13 @@ def _answer_hot(rows: list[tuple]) -> list[tuple]:
     types = np.bincount(context[order][new], weights=counts > 0, minlength=len(names)).astype("<u4")
     out, at = [], 0
     for row, n in zip(rows, sizes):
-        out.append((row[3], length, True, bucket, pack(counts[entry[at : at + n]].astype("<u4")), b"", b"", 0, None))
+        out.append((row[3], length, True, bucket, pack(counts[entry[at : at + n]].astype("<u4")), b"", b"", 0, None, b""))
         at += n
     # T(s) of this bucket's share of each hot context; no block asked for this row.
-    return [*out, (None, length, True, bucket, b"", pack(types), b"", 0, pack(names))]
+    return [*out, (None, length, True, bucket, b"", pack(types), b"", 0, pack(names), b"")]
 
 
-def _answer_contexts(rows: list[tuple], threshold: float) -> list[tuple]:
+def _answer_contexts(rows: list[tuple], model: Model) -> list[tuple]:
     length, bucket = rows[0][0], rows[0][2]
     named = [unpack(r[4], "<u8") for r in rows]
     sizes = [unpack(r[5], "<u4").astype(np.int64) for r in rows]
@@ -360,18 +389,22 @@ def _answer_contexts(rows: list[tuple], threshold: float) -> list[tuple]:
     below = total[s] - 1 + others
     estimate = np.where(below > 0, (c - 1 + others * parent[seen]) / np.maximum(below, 1), parent[seen])
     gain = np.bincount(s, weights=c * (np.log(np.maximum(estimate, 1e-300)) - np.log(parent[seen])), minlength=len(names))
-    kept = (gain > threshold).astype("<u1")
+    kept = ((gain > model.threshold) & (total >= model.least)).astype("<u1")
+    if length >= model.depth:  # what is not retained takes no further part
+        counts, types, total = counts * kept[owner], types * kept, total * kept
     out, at, group = [], 0, 0
     for row, own in zip(rows, sizes):
         n = int(own.sum())
         mine = nth[group : group + len(own)]
         answer = pack(counts[entry[at : at + n]].astype("<u4"))
-        out.append((row[3], length, False, bucket, answer, pack(types[mine].astype("<u4")), pack(kept[mine]), 0, None))
+        totals = pack(total[mine].astype("<u4")) if length > model.depth else b""
+        retained = int(kept.sum()) if group == 0 else 0
+        out.append((row[3], length, False, bucket, answer, pack(types[mine].astype("<u4")), pack(kept[mine]), retained, None, totals))
         at, group = at + n, group + len(own)
     return out
 
 
-def _answers(threshold: float):
+def _answers(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists sorted by (hot, bucket); one bucket is in memory."""
         current, rows = None, []
@@ -379,7 +412,7 @@ def _answers(threshold: float):
         def answered() -> pa.RecordBatch:
             if rows[0][0] == 0:
                 return batch_of(_ANSWER, _answer_words(rows))
-            return batch_of(_ANSWER, _answer_hot(rows) if rows[0][1] else _answer_contexts(rows, threshold))
+            return batch_of(_ANSWER, _answer_hot(rows) if rows[0][1] else _answer_contexts(rows, model))
 
         for row in rows_of(batches, *_LIST.names):
             if (row[1], row[2]) != current:
@@ -411,6 +444,7 @@ def score_documents(
     threshold: float = 2.0,
     block_chars: int = 8_000_000,
     hot_share: int = HOT_SHARE,
+    longer: bool = False,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -431,20 +465,23 @@ def score_documents(
     model.tokens = kept.agg(F.coalesce(F.sum("n_trained"), F.lit(0))).first()[0]
 
     answers = None
-    for length in range(depth + 1):
+    for length in count():
         if length == 0:
             lists = kept.select("block", "words", "trained").mapInArrow(_first_lists(model.buckets), _LIST_TYPE)
         else:
             lists = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_steps(model, length), _LIST_TYPE)
         dealt = lists.repartition("hot", "bucket").sortWithinPartitions("hot", "bucket")
-        new = materialise(dealt.mapInArrow(_answers(threshold), _ANSWER_TYPE), f"answers{length}")
+        new = materialise(dealt.mapInArrow(_answers(model), _ANSWER_TYPE), f"answers{length}")
         if length == 0:
             model.distinct = new.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-        else:
+        elif length <= depth:
             types = new.where("block IS NULL").select("contexts", "types").mapInArrow(_unpack_types, "context bigint, types bigint")
             summed = types.groupBy("context").agg(F.sum("types").alias("types")).collect()  # at most hot_share rows
             model.hot_types.append({r["context"] & ((1 << 64) - 1): r["types"] for r in summed})
         new = new.where("block IS NOT NULL")
         answers = new if answers is None else answers.unionAll(new)
+        model.lengths = length
+        if length >= depth and not longer or length > depth and not new.agg(F.sum("distinct")).first()[0]:
+            break
     scored = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model), _SCORES_TYPE)
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))

@@ -549,3 +549,60 @@ def test_suffix_tree_of_little(spark):
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     (row,) = suffix_tree.score_documents(frame(spark, [(held, "a b", None)])).collect()
     assert (row.train_tokens, row.n_known, row.base_score) == (0, 0, 0.0)
+
+
+def longer_scores(rows, share, depth=2, least=2, threshold=2.0):
+    """All contexts of up to ``depth`` words and those of any length whose parent is retained; also the longest length retained."""
+    texts = [(d, [*words_of(t), None]) for d, t, _ in rows]
+    held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in texts]
+    trained = [w for (_, w), h in zip(texts, held) if not h]
+    counts = Counter(x for w in trained for x in w)
+    total, states = sum(counts.values()), {}
+
+    def p(word, before):
+        out, k = (counts[word] + 0.5) / (total + 0.5 * (len(counts) + 1)), 0
+        for k in range(1, len(before) + 1):
+            s = tuple(before[len(before) - k :])
+            if s in states:
+                c = states[s]
+                out = (c[word] + len(c) * out) / (sum(c.values()) + len(c))
+            elif k > depth:
+                break
+        return out
+
+    k, deepest = 1, 0
+    while k <= depth or deepest == k - 1:
+        follow = defaultdict(Counter)
+        for w in trained:
+            for i in range(k, len(w)):
+                if k <= depth or tuple(w[i - k + 1 : i]) in states:
+                    follow[tuple(w[i - k : i])][w[i]] += 1
+        new = {}
+        for s, c in follow.items():
+            n, gain = sum(c.values()), 0.0
+            for word, m in c.items():
+                up, others = p(word, s), len(c) - (m == 1)
+                below = n - 1 + others
+                gain += m * (math.log((m - 1 + others * up) / below if below else up) - math.log(up))
+            if n >= least and (k <= depth and n * share > total or gain > threshold):
+                new[s] = c
+        states |= new
+        deepest = k if new else deepest
+        k += 1
+    return [(d, sum(math.log10(p(x, w[:i])) for i, x in enumerate(w))) for d, w in texts], deepest
+
+
+@pytest.mark.parametrize("share", [1024, 1])
+def test_suffix_tree_of_longer_contexts(spark, share):
+    """Each of the four words before a word halves what it can be; two words of context leave four choices."""
+    rng, rows = random.Random(8), []
+    for i in range(100):
+        bits = [[rng.randrange(2) for _ in range(4)] for _ in range(10)]
+        rows.append((i, " ".join(" ".join([*(f"{'pqrt'[j]}{x}" for j, x in enumerate(b)), f"n{b}".replace(" ", "")]) for b in bits), None))
+    want, deepest = longer_scores(rows, share)
+    assert deepest >= 4
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(frame(spark, rows), block_chars=700, hot_share=share, longer=True).collect()}
+    short = {r.doc_id: r.score for r in suffix_tree.score_documents(frame(spark, rows), block_chars=700, hot_share=share).collect()}
+    for d, score in want:
+        assert got[d] == pytest.approx(score, rel=0.02)
+        assert got[d] > short[d] + 1
