@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import bpe, chat, exact_dedup, mixing, pii, quality, simhash, spotsigs, suffix_tree, urls
+from ordscope.llm import bpe, chat, exact_dedup, mixing, pii, quality, simhash, spelling, spotsigs, suffix_tree, urls
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -153,3 +153,37 @@ def op5(spark, sf_dir):
 @query("op6_suffix_tree")
 def op6(spark, sf_dir):
     return suffix_tree.score_documents(table(spark, sf_dir, "documents"), longer=True)
+
+
+#: The runs of letters as Latin letters of the contract, and the CRC-32 table from its polynomial.
+_LETTERS = r"[A-Za-z\x{C0}-\x{FF}]+"
+_CRC = """bits(i, k, c) AS (SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc(t) AS (SELECT list(c ORDER BY i) FROM bits WHERE k = 8)"""
+
+
+@query(
+    "op12_spelling",
+    rf"""WITH RECURSIVE {_CRC},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{_LETTERS}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, k, [ord(x) for x in string_split(doc_id || ':' || run, '')] AS points FROM d),
+u AS (SELECT run, k, flatten([CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END for x in points]) AS bytes FROM b),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]),
+  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM u, crc),
+c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, unnest(range(length(word) + 1)) AS i FROM w),
+e AS (SELECT word, i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS part FROM cut),
+p AS (SELECT DISTINCT a.word, b.word AS near FROM e a JOIN e b USING (part)
+  WHERE a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+g AS (SELECT p.word, count(*) AS n_near, max(o.n) AS top,
+  arg_min(near, (-o.n, near)) AS best FROM p JOIN w o ON o.word = p.near GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN g.top >= 10 * w.n THEN g.best END AS form,
+  CASE WHEN g.top >= 10 * w.n THEN g.top END AS form_n FROM w LEFT JOIN g USING (word)),
+chain(word, last, form) AS (SELECT word, word, form FROM f
+  UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.form)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, chain.last AS root FROM f JOIN chain USING (word) WHERE chain.form IS NULL""",
+)
+def op12(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
