@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.llm import bpe, chat, exact_dedup, mixing, pii, quality, simhash, spelling, spotsigs, suffix_tree, urls
+from ordscope.llm import bpe, chat, exact_dedup, jaccard, lexical, mixing, pii, quality, simhash, spelling, spotsigs, suffix_tree, urls
 from ordscope.llm.common import LOWER, UPPER, table
 from ordscope.llm.registry import query
 
@@ -187,3 +187,45 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, chain.last AS root FROM f JOIN c
 )
 def op12(spark, sf_dir):
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_lexical",
+    rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERMS}')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERMS}')) AS term FROM benchmark),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, s GROUP BY term, docs),
+x AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len)) AS x FROM c JOIN d USING (doc_id), s),
+r AS (SELECT item_id, doc_id, sum(w * x)::BIGINT AS score FROM q JOIN f USING (term) JOIN x USING (term) GROUP BY item_id, doc_id),
+o AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+  FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50""",
+)
+def op11(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_ngram_join",
+    rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + 4], ' ')
+  for i in range(1, greatest(len(w) - 4, 1) + 1)]) END AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN sha256(array_to_string(list_sort(g), chr(10))) END AS k, g FROM g),
+c AS (SELECT k, n, min(doc_id) AS first, any_value(g) AS g FROM k WHERE n > 0 GROUP BY k, n),
+t AS (SELECT first, n, unnest(g) AS t FROM c),
+p AS (SELECT a.first AS a, b.first AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM t a JOIN t b ON a.t = b.t AND a.first < b.first GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT first, first FROM c UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b),
+m AS (SELECT a AS first, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM k LEFT JOIN (SELECT c.k, m.component_id FROM c JOIN m USING (first)) USING (k)""",
+)
+def op13(spark, sf_dir):
+    return jaccard.near_documents(table(spark, sf_dir, "documents"))
