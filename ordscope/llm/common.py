@@ -47,6 +47,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def lowered(text: str) -> bytes:
+    """The text's UTF-8 with A-Z lower-cased and nothing else: that is what ``bytes.lower`` does."""
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what an Arrow batch holds: few rows, and where Spark knows the setting, few bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

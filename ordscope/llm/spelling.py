@@ -1,17 +1,17 @@
 """Spelling variants: a relational trie frontier over the distinct words.
 
 The words, and their mirror images, form two radix tries kept as one edge table
-(node, label, child). A state is (word, position, node, edits). Level by level the
-states are joined with the edges of their node: a state without an edit may follow its
-own label, replace one character of a label or drop one character of the word; a state
-with one edit must follow a label exactly. A state that ends at a word with one edit
-gives a pair of neighbours. An inserted character is the other word's dropped one, so
-each pair with a length difference is found from its longer word.
+(node, label, child). A state is (word, position, node, edits). States without an edit
+are the words on their own paths; joined with the edges of their nodes they replace one
+character of a label or drop one of the word. Level by level the states with one edit
+are joined with the one edge of their node that goes on as their word does. A state that
+ends at a word gives a pair of neighbours. An inserted character is the other word's
+dropped one, so each pair of unequal lengths is found from its longer word.
 
 In every pair one half of the word is untouched. So a forward state may only take its
 edit beyond the first half of the word, a mirrored state beyond the first half of the
-mirror image, and each starts at its word's deepest node within that half. That keeps
-the frontier in the narrow parts of the tries: near the root any letter would do.
+mirror image, and prefixes shorter than that are in no table. That keeps the frontier
+in the narrow parts of the tries: near the root any letter would do.
 
 Nodes are named by a 64-bit hash of their prefix. Prefixes that share a hash would
 share a node, which adds paths and loses none; every pair is compared once at the end.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordscope.llm.common import ASCII_LOWER, batch_of, pick, rows_of, small_batches, text_of
+from ordscope.llm.common import batch_of, lowered, pick, rows_of, small_batches, text_of
 from ordscope.session import materialise, spread
 
 #: Letters of a run.
@@ -51,7 +51,7 @@ def _count_words(least: int, every: int):
         counts: dict[str, int] = {}
         for doc, text in rows_of(batches, "doc_id", "text"):
             start = crc32(f"{'' if doc is None else doc}:".encode())
-            for word, n in Counter(runs.findall(text.translate(ASCII_LOWER))).items():
+            for word, n in Counter(runs.findall(lowered(text).decode("utf-8", "surrogatepass"))).items():
                 h = crc32(word.encode(), start)
                 if h % every == 0:
                     at = h % len(word)
@@ -83,7 +83,10 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # --- the tries ------------------------------------------------------------------------
 
-_PREFIXES = pa.schema([("node", pa.int64()), ("text", pa.string()), ("depth", pa.int32()), ("follows", pa.string())])
+_PREFIXES = pa.schema([
+    ("text", pa.string()), ("start", pa.int32()), ("least", pa.int32()), ("nodes", pa.list_(pa.int64())), ("follows", pa.list_(pa.string())),
+])
+_PREFIXES_TYPE = "text string, start int, least int, nodes array<bigint>, follows array<string>"
 
 
 def _signed(value: int) -> int:
@@ -91,113 +94,112 @@ def _signed(value: int) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every prefix of each word and of its mirror image, with the character that follows it ('': the end)."""
-    out, held = [], 0
-    for (word,) in rows_of(batches, "word"):
-        for sign, text in (("+", word), ("-", word[::-1])):  # no letter is a sign
-            state = xxhash.xxh3_64(sign.encode())
-            directed = sign + text
-            for depth, follows in enumerate([*text, ""]):
-                out.append((_signed(state.intdigest()), directed, depth, follows))
-                state.update(follows.encode())
-                held += len(directed)
-            if len(out) >= 20_000 or held > 1 << 24:
-                yield batch_of(_PREFIXES, out)
-                out, held = [], 0
-    yield batch_of(_PREFIXES, out)
+    """Each word and its mirror image with their prefixes from ``least`` on, and what follows each ('': the end)."""
+    for batch in batches:
+        out = []
+        for (word,) in rows_of([batch], "word"):
+            start, least = len(word) // 2, (len(word) - 1) // 2
+            for sign, text in (("+", word), ("-", word[::-1])):  # no letter is a sign
+                state = xxhash.xxh3_64((sign + text[:least]).encode())
+                nodes, follows = [], [*text[least:], ""]
+                for letter in follows:
+                    nodes.append(_signed(state.intdigest()))
+                    state.update(letter.encode())
+                out.append((sign + text, start, least, nodes, follows))
+        yield batch_of(_PREFIXES, out)
 
 
 def tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edge table and the first frontier of ``words(word)``.
 
-    Edges: ``node, salt, label, child, salts, ends``; ``ends`` is the directed word that
-    an edge completes, else null, and ``child`` the node it leads to. States:
-    ``text, position, node, salt, edits``. A directed word is the word after ``+`` or its
-    mirror image after ``-``.
+    Edges: ``node, salt, first, label, child, salts, onward, ends``; ``first`` is the label's
+    first character, ``child`` the node it leads to and ``onward`` what the child's edges
+    begin with ('.': an end); ``ends`` is the directed word that an edge completes. States:
+    ``text, position, node, salt``. A directed word is the word after ``+`` or its mirror
+    image after ``-``.
     """
-    small_batches(words.sparkSession, 2000)
-    rows = words.select("word").mapInArrow(_prefixes, "node bigint, text string, depth int, follows string")
-    rows = materialise(rows, "prefixes")
-    # A node is the empty prefix or one with two ways on. Map-side combined: the root is one row per task.
-    nodes = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("below"), (F.min("follows") != F.max("follows")).alias("forks"), F.min("depth").alias("at")
+    small_batches(words.sparkSession)
+    rows = materialise(words.select("word").mapInArrow(_prefixes, _PREFIXES_TYPE), "prefixes")
+    steps = F.posexplode(F.arrays_zip("nodes", "follows")).alias("i", "p")
+    steps = rows.select("text", "start", "least", steps).select(
+        "text", (F.col("i") + F.col("least")).alias("depth"), (F.col("i") + F.col("least") == F.col("start")).alias("starts"), "p.nodes", "p.follows"
     )
-    nodes = nodes.where("forks OR at = 0").select("node", F.ceil(F.col("below") / _PER_SALT).cast("int").alias("salts"))
-    path = rows.join(nodes, "node").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "salts"))).alias("path"))
+    # A node is a prefix with two ways on, or one where a word starts. Map-side combined.
+    nodes = steps.groupBy(F.col("nodes").alias("node")).agg(
+        F.count(F.lit(1)).alias("below"), (F.max("starts") | (F.min("follows") != F.max("follows"))).alias("forks")
+    )
+    nodes = nodes.where("forks").select("node", F.ceil(F.col("below") / _PER_SALT).cast("int").alias("salts"))
+    met = steps.select("text", "depth", F.col("nodes").alias("node")).join(nodes, "node")
+    path = met.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "salts"))).alias("path"))
     path = materialise(path, "paths")
-    last = F.size("path") - 1
-    steps = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            F.get("path", i)["node"].alias("node"),
-            F.get("path", i)["salts"].alias("copies"),
-            F.get("path", i)["depth"].alias("depth"),
-            F.get("path", i + 1)["depth"].alias("upto"),
-            F.get("path", i + 1)["node"].alias("child"),
-            F.get("path", i + 1)["salts"].alias("salts"),
-        ),
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("path") - 1),
+        lambda i: F.struct(F.get("path", i).alias("here"), F.get("path", i + 1).alias("there")),
     )
+    pairs = path.select("text", F.explode(pairs).alias("s")).select("text", "s.here.*", "s.there")
     # Characters of a directed word begin at 2, after its sign.
-    steps = path.select("text", F.explode(steps).alias("s")).select("text", "s.*")
-    label = F.when(F.col("upto").isNull(), F.expr("substring(text, depth + 2)")).otherwise(F.expr("substring(text, depth + 2, upto - depth)"))
-    ends = F.when(F.col("upto").isNull(), F.col("text"))
-    edges = steps.select("node", "copies", label.alias("label"), "child", "salts", ends.alias("ends")).distinct()
-    edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-
-    half = F.floor((F.length("text") - 1) / 2)
-    start = F.element_at(F.filter("path", lambda p: p["depth"] <= half), -1)
-    states = path.select(
-        "text",
-        start["depth"].alias("position"),
-        start["node"].alias("node"),
-        F.pmod(F.xxhash64("text"), start["salts"]).cast("int").alias("salt"),
-        F.lit(0).alias("edits"),
+    label = F.expr("substring(text, depth + 2, coalesce(there.depth, length(text)) - depth)")
+    ends = F.when(F.col("there").isNull(), F.col("text"))
+    edges = pairs.select("node", "salts", label.alias("label"), F.col("there.node").alias("child"), F.col("there.salts").alias("child_salts"), ends.alias("ends"))
+    edges = edges.distinct().withColumn("first", F.expr("substring(label, 1, 1)"))
+    edges = materialise(edges, "labels")
+    letter = F.when(F.col("first") == "", ".").otherwise(F.col("first"))
+    onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.sort_array(F.collect_set(letter)), "").alias("onward"))
+    edges = edges.join(onward, "child", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    edges = edges.select("node", "salt", "first", "label", "child", F.col("child_salts").alias("salts"), "onward", "ends")
+    states = pairs.where(F.col("depth") >= F.floor((F.length("text") - 1) / 2)).select(
+        "text", F.col("depth").alias("position"), "node", F.pmod(F.xxhash64("text"), "salts").cast("int").alias("salt")
     )
     return materialise(edges, "edges"), states
 
 
-def _advance(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every way of the states over the edges of their nodes: ``text, position, edits, child, salts, ends``."""
-    met = states.join(edges, ["node", "salt"]).withColumn("size", F.length("label"))
-    met = met.withColumn("rest", F.expr("substring(text, position + 2)"))
-    # What the edit must leave alone: the part of the label within the word's first half.
-    met = met.withColumn("guard", F.greatest(F.floor((F.length("text") - 1) / 2) - F.col("position"), F.lit(0)).cast("int"))
-    same = F.col("rest").startswith(F.col("label"))
-    open_to_edit = (F.col("edits") == 0) & (F.col("guard") <= F.col("size"))
-    open_to_edit = open_to_edit & (F.expr("substring(rest, 1, guard)") == F.expr("substring(label, 1, guard)"))
-    replaced = open_to_edit & (F.expr("levenshtein(substring(rest, 1, size), label, 1)") == 1)
-    replaced = replaced & (F.length("rest") >= F.col("size"))
-    # At the end of a label that is followed exactly, the drop is left to the next node, if there is one.
-    dropped = open_to_edit & (~same | F.col("ends").isNotNull()) & (F.length("rest") > F.col("size"))
-    dropped = dropped & (F.expr("levenshtein(substring(rest, 1, size + 1), label, 1)") == 1)
+_REST = "substring(text, position + 2)"
 
-    def way(taken, length, edits):
-        return F.when(taken, F.struct((F.col("position") + length).alias("position"), edits.alias("edits")))
 
-    ways = F.array_compact(
-        F.array(
-            way(same, F.col("size"), F.col("edits")),
-            way(replaced, F.col("size"), F.lit(1)),
-            way(dropped, F.col("size") + 1, F.lit(1)),
-        )
+def _moved(met: DataFrame, taken: list) -> DataFrame:
+    """States after the ``taken`` (condition, length) ways over an edge; children that cannot go on are left out."""
+    ways = F.array_compact(F.array(*[F.when(condition, F.col("position") + length) for condition, length in taken]))
+    moved = met.select("text", "child", "salts", "onward", "ends", F.explode(ways).alias("position"))
+    next_letter = F.when(F.col("position") == F.length("text") - 1, ".").otherwise(F.expr("substring(text, position + 2, 1)"))
+    whole = F.col("position") == F.length("text") - 1
+    return moved.where(F.when(F.col("ends").isNotNull(), whole).otherwise(F.col("onward").contains(next_letter))).drop("onward")
+
+
+def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every edge of a state's node taken with one edit: a replaced character of the label or a dropped one of the word."""
+    met = states.join(edges, ["node", "salt"]).withColumn("rest", F.expr(_REST)).withColumn("size", F.length("label"))
+    begins = F.expr("substring(rest, 1, 1)") == F.col("first")
+    fits = F.length("rest") >= F.col("size")
+    # Under another first character the edit is there, and the rest must be equal.
+    replaced = fits & (F.col("size") > 0) & F.when(begins, F.expr("levenshtein(substring(rest, 1, size), label, 1) = 1")).otherwise(
+        F.expr("substring(rest, 2, size - 1) = substring(label, 2)")
     )
-    moved = met.select("text", "child", "salts", "ends", F.explode(ways).alias("w"))
-    return moved.select("text", "w.position", "w.edits", "child", "salts", "ends")
+    # At the end of a label that is followed exactly, the drop is left to the next node, if there is one.
+    last = F.col("ends").isNotNull() | ~F.col("rest").startswith(F.col("label"))
+    dropped = (F.length("rest") > F.col("size")) & last & F.when(
+        begins, F.expr("levenshtein(substring(rest, 1, size + 1), label, 1) = 1")
+    ).otherwise(F.expr("substring(rest, 2, size) = label"))
+    return _moved(met, [(replaced, F.col("size")), (dropped, F.col("size") + 1)])
+
+
+def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edge whose label goes on as the word does."""
+    met = states.withColumn("first", F.expr("substring(text, position + 2, 1)")).join(edges, ["node", "salt", "first"])
+    return _moved(met, [(F.expr(_REST).startswith(F.col("label")), F.length("label"))])
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``word, near``: all ordered pairs of distinct ``words(word)`` that differ by one inserted, deleted or replaced code point."""
     edges, states = tries(words)
-    states = materialise(states, "frontier0")
     found, level = None, 0
     while level == 0 or not states.isEmpty():
+        moved = _followed(states, edges) if level else _edited(states, edges)
         level += 1
-        moved = materialise(_advance(states, edges), f"frontier{level}")
-        done = moved.where(F.col("ends").isNotNull() & (F.col("edits") == 1) & (F.col("position") == F.length("text") - 1))
-        done = done.select("text", "ends")
+        moved = materialise(moved, f"frontier{level}")
+        done = moved.where(F.col("ends").isNotNull()).select("text", "ends")
         found = done if found is None else found.unionAll(done)
-        states = moved.where(F.col("ends").isNull() & (F.col("position") <= F.length("text") - 1)).select(
-            "text", "position", F.col("child").alias("node"), F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt"), "edits"
+        states = moved.where(F.col("ends").isNull()).select(
+            "text", "position", F.col("child").alias("node"), F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt")
         )
 
     def plain(column: str):
