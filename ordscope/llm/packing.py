@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from ordscope.session import scratch_dir
+from ordscope.session import scratch_base, scratch_dir
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -69,6 +70,25 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete spent intermediate tables: all files under the shared folder that they were read from.
+
+    Only for tables whose successors are written; a table in the catalogue leaves it too.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        base = f"{scratch_base(spark)}/{spark.sparkContext.applicationId}/".replace("file:", "")
+        paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for path in paths:
+            if base not in path:  # never anything but this application's own scratch tables
+                continue
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            name = path.rsplit("/", 1)[1].rsplit("-", 1)[0]
+            if re.fullmatch(r"[a-z]+s_[0-9a-f]{32}", name):  # the form of ``bucketed``
+                spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the slices [start, start + size), one slice after the other."""
     total = int(sizes.sum())

@@ -17,14 +17,20 @@ its distinct (context, word) entries with their training counts, so a frequent e
 is one per block; the lists are dealt by the context's hash. A bucket sums the counts,
 tests its contexts and answers every block's list. The bucketing saves moving the
 blocks: only lists and answers are shuffled. Contexts that make up over 1 / 1024 of all
-words (so at most 1 024 of one length) are dealt by the next word's hash instead; they
-are retained without a test and only their T(s) is summed, on at most 1 024 rows. This
-holds up to ``depth``; longer contexts are all dealt by their own hash and tested.
+words (so at most 1 024 of one length) are dealt by the next word's hash instead; for
+these a bucket returns its part of T(s), and once that is summed, its part of the test.
+
+After ``depth`` rounds a block is written anew with the positions whose context was
+retained, and the documents and words they need; each further round reads and rewrites
+what the round before it left, so its cost follows the surviving contexts. A position
+that drops out adds its log probability to its document's sum. Spent tables are deleted.
+
+A parent's probability reaches the test as a 32-bit float. The next words of a context
+that is not hot are told apart by 40 bits of their hashes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import count
@@ -37,15 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordscope.llm.common import ASCII_LOWER, WORD_PATTERN, batch_of, pick, rows_of, small_batches, text_of
-from ordscope.llm.packing import block_number, blocks, bucketed, least_dtype, pack, pack_bytes, unpack, unpack_bytes
+from ordscope.llm.common import batch_of, lowered, pick, rows_of, small_batches, text_of
+from ordscope.llm.packing import block_number, blocks, bucketed, forget, gather, least_dtype, pack, pack_bytes, unpack, unpack_bytes
 from ordscope.session import materialise
 
 HOT_SHARE = 1024
 _END = xxhash.xxh64_intdigest(b"\x20end")  # words hold no blank
-_WORD = re.compile(WORD_PATTERN)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOG_STEP = 6.0  # parts of a bit in which a parent's probability travels
 
 
 def is_held_out(doc_id: int | None, parts: int, part: int) -> bool:
@@ -66,18 +70,18 @@ def _to_blocks(chars: int, parts: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, block in enumerate(blocks(rows_of(batches, "doc_id", "text"), chars)):
-            code: dict[str, int] = {"": 0}  # the end; no word is empty
+            code: dict[bytes, int] = {b"": 0}  # the end; no word is empty
             streams, sizes = [], []
             for _, text in block:
-                found = _WORD.findall(text.translate(ASCII_LOWER))
+                found = lowered(text).split()  # on UTF-8, at the six white space characters
                 for word in found:
                     if word not in code:
                         code[word] = len(code)
-                found.append("")
+                found.append(b"")
                 streams.append(np.fromiter(map(code.__getitem__, found), np.int64, len(found)))
                 sizes.append(len(found))
             codes = np.concatenate(streams)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in code), np.uint64, len(code))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in code), np.uint64, len(code))
             hashes[0] = _END
             order = np.argsort(hashes, kind="stable")  # codes in the order of the hashes
             rank = np.empty(len(order), np.int64)
@@ -98,7 +102,7 @@ def _to_blocks(chars: int, parts: int, part: int):
 
 @dataclass
 class Model:
-    """What every task must know: the totals, the limits, and T(s) of the hot contexts of each length."""
+    """What every task must know: the totals, the limits, and of the hot contexts of each length T(s) and the verdict."""
 
     buckets: int
     depth: int
@@ -108,7 +112,7 @@ class Model:
     tokens: int = 0
     distinct: int = 0
     hot_types: list[dict[int, int]] = field(default_factory=list)
-    lengths: int = 0  # of the contexts answered so far
+    hot_kept: list[set[int]] = field(default_factory=list)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -174,7 +178,6 @@ class _Reader:
         # Candidates of length 1: the word before; -1 where there is none.
         self.context = np.where(self.within >= 1, np.concatenate(([-1], self.codes[:-1])), -1)
         self.context_hashes = self.hashes
-        self.longer = False  # whether the present candidates have more than ``depth`` words
         self.context_count = np.where(self.within >= 1, np.concatenate(([0], self.counts[:-1])), 0)
 
     def _answer(self, length: int, hot: bool, what: str) -> np.ndarray:
@@ -185,11 +188,8 @@ class _Reader:
     def entries(self) -> None:
         """Distinct (context, word) entries of the present length, those of hot contexts apart."""
         shift = max(1, int(len(self.hashes)).bit_length())
-        if self.longer:
-            able, hot = self.context >= 0, np.zeros(len(self.codes), bool)
-        else:
-            able = self.context_count >= self.model.least
-            hot = able & (self.context_count * self.model.hot_share > self.model.tokens)
+        able = self.context_count >= self.model.least
+        hot = able & (self.context_count * self.model.hot_share > self.model.tokens)
         self.at = [np.flatnonzero(able & ~hot), np.flatnonzero(hot)]
         normal, common = self.at
         keys = (self.context[normal] << shift) | self.codes[normal]
@@ -210,7 +210,7 @@ class _Reader:
             if not len(context):
                 continue
             trained = np.bincount(inverse, weights=self.trained[at], minlength=len(context)).astype("<u4")
-            parent = np.clip(np.rint(-np.log2(self.p[at[first]]) * _LOG_STEP), 0, 255).astype("<u1")
+            parent = self.p[at[first]].astype("<f4")
             dealt = self.hashes[word] if hot else self.context_hashes[context]
             for b, a, z in _slices(bucket_of(dealt, n), n):
                 if hot:
@@ -219,9 +219,7 @@ class _Reader:
                     begins = np.flatnonzero(np.diff(context[a:z], prepend=-1))
                     contexts = self.context_hashes[context[a:z][begins]]
                     sizes = pack(np.diff(begins, append=z - a).astype("<u4"))
-                words = pack(_short(self.hashes[word[a:z]])[0]) if not hot else pack(self.hashes[word[a:z]])
-                high = pack(_short(self.hashes[word[a:z]])[1]) if not hot else b""
-                packed = len(words).to_bytes(4, "little") + words + high
+                packed = pack(self.hashes[word[a:z]]) if hot else _packed_words(self.hashes[word[a:z]])
                 rows.append((length, hot, b, self.block, pack(contexts), sizes, packed, pack(trained[a:z]), pack(parent[a:z])))
         return rows
 
@@ -240,23 +238,21 @@ class _Reader:
                 known = self.model.hot_types[length]
                 names = {c: known.get(int(self.context_hashes[c]), 0) for c in np.unique(context).tolist()}
                 types = np.fromiter((names[c] for c in context.tolist()), np.int64, len(context))
-                kept = np.ones(len(context), bool)
+                stay = {c: int(self.context_hashes[c]) in self.model.hot_kept[length] for c in names}
+                kept = np.fromiter((stay[c] for c in context.tolist()), bool, len(context))
             else:
                 nth = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
                 types, kept = self._answer(length, False, "types")[nth], self._answer(length, False, "kept")[nth] > 0
             counts[at] = per_entry[inverse]
             t, keep = types[inverse], kept[inverse]
-            total = self._answer(length, False, "totals")[nth][inverse] if self.longer else self.context_count[at]
-            better = (per_entry[inverse] + t * self.p[at]) / np.maximum(total + t, 1)
+            better = (per_entry[inverse] + t * self.p[at]) / np.maximum(self.context_count[at] + t, 1)
             self.p[at] = np.where(keep, better, self.p[at])
             retained[at] = keep
             pair_of[at] = upto + inverse
             hashes_of.append((self.context_hashes[context] * _M1) ^ (self.hashes[word] * _M2 + np.uint64(length)))
             upto += len(context)
-        if length >= self.model.depth:
-            self._extend(retained, length + 1)
-            return
-        if not upto:
+        self.retained = retained
+        if length == self.model.depth or not upto:
             self.context = np.full(len(self.codes), -1, np.int64)
             self.context_count = np.zeros(len(self.codes), np.int64)
             return
@@ -274,23 +270,11 @@ class _Reader:
         self.context_hashes = mixed[order]
 
 
-    def _extend(self, retained: np.ndarray, length: int) -> None:
-        """Candidates of ``length``, more than ``depth``: a retained context and the word before it."""
-        self.longer = True
-        at = np.flatnonzero(retained & (self.within >= length))
-        mixed = np.full(len(at), length, np.uint64)
-        for back in range(1, length + 1):
-            mixed = (mixed ^ self.hashes[self.codes[at - back]]) * _M1
-            mixed ^= mixed >> np.uint64(29)
-        mixed *= _M2
-        self.context_hashes, rank = np.unique(mixed, return_inverse=True)
-        self.context = np.full(len(self.codes), -1, np.int64)
-        self.context[at] = rank
-
 
-def _short(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """40 bits of a word's hash tell the next words of one context apart."""
-    return (hashes >> np.uint64(8)).astype("<u4"), (hashes & np.uint64(255)).astype("<u1")
+def _packed_words(hashes: np.ndarray) -> bytes:
+    """40 bits of each word's hash: enough to tell the next words of one context apart."""
+    low = pack((hashes >> np.uint64(8)).astype("<u4"))
+    return len(low).to_bytes(4, "little") + low + pack((hashes & np.uint64(255)).astype("<u1"))
 
 
 def _steps(model: Model, length: int):
@@ -308,29 +292,153 @@ def _steps(model: Model, length: int):
     return run
 
 
-_SCORES = pa.schema([
-    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-    ("base_score", pa.float64()), ("score", pa.float64()),
+# --- what survives a round ---------------------------------------------------------------
+
+_STATE = pa.schema([
+    ("block", pa.int64()), ("n_active", pa.int64()), ("info", pa.binary()), ("done", pa.binary()), ("docs", pa.binary()),
+    ("words", pa.binary()), ("codes", pa.binary()), ("active", pa.binary()),
 ])
-_SCORES_TYPE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+_STATE_TYPE = "block bigint, n_active bigint, info binary, done binary, docs binary, words binary, codes binary, active binary"
+
 
+def _state_row(block: int, info: bytes, names, sizes, held, codes, hashes, at, p, onward, length: int) -> tuple:
+    """A block with the positions ``at[onward]`` and their documents; the others' log probabilities are summed.
+
+    ``names`` are the documents' numbers in the whole block, ``at`` the positions of this
+    round and ``p`` their probabilities.
+    """
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    doc = np.searchsorted(ends, at, "right")
+    onward = onward & (at - starts[doc] >= length)
+    sums = np.bincount(doc[~onward], weights=np.log10(p[~onward]), minlength=len(sizes))
+    some = np.flatnonzero(np.bincount(doc[~onward], minlength=len(sizes)))
+    done = pack_bytes([names[some].astype("<u4").tobytes(), sums[some].astype("<f8").tobytes()])
+    at, p, doc = at[onward], p[onward], doc[onward]
+    kept = np.unique(doc)
+    moved = np.zeros(len(sizes), np.int64)
+    moved[kept] = np.cumsum(sizes[kept]) - sizes[kept]
+    at = at - starts[doc] + moved[doc]
+    used, codes = np.unique(codes[gather(starts[kept], sizes[kept])], return_inverse=True)
+    docs = pack_bytes([names[kept].astype("<u4").tobytes(), sizes[kept].astype("<u4").tobytes(), held[kept].astype("<u1").tobytes()])
+    width = least_dtype(max(len(used), 1))
+    active = pack_bytes([pack(np.diff(at, prepend=0).astype("<u4")), pack(p.astype("<f4"))])
+    return (block, len(at), info, done, docs, pack(hashes[used]), width.encode() + pack(codes.astype(width)), active)
+
+
+def _survivors(model: Model, onward: bool):
+    """From a block and the answers up to ``depth`` to its first state."""
 
-def _score(model: Model):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        rows = []
         for row in left.to_pylist():
             reader = _Reader(row, right.to_pylist(), model)
-            for length in range(1, model.lengths + 1):
+            for length in range(1, model.depth + 1):
                 reader.advance(length)
-            sums = [np.add.reduceat(x, reader.starts) for x in (reader.n_known.astype(np.int64), reader.base, np.log10(reader.p))]
-            for i in range(len(reader.ids)):
-                doc = int(reader.ids[i]) if reader.known[i] else None
-                out.append((doc, bool(reader.held[i]), int(reader.sizes[i]), int(sums[0][i]), float(sums[1][i]), float(sums[2][i])))
-        return pa.Table.from_batches([batch_of(_SCORES, out)])
+            sums = [np.add.reduceat(x, reader.starts) for x in (reader.n_known.astype(np.int64), reader.base)]
+            info = pack_bytes([
+                reader.known.tobytes(), reader.ids.tobytes(), reader.sizes.astype("<u4").tobytes(), reader.held.astype("<u1").tobytes(),
+                sums[0].astype("<u4").tobytes(), sums[1].astype("<f8").tobytes(),
+            ])
+            stay = reader.retained if onward else np.zeros(len(reader.codes), bool)
+            rows.append(_state_row(
+                reader.block, info, np.arange(len(reader.sizes)), reader.sizes, reader.held, reader.codes, reader.hashes,
+                np.arange(len(reader.codes)), reader.p, stay, model.depth + 1,
+            ))
+        return pa.Table.from_batches([batch_of(_STATE, rows)])
 
     return run
 
 
+class _Active:
+    """The surviving positions of a block, their contexts of ``length`` words and their distinct entries."""
+
+    def __init__(self, row: dict, length: int):
+        self.block, self.length = row["block"], length
+        names, sizes, held = unpack_bytes(row["docs"])
+        self.names, self.sizes = np.frombuffer(names, "<u4").astype(np.int64), np.frombuffer(sizes, "<u4").astype(np.int64)
+        self.held = np.frombuffer(held, "<u1").astype(bool)
+        self.codes, self.hashes = unpack(row["codes"][3:], row["codes"][:3].decode()).astype(np.int64), unpack(row["words"], "<u8")
+        at, p = unpack_bytes(row["active"])
+        self.at, self.p = np.cumsum(unpack(at, "<u4").astype(np.int64)), unpack(p, "<f4").astype(np.float64)
+        mixed = np.full(len(self.at), length, np.uint64)
+        for back in range(1, length + 1):
+            mixed = (mixed ^ self.hashes[self.codes[self.at - back]]) * _M1
+            mixed ^= mixed >> np.uint64(29)
+        self.context_hashes, rank = np.unique(mixed * _M2, return_inverse=True)
+        self.shift = max(1, int(len(self.hashes)).bit_length())
+        key = (rank.astype(np.int64) << self.shift) | self.codes[self.at]
+        self.key, self.first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+
+    def lists(self, buckets: int) -> list[tuple]:
+        context, word = self.key >> self.shift, self.key & ((1 << self.shift) - 1)
+        trained = np.repeat(~self.held, self.sizes)[self.at]
+        trained = np.bincount(self.inverse, weights=trained, minlength=len(self.key)).astype("<u4")
+        parent, rows = self.p[self.first].astype("<f4"), []
+        for b, a, z in _slices(bucket_of(self.context_hashes[context], buckets), buckets):
+            begins = np.flatnonzero(np.diff(context[a:z], prepend=-1))
+            contexts = self.context_hashes[context[a:z][begins]]
+            sizes = pack(np.diff(begins, append=z - a).astype("<u4"))
+            rows.append((self.length, False, b, self.block, pack(contexts), sizes, _packed_words(self.hashes[word[a:z]]), pack(trained[a:z]), pack(parent[a:z])))
+        return rows
+
+    def advanced(self, answers: list[dict]) -> tuple:
+        """The state after the answers: retained contexts go on with one word more."""
+        answers = sorted(answers, key=lambda a: a["bucket"])
+
+        def answer(what: str, kind: str) -> np.ndarray:
+            return np.concatenate([unpack(a[what], kind) for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
+
+        nth = self.key >> self.shift  # every context was asked about, in the order of its hash
+        counts, types, totals = answer("counts", "<u4"), answer("types", "<u4")[nth], answer("totals", "<u4")[nth]
+        kept = answer("kept", "<u1")[nth][self.inverse] > 0
+        better = (counts[self.inverse] + types[self.inverse] * self.p) / np.maximum((totals + types)[self.inverse], 1)
+        p = np.where(kept, better, self.p)
+        return _state_row(
+            self.block, None, self.names, self.sizes, self.held, self.codes, self.hashes, self.at, p, kept, self.length + 1
+        )
+
+
+def _active_lists(buckets: int, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["n_active"]:
+                    yield batch_of(_LIST, _Active(row, length).lists(buckets))
+
+    return run
+
+
+def _next_state(length: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = [_Active(row, length).advanced(right.to_pylist()) for row in left.to_pylist()]
+        return pa.Table.from_batches([batch_of(_STATE, rows)])
+
+    return run
+
+
+_SCORES = pa.schema([
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("base_score", pa.float64()), ("score", pa.float64()),
+])
+_SCORES_TYPE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _score(table: pa.Table) -> pa.Table:
+    """A block's documents: what is known of them, and the sums of all rounds."""
+    rows = table.to_pylist()
+    info = next(r["info"] for r in rows if r["info"])
+    kinds = ("<u1", "<i8", "<u4", "<u1", "<u4", "<f8")
+    known, ids, sizes, held, n_known, base = (np.frombuffer(x, k).tolist() for x, k in zip(unpack_bytes(info), kinds))
+    score = np.zeros(len(ids))
+    for r in sorted(rows, key=lambda r: r["round"]):
+        names, sums = unpack_bytes(r["done"])
+        score[np.frombuffer(names, "<u4")] += np.frombuffer(sums, "<f8")
+    ids = [i if k else None for i, k in zip(ids, known)]
+    out = list(zip(ids, map(bool, held), sizes, n_known, base, score.tolist()))
+    return pa.Table.from_batches([batch_of(_SCORES, out)])
+
+
 # --- buckets ---------------------------------------------------------------------------
 
 
@@ -349,21 +457,69 @@ def _answer_words(rows: list[tuple]) -> list[tuple]:
 def _answer_hot(rows: list[tuple]) -> list[tuple]:
     length, bucket = rows[0][0], rows[0][2]
     contexts = np.concatenate([unpack(r[4], "<u8") for r in rows])
-    words = np.concatenate([unpack(r[6][4 : 4 + int.from_bytes(r[6][:4], "little")], "<u8") for r in rows])
+    words = np.concatenate([unpack(r[6], "<u8") for r in rows])
     sizes = [len(unpack(r[4], "<u8")) for r in rows]
     names, context = np.unique(contexts, return_inverse=True)
     order = np.lexsort((context, words))
     new = np.concatenate(([True], (np.diff(words[order]) != 0) | (np.diff(context[order]) != 0)))
     entry = np.empty(len(order), np.int64)
     entry[order] = np.cumsum(new) - 1
-    counts = np.bincount(entry, weights=np.concatenate([unpack(r[7], "<u4") for r in rows])).astype(np.int64)
-    types = np.bincount(context[order][new], weights=counts > 0, minlength=len(names)).astype("<u4")
+    counts = np.bincount(entry, weights=np.concatenate([unpack(r[7], "<u4") for r in rows])).astype("<u8")
+    parent = np.concatenate([unpack(r[8], "<f4") for r in rows])[order][new]
     out, at = [], 0
     for row, n in zip(rows, sizes):
         out.append((row[3], length, True, bucket, pack(counts[entry[at : at + n]].astype("<u4")), b"", b"", 0, None, b""))
         at += n
-    # T(s) of this bucket's share of each hot context; no block asked for this row.
-    return [*out, (None, length, True, bucket, b"", pack(types), b"", 0, pack(names), b"")]
+    # This bucket's entries of the hot contexts, for their T(s) and their test; no block asked for this row.
+    seen = counts > 0
+    return [*out, (
+        None, length, True, bucket, pack(counts[seen]), pack(context[order][new][seen].astype("<u4")), pack(parent[seen]), 0, pack(names), b"",
+    )]
+
+
+def _gain(c, parent, types, total) -> np.ndarray:
+    """An entry's part of the divergence: each occurrence left out of its own estimate.
+
+    That is of its count, the context's count and, if it was the only one, of T(s).
+    """
+    others = types - (c == 1)
+    below = total - 1 + others
+    estimate = np.where(below > 0, (c - 1 + others * parent) / np.maximum(below, 1), parent)
+    return c * (np.log(np.maximum(estimate, 1e-300)) - np.log(parent))
+
+
+_HOT = pa.schema([("context", pa.int64()), ("types", pa.int64()), ("total", pa.int64()), ("gain", pa.float64())])
+_HOT_TYPE = "context bigint, types bigint, total bigint, gain double"
+
+
+def _hot_sums(known: dict[int, tuple[int, int]] | None):
+    """Parts of T(s) and the counts of hot contexts; once these are ``known``, parts of their divergence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, counts, contexts, parents in rows_of(batches, "contexts", "counts", "types", "kept"):
+            names = unpack(names, "<u8").view(np.int64)
+            c, of = unpack(counts, "<u8").astype(np.int64), unpack(contexts, "<u4").astype(np.int64)
+            types, total = np.bincount(of, minlength=len(names)), np.bincount(of, weights=c, minlength=len(names)).astype(np.int64)
+            gain = np.zeros(len(names))
+            if known:
+                all_types, all_total = (np.array([known[n][i] for n in names.tolist()], np.int64) for i in (0, 1))
+                parent = unpack(parents, "<f4").astype(np.float64)
+                gain = np.bincount(of, weights=_gain(c, parent, all_types[of], all_total[of]), minlength=len(names))
+            yield batch_of(_HOT, list(zip(names.tolist(), types.tolist(), total.tolist(), gain.tolist())))
+
+    return run
+
+
+def _judge_hot(model: Model, answers: DataFrame) -> None:
+    """T(s) and the test of the hot contexts of one length: two sums of at most ``hot_share`` rows."""
+    parts = answers.where("block IS NULL").select("contexts", "counts", "types", "kept")
+    summed = [F.sum(c).alias(c) for c in ("types", "total", "gain")]
+    rows = parts.mapInArrow(_hot_sums(None), _HOT_TYPE).groupBy("context").agg(*summed).collect()
+    known = {r["context"]: (r["types"], r["total"]) for r in rows}
+    model.hot_types.append({c & ((1 << 64) - 1): types for c, (types, _) in known.items()})
+    rows = parts.mapInArrow(_hot_sums(known), _HOT_TYPE).groupBy("context").agg(*summed).collect() if known else []
+    kept = {r["context"] & ((1 << 64) - 1) for r in rows if r["gain"] > model.threshold and r["total"] >= model.least}
+    model.hot_kept.append(kept)
 
 
 def _answer_contexts(rows: list[tuple], model: Model) -> list[tuple]:
@@ -378,17 +534,13 @@ def _answer_contexts(rows: list[tuple], model: Model) -> list[tuple]:
     context = np.repeat(nth, np.concatenate(sizes))
     keys, first, entry = np.unique((context << 40) | np.concatenate(words), return_index=True, return_inverse=True)
     counts = np.bincount(entry, weights=np.concatenate([unpack(r[7], "<u4") for r in rows])).astype(np.int64)
-    parent = np.exp2(np.concatenate([unpack(r[8], "<u1") for r in rows])[first] / -_LOG_STEP)
+    parent = np.concatenate([unpack(r[8], "<f4") for r in rows])[first].astype(np.float64)
     owner = keys >> 40
     total = np.bincount(owner, weights=counts, minlength=len(names))
     types = np.bincount(owner, weights=counts > 0, minlength=len(names))
     seen = counts > 0
     c, s = counts[seen], owner[seen]
-    # Each occurrence left out of its own estimate: of its count, the context's count and, if it was the only one, of T(s).
-    others = types[s] - (c == 1)
-    below = total[s] - 1 + others
-    estimate = np.where(below > 0, (c - 1 + others * parent[seen]) / np.maximum(below, 1), parent[seen])
-    gain = np.bincount(s, weights=c * (np.log(np.maximum(estimate, 1e-300)) - np.log(parent[seen])), minlength=len(names))
+    gain = np.bincount(s, weights=_gain(c, parent[seen], types[s], total[s]), minlength=len(names))
     kept = ((gain > model.threshold) & (total >= model.least)).astype("<u1")
     if length >= model.depth:  # what is not retained takes no further part
         counts, types, total = counts * kept[owner], types * kept, total * kept
@@ -426,13 +578,6 @@ def _answers(model: Model):
     return run
 
 
-def _unpack_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("context", pa.int64()), ("types", pa.int64())])
-    for contexts, types in rows_of(batches, "contexts", "types"):
-        arrays = [pa.array(unpack(contexts, "<u8").view(np.int64)), pa.array(unpack(types, "<u4").astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
 def score_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -457,31 +602,43 @@ def score_documents(
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(4 * n, depth, least, threshold, hot_share, hot_types=[{}])
+    model = Model(4 * n, depth, least, threshold, hot_share, hot_types=[{}], hot_kept=[set()])
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    made = rows.mapInArrow(_to_blocks(block_chars, parts, part), _BLOCK_TYPE)
-    kept = bucketed(made, "block")
+    kept = bucketed(rows.mapInArrow(_to_blocks(block_chars, parts, part), _BLOCK_TYPE), "block")
     model.tokens = kept.agg(F.coalesce(F.sum("n_trained"), F.lit(0))).first()[0]
 
+    def answered(lists: DataFrame, length: int) -> DataFrame:
+        dealt = lists.repartition("hot", "bucket").sortWithinPartitions("hot", "bucket")
+        return materialise(dealt.mapInArrow(_answers(model), _ANSWER_TYPE), f"answers{length}")
+
+    spent = [kept]
     answers = None
-    for length in count():
+    for length in range(depth + 1):
         if length == 0:
             lists = kept.select("block", "words", "trained").mapInArrow(_first_lists(model.buckets), _LIST_TYPE)
         else:
             lists = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_steps(model, length), _LIST_TYPE)
-        dealt = lists.repartition("hot", "bucket").sortWithinPartitions("hot", "bucket")
-        new = materialise(dealt.mapInArrow(_answers(model), _ANSWER_TYPE), f"answers{length}")
+        new = answered(lists, length)
         if length == 0:
             model.distinct = new.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
-        elif length <= depth:
-            types = new.where("block IS NULL").select("contexts", "types").mapInArrow(_unpack_types, "context bigint, types bigint")
-            summed = types.groupBy("context").agg(F.sum("types").alias("types")).collect()  # at most hot_share rows
-            model.hot_types.append({r["context"] & ((1 << 64) - 1): r["types"] for r in summed})
+        else:
+            _judge_hot(model, new)
+        spent.append(new)
         new = new.where("block IS NOT NULL")
         answers = new if answers is None else answers.unionAll(new)
-        model.lengths = length
-        if length >= depth and not longer or length > depth and not new.agg(F.sum("distinct")).first()[0]:
+    state = bucketed(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_survivors(model, longer), _STATE_TYPE), "block")
+    sums = None
+    for length in count(depth + 1):
+        done = materialise(state.select("block", F.lit(length).alias("round"), "info", "done"), "sums")
+        sums = done if sums is None else sums.unionAll(done)
+        forget(*spent)
+        if not state.agg(F.sum("n_active")).first()[0]:
             break
-    scored = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(model), _SCORES_TYPE)
+        new = answered(state.mapInArrow(_active_lists(model.buckets, length), _LIST_TYPE), length)
+        spent = [state, new]
+        going = state.where("n_active > 0").select(*[c for c in _STATE.names if c not in ("info", "done")])
+        state = bucketed(going.groupBy("block").cogroup(new.groupBy("block")).applyInArrow(_next_state(length), _STATE_TYPE), "block")
+    forget(state)
+    scored = sums.groupBy("block").applyInArrow(_score, _SCORES_TYPE)
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
