@@ -77,10 +77,13 @@ def tone_to_bin(tone: Column, n_tones: int = 10, bins: Sequence[int] = fv.BINS)
 
 
 def angle_from_medians(l_med: Column, b_med: Column) -> Column:
-    """Angle in degrees between (50, 0) and the median point of a patch."""
+    """Angle in degrees between (50, 0) and the median point of a patch.
+
+    A median below 1e-9 in size is zero: it is what rounding leaves of a grey patch.
+    """
     return (
         F.when(l_med.isNull() | b_med.isNull(), F.lit(None).cast("double"))
-        .when(b_med == 0.0, F.when(l_med >= 50.0, 90.0).otherwise(-90.0))
+        .when(F.abs(b_med) < 1e-9, F.when(l_med >= 50.0, 90.0).otherwise(-90.0))
         .otherwise(F.degrees(F.atan2(l_med - 50.0, b_med)))
     )
 

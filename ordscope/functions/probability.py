@@ -134,50 +134,136 @@ def normal_cdf(z):
     return float(out[0]) if scalar else out
 
 
-_TABLE = 20_000
+# Rational approximation of the normal quantile, relative error 1e-9 (centre, tails).
+_CENTRE = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+)
+_TAILS = (
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
+
+
+def normal_quantile(u: np.ndarray) -> np.ndarray:
+    """Quantile of the standard normal distribution, good to nine digits: a place to start from."""
+    u = np.asarray(u, dtype=float)
+    low = np.minimum(u, 1.0 - u)
+    q, r = 0.5 - low, (0.5 - low) ** 2
+    centre = q * np.polyval(_CENTRE[0], r) / np.polyval(_CENTRE[1], r)
+    t = np.sqrt(-2.0 * np.log(np.maximum(low, 1e-300)))
+    tail = -np.polyval(_TAILS[0], t) / np.polyval(_TAILS[1], t)
+    return np.copysign(np.where(low < 0.02425, tail, centre), u - 0.5)
+
+
+_NODES, _NODE_WEIGHTS = np.polynomial.legendre.leggauss(40)
+_QUADRATURE = 3_000  # both parameters of the beta function from which the integral is summed at nodes
+
+
+def _log1p_rest(d: np.ndarray) -> np.ndarray:
+    """log(1 + d) - d without cancellation for small d."""
+    small = np.where(np.abs(d) < 0.02, d, 0.0)
+    series = np.zeros_like(small)
+    for i in range(11, 1, -1):
+        series = small * series + (-1.0) ** (i + 1) / i
+    return np.where(np.abs(d) < 0.02, small * small * series, np.log1p(d) - d)
+
+
+def _beta_by_nodes(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """I_x(a, b) for large a and b: the density is integrated over 8.5 deviations of the tail, at a fixed number of nodes.
+
+    The density is taken relative to its mode, where the linear terms of both logarithms
+    cancel, so the cost and the error do not grow with a and b.
+    """
+    mode = (a - 1.0) / (a + b - 2.0)
+    deviation = np.sqrt(mode * (1.0 - mode) / (a + b - 2.0))
+    # The distance from the mode, from the smaller of x and y.
+    far = np.where(x < 0.5, x - mode, (b - 1.0) / (a + b - 2.0) - y)
+    side = np.where(far < 0, -1.0, 1.0)  # integrate the tail on x's side of the mode
+    start = np.minimum(np.abs(far), 13.0 * deviation)
+    stop = np.minimum(start + 8.5 * deviation, np.where(side < 0, mode, 1.0 - mode))
+    half = (stop - start) / 2.0
+    t = side[:, None] * ((start + stop)[:, None] / 2.0 + half[:, None] * _NODES[None, :])
+    t = np.clip(t, -mode[:, None] * (1 - 1e-15), (1.0 - mode)[:, None] * (1 - 1e-15))
+    shape = (a - 1.0)[:, None] * _log1p_rest(t / mode[:, None]) + (b - 1.0)[:, None] * _log1p_rest(-t / (1.0 - mode)[:, None])
+    area = half * (np.exp(shape) @ _NODE_WEIGHTS)
+    # log of the density at the mode, by Stirling differences.
+    n, k = a + b - 2.0, a - 1.0
+    rest = _stirling_rest(n + 1.0) - _stirling_rest(k + 1.0) - _stirling_rest(n - k + 1.0)
+    # Stirling's leading terms at z + 1 less those at z: (z + 1/2) log1p(1/z) - 1.
+    lift = lambda z: (z + 0.5) * np.log1p(1.0 / z) - 1.0
+    top = rest + lift(n) - lift(k) - lift(n - k) + np.log(n + 1.0) + 0.5 * np.log(n / (k * (n - k))) - _HALF_LOG_2PI
+    tail = area * np.exp(top)
+    return np.where(side < 0, tail, 1.0 - tail)
+
+
+def binomial_cdf(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """P(X <= k) for X binomial(n, p), 0 < p < 1, per pair of ``k`` and ``n``."""
+    k, n = np.asarray(k, dtype=float), np.asarray(n, dtype=float)
+    out = np.where(k >= n, 1.0, 0.0)
+    inside = (k >= 0) & (k < n)
+    a, b = (n - k)[inside], k[inside] + 1.0
+    values = np.empty(len(a))
+    large = np.minimum(a, b) > _QUADRATURE
+    x, y = np.full(len(a), 1.0 - p), np.full(len(a), p)
+    values[large] = _beta_by_nodes(a[large], b[large], x[large], y[large])
+    values[~large] = incomplete_beta(a[~large], b[~large], x[~large], y[~large]) if (~large).any() else 0.0
+    out[inside] = values
+    return out
+
+
+_FEW = 500  # trials up to which summed probabilities are cheaper
+
+
+def _few_trials(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """``binomial_quantile`` from one table of summed probabilities per distinct ``n``."""
+    trials, row = np.unique(n, return_inverse=True)
+    logs = log_gamma(np.arange(trials[-1] + 1) + 1.0)
+    k, some = np.arange(trials[-1] + 1)[None, :], trials[:, None]
+    rest = np.maximum(some - k, 0)
+    mass = np.exp(logs[some] - logs[k] - logs[rest] + k * np.log(p) + rest * np.log1p(-p))
+    upto = np.cumsum(np.where(k <= some, mass, 0.0), axis=1)
+    out = np.empty(len(n), np.int64)
+    for r in range(len(trials)):
+        mine = row == r
+        out[mine] = np.minimum(np.searchsorted(upto[r], u[mine], "left"), trials[r])
+    return out
 
 
 def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     """Smallest k with P(X <= k) >= u for X binomial(n, p), per pair of ``u`` and ``n``.
 
-    Up to ``_TABLE`` trials from the summed probabilities, one table row per distinct
-    ``n``; beyond by bisection on the incomplete beta function around the mean. Both
-    invert the same distribution function.
+    The normal quantile with its skewness term names a k; the distribution function is
+    evaluated there once; from there the sum walks by the ratio of neighbouring
+    probabilities, some steps at most. So the cost does not grow with ``n``.
     """
-    n = np.asarray(n, dtype=np.int64)
+    n, u = np.asarray(n, dtype=np.int64), np.asarray(u, dtype=float)
     if p <= 0.0 or p >= 1.0:
         return n * int(p >= 1.0)
-    out = np.zeros(len(n), np.int64)
-    small = n <= _TABLE
-    if small.any():
-        trials, row = np.unique(n[small], return_inverse=True)
-        logs = log_gamma(np.arange(trials[-1] + 1) + 1.0)
-        # In slices, so that the table stays within some megabytes.
-        width = max(1, 4_000_000 // (int(trials[-1]) + 1))
-        mine = np.flatnonzero(small)
-        for at in range(0, len(trials), width):
-            some = trials[at : at + width, None]
-            k = np.arange(int(some[-1, 0]) + 1)[None, :]
-            rest = np.maximum(some - k, 0)
-            mass = np.exp(logs[some] - logs[k] - logs[rest] + k * np.log(p) + rest * np.log1p(-p))
-            upto = np.cumsum(np.where(k <= some, mass, 0.0), axis=1)
-            of = np.flatnonzero((row >= at) & (row < at + width))
-            for r in np.unique(row[of]):
-                asks = of[row[of] == r]
-                found = np.searchsorted(upto[r - at], u[mine[asks]], "left")
-                out[mine[asks]] = np.minimum(found, trials[r])
-    if not small.all():
-        m, v = n[~small], u[~small]
-        spread = 12.0 * np.sqrt(m * p * (1.0 - p)) + 40.0
-        low = np.maximum(np.floor(m * p - spread), -1).astype(np.int64)  # P(X <= low) < u
-        high = np.minimum(np.ceil(m * p + spread), m).astype(np.int64)
-        while (high - low > 1).any():
-            middle = (low + high) // 2
-            below = incomplete_beta(m - middle, middle + 1.0, 1.0 - p, p)
-            enough = (middle >= m) | (below >= v)
-            high, low = np.where(enough, middle, high), np.where(enough, low, middle)
-        out[~small] = high
-    return out
+    if n.max(initial=0) <= _FEW:
+        return _few_trials(u, n, p) if len(n) else n
+    q = 1.0 - p
+    z = normal_quantile(u)
+    guess = n * p + z * np.sqrt(n * p * q) + (q - p) * (z * z - 1.0) / 6.0 - 0.5
+    k = np.clip(np.rint(guess), 0, n).astype(np.int64)
+    upto = binomial_cdf(k, n, p)
+    mass = np.exp(k * np.log(p) + (n - k) * np.log1p(-p) - np.log(n + 1.0) - log_beta(k + 1.0, n - k + 1.0))
+    rising = upto < u
+    while True:
+        up = np.flatnonzero(rising & (upto < u) & (k < n))
+        if not len(up):
+            break
+        mass[up] *= (n[up] - k[up]) / (k[up] + 1.0) * (p / q)
+        k[up] += 1
+        upto[up] += mass[up]
+    while True:
+        down = np.flatnonzero(~rising & (k > 0) & (upto - mass >= u))
+        if not len(down):
+            break
+        upto[down] -= mass[down]
+        mass[down] *= k[down] / (n[down] - k[down] + 1.0) * (q / p)
+        k[down] -= 1
+    return k
 
 
 @F.pandas_udf(T.DoubleType())

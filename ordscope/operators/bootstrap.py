@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from ordscope import fixed_values as fv
 from ordscope.functions.distances import signed_distance
 from ordscope.functions.probability import binomial_quantile
+from ordscope.operators.checks import join_null_safe
 from ordscope.operators.distributions import (
     group_metrics,
     roll_up,
     weighted_index,
 )
+from ordscope.session import materialise
 
 
 def interval_levels(ci_level: float) -> tuple[float, float]:
@@ -178,10 +180,11 @@ def bootstrap_by_cell(
 
     ``hist`` comes from ``ordinal_histogram`` with keys ``cell_keys + group``.
     """
-    metrics = group_metrics(hist, baseline, on, bins)
+    # One row per (cell, group), read by both branches below.
+    metrics = materialise(group_metrics(hist, baseline, on, bins), "metrics")
     point = weighted_index(metrics, cell_keys)
     reps = replicate_table(metrics, cell_keys, group_key, bins, n_replicates, seed, ci_level)
-    return point.join(index_intervals(reps, cell_keys, ci_level), list(cell_keys), "left")
+    return join_null_safe(point, index_intervals(reps, cell_keys, ci_level), cell_keys, "left")
 
 
 __all__ = [

@@ -31,3 +31,11 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> Da
     message = F.concat(F.lit(f"{what}: duplicate key "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
     counted = df.where(known).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     return counted.where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("__n")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the left side's keys and all other columns of both stay."""
+    names = {k: f"__right_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(names[k])), keys, F.lit(True))
+    return left.join(renamed, same, how).drop(*names.values())

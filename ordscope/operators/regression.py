@@ -26,7 +26,7 @@ from ordscope.functions.probability import (
     t_cdf_col,
     two_sided_normal,
 )
-from ordscope.operators.checks import require_columns
+from ordscope.operators.checks import join_null_safe, require_columns
 from ordscope.operators.quantiles import coarse_bucket
 
 INTERCEPT = "Intercept"
@@ -262,7 +262,7 @@ def benjamini_hochberg(
         .drop("__s")
     )
     upto = Window.partitionBy(*on).orderBy(p_col).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.join(per_slice, on, "inner").withColumn(
+    ranked = join_null_safe(distinct, per_slice, on).withColumn(
         "__raw", F.col(p_col) * F.col("__m") / (F.col("__before") + F.sum("__c").over(upto))
     )
     above = (
@@ -277,7 +277,7 @@ def benjamini_hochberg(
         .drop("__low")
     )
     down = Window.partitionBy(*on).orderBy(F.desc(p_col)).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = ranked.join(above, on, "inner").select(
+    adjusted = join_null_safe(ranked, above, on).select(
         *keys,
         p_col,
         F.least(F.lit(1.0), F.coalesce(F.col("__above"), F.lit(1.0)), F.min("__raw").over(down)).alias(
@@ -287,7 +287,7 @@ def benjamini_hochberg(
     claim = F.col("p_adjusted") < fdr
     if effect_col:
         claim = claim & (F.col(effect_col) < min_effect)
-    return rows.join(adjusted, [*keys, p_col], "inner").withColumn("claimed", claim)
+    return join_null_safe(rows, adjusted, [*keys, p_col]).withColumn("claimed", claim)
 
 
 # ---- general least squares -------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
+from ordscope.operators.checks import join_null_safe
 from ordscope.operators.quantiles import exact_quantiles
 
 
@@ -132,7 +133,7 @@ def running_total(
 
     ``chunk`` must be non-decreasing in the order (a time bucket, say). Rows are
     windowed per (key, chunk); the chunk totals, one small row each, are windowed
-    per key.
+    per key. Rows without a key are a key of their own.
     """
     rows = df.withColumn("__value", value).withColumn("__chunk", chunk)
     part = [*keys, "__chunk"]
@@ -143,7 +144,7 @@ def running_total(
     ).drop("__sum")
     inside = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(totals, part, "inner")
+        join_null_safe(rows, totals, part)
         .withColumn(name, F.col("__before") + F.sum("__value").over(inside))
         .drop("__value", "__chunk", "__before")
     )

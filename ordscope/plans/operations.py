@@ -11,8 +11,8 @@ from ordscope import fixed_values as fv
 from ordscope.functions import ids
 from ordscope.operators import agreement, grid, merge, progress, quality, sampling
 from ordscope.session import materialise
-from ordscope.sources.readers import read_shards
-from ordscope.sources.sinks import replace_table
+from ordscope.sources.readers import path_exists, read_shards, union_all
+from ordscope.sources import versions
 
 
 def merged_shards(rows: DataFrame, key: str = "image_id", order_col: str = "timestamp") -> DataFrame:
@@ -28,15 +28,26 @@ def merged_shards(rows: DataFrame, key: str = "image_id", order_col: str = "time
 def run_merge(
     spark: SparkSession, canonical: str, shards: Sequence[str], dry_run: bool = False
 ) -> DataFrame:
-    """Merge shards into the canonical table; returns the summary counts."""
-    rows = read_shards(spark, canonical, shards)
+    """Merge shards into the canonical table (see ``sources.versions``); returns the summary counts.
+
+    The merge is committed against the version it read: if another merge came between,
+    it fails and changes nothing.
+    """
+    old = versions.current(spark, canonical)
+    rows = read_shards(spark, None, shards) if any(path_exists(spark, p) for p in shards) else None
+    if old:
+        table = versions.read_version(spark, canonical, old)
+        first = table.withColumns({"source": F.lit("canonical"), "src_ord": F.lit(0), "row_ord": F.lit(0).cast("long")})
+        rows = first if rows is None else union_all([first, rows])
+    if rows is None:
+        raise FileNotFoundError("no canonical table and no shards")
     merged = merged_shards(rows)
     summary = merge.merge_summary(rows)
     if dry_run:
         return summary
-    # The counts describe the input, so take them before the swap.
+    # The counts describe the input, so take them before the commit.
     counts = spark.createDataFrame(summary.collect(), summary.schema)
-    replace_table(merged, canonical)
+    versions.replace_table(merged, canonical, base=old.number if old else 0)
     return counts
 
 

@@ -31,13 +31,18 @@ PATCH_SCHEMA = T.StructType(
 
 
 def lab_of(rgb: np.ndarray) -> np.ndarray:
-    """CIE-Lab (L 0..100) of an (n, 3) array of 8-bit RGB values."""
+    """CIE-Lab (L 0..100) of an (n, 3) array of 8-bit RGB values, to 9 decimals.
+
+    Products are added in one order, and what is left of floating noise is rounded
+    away: digits do not depend on how many pixels share a batch, and grey is exactly 0.
+    """
     c = rgb / 255.0
     linear = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
-    xyz = linear @ _RGB_TO_XYZ.T / _WHITE
+    r, g, b = linear[:, 0], linear[:, 1], linear[:, 2]
+    xyz = np.column_stack([(m[0] * r + m[1] * g) + m[2] * b for m in _RGB_TO_XYZ]) / _WHITE
     f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16.0 / 116.0)
     light = np.where(xyz[:, 1] > 0.008856, 116.0 * f[:, 1] - 16.0, 903.3 * xyz[:, 1])
-    return np.column_stack([light, 500.0 * (f[:, 0] - f[:, 1]), 200.0 * (f[:, 1] - f[:, 2])])
+    return np.round(np.column_stack([light, 500.0 * (f[:, 0] - f[:, 1]), 200.0 * (f[:, 1] - f[:, 2])]), 9)
 
 
 def _segment_medians(values: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:

@@ -1,9 +1,8 @@
-"""Writers: cached stage output, staged replacement, text results, ledger."""
+"""Writers: cached stage output, text results, ledger. Tables that are replaced: ``versions``."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,43 +22,6 @@ def cached_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame])
     return spark.read.parquet(path)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write next to the target, then swap.
-
-    The job may read ``path`` itself. The swap is two renames of complete folders; the
-    old one is removed after the new one is in place. Between the renames the path is
-    absent for a moment: a reader that starts then fails and can retry, and after a
-    crash at that point :func:`recover_table` puts the last complete folder back.
-    """
-    spark = df.sparkSession
-    target = path.rstrip("/")
-    staging, retired = f"{target}.staging-{uuid.uuid4().hex}", f"{target}.old-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(staging)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    had_old = fs.exists(hadoop(target))
-    if had_old and not fs.rename(hadoop(target), hadoop(retired)):
-        raise OSError(f"could not move {target} aside")
-    if not fs.rename(hadoop(staging), hadoop(target)):
-        if had_old:
-            fs.rename(hadoop(retired), hadoop(target))
-        raise OSError(f"could not put the new {target} in place")
-    if had_old:
-        fs.delete(hadoop(retired), True)
-
-
-def recover_table(spark: SparkSession, path: str) -> bool:
-    """Undo a swap that was cut off between its renames; true if the table had to be put back."""
-    target = path.rstrip("/")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(target)):
-        return False
-    aside = fs.globStatus(hadoop(f"{target}.old-*")) or []
-    newest = max(aside, key=lambda s: s.getModificationTime(), default=None)
-    return newest is not None and fs.rename(newest.getPath(), hadoop(target))
-
-
 def write_result_csv(df: DataFrame, path: str, decimals: int = 6) -> None:
     """Small result table as CSV; doubles with a fixed number of decimals, half to even, NULL as an empty field."""
 

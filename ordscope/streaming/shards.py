@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ordscope.operators.merge import latest_by_key
+from ordscope.sources import versions
 from ordscope.sources.readers import path_exists, union_all
-from ordscope.sources.sinks import replace_table
 
 
 def shard_stream(
@@ -33,21 +33,27 @@ def shard_stream(
 
 
 def upsert_batch(
-    batch: DataFrame, canonical: str, key: str = "image_id", order_col: str = "timestamp"
+    batch: DataFrame,
+    canonical: str,
+    key: str = "image_id",
+    order_col: str = "timestamp",
+    writer: str = "",
+    epoch: int | None = None,
+    n_buckets: int = 64,
 ) -> None:
-    """Fold one micro-batch into the canonical table.
+    """Fold one micro-batch into the canonical table (see ``sources.versions``).
 
-    Running the same batch twice gives the same table: last write wins is
-    idempotent, and the swap happens after the new table is complete.
+    Only the buckets of the batch's ids are read and written. A batch that the table
+    already holds is left out; last write wins is idempotent besides.
     """
-    spark = batch.sparkSession
-    incoming = batch.withColumn("src_ord", F.lit(1))
-    parts = [incoming]
-    if path_exists(spark, canonical):
-        old = spark.read.parquet(canonical)
-        parts.insert(0, old.withColumns({"src_ord": F.lit(0), "source": F.lit(""), "row_ord": F.lit(0).cast("long")}))
-    merged = latest_by_key(union_all(parts), key, order_col, drop_source_order=True)
-    replace_table(merged, canonical)
+
+    def merge(old: DataFrame | None, incoming: DataFrame) -> DataFrame:
+        parts = [incoming.withColumn("src_ord", F.lit(1))]
+        if old is not None:
+            parts.insert(0, old.withColumns({"src_ord": F.lit(0), "source": F.lit(""), "row_ord": F.lit(0).cast("long")}))
+        return latest_by_key(union_all(parts), key, order_col, drop_source_order=True)
+
+    versions.upsert(batch, canonical, key, merge, n_buckets, writer, epoch)
 
 
 def upsert_stream(
@@ -57,10 +63,11 @@ def upsert_stream(
     key: str = "image_id",
     order_col: str = "timestamp",
     trigger_seconds: int | None = None,
+    n_buckets: int = 64,
 ) -> StreamingQuery:
     """Start the upsert; without an interval it drains what is there and stops."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: upsert_batch(batch, canonical, key, order_col)
+        lambda batch, epoch: upsert_batch(batch, canonical, key, order_col, checkpoint, epoch, n_buckets)
     )
     return _trigger(writer, trigger_seconds).start()
 
@@ -101,8 +108,9 @@ def current_rows(
 ) -> DataFrame:
     """Latest row per id over the canonical table (first) and all deltas (by epoch)."""
     parts = []
-    if canonical and path_exists(spark, canonical):
-        old = spark.read.parquet(canonical)
+    version = versions.current(spark, canonical) if canonical else None
+    if version:
+        old = versions.read_version(spark, canonical, version)
         first = {"src_ord": F.lit(-1).cast("long"), "source": F.lit(""), "row_ord": F.lit(0).cast("long")}
         parts.append(old.withColumns(first))
     if path_exists(spark, f"{deltas}/epoch=*"):
@@ -118,7 +126,7 @@ def compact(
     spark: SparkSession, canonical: str, deltas: str, key: str = "image_id", order_col: str = "timestamp"
 ) -> None:
     """Fold all deltas into the canonical table. Folding twice changes nothing."""
-    replace_table(current_rows(spark, canonical, deltas, key, order_col), canonical)
+    versions.replace_table(current_rows(spark, canonical, deltas, key, order_col), canonical)
 
 
 def shard_sink(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ordscope.operators import requests
 from ordscope.session import materialise
-from ordscope.sources.readers import path_exists
+from ordscope.sources import versions
+
+_WRITER = "alerts"
 
 
 def windowed_throughput(
@@ -56,23 +58,17 @@ def failure_alerts(
 ) -> None:
     """Fold one micro-batch: report runs of at least ``limit`` failures, as long as they are by then.
 
-    The state is one row per key: length and start of the run the key is in. A run
-    that goes on in a later batch is reported again under the same start;
-    :func:`current_alerts` keeps its longest form, so the answer does not depend on
-    where batches were cut. Runs inside the batch come from the two-level running
-    total, so a key that sends most of the batch is spread over its chunks. A replayed
-    batch rewrites the same alert folder from the same previous state.
+    The state is one row per key: length and start of the run the key is in, in a table
+    bucketed by key (see ``sources.versions``), of which a batch reads and rewrites the
+    buckets it touches. A run that goes on in a later batch is reported again under the
+    same start; :func:`current_alerts` keeps its longest form, so the answer does not
+    depend on where batches were cut. Runs inside the batch come from the two-level
+    running total, so a key that sends most of the batch is spread over its chunks. A
+    replayed batch starts from the state before it and rewrites the same alert folder.
+    Rows without a key are a key of their own.
     """
     spark = batch.sparkSession
     keys = list(keys)
-    types = dict(batch.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", carry bigint, since {types[order_cols[0]]}"
-    previous = f"{state_path}/epoch={epoch - 1}"
-    if path_exists(spark, previous):
-        carried = spark.read.schema(schema).parquet(previous)
-    else:
-        carried = spark.createDataFrame([], schema)
-
     labelled = requests.running_total(
         batch.withColumn("__failed", failed), keys, order_cols, F.when(F.col("__failed"), 0).otherwise(1), chunk, "run"
     )
@@ -81,7 +77,16 @@ def failure_alerts(
         F.min(F.when(F.col("__failed"), F.col(order_cols[0]))).alias("run_start"),
         F.max(F.when(F.col("__failed"), F.col(order_cols[0]))).alias("run_end"),
     )
-    runs = runs.join(carried, keys, "left").withColumn(
+    runs = materialise(runs.withColumn("state_key", F.to_json(F.struct(*keys))), "runs")
+
+    old = versions.before_epoch(spark, state_path, _WRITER, epoch)
+    types = dict(batch.dtypes)
+    if old:
+        touched = runs.select(versions.bucket_of(F.col("state_key"), old.n_buckets)).distinct().collect()  # at most the buckets
+        carried = versions.read_buckets(spark, state_path, old, [r[0] for r in touched]).drop(*keys)
+    else:
+        carried = spark.createDataFrame([], f"state_key string, carry bigint, since {types[order_cols[0]]}")
+    runs = runs.join(carried, "state_key", "left").withColumn(
         "carried_in", F.when(F.col("run") == 0, F.coalesce("carry", F.lit(0))).otherwise(F.lit(0))
     )
     start = F.when(F.col("carried_in") > 0, F.col("since")).otherwise(F.col("run_start"))
@@ -92,11 +97,14 @@ def failure_alerts(
     runs.where((F.col("n_failed") > 0) & (F.col("run_length") >= limit)).select(*keys, "run_length", "run_start", "run_end").write.mode("overwrite").parquet(
         f"{alerts_path}/epoch={epoch}"
     )
-    trailing = runs.groupBy(*keys).agg(
+    trailing = runs.groupBy("state_key", *keys).agg(
         F.max_by("run_length", "run").alias("carry"), F.max_by("run_start", "run").alias("since")
     )
-    untouched = carried.join(trailing.select(*keys), keys, "left_anti")
-    trailing.unionByName(untouched).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+
+    def merge(state: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if state is None else state.join(new.select("state_key"), "state_key", "left_anti").unionByName(new)
+
+    versions.upsert(trailing, state_path, "state_key", merge, writer=_WRITER, epoch=epoch)
 
 
 def current_alerts(spark: SparkSession, alerts_path: str, keys: Sequence[str]) -> DataFrame:

@@ -327,15 +327,12 @@ def a12(spark, sf_dir):
     return tidy(bootstrap.group_intervals(reps))
 
 
-A13_REPLICATES = 200
-
-
-@query("A13_bootstrap_by_cell", _interval_sql(A13_REPLICATES))
+@query("A13_bootstrap_by_cell", _interval_sql(fv.N_REPLICATES))
 def a13(spark, sf_dir):
     """Interval per cell, with the number of replicates as an argument."""
     cells = cell_counts(spark, sf_dir)
     hist = distributions.with_probabilities(cells).drop("all_counts", "income_sum")
-    out = bootstrap.bootstrap_by_cell(hist, baseline_of(cells), b.CELL, ["country", "grp"], n_replicates=A13_REPLICATES)
+    out = bootstrap.bootstrap_by_cell(hist, baseline_of(cells), b.CELL, ["country", "grp"])
     return tidy(out.select(*INTERVAL_COLUMNS))
 
 

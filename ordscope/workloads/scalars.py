@@ -70,7 +70,7 @@ def f4(spark, sf_dir):
 
 @query(
     "F5_angle_from_medians",
-    f"WITH t AS (SELECT l_quantity * 2.0 AS l, (l_linenumber - 4) * 3.0 AS bb FROM lineitem) SELECT l, bb, {r('CASE WHEN bb = 0 THEN CASE WHEN l >= 50 THEN 90.0 ELSE -90.0 END ELSE degrees(atan2(l - 50.0, bb)) END')} AS angle, count(*) AS n FROM t GROUP BY ALL",
+    f"WITH t AS (SELECT l_quantity * 2.0 AS l, (l_linenumber - 4) * 3.0 AS bb FROM lineitem) SELECT l, bb, {r('CASE WHEN abs(bb) < 1e-9 THEN CASE WHEN l >= 50 THEN 90.0 ELSE -90.0 END ELSE degrees(atan2(l - 50.0, bb)) END')} AS angle, count(*) AS n FROM t GROUP BY ALL",
 )
 def f5(spark, sf_dir):
     rows = b.table(spark, sf_dir, "lineitem").select(
@@ -307,8 +307,8 @@ lin AS (
 ),
 xyz AS (SELECT *, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb AS y, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 AS z FROM lin),
 lab AS (
-  SELECT *, CASE WHEN y > 0.008856 THEN 116 * cbrt(y) - 16 ELSE 903.3 * y END AS l,
-         200 * (CASE WHEN y > 0.008856 THEN cbrt(y) ELSE 7.787 * y + 16.0 / 116 END - CASE WHEN z > 0.008856 THEN cbrt(z) ELSE 7.787 * z + 16.0 / 116 END) AS b
+  SELECT *, round(CASE WHEN y > 0.008856 THEN 116 * cbrt(y) - 16 ELSE 903.3 * y END, 9) AS l,
+         round(200 * (CASE WHEN y > 0.008856 THEN cbrt(y) ELSE 7.787 * y + 16.0 / 116 END - CASE WHEN z > 0.008856 THEN cbrt(z) ELSE 7.787 * z + 16.0 / 116 END), 9) AS b
   FROM xyz
 ),
 med AS (
@@ -341,7 +341,7 @@ def m2(spark, sf_dir):
     "M3_classify_table",
     f"""WITH {PATCH_SQL}, {TONE_SQL}, pal(pos, code) AS ({b.sql_values(list(enumerate(fv.PALETTE_DARK_TO_LIGHT)))}),
 a AS (
-  SELECT m.vec_id, m.label % 5 <> 0 AS face, CASE WHEN b_med = 0 THEN CASE WHEN l_med >= 50 THEN 90.0 ELSE -90.0 END ELSE degrees(atan2(l_med - 50.0, b_med)) END AS angle, t.tone,
+  SELECT m.vec_id, m.label % 5 <> 0 AS face, CASE WHEN abs(b_med) < 1e-9 THEN CASE WHEN l_med >= 50 THEN 90.0 ELSE -90.0 END ELSE degrees(atan2(l_med - 50.0, b_med)) END AS angle, t.tone,
          11 - p.pos AS pb
   FROM med m JOIN tones t ON t.vec_id = m.vec_id LEFT JOIN pal p ON p.code = {b.sql_list(CODES)}[m.vec_id % {len(CODES)} + 1]
 ),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.session import scratch_dir
-from ordscope.sources import dimensions, readers, sinks
+from ordscope.sources import dimensions, readers, sinks, versions
 from ordscope.streaming import shards
 from ordscope.workloads import audits
 from ordscope.workloads import bindings as b
@@ -152,9 +152,10 @@ def s11(spark, sf_dir):
     from ordscope.operators.merge import latest_by_key
 
     path = scratch_dir(spark, "canonical")
-    latest_by_key(b.metadata(spark, sf_dir)).select("image_id", "seed", "model").write.parquet(path)
-    sinks.replace_table(spark.read.parquet(path).where("model <> 'pollinations/flux'"), path)
-    return spark.read.parquet(path).select("image_id", "seed")
+    first = versions.replace_table(latest_by_key(b.metadata(spark, sf_dir)).select("image_id", "seed", "model"), path)
+    kept = versions.read_table(spark, path).where("model <> 'pollinations/flux'")
+    versions.replace_table(kept, path, base=first.number)
+    return versions.read_table(spark, path).select("image_id", "seed")
 
 
 @query(

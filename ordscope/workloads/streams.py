@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ordscope.operators.merge import latest_by_key
 from ordscope.session import scratch_dir
-from ordscope.sources.sinks import replace_table
+from ordscope.sources import versions
 from ordscope.streaming import shards, throughput
-from ordscope.sources.readers import path_exists
 from ordscope.workloads import bindings as b
 from ordscope.workloads.registry import epoch_seconds, query, r, tidy
 from ordscope.workloads.scans import EVENT_SQL, event_stream
@@ -48,7 +46,7 @@ def t2(spark, sf_dir):
     for _ in range(2):
         query_ = shards.upsert_stream(unit_stream(spark, sf_dir), canonical, scratch_dir(spark, "chk"))
         shards.drain(query_)
-    return tidy(spark.read.parquet(canonical).select("image_id", "timestamp", "event_id", "value"))
+    return tidy(versions.read_table(spark, canonical).select("image_id", "timestamp", "event_id", "value"))
 
 
 @query("T3_checkpointed_shards", "SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_id FROM events GROUP BY event_type")
@@ -72,19 +70,17 @@ def _timed(stream):
 
 
 def _drain_windows(spark, frame, name):
-    """Keep the newest value per (window, backend) of an updating stream."""
+    """Every batch lands its updated windows by itself; a window's newest form is read back."""
     target, checkpoint = scratch_dir(spark, name), scratch_dir(spark, "chk")
 
-    def fold(batch, epoch):
-        rows = batch.withColumn("epoch", F.lit(epoch))
-        if path_exists(spark, target):
-            rows = rows.unionByName(spark.read.parquet(target))
-        keyed = rows.withColumn("k", F.concat_ws("|", F.col("window_start").cast("string"), "backend"))
-        newest = latest_by_key(keyed, "k", "epoch", source_order=()).drop("k")
-        replace_table(newest, target)
+    def land(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
-    shards.run_batches(frame, checkpoint, fold)
-    return spark.read.parquet(target)
+    shards.run_batches(frame, checkpoint, land)
+    landed = spark.read.parquet(target)
+    values = F.struct(*[c for c in landed.columns if c not in ("window_start", "backend", "epoch")])
+    newest = landed.groupBy("window_start", "backend").agg(F.max_by(values, "epoch").alias("v"))
+    return newest.select("window_start", "backend", "v.*")
 
 
 def _window_sql(hours: int, slide: int) -> str:
@@ -145,14 +141,13 @@ def t6_stream(spark, sf_dir):
     def fold(batch, epoch):
         throughput.failure_alerts(batch, state, alerts, epoch, ["user_id"], ["event_id"], chunk, failed, 3)
 
-    # The events arrive as files, one batch each: runs are cut anywhere.
+    # The events arrive in four parts; after each the stream starts again from its checkpoint. Runs are cut anywhere.
     folder = scratch_dir(spark, "cut")
     events = b.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    for i, (start, end) in enumerate(_cuts(low, high, 4)):
-        events.where(F.col("event_id").between(start, end)).coalesce(1).write.parquet(f"{folder}/part={i}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
-    shards.run_batches(stream, checkpoint, fold, "append")
+    for start, end in _cuts(low, high, 4):
+        events.where(F.col("event_id").between(start, end)).write.mode("append").parquet(folder)
+        shards.run_batches(spark.readStream.schema(events.schema).parquet(folder), checkpoint, fold, "append")
     return throughput.current_alerts(spark, alerts, ["user_id"])
 
 

@@ -13,7 +13,7 @@ from ordscope import fixed_values as fv
 from ordscope.operators import grid, imputation, merge, panel, progress, quality, requests
 from ordscope.plans import operations as plans
 from ordscope.session import materialise, scratch_dir
-from ordscope.sources import images, readers, sinks
+from ordscope.sources import images, readers, sinks, versions
 from ordscope.streaming import shards, throughput
 
 META = (
@@ -81,11 +81,11 @@ def test_run_merge(spark, tmp_path):
     assert (dry.n_input, dry.n_merged, dry.n_dropped) == (5, 3, 2)
     assert spark.read.parquet(canonical).count() == 2
     plans.run_merge(spark, canonical, [s1, s2])
-    rows = {r.image_id: r for r in spark.read.parquet(canonical).collect()}
+    rows = {r.image_id: r for r in versions.read_table(spark, canonical).collect()}
     assert rows["a"].timestamp == 5 and rows["c"].model_source == "mirror" and rows["b"].model_source is None
-    assert not {"source", "src_ord", "row_ord"} & set(spark.read.parquet(canonical).columns)
+    assert not {"source", "src_ord", "row_ord"} & set(versions.read_table(spark, canonical).columns)
     plans.run_merge(spark, canonical, [s1, s2])
-    assert {r.image_id: r for r in spark.read.parquet(canonical).collect()} == rows
+    assert {r.image_id: r for r in versions.read_table(spark, canonical).collect()} == rows
     assert sorted(os.listdir(base)) == ["metadata.parquet", "metadata_1.parquet", "metadata_2.parquet"]
     with pytest.raises(FileNotFoundError):
         plans.run_merge(spark, f"{base}/none.parquet", [])
@@ -356,8 +356,8 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         out = sinks.cached_stage(spark, f"{tmp_path}/stage", lambda: calls.append(1) or df)
     assert len(calls) == 1 and out.count() == 1
-    sinks.replace_table(df.withColumn("n", F.lit(7)), f"{tmp_path}/stage")
-    assert spark.read.parquet(f"{tmp_path}/stage").first().n == 7
+    versions.replace_table(df.withColumn("n", F.lit(7)), f"{tmp_path}/stage")
+    assert versions.read_table(spark, f"{tmp_path}/stage").first().n == 7
     for _ in range(2):
         sinks.append_ledger(df, f"{tmp_path}/ledger")
     assert spark.read.parquet(f"{tmp_path}/ledger").count() == 2
@@ -412,12 +412,12 @@ def test_stream_upsert_and_deltas(spark, tmp_path):
     land("2", [("a", 5, "a5"), ("b", 3, "b3"), ("c", 2, "c2")])
     run()
     want = {"a": "a5", "b": "b9", "c": "c2"}
-    assert {r.image_id: r.v for r in spark.read.parquet(canonical).collect()} == want
+    assert {r.image_id: r.v for r in versions.read_table(spark, canonical).collect()} == want
     assert {r.image_id: r.v for r in shards.current_rows(spark, None, deltas).collect()} == want
     compacted = f"{tmp_path}/compacted"
     for _ in range(2):
         shards.compact(spark, compacted, deltas)
-    assert {r.image_id: r.v for r in spark.read.parquet(compacted).collect()} == want
+    assert {r.image_id: r.v for r in versions.read_table(spark, compacted).collect()} == want
 
 
 def test_batch_windows(spark):
@@ -509,11 +509,75 @@ def test_result_csv_leaves_nulls_empty(spark, tmp_path):
     assert sorted(text.split()) == ["a,", "b,0", "k,v"]
 
 
-def test_cut_off_swap_is_recovered(spark, tmp_path):
-    from ordscope.sources import sinks
-
-    target = tmp_path / "t"
-    sinks.replace_table(spark.range(3), str(target))
-    target.rename(tmp_path / "t.old-1")
-    assert sinks.recover_table(spark, str(target)) and spark.read.parquet(str(target)).count() == 3
-    assert not sinks.recover_table(spark, str(target))
+def test_a_table_is_never_absent(spark, tmp_path):
+    """A reader in a loop through replacements, a crash before the commit, and rows read from the table itself."""
+    import threading
+
+    path, seen, errors, done = str(tmp_path / "t"), [], [], threading.Event()
+    versions.replace_table(spark.range(3), path)
+
+    def read():
+        while not done.is_set():
+            try:
+                seen.append(versions.read_table(spark, path).count())
+            except Exception as error:  # noqa: BLE001
+                errors.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for _ in range(4):
+        table = versions.read_table(spark, path)
+        versions.replace_table(table.unionAll(table), path)
+    spark.range(9).write.parquet(f"{path}/data-crashed")
+    done.set()
+    reader.join()
+    assert not errors and set(seen) <= {3, 6, 12, 24, 48}
+    assert versions.read_table(spark, path).count() == 48
+    assert versions.vacuum(spark, path, keep=1, older_than_s=3600) == 0
+    assert versions.vacuum(spark, path, keep=1, older_than_s=-10) > 0
+    assert not os.path.exists(f"{path}/data-crashed") and versions.read_table(spark, path).count() == 48
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    path = str(tmp_path / "t")
+    base = versions.replace_table(spark.range(3), path)
+    versions.replace_table(spark.range(4), path, base=base.number)
+    with pytest.raises(versions.CommitConflict):
+        versions.replace_table(spark.range(5), path, base=base.number)
+    assert versions.read_table(spark, path).count() == 4
+    plain = str(tmp_path / "plain")
+    spark.range(2).write.parquet(plain)
+    assert versions.current(spark, plain).number == 0
+    versions.replace_table(versions.read_table(spark, plain).where("id = 1"), plain, base=0)
+    assert [r.id for r in versions.read_table(spark, plain).collect()] == [1]
+
+
+def test_upsert_rewrites_the_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "image_id string, timestamp bigint, v string"
+    rows = [(f"i{i}", 1, "old") for i in range(200)] + [(None, 1, "no id")]
+    shards.upsert_batch(spark.createDataFrame(rows, schema), path, n_buckets=16, writer="w", epoch=0)
+    first = versions.current(spark, path)
+    batch = spark.createDataFrame([("i7", 2, "new"), ("i7", 0, "late"), ("x", 1, "added")], schema)
+    shards.upsert_batch(batch, path, writer="w", epoch=1)
+    second = versions.current(spark, path)
+    changed = {b for b in second.buckets if second.buckets[b] != first.buckets.get(b)}
+    assert second.n_buckets == 16 and 1 <= len(changed) <= 2
+    got = {r.image_id: r.v for r in versions.read_table(spark, path).collect()}
+    assert got == {**{f"i{i}": "old" for i in range(200)}, None: "no id", "i7": "new", "x": "added"}
+    shards.upsert_batch(batch.withColumn("v", F.lit("replayed")), path, writer="w", epoch=1)
+    assert versions.current(spark, path) == second
+    shards.upsert_batch(spark.createDataFrame([], schema), path, writer="w", epoch=2)
+    assert versions.read_table(spark, path).count() == 202
+
+
+def test_alerts_of_rows_without_a_key(spark, tmp_path):
+    rows = [(None, 1, True), (7, 2, True), (None, 3, True), (7, 4, True), (None, 5, True), (8, 6, False)]
+    df = spark.createDataFrame(rows, "user bigint, pos bigint, bad boolean")
+    runs = requests.failure_runs(df, ["user"], ["pos"], F.floor(F.col("pos") / 4), F.col("bad"), 2)
+    assert {(r.user, r.run_length, r.run_start, r.run_end) for r in runs.collect()} == {(None, 3, 1, 5), (7, 2, 2, 4)}
+    for epoch, (low, high) in enumerate([(1, 2), (3, 6)]):
+        batch = df.where(F.col("pos").between(low, high))
+        throughput.failure_alerts(batch, f"{tmp_path}/s", f"{tmp_path}/a", epoch, ["user"], ["pos"], F.floor(F.col("pos") / 4), F.col("bad"), 2)
+    got = throughput.current_alerts(spark, f"{tmp_path}/a", ["user"]).collect()
+    assert {(r.user, r.run_length, r.run_start, r.run_end) for r in got} == {(None, 3, 1, 5), (7, 2, 2, 4)}
