@@ -6,7 +6,8 @@ are the words on their own paths; joined with the edges of their nodes they repl
 character of a label or drop one of the word. Level by level the states with one edit
 are joined with the one edge of their node that goes on as their word does. A state that
 ends at a word gives a pair of neighbours. An inserted character is the other word's
-dropped one, so each pair of unequal lengths is found from its longer word.
+dropped one, so each pair of unequal lengths is found from its longer word; one of equal
+lengths from its smaller word.
 
 In every pair one half of the word is untouched. So a forward state may only take its
 edit beyond the first half of the word, a mirrored state beyond the first half of the
@@ -145,7 +146,8 @@ def tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = materialise(edges, "labels")
     letter = F.when(F.col("first") == "", ".").otherwise(F.col("first"))
     onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.sort_array(F.collect_set(letter)), "").alias("onward"))
-    edges = edges.join(onward, "child", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    ending = edges.where("child IS NULL").withColumn("onward", F.lit(None).cast("string"))  # no key to join on
+    edges = edges.where("child IS NOT NULL").join(onward, "child", "left").unionByName(ending).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     edges = edges.select("node", "salt", "first", "label", "child", F.col("child_salts").alias("salts"), "onward", "ends")
     states = pairs.where(F.col("depth") >= F.floor((F.length("text") - 1) / 2)).select(
         "text", F.col("depth").alias("position"), "node", F.pmod(F.xxhash64("text"), "salts").cast("int").alias("salt")
@@ -171,7 +173,8 @@ def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
     begins = F.expr("substring(rest, 1, 1)") == F.col("first")
     fits = F.length("rest") >= F.col("size")
     # Under another first character the edit is there, and the rest must be equal.
-    replaced = fits & (F.col("size") > 0) & F.when(begins, F.expr("levenshtein(substring(rest, 1, size), label, 1) = 1")).otherwise(
+    # Of two words of one length only the smaller finds the other: so the label is the greater one.
+    replaced = fits & (F.col("label") > F.expr("substring(rest, 1, size)")) & F.when(begins, F.expr("levenshtein(substring(rest, 1, size), label, 1) = 1")).otherwise(
         F.expr("substring(rest, 2, size - 1) = substring(label, 2)")
     )
     # At the end of a label that is followed exactly, the drop is left to the next node, if there is one.
