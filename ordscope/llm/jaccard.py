@@ -16,9 +16,9 @@ How the work is spread:
 * Equal sets are one from the start: a set is known by a 128-bit digest.
 * Blocks of documents send their prefixes, packed, to buckets of the hash space. A
   bucket keeps the n-grams that two sets share.
-* Pairs come in rounds. In each, every set proposes its most promising partner of
-  another component, and verified links merge components. When a round links nothing,
-  all pairs of different components that pass the filters are verified. So a group of
+* Pairs come in rounds. In each, every set proposes its most promising partners of
+  other components, and verified links merge components. When a round links few, all
+  pairs of different components that pass the filters are verified. So a group of
   thousands of near copies is joined by some links per set, and no pair of sets that
   are not yet connected is left out. A long posting list is cut into pieces, dealt anew
   in each round; in the last one they meet two by two, except for pieces that lie
@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 
 from ordscope.llm.common import batch_of, pick, rows_of, small_batches, text_of
 from ordscope.llm.components import components
-from ordscope.llm.packing import block_number, blocks, pack, unpack
+from ordscope.llm.packing import block_number, blocks, bucketed, forget, pack, unpack
 from ordscope.session import materialise, spread
 
 COUNTERS = 1 << 22
 RANGES = 32
 _SLICES = 64
 _PIECE = 2048  # members of a posting list that meet at once
+_PARTNERS = 4  # that a set proposes in a round
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -230,15 +231,15 @@ def _propose(percent: int, every: bool):
             if side.any():  # two pieces meet: pairs within one of them belong to another meeting
                 later = later[side[later] != side[i]]
             if not every:
-                later = later[:8]
+                later = later[: 4 * _PARTNERS]
             if not len(later):
                 continue
             bound = _passing(n, at, ranges, np.full(len(later), i), later, percent)
             if every:
                 out += [(digest[i], digest[j], b) for j, b in zip(later[bound >= 0].tolist(), bound[bound >= 0].tolist())]
-            elif bound.max() >= 0:
-                j = int(bound.argmax())
-                out.append((digest[i], digest[later[j]], float(bound[j])))
+            else:
+                likely = np.argsort(-bound, kind="stable")[:_PARTNERS]
+                out += [(digest[i], digest[later[j]], float(bound[j])) for j in likely.tolist() if bound[j] >= 0]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +302,8 @@ def _candidates(members: DataFrame, percent: int, every: bool, seed: int) -> Dat
     dealt = dealt.repartition("token", "t", "q").sortWithinPartitions("token", "t", "q")
     pairs = dealt.mapInArrow(_propose(percent, every), _PAIRS_TYPE)
     if not every:
-        best = pairs.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best"))
-        pairs = best.select("a", "best.b")
+        best = pairs.groupBy("a").agg(F.sort_array(F.collect_set(F.struct("bound", "b")), asc=False).alias("best"))
+        pairs = best.select("a", F.explode(F.slice("best", 1, _PARTNERS)).alias("best")).select("a", "best.b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -332,9 +333,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_sets(sets: DataFrame, percent: int = 80, rounds: int = 8) -> DataFrame:
-    """``digest, component`` of the sets that link to another; ``sets(block, digest, n, hashes)`` lie in their blocks.
+    """``digest, component`` of the sets that link to another; ``sets(block, digest, n, hashes)`` is bucketed by block.
 
-    ``rounds`` bounds the rounds of one proposal per set before all open pairs are taken.
+    Proposals go on for at most ``rounds`` rounds while they link a hundredth of the
+    candidates or more; then all open pairs are taken.
     """
     spark = sets.sparkSession
     frequencies = spark.sparkContext.broadcast(frequency_table(sets))
@@ -343,19 +345,27 @@ def linked_sets(sets: DataFrame, percent: int = 80, rounds: int = 8) -> DataFram
     lists = lists.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialise(lists.mapInArrow(_shared, _SHARED_TYPE).distinct(), "shared")
 
-    # The sets that share an n-gram at all, one row each.
-    wanted = shared.select("digest").distinct()
-    candidates = sets.where("digest IS NOT NULL").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    # The sets that share an n-gram at all, one row each. Blocks are told which of their sets these are: no set moves for it.
+    wanted = sets.select("digest", "block").join(shared.select("digest").distinct(), "digest")
+    wanted = wanted.groupBy("digest").agg(F.min("block").alias("block")).groupBy("block").agg(F.collect_set("digest").alias("wanted"))
+    candidates = sets.join(wanted, "block").where(F.array_contains("wanted", F.col("digest")))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("hashes", pa.binary()), ("ranges", pa.binary())])
+        done: set[tuple] = set()
         for batch in batches:
-            rows = rows_of([batch], "digest", "n", "hashes")
-            yield batch_of(schema, [(d, n, h, range_counts(unpack(h, "<u8")).tobytes()) for d, n, h in rows])
+            rows = rows_of([batch], "block", "digest", "n", "hashes")
+            out = []
+            for block, d, n, h in rows:  # of the copies in a block the first one
+                if (block, d) not in done:
+                    done.add((block, d))
+                    out.append((d, n, h, range_counts(unpack(h, "<u8")).tobytes()))
+            yield batch_of(schema, out)
 
-    candidates = candidates.select("digest", "n", "hashes").mapInArrow(summarise, "digest binary, n bigint, hashes binary, ranges binary")
+    candidates = candidates.select("block", "digest", "n", "hashes").mapInArrow(summarise, "digest binary, n bigint, hashes binary, ranges binary")
     candidates = materialise(candidates, "candidates")
     members = materialise(shared.join(candidates.select("digest", "n", "ranges"), "digest"), "members")
+    enough = candidates.count() // 100
     component = candidates.select("digest", F.col("digest").alias("component"))
     links = tried = None
     every, number = False, 0
@@ -371,7 +381,7 @@ def linked_sets(sets: DataFrame, percent: int = 80, rounds: int = 8) -> DataFram
             return found
         tried = checked.select("a", "b") if tried is None else tried.unionAll(checked.select("a", "b"))
         number += 1
-        every = number == rounds or new.isEmpty()
+        every = number == rounds or new.count() <= enough
         named = candidates.select("digest").join(found.withColumnRenamed("node", "digest"), "digest", "left")
         component = materialise(named.select("digest", F.coalesce("component", "digest").alias("component")), "component")
 
@@ -397,10 +407,11 @@ def near_documents(
     small_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = spread(rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-    sets = materialise(rows.mapInArrow(_to_sets(width, block_chars), _SETS_TYPE), "shingles")
+    sets = bucketed(rows.mapInArrow(_to_sets(width, block_chars), _SETS_TYPE), "block")
+    keyed = materialise(sets.select("doc_id", F.col("n").alias("n_shingles"), "digest"), "keyed")
     found = linked_sets(sets, percent)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
-    keyed = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest", salt)
+    forget(sets)
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     # Copies of one set are spread by salt; a component is named by its sets' smallest ids.
     salted = keyed.where("digest IS NOT NULL").groupBy("digest", "salt").agg(F.min("doc_id").alias("first"))
     named = salted.join(found.withColumnRenamed("node", "digest"), "digest", "left")
