@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ordscope.session import scratch_base, scratch_dir
 
@@ -89,6 +90,12 @@ def forget(*tables: DataFrame) -> None:
                 spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to, now and not at its next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the slices [start, start + size), one slice after the other."""
     total = int(sizes.sum())

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordscope.llm.common import batch_of, lowered, pick, rows_of, small_batches, text_of
-from ordscope.llm.packing import block_number, blocks, bucketed, forget, gather, least_dtype, pack, pack_bytes, unpack, unpack_bytes
+from ordscope.llm.packing import block_number, blocks, bucketed, forget, gather, least_dtype, pack, pack_bytes, release, unpack, unpack_bytes
 from ordscope.session import materialise
 
 HOT_SHARE = 1024
@@ -235,11 +235,12 @@ class _Reader:
                 continue
             per_entry = self._answer(length, hot, "counts")
             if hot:
-                known = self.model.hot_types[length]
-                names = {c: known.get(int(self.context_hashes[c]), 0) for c in np.unique(context).tolist()}
-                types = np.fromiter((names[c] for c in context.tolist()), np.int64, len(context))
-                stay = {c: int(self.context_hashes[c]) in self.model.hot_kept[length] for c in names}
-                kept = np.fromiter((stay[c] for c in context.tolist()), bool, len(context))
+                known, stay = self.model.hot_types[length], self.model.hot_kept[length]
+                types_of, kept_of = np.zeros(len(self.context_hashes), np.int64), np.zeros(len(self.context_hashes), bool)
+                for c in np.flatnonzero(np.bincount(context)).tolist():  # at most ``hot_share`` contexts
+                    name = int(self.context_hashes[c])
+                    types_of[c], kept_of[c] = known.get(name, 0), name in stay
+                types, kept = types_of[context], kept_of[context]
             else:
                 nth = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
                 types, kept = self._answer(length, False, "types")[nth], self._answer(length, False, "kept")[nth] > 0
@@ -319,7 +320,9 @@ def _state_row(block: int, info: bytes, names, sizes, held, codes, hashes, at, p
     moved = np.zeros(len(sizes), np.int64)
     moved[kept] = np.cumsum(sizes[kept]) - sizes[kept]
     at = at - starts[doc] + moved[doc]
-    used, codes = np.unique(codes[gather(starts[kept], sizes[kept])], return_inverse=True)
+    codes = codes[gather(starts[kept], sizes[kept])]
+    there = np.bincount(codes, minlength=len(hashes)) > 0
+    used, codes = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
     docs = pack_bytes([names[kept].astype("<u4").tobytes(), sizes[kept].astype("<u4").tobytes(), held[kept].astype("<u1").tobytes()])
     width = least_dtype(max(len(used), 1))
     active = pack_bytes([pack(np.diff(at, prepend=0).astype("<u4")), pack(p.astype("<f4"))])
@@ -610,16 +613,18 @@ def score_documents(
 
     def answered(lists: DataFrame, length: int) -> DataFrame:
         dealt = lists.repartition("hot", "bucket").sortWithinPartitions("hot", "bucket")
-        return materialise(dealt.mapInArrow(_answers(model), _ANSWER_TYPE), f"answers{length}")
+        out = materialise(dealt.mapInArrow(_answers(model), _ANSWER_TYPE), f"answers{length}")
+        del dealt
+        release(spark)  # the lists are spent
+        return out
 
     spent = [kept]
     answers = None
     for length in range(depth + 1):
         if length == 0:
-            lists = kept.select("block", "words", "trained").mapInArrow(_first_lists(model.buckets), _LIST_TYPE)
+            new = answered(kept.select("block", "words", "trained").mapInArrow(_first_lists(model.buckets), _LIST_TYPE), length)
         else:
-            lists = kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_steps(model, length), _LIST_TYPE)
-        new = answered(lists, length)
+            new = answered(kept.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_steps(model, length), _LIST_TYPE), length)
         if length == 0:
             model.distinct = new.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
         else:
