@@ -11,7 +11,8 @@ beside its digest, so two texts are never merged because a hash agrees:
 
 The decision returns to the rows by (digest, salt, second hash, length), so a hot
 group's rows are spread in that join as well, and the decision table has one row
-per key there.
+per key there. That return compares no content: two texts would have to share a SHA-256
+digest, a second 64-bit hash and their length for one to get the other's verdict.
 """
 
 from __future__ import annotations
@@ -62,10 +63,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows that repeat an id with equal text one stays, the one whose own text has the
+    smallest hash; so it is with equal texts of which none has an id. The rows are moved
+    once, by (digest, id); repeats are limited to one row before that.
+    """
     own = own_prefix(docs)
-    kept = exact_dedup(docs, id_col, text_col, salts).where("kept")
-    kept = kept.select(F.col("digest").alias(f"{own}digest"), F.col("doc_id").alias(f"{own}id"))
-    digest = F.sha2(ascii_lower(text_of(f"`{text_col}`")).cast("binary"), 256)
-    same_id = F.col(f"`{id_col}`").eqNullSafe(F.col(f"{own}id"))
-    return docs.join(kept, (digest == F.col(f"{own}digest")) & same_id, "left_semi")
+    digest, known, key = f"{own}digest", f"{own}known", f"{own}id"
+    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(
+        F.col("digest").alias(digest), F.col("doc_id").isNotNull().alias(known), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)
+    )
+    named, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.withColumns({
+        digest: F.sha2(ascii_lower(text_of(f"`{text_col}`")).cast("binary"), 256),
+        known: named.isNotNull(),
+        key: F.coalesce(named.cast("string"), F.lit("")),
+    })
+    order = Window.partitionBy(digest, known, key).orderBy(F.xxhash64(text))
+    first = rows.withColumn(f"{own}rank", F.row_number().over(order)).where(F.col(f"{own}rank") == 1)
+    return first.join(kept, [digest, known, key], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

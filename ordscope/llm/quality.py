@@ -4,8 +4,9 @@ Documents become sets of hashed n-grams (words, runs of signs, pairs of these).
 class counts of every n-gram over all labelled training rows give log-count ratios;
 a document's vector is its indicators times these ratios. A linear hinge-loss model
 over such vectors is fitted by dual coordinate descent, on at most ``fit_rows``
-documents chosen by a hash of their id. Scores are margins through a logistic curve
-fitted on the same rows.
+distinct documents of at most ``fit_bytes`` in all, chosen by a hash of id and text; rows
+that repeat count as one with their number as weight. Scores are margins through a
+logistic curve fitted on the same rows.
 
 The model is one float per hash slot (``2 ** bits``), a fixed size, so it can be sent
 to all tasks; scoring has no shuffle.
@@ -28,6 +29,7 @@ from ordscope.session import materialise
 
 BITS = 18
 FIT_ROWS = 8_000
+FIT_BYTES = 128 << 20
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _AGAIN = crc32(b"\x00again")
 _CACHE_WORDS = 1 << 16
@@ -78,18 +80,22 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -35.0, 35.0))))
 
 
-def fit_hinge(rows: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray, cost: float = 1.0, passes: int = 20) -> tuple[np.ndarray, float]:
+def fit_hinge(
+    rows: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None, cost: float = 1.0, passes: int = 20
+) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the linear hinge loss: ``weights`` over slots (not yet times ratio) and bias.
 
     A row's vector is its slots' ratios over the root of their number, and a constant
-    1 for the bias. Rows are visited in a fixed pseudorandom order per pass.
+    1 for the bias. Rows are visited in a fixed pseudorandom order per pass. A row that
+    stands for ``times`` equal ones may carry as many times the cost.
     """
+    times = np.ones(len(rows)) if times is None else times.astype(float)
     values = [(ratios[s] / np.sqrt(max(1, len(s)))).astype(np.float32) for s in rows]
     norms = np.array([float(v @ v) + 1.0 for v in values])
     signs = np.where(labels > 0, 1.0, -1.0)
     # Each class carries half of the cost, however rare it is.
-    share = np.where(labels > 0, (labels > 0).mean(), (labels <= 0).mean())
-    bound = cost * 0.5 / np.maximum(share, 1e-9)
+    up = float(times[labels > 0].sum() / times.sum())
+    bound = times * cost * 0.5 / np.maximum(np.where(labels > 0, up, 1.0 - up), 1e-9)
     weights, bias, alpha = np.zeros_like(ratios), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(0)
     for _ in range(passes):
@@ -108,15 +114,16 @@ def fit_hinge(rows: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray, co
     return weights, bias
 
 
-def fit_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def fit_curve(margins: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset of the logistic curve through the margins, by Newton steps with smoothed labels."""
-    up, down = float((labels > 0).sum()), float((labels <= 0).sum())
+    times = np.ones(len(margins)) if times is None else times.astype(float)
+    up, down = float(times[labels > 0].sum()), float(times[labels <= 0].sum())
     wanted = np.where(labels > 0, (up + 1) / (up + 2), 1 / (down + 2))
     design, x = np.stack([margins, np.ones_like(margins)], axis=1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ x, -35, 35)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, design.T @ (wanted - p))
+        hessian = design.T @ (design * (times * p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, design.T @ (times * (wanted - p)))
         x = x + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
@@ -135,6 +142,7 @@ def train(
     label_col: str = "quality",
     bits: int = BITS,
     fit_rows: int = FIT_ROWS,
+    fit_bytes: int = FIT_BYTES,
     keep: Column | None = None,
 ) -> Model:
     """Fit on the labelled rows of ``docs``; ``keep`` (over ``doc_id``) restricts them to training rows.
@@ -180,19 +188,25 @@ def train(
         down[table["slot"].to_numpy()] += table["down"].to_numpy()
     ratios = np.log(up / up.sum()) - np.log(down / down.sum())
 
-    # A share of the rows by their hash, so that no task returns more than its share; then at most ``fit_rows`` of these.
+    # A share of the rows by their hash; equal rows, of which there may be any number, collapse before they are counted.
     share = min(1.0, fit_rows / max(1, vectors.count()))
     below = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
-    sample = vectors.where(F.col("pick") <= below).toPandas().sort_values(["pick", "slots", "label"], ignore_index=True).head(fit_rows)
+    chosen = vectors.where(F.col("pick") <= below).groupBy("pick", "slots", "label").agg(F.count(F.lit(1)).alias("times"))
+    chosen = materialise(chosen.orderBy("pick", "slots", "label").limit(fit_rows), "chosen")
+    sizes = chosen.select("pick", F.octet_length("slots").alias("size")).toPandas().sort_values("pick", ignore_index=True)
+    upto = sizes["pick"][(sizes["size"].cumsum() <= fit_bytes) | (sizes.index == 0)].max() if len(sizes) else 0
+    sample = chosen.where(F.col("pick") <= int(upto)).toPandas().sort_values(["pick", "slots", "label"], ignore_index=True)
     y = sample["label"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
     if len(set(y.tolist())) < 2:
-        share = (float(y.sum()) + 1) / (len(y) + 2)
+        n = sample["times"].to_numpy(float) if len(sample) else np.zeros(0)
+        share = (float((y * n).sum()) + 1) / (n.sum() + 2)
         return Model(np.zeros(1 << bits), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
     slots = [np.frombuffer(s, np.int32) for s in sample["slots"]]
-    hinge, bias = fit_hinge(slots, ratios, y)
+    times = sample["times"].to_numpy(float)
+    hinge, bias = fit_hinge(slots, ratios, y, times)
     weights = hinge * ratios
     margins = np.array([weights[s].sum() / np.sqrt(max(1, len(s))) + bias for s in slots])
-    slope, offset = fit_curve(margins, y)
+    slope, offset = fit_curve(margins, y, times)
     return Model(weights, bias, slope, offset, bits)
 
 

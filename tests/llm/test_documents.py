@@ -604,3 +604,48 @@ def test_suffix_tree_of_longer_contexts(spark, share):
     for d, score in want:
         assert got[d] == pytest.approx(score, rel=1e-6)
         assert got[d] > short[d] + 1
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a", "s"), (1, "a", "s"), (2, "b", None), (3, "A", "s"), (3, "a", "t"), (4, "long " * 40_000, "s"), (4, "long " * 40_000, "s")]
+    rows += [(None, "x", "s"), (None, "X", "s"), (None, "b", "s"), (5, None, None), (5, "", "s")]
+    got = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, (r.text or "")[:4].lower()) for r in got) == Counter([(2, "b"), (3, "a"), (4, "long"), (None, "x"), (5, "")])
+    assert all(r.content == "clash" for r in got) and exact_dedup.drop_copies(frame(spark, [])).count() == 0
+
+
+def test_hinge_fit_minimises_the_dual():
+    """Against projected gradient steps on the dense dual, with rows that stand for several."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(30)]
+    labels, times, ratios = rng.integers(0, 2, 30), rng.integers(1, 4, 30).astype(float), rng.normal(size=12)
+    x = np.zeros((30, 13))
+    for i, s in enumerate(rows):
+        x[i, s] = ratios[s] / np.sqrt(len(s))
+    x[:, 12] = 1.0
+    signed = x * np.where(labels > 0, 1.0, -1.0)[:, None]
+    up = times[labels > 0].sum() / times.sum()
+    bound = times * 0.5 / np.where(labels > 0, up, 1 - up)
+    gram, alpha = signed @ signed.T, np.zeros(30)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, bound)
+    want = 0.5 * alpha @ gram @ alpha - alpha.sum()
+    weights, bias = quality.fit_hinge(rows, ratios, labels, times, passes=3000)
+    full = np.append(weights, bias)
+    primal = 0.5 * full @ full + (bound * np.maximum(0, 1 - signed @ full)).sum()
+    assert primal == pytest.approx(-want, rel=1e-2)
+    doubled = [i for i in range(30) for _ in range(int(times[i]))]
+    again, other = quality.fit_hinge([rows[i] for i in doubled], ratios, labels[doubled], passes=3000)
+    assert np.allclose(again, weights, atol=2e-2) and other == pytest.approx(bias, abs=2e-2)
+
+
+def test_quality_sample_with_one_row_repeated(spark):
+    """A third of the labelled rows are one row; it is one row of the sample."""
+    rows = [(i, f"good words number {i} here" if i % 2 else f"@@ ## {i} !!", None) for i in range(60)] + [(1, "good words number 1 here", None)] * 40
+    labels = [(i, i % 2) for i in range(60)]
+    model = quality.train(frame(spark, rows), frame(spark, labels, "doc_id bigint, quality int"), fit_rows=30)
+    assert model.score(quality.features("good words number 99 here")) > 0.5 > model.score(quality.features("@@ ## 99 !!"))
+    small = quality.train(frame(spark, rows), frame(spark, labels, "doc_id bigint, quality int"), fit_bytes=1)
+    assert small.slope == 1.0 and not small.weights.any()
