@@ -4,6 +4,11 @@ A model never sees a design matrix. Rows are reduced to moments per factor
 combination, moments to a Gram matrix in tidy form (one row per pair of terms),
 and only that k x k matrix is solved with NumPy inside one task. Standard errors
 use the same construction with residual weights.
+
+Where a model has more than ``DENSE_TERMS`` terms, its largest factors are absorbed
+(see ``absorption``): the matrix then holds what they leave of the other terms, so it
+stays that small whatever the number of levels. Estimates, fit and tests are the same;
+the absorbed effects themselves are not listed.
 """
 
 from __future__ import annotations
@@ -26,12 +31,15 @@ from ordscope.functions.probability import (
     t_cdf_col,
     two_sided_normal,
 )
+from ordscope.operators.absorption import Absorbed, absorb
 from ordscope.operators.checks import join_null_safe, require_columns
 from ordscope.operators.quantiles import coarse_bucket
+from ordscope.session import materialise
 
 INTERCEPT = "Intercept"
 OUTCOME = "__y"
-MAX_TERMS = 2000
+TOTAL = "__total"
+DENSE_TERMS = 1000
 
 
 @dataclass(frozen=True)
@@ -359,6 +367,57 @@ def gram_matrix(df: DataFrame, spec: OlsSpec, by: Sequence[str] = ()) -> DataFra
     return gram_from_cells(moment_cells(df, spec, by), spec, by)
 
 
+@dataclass
+class Reduced:
+    """A Gram matrix of bounded size, and what was absorbed to get there."""
+
+    gram: DataFrame
+    spec: OlsSpec  # of the terms that are left
+    cells: DataFrame | None = None
+    absorbed: Absorbed | None = None
+
+    @property
+    def rank(self) -> int:
+        return self.absorbed.rank if self.absorbed else 0
+
+
+def _moment_columns(cells: DataFrame, spec: OlsSpec) -> DataFrame:
+    """``cell, column, value``: sums per cell of every term but the intercept, and of the outcome."""
+    entries = [F.struct(F.concat(F.lit(f"{f}="), F.col(f"`{f}`").cast("string")).alias("column"), F.col("__n").alias("value")) for f in spec.factors]
+    entries += [F.struct(F.lit(x).alias("column"), F.col(f"__s_{i}").alias("value")) for i, x in enumerate(spec.numeric)]
+    entries.append(F.struct(F.lit(OUTCOME).alias("column"), F.col("__sy").alias("value")))
+    return cells.select("cell", F.inline(F.array(*entries)))
+
+
+def reduced_gram(df: DataFrame, spec: OlsSpec, keep: Sequence[str] = (), dense_terms: int | None = None) -> Reduced:
+    """The model's Gram matrix; the largest factors outside ``keep`` are absorbed where it would be too large."""
+    limit = DENSE_TERMS if dense_terms is None else dense_terms
+    cells = moment_cells(df, spec)
+    if not spec.factors:
+        return Reduced(gram_from_cells(cells, spec), spec)
+    cells = materialise(cells, "cells")
+    sizes = cells.agg(*[F.count_distinct(f"`{f}`").alias(f"n_{i}") for i, f in enumerate(spec.factors)]).first()
+    levels = dict(zip(spec.factors, sizes))
+    taken: list[str] = []
+    for f in sorted(set(spec.factors) - set(keep), key=lambda f: (-levels[f], f)):
+        if 1 + len(spec.numeric) + sum(levels[g] for g in spec.factors if g not in taken) <= limit:
+            break
+        taken.append(f)
+    if not taken:
+        return Reduced(gram_from_cells(cells, spec), spec, cells)
+    cells = materialise(cells.withColumn("cell", F.monotonically_increasing_id()), "cells")
+    rest = OlsSpec(spec.outcome, spec.numeric, tuple(f for f in spec.factors if f not in taken), spec.reference)
+    absorbed = absorb(cells.withColumnRenamed("__n", "n"), taken, materialise(_moment_columns(cells, rest), "columns"))
+    gram = materialise(gram_from_cells(cells, rest), "gram")
+    # Levels that never meet have no entry in the matrix, but a product of their residuals.
+    out = absorbed.explained().where((F.col("i") != OUTCOME) | (F.col("j") == OUTCOME)).withColumnRenamed("value", "out")
+    net = gram.join(out, ["i", "j"], "full").select(
+        "i", "j", (F.coalesce("value", F.lit(0.0)) - F.coalesce("out", F.lit(0.0))).alias("value")
+    )
+    total = gram.where("i = j").select(F.lit(TOTAL).alias("i"), "j", "value")
+    return Reduced(net.unionByName(total), rest, cells, absorbed)
+
+
 def _select_terms(all_terms: list[str], spec: OlsSpec) -> list[str]:
     chosen = [INTERCEPT, *[x for x in spec.numeric]]
     for f in spec.factors:
@@ -368,23 +427,31 @@ def _select_terms(all_terms: list[str], spec: OlsSpec) -> list[str]:
     return chosen
 
 
-def _solve(gram: pd.DataFrame, spec: OlsSpec, meat: pd.DataFrame | None):
-    """Coefficients, covariance and fit statistics from tidy matrices."""
-    table = gram.pivot(index="i", columns="j", values="value").fillna(0.0)
+def _solve(gram: pd.DataFrame, spec: OlsSpec, meat: pd.DataFrame | None, absorbed_rank: int = 0):
+    """Coefficients, covariance and fit statistics from tidy matrices.
+
+    With absorbed factors the matrix holds residuals; the intercept is among what was
+    absorbed, and a column of which they leave nothing but rounding is a zero column.
+    """
+    totals = gram[gram["i"] == TOTAL].set_index("j")["value"]
+    table = gram[gram["i"] != TOTAL].pivot(index="i", columns="j", values="value").fillna(0.0)
     terms = _select_terms(list(table.index), spec)
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"model has {len(terms)} terms, the solver accepts {MAX_TERMS}")
+    if absorbed_rank:
+        terms = terms[1:]
+        gone = [t for t in terms if table.loc[t, t] <= 1e-10 * totals[t]]
+        table.loc[gone, :] = 0.0
+        table.loc[:, gone] = 0.0
     xtx = table.loc[terms, terms].to_numpy(dtype=float)
     xty = table.loc[terms, OUTCOME].to_numpy(dtype=float)
     yty = float(table.loc[OUTCOME, OUTCOME])
     n = float(table.loc[INTERCEPT, INTERCEPT])
     sum_y = float(table.loc[INTERCEPT, OUTCOME])
     scale = np.sqrt(np.where(np.diag(xtx) > 0, np.diag(xtx), 1.0))
-    inverse = np.linalg.pinv(xtx / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
-    rank = int(np.linalg.matrix_rank(xtx / np.outer(scale, scale), tol=1e-10, hermitian=True))
+    inverse = np.linalg.pinv(xtx / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale) if terms else xtx
+    rank = absorbed_rank + (int(np.linalg.matrix_rank(xtx / np.outer(scale, scale), tol=1e-10, hermitian=True)) if terms else 0)
     beta = inverse @ xty
     rss = max(yty - float(beta @ xty), 0.0)
-    tss = yty - sum_y * sum_y / n
+    tss = (float(totals[OUTCOME]) if absorbed_rank else yty) - sum_y * sum_y / n
     df_resid = n - rank
     if meat is None:
         cov = inverse * (rss / df_resid if df_resid > 0 else np.nan)
@@ -424,10 +491,10 @@ def _one_model(gram: DataFrame, by: Sequence[str], func, schema: str) -> DataFra
     return keyed.groupBy(*keys).applyInPandas(run, by_schema + schema)
 
 
-def _coefficients(pdf: pd.DataFrame, spec: OlsSpec, robust: bool) -> pd.DataFrame:
+def _coefficients(pdf: pd.DataFrame, spec: OlsSpec, robust: bool, absorbed_rank: int = 0) -> pd.DataFrame:
     gram = pdf[pdf["part"] == "gram"] if "part" in pdf else pdf
     meat = pdf[pdf["part"] == "meat"] if robust else None
-    terms, beta, cov, fit = _solve(gram, spec, meat)
+    terms, beta, cov, fit = _solve(gram, spec, meat, absorbed_rank)
     se = np.sqrt(np.clip(np.diag(cov), 0, None))
     with np.errstate(divide="ignore", invalid="ignore"):
         t = beta / se
@@ -451,14 +518,57 @@ def _coefficients(pdf: pd.DataFrame, spec: OlsSpec, robust: bool) -> pd.DataFram
     )
 
 
-def fit_ols(df: DataFrame, spec: OlsSpec, by: Sequence[str] = ()) -> DataFrame:
-    """Coefficient table with classical errors and t p-values."""
-    gram = gram_matrix(df, spec, by)
-    return _one_model(gram, by, lambda pdf: _coefficients(pdf, spec, False), COEFFICIENT_SCHEMA)
+def fit_ols(df: DataFrame, spec: OlsSpec, by: Sequence[str] = (), dense_terms: int | None = None) -> DataFrame:
+    """Coefficient table with classical errors and t p-values; absorbed factors are not listed.
+
+    Models per group (``by``) are small ones: each is solved densely in a task.
+    """
+    if by:
+        return _one_model(gram_matrix(df, spec, by), by, lambda pdf: _coefficients(pdf, spec, False), COEFFICIENT_SCHEMA)
+    reduced = reduced_gram(df, spec, (), dense_terms)
+    rest, rank = reduced.spec, reduced.rank
+    return _one_model(reduced.gram, (), lambda pdf: _coefficients(pdf, rest, False, rank), COEFFICIENT_SCHEMA)
+
+
+def _fit_row(reduced: Reduced) -> DataFrame:
+    """``n_obs, rank, rss, r_squared`` of a reduced model, one row."""
+    rest, rank = reduced.spec, reduced.rank
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, _, fit = _solve(pdf, rest, None, rank)
+        return pd.DataFrame({k: [fit[k]] for k in ("n_obs", "rank", "rss", "r_squared")})
 
-def joint_f_test(df: DataFrame, spec: OlsSpec, factor: str, by: Sequence[str] = ()) -> DataFrame:
-    """F statistic for all dummies of one factor being zero."""
+    return _one_model(reduced.gram, (), run, "n_obs long, rank int, rss double, r_squared double")
+
+
+def joint_f_test(df: DataFrame, spec: OlsSpec, factor: str, by: Sequence[str] = (), dense_terms: int | None = None) -> DataFrame:
+    """F statistic for all dummies of one factor being zero.
+
+    A model with absorbed factors is compared with the one without the factor: the two
+    residual sums give the same statistic.
+    """
+    schema = (
+        "factor string, f_statistic double, p_value double, df_num int, df_den double, n_obs long, r_squared double"
+    )
+    reduced = None if by else reduced_gram(df, spec, (), dense_terms)
+    if reduced is not None and reduced.absorbed:
+        rows = df.dropna(subset=[spec.outcome, *spec.numeric, *spec.factors])
+        without = OlsSpec(spec.outcome, spec.numeric, tuple(f for f in spec.factors if f != factor), spec.reference)
+        small = _fit_row(reduced_gram(rows, without, (), dense_terms))
+        both = _fit_row(reduced).crossJoin(small.select(F.col("rank").alias("rank0"), F.col("rss").alias("rss0")))  # one row each
+
+        def compare(batches):
+            for pdf in batches:
+                q, den = pdf["rank"] - pdf["rank0"], (pdf["n_obs"] - pdf["rank"]).astype(float)
+                if (q < 1).any():
+                    raise ValueError(f"{factor} needs at least 2 levels")
+                stat = ((pdf["rss0"] - pdf["rss"]) / q) / (pdf["rss"] / den)
+                yield pd.DataFrame({
+                    "factor": factor, "f_statistic": stat, "p_value": f_sf(stat.to_numpy(), q.to_numpy(float), den.to_numpy()), "df_num": q,
+                    "df_den": den, "n_obs": pdf["n_obs"], "r_squared": pdf["r_squared"],
+                })
+
+        return both.mapInPandas(compare, schema)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         terms, beta, cov, fit = _solve(pdf, spec, None)
@@ -480,10 +590,7 @@ def joint_f_test(df: DataFrame, spec: OlsSpec, factor: str, by: Sequence[str] =
             }
         )
 
-    schema = (
-        "factor string, f_statistic double, p_value double, df_num int, df_den double, n_obs long, r_squared double"
-    )
-    return _one_model(gram_matrix(df, spec, by), by, test, schema)
+    return _one_model(gram_matrix(df, spec, by) if by else reduced.gram, by, test, schema)
 
 
 def fixed_effects_test(df: DataFrame, outcome: str = "index_value") -> DataFrame:
@@ -521,7 +628,7 @@ def outcome_share(df: DataFrame, labels: Sequence[str] = fv.OUTCOME_LABELS, name
     )
 
 
-def robust_cells(df: DataFrame, spec: OlsSpec) -> tuple[DataFrame, DataFrame]:
+def robust_cells(df: DataFrame, spec: OlsSpec, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Moment cells of a factor-only model and the cells weighted by squared residuals.
 
     All rows of a factor combination share one prediction, so the residual sum of
@@ -529,7 +636,7 @@ def robust_cells(df: DataFrame, spec: OlsSpec) -> tuple[DataFrame, DataFrame]:
     """
     if spec.numeric:
         raise ValueError("robust_cells handles factor-only models")
-    cells = moment_cells(df, spec)
+    cells = moment_cells(df, spec) if cells is None else cells
     fit = _one_model(
         gram_from_cells(cells, spec), (), lambda pdf: _coefficients(pdf, spec, False), COEFFICIENT_SCHEMA
     )
@@ -544,20 +651,48 @@ def robust_cells(df: DataFrame, spec: OlsSpec) -> tuple[DataFrame, DataFrame]:
     return cells, weighted
 
 
-def _robust_gram(df: DataFrame, spec: OlsSpec) -> DataFrame:
-    cells, weighted = robust_cells(df, spec)
-    gram = gram_from_cells(cells, spec).withColumn("part", F.lit("gram"))
-    meat = gram_from_cells(weighted, spec).where(
-        (F.col("i") != OUTCOME) & (F.col("j") != OUTCOME)
-    ).withColumn("part", F.lit("meat"))
-    return gram.unionByName(meat)
+def _robust_gram(df: DataFrame, spec: OlsSpec, keep: Sequence[str] = (), dense_terms: int | None = None) -> tuple[DataFrame, OlsSpec, int]:
+    """Gram matrix and meat in one tidy table, the terms they are about, and the rank of what was absorbed."""
+    reduced = reduced_gram(df, spec, keep, dense_terms)
+    if reduced.absorbed:
+        meat = _absorbed_meat(reduced)
+    else:
+        _, weighted = robust_cells(df, spec, reduced.cells)
+        meat = gram_from_cells(weighted, spec).where((F.col("i") != OUTCOME) & (F.col("j") != OUTCOME))
+    both = reduced.gram.withColumn("part", F.lit("gram")).unionByName(meat.withColumn("part", F.lit("meat")))
+    return both, reduced.spec, reduced.rank
+
 
+def _absorbed_meat(reduced: Reduced) -> DataFrame:
+    """Products of the terms' residuals weighted with squared residuals of the outcome, per cell.
 
-def fit_robust(df: DataFrame, spec: OlsSpec) -> DataFrame:
+    All rows of a cell share one prediction and one residual of each term.
+    """
+    if reduced.spec.numeric:
+        raise ValueError("robust errors are for factor-only models")
+    rest, rank = reduced.spec, reduced.rank
+    fit = _one_model(reduced.gram, (), lambda pdf: _coefficients(pdf, rest, False, rank), COEFFICIENT_SCHEMA)
+    coefficients = fit.select(F.col("term").alias("column"), F.col("estimate"))
+    own = _moment_columns(reduced.cells, rest).where(F.col("column") != OUTCOME).select("cell", "column", F.lit(1.0).alias("own"))
+    fitted = materialise(reduced.absorbed.fitted(), "fitted")
+    net = own.join(fitted.where(F.col("column") != OUTCOME), ["cell", "column"], "full")
+    net = net.select("cell", "column", (F.coalesce("own", F.lit(0.0)) - F.coalesce("value", F.lit(0.0))).alias("d"))
+    net = materialise(net.join(coefficients, "column"), "net")
+    part = net.groupBy("cell").agg(F.sum(F.col("d") * F.col("estimate")).alias("part"))
+    base = fitted.where(F.col("column") == OUTCOME).select("cell", F.col("value").alias("base"))
+    cells = reduced.cells.join(base, "cell", "left").join(part, "cell", "left")
+    guess = F.coalesce("base", F.lit(0.0)) + F.coalesce("part", F.lit(0.0))
+    sse = F.col("__syy") - 2.0 * guess * F.col("__sy") + guess * guess * F.col("__n")
+    weights = cells.select("cell", F.greatest(sse, F.lit(0.0)).alias("sse"))
+    left = net.select("cell", F.col("column").alias("i"), F.col("d").alias("di")).join(weights, "cell")
+    right = net.select("cell", F.col("column").alias("j"), F.col("d").alias("dj"))
+    return left.join(right, "cell").groupBy("i", "j").agg(F.sum(F.col("sse") * F.col("di") * F.col("dj")).alias("value"))
+
+
+def fit_robust(df: DataFrame, spec: OlsSpec, dense_terms: int | None = None) -> DataFrame:
     """Coefficient table of a factor-only model with HC1 errors (normal p-values)."""
-    return _one_model(
-        _robust_gram(df, spec), (), lambda pdf: _coefficients(pdf, spec, True), COEFFICIENT_SCHEMA
-    )
+    gram, rest, rank = _robust_gram(df, spec, (), dense_terms)
+    return _one_model(gram, (), lambda pdf: _coefficients(pdf, rest, True, rank), COEFFICIENT_SCHEMA)
 
 
 def marker_contrast(
@@ -568,13 +703,16 @@ def marker_contrast(
     reference: str = "unmarked",
     treated: str = "LatAm",
     control: str = "US",
+    dense_terms: int | None = None,
 ) -> DataFrame:
     """Difference of two marker effects with HC1 error and one-sided p-value."""
     require_columns(df, [outcome, marker_col, *factors], "image panel")
     spec = OlsSpec(outcome, (), (marker_col, *factors), {marker_col: reference})
 
+    gram, rest, rank = _robust_gram(df, spec, (marker_col,), dense_terms)
+
     def contrast(pdf: pd.DataFrame) -> pd.DataFrame:
-        terms, beta, cov, fit = _solve(pdf[pdf["part"] == "gram"], spec, pdf[pdf["part"] == "meat"])
+        terms, beta, cov, fit = _solve(pdf[pdf["part"] == "gram"], rest, pdf[pdf["part"] == "meat"], rank)
         c = np.zeros(len(terms))
         for level, sign in ((treated, 1.0), (control, -1.0)):
             if level == reference:
@@ -597,4 +735,4 @@ def marker_contrast(
         )
 
     schema = "diff double, std_error double, p_one_sided double, n_obs long, r_squared double"
-    return _one_model(_robust_gram(df, spec), (), contrast, schema)
+    return _one_model(gram, (), contrast, schema)

@@ -204,14 +204,26 @@ def s14(spark, sf_dir):
     return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(out)
 
 
-@query("S15_recent_files")
+_SHARD_HOURS = 6  # between the times of two shards
+
+
+@query(
+    "S15_recent_files",
+    f"""WITH s AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k FROM (SELECT DISTINCT event_type FROM events))
+SELECT 'metadata_' || event_type || '.parquet' AS source, (30 - {_SHARD_HOURS} * k)::DOUBLE AS hours_since FROM s WHERE 30 - {_SHARD_HOURS} * k <= 24""",
+)
 def s15(spark, sf_dir):
-    """Files changed within 24 hours of the newest one, from file metadata only."""
-    rows = readers.union_all(
-        [
-            b.table(spark, sf_dir, t).select("*", "_metadata").select("_metadata")
-            for t in ("orders", "lineitem", "customer", "events")
-        ]
-    )
-    newest = rows.agg(F.max(F.unix_timestamp(F.col("_metadata.file_modification_time"))).alias("t")).scalar()
-    return readers.recent_files(rows, newest)
+    """One shard per event type, six hours apart, listed 30 hours after the first; from file metadata only."""
+    landed, folder = scratch_dir(spark, "landed"), scratch_dir(spark, "shards")
+    events = b.table(spark, sf_dir, "events").select("event_id", "event_type")
+    events.repartition("event_type").write.partitionBy("event_type").parquet(landed)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place(folder))
+    first = 1_700_000_000
+    files = sorted((s.getPath().getParent().getName().split("=", 1)[1], s.getPath()) for s in fs.globStatus(place(f"{landed}/event_type=*/*.parquet")))
+    for i, (name, path) in enumerate(files):  # one file per event type
+        shard = place(f"{folder}/metadata_{name}.parquet")
+        fs.rename(path, shard)
+        fs.setTimes(shard, 1000 * (first + i * _SHARD_HOURS * 3600), -1)
+    return readers.recent_files(spark.read.parquet(folder), F.lit(first + 30 * 3600))

@@ -182,7 +182,33 @@ def a28(spark, sf_dir):
     return tidy(out, 8)
 
 
-@query("A28_marker_contrast_all_factors")
+_NET = "{0} - sum(n * {0}) OVER (PARTITION BY {1}) / sum(n) OVER (PARTITION BY {1}) AS {0}"
+
+
+def _net_of(factor: str) -> str:
+    return ", ".join(_NET.format(column, factor) for column in ("y", "dl", "du"))
+
+
+#: Outcome and marker indicators net of both factors, by turns; then the two-term regression and its HC1 error.
+ALL_FACTORS_SQL = f"""WITH RECURSIVE {MARKER_SQL},
+c AS (SELECT marker, occupation, model, count(*)::DOUBLE AS n, sum(outcome) AS sy, sum(outcome * outcome) AS syy FROM mk GROUP BY ALL),
+net(i, marker, occupation, model, n, y, dl, du) AS (
+  SELECT 0, marker, occupation, model, n, sy / n, CASE WHEN marker = 'LatAm' THEN 1.0::DOUBLE ELSE 0.0 END, CASE WHEN marker = 'US' THEN 1.0::DOUBLE ELSE 0.0 END FROM c
+  UNION ALL SELECT i + 1, marker, occupation, model, n, {_net_of("model")}
+  FROM (SELECT i, marker, occupation, model, n, {_net_of("occupation")} FROM net WHERE i < 80)
+),
+f AS (SELECT * FROM net WHERE i = 80),
+g AS (SELECT sum(n * dl * dl) AS ll, sum(n * dl * du) AS lu, sum(n * du * du) AS uu, sum(n * dl * y) AS ly, sum(n * du * y) AS uy FROM f),
+b AS (SELECT *, (uu * ly - lu * uy) / (ll * uu - lu * lu) AS bl, (ll * uy - lu * ly) / (ll * uu - lu * lu) AS bu, ll * uu - lu * lu AS det FROM g),
+e AS (SELECT ((uu + lu) * dl - (lu + ll) * du) / det AS a, syy - sy * sy / c.n + c.n * (y - bl * dl - bu * du) ** 2 AS sse, c.n, c.sy, c.syy, bl - bu AS diff
+  FROM f JOIN c ON c.marker = f.marker AND c.occupation = f.occupation AND c.model = f.model, b),
+k AS (SELECT count(DISTINCT marker) + count(DISTINCT occupation) + count(DISTINCT model) - 2 AS k FROM mk),
+t AS (SELECT any_value(diff) AS diff, sqrt(sum(n) / (sum(n) - any_value(k)) * sum(a * a * sse)) AS se, sum(n) AS n,
+  1 - sum(sse) / (sum(syy) - sum(sy) ** 2 / sum(n)) AS r2 FROM e, k)
+SELECT {r('diff', 8)} AS diff, {r('se', 8)} AS std_error, {r(normal_cdf_sql('(-diff / se)'), 8)} AS p_one_sided, CAST(n AS BIGINT) AS n_obs, {r('r2', 8)} AS r_squared FROM t"""
+
+
+@query("A28_marker_contrast_all_factors", ALL_FACTORS_SQL)
 def a28_full(spark, sf_dir):
     """Same contrast with occupation and model effects and the p-value."""
     return tidy(regression.marker_contrast(marker_rows(spark, sf_dir)), 8)

@@ -269,3 +269,27 @@ def test_batch_medians_equal_single_medians():
         want = [np.median(lab[skin, i]) if skin.any() else np.nan for i in (0, 2)]
         want += [np.median(rgb[usable, i]) if usable.any() else np.nan for i in range(3)]
         assert row == pytest.approx(want, nan_ok=True)
+
+
+def test_grey_patches_have_no_hue_in_any_batch():
+    """The blue-yellow median of grey is exactly zero, and digits do not depend on the batch."""
+    from ordscope.sources.images import batch_medians
+
+    rng = np.random.default_rng(5)
+    buffers = [bytes([v]) * 3 * n for v, n in zip(rng.integers(60, 220, 1000).tolist(), rng.integers(1, 40, 1000).tolist())]
+    buffers[1::2] = [rng.integers(0, 256, 30, dtype=np.uint8).tobytes() for _ in buffers[1::2]]
+    together = batch_medians(buffers)
+    alone = np.vstack([batch_medians([b]) for b in buffers])
+    assert np.array_equal(together, alone, equal_nan=True)
+    assert (together[::2, 1] == 0).all()
+
+
+def test_binomial_quantile_of_any_size():
+    """The walk from one evaluation ends where the distribution function passes the number."""
+    rng = np.random.default_rng(6)
+    for n in (501, 5_000, 10**6, 10**9, 10**12):
+        for p in (1e-4, 0.3, 0.5, 0.97):
+            u = np.concatenate([rng.random(200), [1e-9, 1 - 1e-9]])
+            k = probability.binomial_quantile(u, np.full(len(u), n), p)
+            assert (probability.binomial_cdf(k, np.full(len(u), n), p) >= u - 1e-11).all()
+            assert (probability.binomial_cdf(k - 1, np.full(len(u), n), p) < u + 1e-11).all()

@@ -13,6 +13,7 @@ from ordscope.fixed_values import OUTCOME_LABELS
 from ordscope.functions.probability import f_sf, normal_cdf, t_cdf
 from ordscope.operators import agreement, quantiles, regression, sampling
 from ordscope.plans import estimation
+from ordscope.session import materialise
 
 
 def design(pdf, numeric=(), factors=(), reference=None):
@@ -220,9 +221,13 @@ def test_directional_claims(spark):
 # ---- quantiles ------------------------------------------------------------------------
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("sort_rows", [1 << 16, 20])
+def test_exact_quantiles_match_numpy(spark, sort_rows):
+    """With one pass, and with passes until a prefix holds 40 rows, or one."""
     rng = np.random.default_rng(4)
     groups = {
+        "crowd": 1.0 + rng.permutation(300) * 2.0**-50,
+        "zeros": np.array([0.0, -0.0, 0.0, -1e-300, 1e-300]),
         "wide": rng.lognormal(0, 6, 501),
         "neg": rng.normal(0, 5, 400).round(2),
         "const": np.full(33, 7.25),
@@ -234,7 +239,7 @@ def test_exact_quantiles_match_numpy(spark):
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("wide", None), ("wide", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     qs = {"q05": 0.05, "q50": 0.5, "q95": 0.95, "x95": (0.95, True)}
-    got = {r.g: r for r in quantiles.exact_quantiles(df, ["g"], "v", qs).collect()}
+    got = {r.g: r for r in quantiles.exact_quantiles(df, ["g"], "v", qs, sort_rows).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         want = np.percentile(vs, [5, 50, 95])
@@ -242,7 +247,7 @@ def test_exact_quantiles_match_numpy(spark):
         assert got[g].n == len(vs)
         if len(vs) >= 20:
             assert got[g].x95 == pytest.approx(statistics.quantiles(list(vs), n=20)[-1])
-    overall = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}).first()
+    overall = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}, sort_rows).first()
     assert overall.m == pytest.approx(np.median(np.concatenate(list(groups.values()))))
 
 
@@ -296,3 +301,82 @@ def test_stratified_sample(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
     with pytest.raises(KeyError):
         sampling.sample_for_validation(df.drop("path"))
+
+
+# ---- factors with many levels ---------------------------------------------------------------
+
+
+def factor_rows(n, sizes, seed):
+    rng = np.random.default_rng(seed)
+    cols = [rng.integers(0, k, n) for k in sizes]
+    x = rng.normal(size=n) + cols[0] % 3
+    y = 0.7 * x + sum(np.sin(c * (i + 1)) for i, c in enumerate(cols)) + rng.normal(size=n)
+    return [(float(y[i]), float(x[i]), *[f"v{c[i]}" for c in cols]) for i in range(n)]
+
+
+SCHEMA = "y double, x double, a string, b string, c string"
+
+
+@pytest.mark.parametrize("dense_terms", [14, 8, 3])
+def test_absorbed_factors_equal_the_dense_fit(spark, dense_terms):
+    """One factor absorbed, two, and three; the dense solver sees all 17 terms."""
+    df = spark.createDataFrame([*factor_rows(200, (9, 6, 4), 1), (None, 1.0, "v1", "v1", "v1")], SCHEMA)
+    spec = regression.OlsSpec("y", ("x",), ("a", "b", "c"))
+    want = {r.term: r for r in regression.fit_ols(df, spec).collect()}
+    got = {r.term: r for r in regression.fit_ols(df, spec, dense_terms=dense_terms).collect()}
+    assert "x" in got and not any(t.startswith("a=") for t in got) and len(got) < len(want)
+    for term, r in got.items():
+        w = want[term]
+        assert (r.n_obs, r.df_resid, r.n_rank) == (w.n_obs, w.df_resid, w.n_rank)
+        assert [r.estimate, r.std_error, r.rss, r.r_squared] == pytest.approx([w.estimate, w.std_error, w.rss, w.r_squared], rel=1e-8)
+    for factor in ("a",) if dense_terms == 8 else ():
+        w = regression.joint_f_test(df, spec, factor).first()
+        r = regression.joint_f_test(df, spec, factor, dense_terms=dense_terms).first()
+        assert (r.df_num, r.df_den, r.n_obs) == (w.df_num, w.df_den, w.n_obs)
+        assert [r.f_statistic, r.p_value] == pytest.approx([w.f_statistic, w.p_value], rel=1e-6)
+
+
+def test_absorbed_factors_of_separate_components(spark):
+    """Levels that never meet: the rank counts the components of the level graph."""
+    rows = [(y, x, f"p{a}" if i % 2 else f"q{a}", f"p{b}" if i % 2 else f"q{b}", "one") for i, (y, x, a, b, _) in enumerate(factor_rows(120, (5, 4, 1), 2))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spec = regression.OlsSpec("y", ("x",), ("a", "b"))
+    w = next(r for r in regression.fit_ols(df, spec).collect() if r.term == "x")
+    r = next(r for r in regression.fit_ols(df, spec, dense_terms=3).collect() if r.term == "x")
+    assert (r.n_rank, r.df_resid) == (w.n_rank, w.df_resid) and r.estimate == pytest.approx(w.estimate, rel=1e-8)
+    assert r.std_error == pytest.approx(w.std_error, rel=1e-8)
+
+
+@pytest.mark.parametrize("dense_terms", [9, 5])
+def test_marker_contrast_with_absorbed_factors(spark, dense_terms):
+    rng = np.random.default_rng(3)
+    rows = [
+        (["LatAm", "US", "unmarked"][i % 3], f"o{rng.integers(0, 6)}", f"m{rng.integers(0, 4)}", float(rng.random() + (i % 3) / 5)) for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, "marker string, occupation string, model string, outcome double")
+    w, r = regression.marker_contrast(df).first(), regression.marker_contrast(df, dense_terms=dense_terms).first()
+    assert [r.diff, r.std_error, r.p_one_sided, r.r_squared] == pytest.approx([w.diff, w.std_error, w.p_one_sided, w.r_squared], rel=1e-7)
+    assert r.n_obs == w.n_obs
+
+
+def test_a_hundred_thousand_levels(spark):
+    """The slope within 100 000 groups of three rows, against its closed form."""
+    n = 300_000
+    df = spark.range(n).select(
+        (F.col("id") % 100_000).cast("string").alias("a"),
+        (F.rand(1) + F.col("id") % 7).alias("x"),
+        F.rand(2).alias("e"),
+        F.col("id"),
+    )
+    df = materialise(df.withColumn("y", 2.0 * F.col("x") + F.col("e") + F.col("id") % 100_000), "rows")
+    row = regression.fit_ols(df, regression.OlsSpec("y", ("x",), ("a",))).first()
+    inside = df.groupBy("a").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx")).agg(F.sum("xy") / F.sum("xx")).first()[0]
+    assert row.term == "x" and row.estimate == pytest.approx(inside, rel=1e-8)
+    assert (row.n_rank, row.df_resid) == (100_001, n - 100_001)
+
+
+def test_adjusted_p_values_of_rows_without_a_group(spark):
+    rows = [("g", 0.01), ("g", 0.04), (None, 0.02), (None, 0.03), (None, None)]
+    df = spark.createDataFrame(rows, "g string, p_value double")
+    got = sorted((r.g or "", r.p_value, round(r.p_adjusted, 12)) for r in regression.benjamini_hochberg(df, by=["g"]).collect())
+    assert got == [("", 0.02, 0.03), ("", 0.03, 0.03), ("g", 0.01, 0.02), ("g", 0.04, 0.04)]
