@@ -16,8 +16,8 @@ How the work is spread:
 * Equal sets are one from the start: a set is known by a 128-bit digest.
 * Blocks of documents send their prefixes, packed, to buckets of the hash space. A
   bucket keeps the n-grams that two sets share.
-* Pairs come in rounds. In each, every set proposes its most promising partners of
-  other components, and verified links merge components. When a round links few, all
+* Pairs come in rounds. In each, every set proposes its most promising partner of
+  another component, and verified links merge components. When a round links few, all
   pairs of different components that pass the filters are verified. So a group of
   thousands of near copies is joined by some links per set, and no pair of sets that
   are not yet connected is left out. A long posting list is cut into pieces, dealt anew
@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from ordscope.llm.common import batch_of, pick, rows_of, small_batches, text_of
 from ordscope.llm.components import components
-from ordscope.llm.packing import block_number, blocks, bucketed, forget, pack, unpack
+from ordscope.llm.packing import block_number, blocks, bucketed, forget, pack, release, unpack
 from ordscope.session import materialise, spread
 
 COUNTERS = 1 << 22
 RANGES = 32
 _SLICES = 64
 _PIECE = 2048  # members of a posting list that meet at once
-_PARTNERS = 4  # that a set proposes in a round
+_PARTNERS = 1  # that a set proposes in a round
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -215,45 +215,89 @@ def _passing(n, at, ranges, i: np.ndarray, j: np.ndarray, percent: int) -> np.nd
     return out
 
 
+_SMALL = 128  # a meeting of so many members is looked at whole, together with others
+
+
 def _propose(percent: int, every: bool):
-    """Stream over pieces of posting lists; ``every`` pair of different components, or one partner for each member."""
-
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        rows = sorted(rows, key=lambda r: (r[2], r[0]))
-        digest, component = [r[0] for r in rows], np.unique([r[1] for r in rows], return_inverse=True)[1]
-        n, at = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-        ranges, side = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), RANGES), np.array([r[5] for r in rows])
-        out, everyone = [], np.arange(len(rows))
+    """Stream over meetings of members; ``every`` pair of different components, or the best partners of each member.
+
+    Small meetings are collected and their pairs judged in one go; in a large one each
+    member meets those after it in the order of set sizes, or the next few of them.
+    """
+
+    def judged(rows: list[tuple], i: np.ndarray, j: np.ndarray, columns: tuple) -> list[tuple]:
+        n, at, ranges, component, side = columns
+        # In the order of sizes the second set is the larger one.
+        able = (component[i] != component[j]) & (percent * n[j] <= 100 * n[i])
+        if side.any():  # two pieces meet: pairs within one of them belong to another meeting
+            able &= (side[i] != side[j]) | (side[i] == 2)
+        i, j = i[able], j[able]
+        bound = _passing(n, at, ranges, i, j, percent)
+        i, j, bound = i[bound >= 0], j[bound >= 0], bound[bound >= 0]
+        if not every:
+            order = np.lexsort((j, -bound, i))
+            i, j, bound = i[order], j[order], bound[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            rank = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i)))
+            i, j, bound = i[rank < _PARTNERS], j[rank < _PARTNERS], bound[rank < _PARTNERS]
+        return [(rows[x][0], rows[y][0], z) for x, y, z in zip(i.tolist(), j.tolist(), bound.tolist())]
+
+    def columns_of(rows: list[tuple]) -> tuple:
+        ranges = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), RANGES)
+        names: dict[bytes, int] = {}
+        component = np.array([names.setdefault(r[1], len(names)) for r in rows], np.int64)
+        n, at, side = (np.array([r[c] for r in rows], np.int64) for c in (2, 3, 5))
+        return n, at, ranges, component, side
+
+    def large(rows: list[tuple]) -> Iterator[list[tuple]]:
+        columns = columns_of(rows)
+        n = columns[0]
         for i in range(len(rows) - 1):
-            last = int(np.searchsorted(n, 100 * n[i] // percent, "right")) if percent else len(rows)
-            later = everyone[i + 1 : max(last, i + 1)]
-            later = later[component[later] != component[i]]
-            if side.any():  # two pieces meet: pairs within one of them belong to another meeting
-                later = later[side[later] != side[i]]
+            last = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+            later = np.arange(i + 1, max(last, i + 1))
             if not every:
-                later = later[: 4 * _PARTNERS]
-            if not len(later):
-                continue
-            bound = _passing(n, at, ranges, np.full(len(later), i), later, percent)
-            if every:
-                out += [(digest[i], digest[j], b) for j, b in zip(later[bound >= 0].tolist(), bound[bound >= 0].tolist())]
-            else:
-                likely = np.argsort(-bound, kind="stable")[:_PARTNERS]
-                out += [(digest[i], digest[later[j]], float(bound[j])) for j in likely.tolist() if bound[j] >= 0]
-        return out
+                later = later[columns[3][later] != columns[3][i]][: 4 * _PARTNERS]
+            yield judged(rows, np.full(len(later), i), later, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        pairs_of = {k: np.triu_indices(k, 1) for k in range(2, _SMALL + 1)}
+        key, rows, small, sizes, out = None, [], [], [], []
+
+        def flush() -> list[tuple]:
+            if not small:
+                return []
+            starts = np.cumsum([0, *sizes[:-1]])
+            i = np.concatenate([pairs_of[k][0] + a for k, a in zip(sizes, starts.tolist())])
+            j = np.concatenate([pairs_of[k][1] + a for k, a in zip(sizes, starts.tolist())])
+            found = judged(small, i, j, columns_of(small))
+            small.clear()
+            sizes.clear()
+            return found
+
+        def closed() -> Iterator[list[tuple]]:
+            rows.sort(key=lambda r: (r[2], r[0]))
+            if 2 <= len(rows) <= _SMALL:
+                # Collected meetings may have two sides or one; those of one side pair freely.
+                two = any(r[5] for r in rows)
+                small.extend(rows if two else [(*r[:5], 2) for r in rows])
+                sizes.append(len(rows))
+                if len(small) >= 4096:
+                    yield flush()
+            elif len(rows) > _SMALL:
+                yield from large(rows)
+
         for token, t, q, *row in rows_of(batches, "token", "t", "q", "digest", "component", "n", "at", "ranges", "side"):
             if (token, t, q) != key:
-                out += pairs(rows) if len(rows) > 1 else []
+                for found in closed():
+                    out += found
                 key, rows = (token, t, q), []
                 if len(out) >= 10_000:
                     yield batch_of(_PAIRS, out)
                     out = []
             rows.append(row)
-        out += pairs(rows) if len(rows) > 1 else []
-        yield batch_of(_PAIRS, out)
+        for found in closed():
+            out += found
+        yield batch_of(_PAIRS, out + flush())
 
     return run
 
@@ -364,6 +408,8 @@ def linked_sets(sets: DataFrame, percent: int = 80, rounds: int = 8) -> DataFram
 
     candidates = candidates.select("block", "digest", "n", "hashes").mapInArrow(summarise, "digest binary, n bigint, hashes binary, ranges binary")
     candidates = materialise(candidates, "candidates")
+    forget(sets)  # the others' hashes are not needed again
+    release(spark)
     members = materialise(shared.join(candidates.select("digest", "n", "ranges"), "digest"), "members")
     enough = candidates.count() // 100
     component = candidates.select("digest", F.col("digest").alias("component"))
@@ -374,6 +420,8 @@ def linked_sets(sets: DataFrame, percent: int = 80, rounds: int = 8) -> DataFram
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         checked = materialise(_verified(pairs, candidates, percent), "verified")
+        del pairs
+        release(spark)
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionAll(new)
         found = components(links)
@@ -410,7 +458,6 @@ def near_documents(
     sets = bucketed(rows.mapInArrow(_to_sets(width, block_chars), _SETS_TYPE), "block")
     keyed = materialise(sets.select("doc_id", F.col("n").alias("n_shingles"), "digest"), "keyed")
     found = linked_sets(sets, percent)
-    forget(sets)
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     # Copies of one set are spread by salt; a component is named by its sets' smallest ids.
     salted = keyed.where("digest IS NOT NULL").groupBy("digest", "salt").agg(F.min("doc_id").alias("first"))
