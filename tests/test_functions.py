@@ -201,15 +201,16 @@ def test_binomial_quantile():
         assert probability.binomial_quantile(u, np.full(200, n), p).tolist() == want
     assert probability.binomial_quantile(np.array([0.2, 0.9]), np.array([5, 0]), 1.0).tolist() == [5, 0]
     assert probability.binomial_quantile(np.array([0.2]), np.array([5]), 0.0).tolist() == [0]
-    # Both ways of inversion agree where they meet, and the second holds far beyond.
-    u, n = rng.random(50), 20_000
-    table = probability.binomial_quantile(u, np.full(50, n), 0.3)
-    probability._TABLE, kept = 10, probability._TABLE
-    try:
-        assert (probability.binomial_quantile(u, np.full(50, n), 0.3) == table).all()
-        large = probability.binomial_quantile(np.array([0.025, 0.5, 0.975]), np.full(3, 10**12), 0.3)
-    finally:
-        probability._TABLE = kept
+    # Summed probabilities and the walk agree, with one or the other evaluation of the distribution function.
+    u = rng.random(50)
+    for n, p in ((30, 0.3), (500, 0.02), (2_000, 0.6), (20_000, 0.3)):
+        kept, probability._FEW = probability._FEW, 0
+        try:
+            walked = probability.binomial_quantile(u, np.full(50, n), p)
+        finally:
+            probability._FEW = kept
+        assert (walked == probability._few_trials(u, np.full(50, n), p)).all()
+    large = probability.binomial_quantile(np.array([0.025, 0.5, 0.975]), np.full(3, 10**12), 0.3)
     assert (large - 3 * 10**11) / math.sqrt(0.21e12) == pytest.approx([-1.959964, 0.0, 1.959964], abs=1e-4)
 
 
