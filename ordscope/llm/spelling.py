@@ -169,7 +169,10 @@ def _moved(met: DataFrame, taken: list) -> DataFrame:
 
 def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Every edge of a state's node taken with one edit: a replaced character of the label or a dropped one of the word."""
-    met = states.join(edges, ["node", "salt"]).withColumn("rest", F.expr(_REST)).withColumn("size", F.length("label"))
+    met = states.join(edges, ["node", "salt"])
+    # An edge that completes a word can only do so for a text of that length or one more.
+    met = met.where(F.col("ends").isNull() | (F.length("text") - F.length("ends")).isin(0, 1))
+    met = met.withColumn("rest", F.expr(_REST)).withColumn("size", F.length("label"))
     begins = F.expr("substring(rest, 1, 1)") == F.col("first")
     fits = F.length("rest") >= F.col("size")
     # Under another first character the edit is there, and the rest must be equal.
