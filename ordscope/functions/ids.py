@@ -36,6 +36,12 @@ def cell_seed(
     )
 
 
+def seed_slot(language_index: Column, model_index: Column, replicate: Column) -> Column:
+    """The part of a seed that follows its group's."""
+    _, _, m_language, m_model = fv.SEED_MULTIPLIERS
+    return (language_index * m_language + model_index * m_model + replicate).cast("int")
+
+
 def short_seed(group_index: Column, replicate: Column, base: int = fv.BASE_SEED) -> Column:
     """Seed format of the small proof-of-concept grid."""
     return F.lit(base * 1000).cast("long") + group_index.cast("long") * 100 + replicate.cast("long")

@@ -3,6 +3,10 @@
 A grid is a linear expansion of its first dimension: every group row explodes
 into (language, model, replicate) combinations held in literal arrays. There is
 no join between dimensions, and a large group table stays distributed.
+
+Which units are done is decided before the expansion where possible: the ids of a log
+are taken apart into group and slot, and each group row meets its own done slots. So
+one row per group moves, not one per cell.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions import ids
-from ordscope.functions.literals import structs_of
+from ordscope.functions.literals import array_of, structs_of
 from ordscope.functions.prompts import prompt_status, prompt_text
 from ordscope.operators.checks import require_columns
 from ordscope.session import materialise
@@ -36,15 +40,30 @@ def enumerate_grid(
     priority: int = 0,
     base: int = fv.BASE_SEED,
     country: Column | None = None,
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """All cells of a grid from ``groups (grp_index, grp)``.
 
     ``ord_*`` columns reproduce the enumeration order (priority, group, language,
-    model, replicate) for anything that has to respect it.
+    model, replicate) for anything that has to respect it. Given a table ``done`` with
+    an ``image_id``, the column ``done`` tells whether it has the cell's id; a group
+    without an index has no seed, so its cells are never done.
     """
     require_columns(groups, ["grp_index", "grp"], "groups")
+    if done is not None and not _seeds_distinct(len(languages), len(models), replicates):
+        plain = enumerate_grid(groups, languages, models, replicates, grid, offset, priority, base, country)
+        return flag_done(plain, done)
+    groups = groups.select("grp_index", "grp")
+    slots = []
+    if done is not None:
+        found = done_slots(done, models, len(languages), replicates, base, offset).hint("merge")
+        same = (F.col("grp_index").cast("long") == F.col("__group")) & F.translate("grp", " ", "_").eqNullSafe(F.col("__part"))
+        groups, slots = groups.join(found, same, "left").select("grp_index", "grp", "__slots"), ["__slots"]
+        # Few bytes that become many cells: a fixed number of partitions, which is not merged by size.
+        spark = groups.sparkSession
+        groups = groups.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     cells = (
-        groups.select("grp_index", "grp", F.inline(indexed(languages, "lang_index", "language")))
+        groups.select("grp_index", "grp", *slots, F.inline(indexed(languages, "lang_index", "language")))
         .select("*", F.inline(indexed(models, "model_index", "model")))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     )
@@ -52,6 +71,8 @@ def enumerate_grid(
         F.col("grp_index"), F.col("lang_index"), F.col("model_index"), F.col("replicate"), base, offset
     )
     anchor = ids.country_for_language(F.col("language")) if country is None else country
+    slot = ids.seed_slot(F.col("lang_index"), F.col("model_index"), F.col("replicate"))
+    is_done = F.coalesce(F.array_contains("__slots", slot), F.lit(False)).alias("done") if slots else None
     return cells.select(
         F.lit(grid).alias("grid"),
         F.lit(priority).alias("prio"),
@@ -66,7 +87,62 @@ def enumerate_grid(
         seed.alias("seed"),
         F.lit(replicates).alias("target_n"),
         ids.unit_id(F.col("model"), F.col("grp"), seed).alias("image_id"),
+        *([] if is_done is None else [is_done]),
+    )
+
+
+def _seeds_distinct(n_languages: int, n_models: int, replicates: int) -> bool:
+    """Does each index stay below its multiplier's range, so that a seed tells them all?"""
+    _, m_group, m_language, m_model = fv.SEED_MULTIPLIERS
+    return n_languages * m_language <= m_group and n_models * m_model <= m_language and replicates <= m_model
+
+
+def done_slots(
+    done: DataFrame, models: Sequence[str], n_languages: int, replicates: int, base: int = fv.BASE_SEED, offset: int = 0,
+    id_col: str = "image_id",
+) -> DataFrame:
+    """``__group, __part, __slots``: the done units of a grid, one row per group index and group name in ids.
+
+    An id is taken apart into its seed's indices and the group's name, and counts only
+    if these give the same id again; ids of other grids fall out here. A group has at
+    most as many slots as combinations, however often an id is logged.
+    """
+    m_base, m_group, m_language, m_model = fv.SEED_MULTIPLIERS
+
+    def once(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+        """By way of a generator, across which an expression is not computed anew wherever it is used."""
+        return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+    rows = once(done, __id=F.col(id_col).cast("string"))
+    rows = once(rows, "__id", __seed=F.substring_index("__id", "__", -1).try_cast("long"))
+    rows = once(rows, "__id", "__seed", __rest=F.try_subtract("__seed", F.lit(base * m_base + offset).cast("long")))
+    rows = once(rows.where("__rest IS NOT NULL"), "__id", "__seed", "__rest", __slot=F.pmod("__rest", F.lit(m_group).cast("long")).cast("int"))
+    language, rest = F.floor(F.col("__slot") / m_language), F.col("__slot") % m_language
+    rows = rows.where((language < n_languages) & (F.floor(rest / m_model) < len(models)) & (rest % m_model < replicates))
+    heads = array_of([model.replace("/", "_") + "__" for model in models])
+    rows = once(
+        rows, "__id", "__rest", "__slot", __head=F.get(heads, F.floor(rest / m_model).cast("int")), __tail=F.concat(F.lit("__"), F.col("__seed").cast("string"))
     )
+    # The id of a group without a name: "model__seed".
+    bare = F.concat("__head", F.substring("__tail", 3, 20))
+    between = F.substring("__id", F.length("__head") + 1, F.length("__id") - F.length("__head") - F.length("__tail"))
+    rows = once(rows, "__id", "__rest", "__slot", "__head", "__tail", __bare=F.col("__id") == bare, __part=between)
+    rows = rows.where(F.col("__bare") | (F.col("__id") == F.concat("__head", "__part", "__tail")))
+    group = F.expr(f"(__rest - __slot) div {m_group}").alias("__group")
+    part = F.when(~F.col("__bare"), F.col("__part")).alias("__part")
+    return rows.select(group, part, "__slot").groupBy("__group", "__part").agg(F.collect_set("__slot").alias("__slots"))
+
+
+def flag_done(cells: DataFrame, done: DataFrame | None, id_col: str = "image_id") -> DataFrame:
+    """``cells`` with the column ``done``; cells that were enumerated with it stay as they are."""
+    if done is None:
+        require_columns(cells, ["done"], "cells")
+        return cells
+    # Distinct ids collapse map-side, so an id logged very often is one row in the join.
+    ready = done.select(F.col(id_col).cast("string").alias(id_col), F.lit(True).alias("__done")).distinct()
+    # Ids and cells are far larger than the files they come from, by which a broadcast would be planned.
+    flagged = cells.join(ready.hint("merge"), id_col, "left")
+    return flagged.withColumn("done", F.coalesce("__done", F.lit(False))).drop("__done")
 
 
 def _named_groups(spark: SparkSession, names: Sequence[str]) -> DataFrame:
@@ -161,20 +237,23 @@ ENUMERATION_ORDER = ("prio", "ord_group", "ord_language", "ord_model", "replicat
 
 
 def pending_cells(
-    cells: DataFrame, done: DataFrame, shard_id: int = 0, n_shards: int = 1, id_col: str = "image_id"
+    cells: DataFrame, done: DataFrame | None = None, shard_id: int = 0, n_shards: int = 1, id_col: str = "image_id"
 ) -> DataFrame:
     """Cells that are not done yet and belong to the shard.
 
     The shard predicate runs before the anti-join and is also applied to the done
-    ids: both sides then carry 1/n_shards of the keys into the shuffle.
+    ids: both sides then carry 1/n_shards of the keys into the shuffle. Without a
+    table ``done`` the cells' own column tells.
     """
     mine = ids.in_shard(F.col(id_col), shard_id, n_shards)
+    if done is None:
+        return flag_done(cells, None).where(mine & ~F.col("done")).drop("done")
     ready = done.select(F.col(id_col).cast("string").alias(id_col)).where(
         ids.in_shard(F.col(id_col).cast("string"), shard_id, n_shards)
     )
     # Distinct ids collapse map-side, so an id logged very often is one row in the join.
     ready = ready.distinct()
-    return cells.where(mine).join(ready, id_col, "left_anti")
+    return cells.where(mine).join(ready.hint("merge"), id_col, "left_anti")
 
 
 def renderable(cells: DataFrame) -> DataFrame:
@@ -201,26 +280,25 @@ def slice_predicate(
 
 
 def missing_manifest(
-    cells: DataFrame, done: DataFrame, n_shards: int = 4, id_col: str = "image_id"
+    cells: DataFrame, done: DataFrame | None = None, n_shards: int = 4, id_col: str = "image_id"
 ) -> DataFrame:
     """One row per missing unit with counts of its cell, routing and prompt.
 
-    ``done`` may contain repeats; it is reduced to distinct ids first. The count
+    ``done`` may contain repeats; it is reduced to distinct ids first. Cells that were
+    enumerated with their column ``done`` need no table and are not shuffled. The count
     of finished units per cell is an aggregate joined back on the cell id.
     """
     cid = ids.cell_id(F.col("model"), F.col("language"), F.col("country"), F.col("occupation"))
-    keyed = cells.withColumn("cell_id", cid)
-    ready = done.select(F.col(id_col).cast("string").alias(id_col), F.lit(1).alias("__done")).distinct()
-    flagged = keyed.join(ready, id_col, "left")
+    flagged = flag_done(cells, done, id_col).withColumn("cell_id", cid)
     # One row per cell, written out so that the join back is planned with its size:
     # broadcast while small, and the missing rows are not shuffled again.
     counts = materialise(
-        flagged.groupBy("cell_id").agg(F.count("__done").alias("current_n")), "cell-counts"
+        flagged.groupBy("cell_id").agg(F.count_if("done").alias("current_n")), "cell-counts"
     )
     runner = ids.runner_for(F.col("model"))
     return (
-        flagged.where(F.col("__done").isNull())
-        .drop("__done")
+        flagged.where(~F.col("done"))
+        .drop("done")
         .join(counts, "cell_id", "left")
         .select(
             "grid",

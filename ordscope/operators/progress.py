@@ -9,25 +9,22 @@ from pyspark.sql import functions as F
 
 from ordscope import fixed_values as fv
 from ordscope.functions.ids import format_eta
+from ordscope.operators.grid import flag_done
 from ordscope.operators.quantiles import exact_quantiles
 from ordscope.sources.literals import literal_table
 
 
-def distinct_ids(df: DataFrame, id_col: str = "image_id") -> DataFrame:
-    return df.select(F.col(id_col).cast("string").alias(id_col)).distinct()
-
-
-def grid_progress(cells: DataFrame, done: DataFrame, id_col: str = "image_id") -> DataFrame:
+def grid_progress(cells: DataFrame, done: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
     """Done and total units per grid, completion percentage.
 
-    One left join against the distinct done ids answers both counts.
+    One left join against the distinct done ids answers both counts; cells that were
+    enumerated with their column ``done`` need none.
     """
-    ready = distinct_ids(done, id_col).withColumn("__done", F.lit(1))
+    slim = cells.select("grid", id_col) if done is not None else cells
     return (
-        cells.select("grid", id_col)
-        .join(ready, id_col, "left")
+        flag_done(slim, done, id_col)
         .groupBy("grid")
-        .agg(F.count("__done").alias("done"), F.count(F.lit(1)).alias("total"))
+        .agg(F.count_if("done").alias("done"), F.count(F.lit(1)).alias("total"))
         .withColumn("pct", percent(F.col("done"), F.col("total")))
     )
 

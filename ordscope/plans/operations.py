@@ -56,7 +56,8 @@ def progress_report(
 ) -> dict[str, DataFrame]:
     """The tables of a progress report over deduplicated metadata.
 
-    ``now`` is epoch seconds, a column, ``"latest"`` (newest row) or the clock.
+    ``now`` is epoch seconds, a column, ``"latest"`` (newest row) or the clock. Cells may
+    carry a column ``done``, from enumeration with the same metadata.
     """
     # Five tables read the deduplicated log; sort it out once.
     columns = ["image_id", "model", "language", "backend", "duration_s", "timestamp", "src_ord", "row_ord"]
@@ -65,21 +66,23 @@ def progress_report(
     if isinstance(now, str):
         now = progress.latest_time(unique)
     rates = progress.recent_throughput(unique, now)
-    by_grid = progress.grid_progress(cells, unique)
+    cells = grid.flag_done(cells, None if "done" in cells.columns else unique)
+    by_grid = progress.grid_progress(cells)
     main = cells.where(F.col("grid") == "main")
-    done_main = unique.join(main.select("image_id"), "image_id", "left_semi")
+    # Only the done cells meet the log. They are far more than the group table's size lets the planner expect.
+    done_main = unique.join(main.where("done").select("image_id").hint("merge"), "image_id", "left_semi")
     return {
         "duplicates": merge.duplicate_summary(metadata),
         "grids": progress.with_eta(by_grid, rates),
         "matrix": progress.count_matrix(done_main, "model", "language", fv.MAIN_MODELS, fv.MAIN_LANGUAGES),
         "throughput": rates,
-        "pending_top": progress.pending_top(grid.pending_cells(main, unique), top),
+        "pending_top": progress.pending_top(grid.pending_cells(main), top),
     }
 
 
 def manifest_report(cells: DataFrame, metadata: DataFrame, n_shards: int = 4) -> dict[str, DataFrame]:
     """Missing manifest with its checks and the counts per grid, runner and model."""
-    manifest = grid.missing_manifest(cells, metadata, n_shards)
+    manifest = grid.missing_manifest(cells, None if "done" in cells.columns else metadata, n_shards)
     return {
         "manifest": manifest,
         "problems": grid.manifest_problems(manifest),

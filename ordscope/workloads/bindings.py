@@ -216,12 +216,12 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid over customers x languages x models x replicates."""
+def customer_grid(spark: SparkSession, sf_dir: str, done: DataFrame | None = None) -> DataFrame:
+    """Grid over customers x languages x models x replicates; with the column ``done``, given a log."""
     groups = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         F.col("c_custkey").alias("grp_index"), pick(fv.GROUP_NAMES, F.col("c_custkey") % 25).alias("grp")
     )
-    return enumerate_grid(groups, fv.MAIN_LANGUAGES, fv.MAIN_MODELS, N_REPLICATES)
+    return enumerate_grid(groups, fv.MAIN_LANGUAGES, fv.MAIN_MODELS, N_REPLICATES, done=done)
 
 
 _M_BASE, _M_GROUP, _M_LANG, _M_MODEL = fv.SEED_MULTIPLIERS

@@ -118,8 +118,8 @@ SELECT language AS grid, done, total, {r('100.0 * done / total')} AS pct, {r('CA
 def a21(spark, sf_dir):
     unique = unique_log(spark, sf_dir)
     rates = progress.recent_throughput(unique, progress.latest_time(unique), window_s=WINDOW_S)
-    by_language = b.customer_grid(spark, sf_dir).withColumn("grid", F.col("language"))
-    out = progress.with_eta(progress.grid_progress(by_language, unique), rates)
+    by_language = b.customer_grid(spark, sf_dir, unique).withColumn("grid", F.col("language"))
+    out = progress.with_eta(progress.grid_progress(by_language), rates)
     return tidy(out.select("grid", "done", "total", "pct", F.round("eta_s", 3).alias("eta_s")))
 
 
@@ -152,7 +152,8 @@ UNION ALL SELECT 'duplicate_rows', count(*) - count(DISTINCT image_id) FROM miss
 UNION ALL SELECT 'completed_rows', count(*) FILTER (WHERE missing_n <= 0 OR current_n >= target_n) FROM missing""",
 )
 def l8(spark, sf_dir):
-    report = plans.manifest_report(b.customer_grid(spark, sf_dir), b.metadata(spark, sf_dir))
+    meta = b.metadata(spark, sf_dir)
+    report = plans.manifest_report(b.customer_grid(spark, sf_dir, meta), meta)
     summary = report["summary"].select(
         F.concat_ws(":", F.lit("summary"), "grid", "recommended_runner", "model").alias("name"), "n"
     )
@@ -173,7 +174,7 @@ def l8(spark, sf_dir):
     + " SELECT model, language, count(*) AS n_pending FROM grid WHERE image_id NOT IN (SELECT image_id FROM metadata) GROUP BY model, language, ord_language, ord_model ORDER BY n_pending DESC, min(ord_group), ord_language, ord_model LIMIT 10",
 )
 def w8(spark, sf_dir):
-    pending = grid.pending_cells(b.customer_grid(spark, sf_dir), b.metadata(spark, sf_dir))
+    pending = grid.pending_cells(b.customer_grid(spark, sf_dir, b.metadata(spark, sf_dir)))
     return progress.pending_top(pending, 10)
 
 
@@ -189,7 +190,7 @@ UNION ALL SELECT 'rate:' || coalesce(backend, 'none'), n_units FROM (SELECT back
 )
 def l7(spark, sf_dir):
     meta = b.metadata(spark, sf_dir)
-    tables = plans.progress_report(b.customer_grid(spark, sf_dir), meta, "latest")
+    tables = plans.progress_report(b.customer_grid(spark, sf_dir, meta), meta, "latest")
 
     def named(df, name, value):
         return df.select(name.alias("name"), value.cast("double").alias("value"))

@@ -146,6 +146,41 @@ def test_pending_shards_partition_the_work(spark):
     assert max(map(len, parts)) < 1.1 * min(map(len, parts))
 
 
+def small_grid(spark, done=None):
+    groups = spark.createDataFrame([(0, "CEO"), (1, "a b__c"), (2, None), (3, ""), (None, "nurse"), (1, "nurse")], "grp_index long, grp string")
+    return grid.enumerate_grid(groups, fv.MAIN_LANGUAGES, fv.MAIN_MODELS, 2, done=done)
+
+
+def test_done_by_group_equals_done_by_id(spark):
+    ids = [r.image_id for r in small_grid(spark).where("seed is not null").select("image_id").collect()]
+    log = ids[::3] + ids[:1] * 50
+    odd = [x.replace("__2026", "__02026") for x in ids[1::3]] + [x + "0" for x in ids[1::3]] + ["", "x", "7", "__7", None, "a__9223372036854775807", "a__-9223372036854775808"]
+    other = [r.image_id for r in grid.all_grids(spark).where("occupation != 'CEO'").limit(50).collect()]
+    done = spark.createDataFrame([(x,) for x in log + odd + other], "image_id string")
+    want = {r.image_id: r.done for r in grid.flag_done(small_grid(spark), done).collect()}
+    got = small_grid(spark, done)
+    assert {r.image_id: r.done for r in got.collect()} == want and sum(want.values()) == len(set(ids[::3]))
+    assert got.count() == small_grid(spark).count()
+
+
+def test_cells_are_neither_shuffled_nor_broadcast(spark):
+    now = 2_000_000
+    rows = small_grid(spark).where("replicate = 1").select(
+        "image_id", "model", "language", F.lit("b1").alias("backend"), F.lit(4.0).alias("duration_s"), F.lit(now).alias("timestamp"),
+        F.lit(0).alias("src_ord"), F.lit(0).alias("row_ord"),
+    )
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    cells = small_grid(spark, rows)
+    assert "hashpartitioning(image_id" not in plan(grid.missing_manifest(cells))
+    assert "hashpartitioning(image_id" not in plan(progress.grid_progress(cells))
+    for given in (cells, small_grid(spark)):
+        matrix = plan(plans.progress_report(given, rows, now)["matrix"])
+        assert not [x for x in matrix.splitlines() if "BroadcastHashJoin" in x and "LeftSemi" in x]
+
+
 def test_manifest_and_progress(spark):
     cells = grid.all_grids(spark)
     now = 2_000_000
