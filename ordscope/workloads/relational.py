@@ -75,7 +75,7 @@ def p6(spark, sf_dir):
 
 
 def manifest(spark, sf_dir):
-    return grid.missing_manifest(b.customer_grid(spark, sf_dir), b.metadata(spark, sf_dir))
+    return grid.missing_manifest(b.customer_grid(spark, sf_dir, b.metadata(spark, sf_dir)))
 
 
 RUNNER_SQL = "CASE model " + " ".join(f"WHEN '{m}' THEN '{v}'" for m, v in fv.RUNNER_BY_MODEL.items()) + " ELSE 'manual' END"
@@ -228,7 +228,7 @@ def j1(spark, sf_dir):
     + " SELECT image_id, seed FROM grid g WHERE NOT EXISTS (SELECT 1 FROM metadata m WHERE m.image_id = g.image_id) AND ('0x' || substr(sha256(image_id), 1, 16))::UBIGINT % 4 = 2",
 )
 def j3(spark, sf_dir):
-    pending = grid.pending_cells(b.customer_grid(spark, sf_dir), b.metadata(spark, sf_dir), 2, 4)
+    pending = grid.pending_cells(b.customer_grid(spark, sf_dir, b.metadata(spark, sf_dir)), None, 2, 4)
     return pending.select("image_id", "seed")
 
 
@@ -239,7 +239,7 @@ def j3(spark, sf_dir):
 )
 def j4(spark, sf_dir):
     targets = b.metadata(spark, sf_dir).where(F.col("backend") == "cache")
-    kept = grid.keep_targets(b.customer_grid(spark, sf_dir), targets)
+    kept = b.customer_grid(spark, sf_dir, targets).where("done")
     return kept.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -251,7 +251,7 @@ def j4(spark, sf_dir):
 def j5(spark, sf_dir):
     from ordscope.operators import progress
 
-    return tidy(progress.grid_progress(b.customer_grid(spark, sf_dir), b.metadata(spark, sf_dir)))
+    return tidy(progress.grid_progress(b.customer_grid(spark, sf_dir, b.metadata(spark, sf_dir))))
 
 
 @query(
