@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordscope.llm import jaccard, lexical, packing, spelling
+from ordscope.llm.common import batch_of
 from ordscope.llm.common import ASCII_LOWER
 
 EXTRA = ["word", "near", "node", "block", "digest", "n", "score", "query", "rank", "component", "token", "x y", "__text"]
@@ -271,6 +272,55 @@ def test_prefixes_and_filters_lose_no_pair():
             assert jaccard._passing(sizes, at, ranges, np.array([0]), np.array([1]), 80)[0] >= 0.8
 
 
+def test_sets_that_share_too_little_of_their_prefixes_are_not_verified(spark, monkeypatch):
+    """Lines of a plane of 16 points as texts: two share one passage of four at most, and all passages are equally rare."""
+    rng = random.Random(11)
+    points = [" ".join(f"p{rng.randrange(10**9)}" for _ in range(375)) for _ in range(16)]
+    times = [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]]  # in the field of four elements
+    lines = [[4 * x + (times[m][x] ^ c) for x in range(4)] for m in range(4) for c in range(4)] + [[4 * x + y for y in range(4)] for x in range(4)]
+    rows = [(i, " ".join(points[p] for p in line)) for i, line in enumerate(lines)]
+    tried = []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (tried.append(pairs.count()), verified(pairs, *rest))[1])
+    got = jaccard.near_documents(frame(spark, [*rows, (20, rows[0][1] + " more")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(20)}, 20: 0}
+    assert 1 <= sum(tried) <= 5
+
+
+def test_what_prefixes_share_loses_no_pair():
+    """The bound is at least the true overlap, also where a set has too many lists for a profile."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.choice(10**6, int(rng.integers(5, 80)), replace=False)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 10**6, rng.integers(0, 6))])) for _ in range(8)]
+        prefixes = [s[: jaccard.prefix_size(len(s), 80)] for s in sets]
+        n, total = np.array([len(s) for s in sets]), np.array([len(x) for x in prefixes])
+        profiles = [None if rng.random() < 0.2 else (x.astype(np.int32), np.ones(len(x), np.int64)) for x in prefixes]
+        able = jaccard._may_link(n, np.arange(8), total, profiles, 80)
+        for i in range(8):
+            for j in range(8):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                assert i == j or able[i, j] or 100 * common < 80 * (n[i] + n[j] - common)
+
+
+@pytest.mark.parametrize("hot", [1 << 19, 4])
+def test_lists_of_a_bucket(monkeypatch, hot):
+    """N-grams of the same sets are one list; a hot one is a list by itself; each keeps its members."""
+    monkeypatch.setattr(jaccard, "_HOT", hot)
+    held = {7: [1, 2], 8: [1, 2], 9: [2, 3], 10: [3], 11: list(range(1, 9))}
+    rows = []
+    for base in range(1, 9):
+        tokens = [t for t, ids in held.items() if base in ids]
+        rows.append((0, base, packing.pack(np.array(tokens, "<u8")), packing.pack(np.zeros(len(tokens), "<u4")), packing.pack(np.full(len(tokens), 50, "<u4"))))
+    found = defaultdict(dict)
+    for batch in jaccard._shared(iter([batch_of(jaccard._LISTS, rows)])):
+        for r in batch.to_pylist():
+            found[r["list"]][r["id"]] = r["times"]
+    assert sorted(map(sorted, (x.items() for x in found.values()))) == sorted(
+        [[(1, 2), (2, 2)], [(2, 1), (3, 1)], [(i, 1) for i in range(1, 9)]]
+    )
+
+
 def test_spent_tables_are_deleted_and_no_others(spark, tmp_path):
     import os
 
