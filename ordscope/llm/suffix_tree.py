@@ -31,6 +31,7 @@ that is not hot are told apart by 40 bits of their hashes.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import count
@@ -70,13 +71,11 @@ def _to_blocks(chars: int, parts: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, block in enumerate(blocks(rows_of(batches, "doc_id", "text"), chars)):
-            code: dict[bytes, int] = {b"": 0}  # the end; no word is empty
+            code: defaultdict[bytes, int] = defaultdict(None, {b"": 0})  # the end; no word is empty
+            code.default_factory = code.__len__  # a new word gets the next code
             streams, sizes = [], []
             for _, text in block:
                 found = lowered(text).split()  # on UTF-8, at the six white space characters
-                for word in found:
-                    if word not in code:
-                        code[word] = len(code)
                 found.append(b"")
                 streams.append(np.fromiter(map(code.__getitem__, found), np.int64, len(found)))
                 sizes.append(len(found))
@@ -136,6 +135,34 @@ _ANSWER_TYPE = (
 )
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of 0 and more, the first index of each, and each key's place among them.
+
+    Where a key and its index fit one number together these are sorted as plain numbers,
+    which is several times faster than sorting indices by key.
+    """
+    shift = int(len(keys)).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - shift):
+        return np.unique(keys, return_index=True, return_inverse=True)
+    packed = np.sort((keys << shift) | np.arange(len(keys)))
+    order, packed = packed & ((1 << shift) - 1), packed >> shift
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return packed[new], order[new], inverse
+
+
+def _hash_order(hashes: np.ndarray) -> np.ndarray:
+    """Indices in the order of the hashes' leading bits, 32 at least, then of the indices: buckets lie together."""
+    shift = int(len(hashes)).bit_length()
+    if shift > 32:
+        return np.argsort(hashes, kind="stable")
+    low = np.uint64((1 << shift) - 1)
+    return (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+
+
 def _slices(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
@@ -195,7 +222,7 @@ class _Reader:
         keys = (self.context[normal] << shift) | self.codes[normal]
         hot_contexts = max(1, int(len(self.context_hashes)).bit_length())
         hot_keys = (self.codes[common] << hot_contexts) | self.context[common]
-        self.unique = [np.unique(k, return_index=True, return_inverse=True) for k in (keys, hot_keys)]
+        self.unique = [_distinct(k) for k in (keys, hot_keys)]
         (key, _, _), (hot_key, _, _) = self.unique
         self.pairs = [
             (key >> shift, key & ((1 << shift) - 1)),
@@ -260,7 +287,7 @@ class _Reader:
         mixed = np.concatenate(hashes_of)
         mixed ^= mixed >> np.uint64(29)
         mixed *= _M1
-        order = np.argsort(mixed, kind="stable")
+        order = _hash_order(mixed)
         rank = np.empty(upto, np.int64)
         rank[order] = np.arange(upto)
         # The entry that ends at the word before is the next context.
@@ -371,7 +398,7 @@ class _Active:
         self.context_hashes, rank = np.unique(mixed * _M2, return_inverse=True)
         self.shift = max(1, int(len(self.hashes)).bit_length())
         key = (rank.astype(np.int64) << self.shift) | self.codes[self.at]
-        self.key, self.first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+        self.key, self.first, self.inverse = _distinct(key)
 
     def lists(self, buckets: int) -> list[tuple]:
         context, word = self.key >> self.shift, self.key & ((1 << self.shift) - 1)

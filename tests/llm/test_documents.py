@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -542,6 +543,18 @@ def test_suffix_tree_matches_brute_force(spark, share):
         assert a[6] == pytest.approx(b[6], rel=1e-6)
 
 
+def test_sorting_keys_with_their_places():
+    """As NumPy's unique, also for keys that leave no room for a place; hashes of a bucket lie together."""
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 50, 400), rng.integers(0, 1 << 62, 300).repeat(2), np.zeros(0, np.int64), np.array([3])):
+        for got, want in zip(suffix_tree._distinct(keys), np.unique(keys, return_index=True, return_inverse=True)):
+            assert np.array_equal(got, want)
+    hashes = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    order = suffix_tree._hash_order(hashes)
+    assert np.array_equal(np.sort(order), np.arange(5000))
+    assert (np.diff(suffix_tree.bucket_of(hashes[order], 1000)) >= 0).all()
+
+
 def test_suffix_tree_of_little(spark):
     assert suffix_tree.score_documents(frame(spark, [])).count() == 0
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
