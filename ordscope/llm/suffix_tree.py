@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordscope.llm.common import batch_of, lowered, pick, rows_of, small_batches, text_of
-from ordscope.llm.packing import block_number, blocks, bucketed, forget, gather, least_dtype, pack, pack_bytes, unpack, unpack_bytes
+from ordscope.llm.packing import block_number, blocks, bucketed, forget, least_dtype, pack, pack_bytes, unpack, unpack_bytes
 from ordscope.session import materialise
 
 HOT_SHARE = 1024
@@ -77,17 +77,18 @@ def _to_blocks(chars: int, parts: int, part: int):
             for _, text in block:
                 found = lowered(text).split()  # on UTF-8, at the six white space characters
                 found.append(b"")
-                streams.append(np.fromiter(map(code.__getitem__, found), np.int64, len(found)))
+                streams.append(np.fromiter(map(code.__getitem__, found), np.int32, len(found)))
                 sizes.append(len(found))
             codes = np.concatenate(streams)
+            del streams
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in code), np.uint64, len(code))
             hashes[0] = _END
             order = np.argsort(hashes, kind="stable")  # codes in the order of the hashes
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             codes, hashes = rank[codes], hashes[order]
             held = np.array([is_held_out(i, parts, part) for i, _ in block])
-            trained = np.bincount(codes, weights=np.repeat(~held, sizes), minlength=len(hashes)).astype("<u4")
+            trained = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(hashes)).astype("<u4")
             docs = pack_bytes([
                 np.array([i is not None for i, _ in block], "<u1").tobytes(), np.array([i or 0 for i, _ in block], "<i8").tobytes(),
                 np.array(sizes, "<u4").tobytes(), held.astype("<u1").tobytes(),
@@ -144,23 +145,43 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shift = int(len(keys)).bit_length()
     if not len(keys) or int(keys.max()) >> (63 - shift):
         return np.unique(keys, return_index=True, return_inverse=True)
-    packed = np.sort((keys << shift) | np.arange(len(keys)))
-    order, packed = packed & ((1 << shift) - 1), packed >> shift
-    new = np.empty(len(keys), bool)
-    new[0] = True
-    np.not_equal(packed[1:], packed[:-1], out=new[1:])
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    packed = keys << shift
+    packed |= np.arange(len(keys))
+    packed.sort()
+    small = np.int32 if shift < 32 else np.int64
+    order = (packed & ((1 << shift) - 1)).astype(small)
+    packed >>= shift
+    new = _begins(packed)
+    inverse = np.empty(len(keys), small)
+    inverse[order] = np.cumsum(new, dtype=small) - 1
     return packed[new], order[new], inverse
 
 
+def _begins(values: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
+def _before(values: np.ndarray, first: int) -> np.ndarray:
+    """The value of the place before each one."""
+    moved = np.empty_like(values)
+    moved[0], moved[1:] = first, values[:-1]
+    return moved
+
+
 def _hash_order(hashes: np.ndarray) -> np.ndarray:
     """Indices in the order of the hashes' leading bits, 32 at least, then of the indices: buckets lie together."""
     shift = int(len(hashes)).bit_length()
     if shift > 32:
         return np.argsort(hashes, kind="stable")
     low = np.uint64((1 << shift) - 1)
-    return (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+    packed = hashes & ~low
+    packed |= np.arange(len(hashes), dtype=np.uint64)
+    packed.sort()
+    packed &= low
+    return packed.view(np.int64)
 
 
 def _slices(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
@@ -183,7 +204,12 @@ def _first_lists(buckets: int):
 
 
 class _Reader:
-    """A block's words, and round by round the probabilities of the answers so far."""
+    """A block's words, and round by round the probabilities of the answers so far.
+
+    A worker's memory is a few arrays of the block's length: codes and places are 32-bit
+    numbers (a text has fewer bytes), and what the positions of an entry have in common
+    is worked out per entry.
+    """
 
     def __init__(self, row: dict, answers: list[dict], model: Model):
         self.block, self.model = row["block"], model
@@ -191,59 +217,63 @@ class _Reader:
         self.known, self.ids = np.frombuffer(known, "<u1"), np.frombuffer(ids, "<i8")
         self.sizes, self.held = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(held, "<u1").astype(bool)
         width = row["codes"][:3].decode()
-        self.codes = unpack(row["codes"][3:], width).astype(np.int64)
+        self.codes = unpack(row["codes"][3:], width).astype(np.int32)
         self.hashes = unpack(row["words"], "<u8")
         self.trained = np.repeat(~self.held, self.sizes)
         self.answers = sorted(answers, key=lambda a: (a["length"], a["hot"], a["bucket"]))
-        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
-        self.starts = starts
-        self.within = np.arange(len(self.codes)) - np.repeat(starts, self.sizes)  # place in the document
-        self.counts = self._answer(0, False, "counts")[self.codes]
-        self.p = (self.counts + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))
-        self.base = np.log10(self.p)
-        self.n_known = self.counts > 0
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
+        self.within = np.arange(len(self.codes), dtype=np.int32)  # place in the document
+        self.within -= np.repeat(self.starts.astype(np.int32), self.sizes)
+        counts = self._answer(0, False, "counts")[self.codes]
+        self.n_known = counts > 0
+        self.p = counts + 0.5
+        self.p /= model.tokens + 0.5 * (model.distinct + 1)
         # Candidates of length 1: the word before; -1 where there is none.
-        self.context = np.where(self.within >= 1, np.concatenate(([-1], self.codes[:-1])), -1)
+        self.context, self.context_count = _before(self.codes, -1), _before(counts, 0)
+        self.context[self.starts], self.context_count[self.starts] = -1, 0
         self.context_hashes = self.hashes
-        self.context_count = np.where(self.within >= 1, np.concatenate(([0], self.counts[:-1])), 0)
 
     def _answer(self, length: int, hot: bool, what: str) -> np.ndarray:
         kind = {"counts": "<u4", "types": "<u4", "kept": "<u1", "totals": "<u4"}[what]
         found = [unpack(a[what], kind) for a in self.answers if a["length"] == length and a["hot"] == hot]
-        return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+        return np.concatenate(found) if found else np.zeros(0, kind)
+
+    def word_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per document the known words and the base score; before the first ``advance``."""
+        return np.add.reduceat(self.n_known.astype(np.int64), self.starts), np.add.reduceat(np.log10(self.p), self.starts)
 
     def entries(self) -> None:
         """Distinct (context, word) entries of the present length, those of hot contexts apart."""
-        shift = max(1, int(len(self.hashes)).bit_length())
         able = self.context_count >= self.model.least
-        hot = able & (self.context_count * self.model.hot_share > self.model.tokens)
-        self.at = [np.flatnonzero(able & ~hot), np.flatnonzero(hot)]
-        normal, common = self.at
-        keys = (self.context[normal] << shift) | self.codes[normal]
-        hot_contexts = max(1, int(len(self.context_hashes)).bit_length())
-        hot_keys = (self.codes[common] << hot_contexts) | self.context[common]
-        self.unique = [_distinct(k) for k in (keys, hot_keys)]
-        (key, _, _), (hot_key, _, _) = self.unique
-        self.pairs = [
-            (key >> shift, key & ((1 << shift) - 1)),
-            (hot_key & ((1 << hot_contexts) - 1), hot_key >> hot_contexts),
-        ]
+        hot = able & (self.context_count > self.model.tokens // self.model.hot_share)
+        self.at = [np.flatnonzero(x).astype(np.int32) for x in (able & ~hot, hot)]
+        self.unique, self.pairs = [], []
+        # Entries lie in the order of what they are dealt by: the context, or the word of a hot one.
+        for is_hot, high, low, many in ((False, self.context, self.codes, self.hashes), (True, self.codes, self.context, self.context_hashes)):
+            shift = max(1, int(len(many)).bit_length())
+            keys = high[self.at[is_hot]].astype(np.int64)
+            keys <<= shift
+            keys |= low[self.at[is_hot]]
+            keys, first, inverse = _distinct(keys)
+            pair = (keys >> shift).astype(np.int32), (keys & ((1 << shift) - 1)).astype(np.int32)
+            self.unique.append((first, inverse))
+            self.pairs.append(pair[::-1] if is_hot else pair)
 
     def lists(self, length: int) -> list[tuple]:
         self.entries()
         rows, n = [], self.model.buckets
         for hot in (False, True):
-            (context, word), (_, first, inverse), at = self.pairs[hot], self.unique[hot], self.at[hot]
+            (context, word), (first, inverse), at = self.pairs[hot], self.unique[hot], self.at[hot]
             if not len(context):
                 continue
-            trained = np.bincount(inverse, weights=self.trained[at], minlength=len(context)).astype("<u4")
+            trained = np.bincount(inverse[self.trained[at]], minlength=len(context)).astype("<u4")
             parent = self.p[at[first]].astype("<f4")
             dealt = self.hashes[word] if hot else self.context_hashes[context]
             for b, a, z in _slices(bucket_of(dealt, n), n):
                 if hot:
                     contexts, sizes = self.context_hashes[context[a:z]], b""
                 else:
-                    begins = np.flatnonzero(np.diff(context[a:z], prepend=-1))
+                    begins = np.flatnonzero(_begins(context[a:z]))
                     contexts = self.context_hashes[context[a:z][begins]]
                     sizes = pack(np.diff(begins, append=z - a).astype("<u4"))
                 packed = pack(self.hashes[word[a:z]]) if hot else _packed_words(self.hashes[word[a:z]])
@@ -253,11 +283,12 @@ class _Reader:
     def advance(self, length: int) -> None:
         """Take the answers for ``length``: move probabilities on, and set up the next candidates."""
         self.entries()
-        retained = np.zeros(len(self.codes), bool)
-        counts = np.zeros(len(self.codes), np.int64)
-        pair_of, hashes_of, upto = np.full(len(self.codes), -1, np.int64), [], 0
+        last = length == self.model.depth
+        self.retained = np.zeros(len(self.codes), bool)
+        counts, pair_of = np.zeros(len(self.codes), np.uint32), np.full(len(self.codes), -1, np.int32)
+        hashes_of, upto = [], 0
         for hot in (False, True):
-            (context, word), (_, _, inverse), at = self.pairs[hot], self.unique[hot], self.at[hot]
+            (context, word), (first, inverse), at = self.pairs[hot], self.unique[hot], self.at[hot]
             if not len(context):
                 continue
             per_entry = self._answer(length, hot, "counts")
@@ -269,36 +300,51 @@ class _Reader:
                     types_of[c], kept_of[c] = known.get(name, 0), name in stay
                 types, kept = types_of[context], kept_of[context]
             else:
-                nth = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+                nth = np.cumsum(_begins(context), dtype=np.int32) - 1
                 types, kept = self._answer(length, False, "types")[nth], self._answer(length, False, "kept")[nth] > 0
+                del nth
+            # The positions of an entry share its parent's probability and its context's count.
+            p, total = self.p[at[first]], self.context_count[at[first]].astype(np.int64)
+            total += types
+            better = per_entry + types * p
+            better /= np.maximum(total, 1, out=total)
+            np.copyto(p, better, where=kept)
+            del better, total
+            self.p[at] = p[inverse]
+            self.retained[at] = kept[inverse]
+            if last:
+                continue
             counts[at] = per_entry[inverse]
-            t, keep = types[inverse], kept[inverse]
-            better = (per_entry[inverse] + t * self.p[at]) / np.maximum(self.context_count[at] + t, 1)
-            self.p[at] = np.where(keep, better, self.p[at])
-            retained[at] = keep
-            pair_of[at] = upto + inverse
-            hashes_of.append((self.context_hashes[context] * _M1) ^ (self.hashes[word] * _M2 + np.uint64(length)))
+            pair_of[at] = inverse + np.int32(upto)
+            mixed, words = self.context_hashes[context], self.hashes[word]
+            mixed *= _M1
+            words *= _M2
+            words += np.uint64(length)
+            mixed ^= words
+            hashes_of.append(mixed)
             upto += len(context)
-        self.retained = retained
-        if length == self.model.depth or not upto:
-            self.context = np.full(len(self.codes), -1, np.int64)
-            self.context_count = np.zeros(len(self.codes), np.int64)
+        self.at = self.unique = self.pairs = None
+        if last or not upto:
+            self.context, self.context_count = pair_of, counts  # no candidates
+            self.context.fill(-1)
+            self.context_count.fill(0)
             return
         mixed = np.concatenate(hashes_of)
+        del hashes_of
         mixed ^= mixed >> np.uint64(29)
         mixed *= _M1
         order = _hash_order(mixed)
-        rank = np.empty(upto, np.int64)
+        rank = np.empty(upto, np.int32)
         rank[order] = np.arange(upto)
         # The entry that ends at the word before is the next context.
-        before = np.concatenate(([-1], pair_of[:-1]))
-        able = (self.within >= length + 1) & (before >= 0)
-        self.context = np.where(able, rank[before], -1)
-        self.context_count = np.where(able, np.concatenate(([0], counts[:-1])), 0)
+        before = _before(pair_of, -1)
+        able = self.within > length
+        able &= before >= 0
+        self.context = np.where(able, rank[before], np.int32(-1))
+        self.context_count = np.where(able, _before(counts, 0), np.uint32(0))
         self.context_hashes = mixed[order]
 
 
-
 def _packed_words(hashes: np.ndarray) -> bytes:
     """40 bits of each word's hash: enough to tell the next words of one context apart."""
     low = pack((hashes >> np.uint64(8)).astype("<u4"))
@@ -337,7 +383,7 @@ def _state_row(block: int, info: bytes, names, sizes, held, codes, hashes, at, p
     """
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    doc = np.searchsorted(ends, at, "right")
+    doc = np.searchsorted(ends, at, "right").astype(np.int32)
     onward = onward & (at - starts[doc] >= length)
     sums = np.bincount(doc[~onward], weights=np.log10(p[~onward]), minlength=len(sizes))
     some = np.flatnonzero(np.bincount(doc[~onward], minlength=len(sizes)))
@@ -347,9 +393,9 @@ def _state_row(block: int, info: bytes, names, sizes, held, codes, hashes, at, p
     moved = np.zeros(len(sizes), np.int64)
     moved[kept] = np.cumsum(sizes[kept]) - sizes[kept]
     at = at - starts[doc] + moved[doc]
-    codes = codes[gather(starts[kept], sizes[kept])]
+    codes = codes[np.repeat(np.bincount(kept, minlength=len(sizes)) > 0, sizes)]
     there = np.bincount(codes, minlength=len(hashes)) > 0
-    used, codes = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
+    used, codes = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[codes]
     docs = pack_bytes([names[kept].astype("<u4").tobytes(), sizes[kept].astype("<u4").tobytes(), held[kept].astype("<u1").tobytes()])
     width = least_dtype(max(len(used), 1))
     active = pack_bytes([pack(np.diff(at, prepend=0).astype("<u4")), pack(p.astype("<f4"))])
@@ -363,9 +409,9 @@ def _survivors(model: Model, onward: bool):
         rows = []
         for row in left.to_pylist():
             reader = _Reader(row, right.to_pylist(), model)
+            sums = reader.word_sums()
             for length in range(1, model.depth + 1):
                 reader.advance(length)
-            sums = [np.add.reduceat(x, reader.starts) for x in (reader.n_known.astype(np.int64), reader.base)]
             info = pack_bytes([
                 reader.known.tobytes(), reader.ids.tobytes(), reader.sizes.astype("<u4").tobytes(), reader.held.astype("<u1").tobytes(),
                 sums[0].astype("<u4").tobytes(), sums[1].astype("<f8").tobytes(),
@@ -373,7 +419,7 @@ def _survivors(model: Model, onward: bool):
             stay = reader.retained if onward else np.zeros(len(reader.codes), bool)
             rows.append(_state_row(
                 reader.block, info, np.arange(len(reader.sizes)), reader.sizes, reader.held, reader.codes, reader.hashes,
-                np.arange(len(reader.codes)), reader.p, stay, model.depth + 1,
+                np.arange(len(reader.codes), dtype=np.int32), reader.p, stay, model.depth + 1,
             ))
         return pa.Table.from_batches([batch_of(_STATE, rows)])
 

@@ -6,10 +6,13 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -555,6 +558,30 @@ def test_sorting_keys_with_their_places():
     assert (np.diff(suffix_tree.bucket_of(hashes[order], 1000)) >= 0).all()
 
 
+def test_suffix_tree_block_in_little_memory(monkeypatch):
+    """A block of many words takes a bounded number of bytes a word in its worker, in every step up to its first state."""
+    monkeypatch.setattr(suffix_tree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    drawn = np.random.default_rng(5).zipf(1.2, 200_000) % 20_000
+    rows = [(i, " ".join(f"w{x}" for x in part)) for i, part in enumerate(np.split(drawn, 500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "text"])
+    (block,) = suffix_tree._to_blocks(8_000_000, 5, 1)(iter([batch]))
+    model = suffix_tree.Model(8, 2, 2, 2.0, 1, hot_types=[{}] * 3, hot_kept=[set()] * 3)
+    model.tokens = block.column("n_trained")[0].as_py()
+    left, lists = pa.Table.from_batches([block]), list(suffix_tree._first_lists(8)(iter([block])))
+    answers, peaks = [], []
+    for length in (1, 2, None):
+        for lists_batch in lists:
+            ordered = lists_batch.sort_by([("hot", "ascending"), ("bucket", "ascending")])
+            answers += [b.filter(b.column("block").is_valid()) for b in suffix_tree._answers(model)(iter([ordered]))]
+        right = pa.Table.from_batches(answers)
+        tracemalloc.start()
+        done = suffix_tree._steps(model, length)(left, right) if length else suffix_tree._survivors(model, True)(left, right)
+        peaks.append(tracemalloc.get_traced_memory()[1] / (len(drawn) + len(rows)))
+        tracemalloc.stop()
+        lists = done.to_batches()
+    assert max(peaks) < 90, peaks
+
+
 def test_suffix_tree_of_little(spark):
     assert suffix_tree.score_documents(frame(spark, [])).count() == 0
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
