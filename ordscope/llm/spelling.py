@@ -29,7 +29,7 @@ from zlib import crc32
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordscope.llm.common import batch_of, lowered, pick, rows_of, small_batches, text_of
@@ -133,11 +133,8 @@ def tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = steps.select("text", "depth", F.col("nodes").alias("node")).join(nodes, "node")
     path = met.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "salts"))).alias("path"))
     path = materialise(path, "paths")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("path") - 1),
-        lambda i: F.struct(F.get("path", i).alias("here"), F.get("path", i + 1).alias("there")),
-    )
-    pairs = path.select("text", F.explode(pairs).alias("s")).select("text", "s.here.*", "s.there")
+    pairs = path.select("text", "path", F.posexplode("path").alias("i", "here"))
+    pairs = pairs.select("text", "here.*", F.get("path", F.col("i") + 1).alias("there"))
     # Characters of a directed word begin at 2, after its sign.
     label = F.expr("substring(text, depth + 2, coalesce(there.depth, length(text)) - depth)")
     ends = F.when(F.col("there").isNull(), F.col("text"))
@@ -155,16 +152,33 @@ def tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(edges, "edges"), states
 
 
-_REST = "substring(text, position + 2)"
+def _after(length) -> Column:
+    """The ``length`` characters of a state's word from its position on, after the sign."""
+    return F.col("text").substr(F.col("position") + 2, length)
+
 
+def _moved(met: DataFrame, ways: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """States after the ``ways`` (lengths fit, length, characters fit) over an edge.
 
-def _moved(met: DataFrame, taken: list) -> DataFrame:
-    """States after the ``taken`` (condition, length) ways over an edge; children that cannot go on are left out."""
-    ways = F.array_compact(F.array(*[F.when(condition, F.col("position") + length) for condition, length in taken]))
-    moved = met.select("text", "child", "salts", "onward", "ends", F.explode(ways).alias("position"))
-    next_letter = F.when(F.col("position") == F.length("text") - 1, ".").otherwise(F.expr("substring(text, position + 2, 1)"))
-    whole = F.col("position") == F.length("text") - 1
-    return moved.where(F.when(F.col("ends").isNotNull(), whole).otherwise(F.col("onward").contains(next_letter))).drop("onward")
+    Children that cannot go on are left out. All conditions are one filter right after the
+    join, the cheap ones first, so Spark tests them as the join's own condition and only
+    states that go on become rows.
+    """
+    taken, ends_at = [], []
+    for fits, length, equal in ways:
+        position = F.col("position") + length
+        whole = position == F.length("text") - 1
+        next_letter = F.when(whole, ".").otherwise(F.col("text").substr(position + 2, F.lit(1)))
+        onward = F.when(F.col("ends").isNotNull(), whole).otherwise(F.col("onward").contains(next_letter))
+        taken.append(F.coalesce(fits & onward & equal, F.lit(False)))
+        ends_at.append(position)
+    kept = ["text", "child", "salts", "ends"]
+    if len(ways) == 1:
+        return met.where(taken[0]).select(*kept, ends_at[0].alias("position"))
+    (first, second), (a, b) = taken, ends_at
+    met = met.where(first | second).select(*kept, first.alias("first"), second.alias("second"), a.alias("a"), b.alias("b"))
+    both = F.when(F.col("first") & F.col("second"), F.array("a", "b")).when(F.col("first"), F.array("a")).otherwise(F.array("b"))
+    return met.select(*kept, F.explode(both).alias("position"))
 
 
 def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,26 +186,26 @@ def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
     met = states.join(edges, ["node", "salt"])
     # An edge that completes a word can only do so for a text of that length or one more.
     met = met.where(F.col("ends").isNull() | (F.length("text") - F.length("ends")).isin(0, 1))
-    met = met.withColumn("rest", F.expr(_REST)).withColumn("size", F.length("label"))
-    begins = F.expr("substring(rest, 1, 1)") == F.col("first")
-    fits = F.length("rest") >= F.col("size")
+    size, left = F.length("label"), F.length("text") - 1 - F.col("position")
+    begins = _after(F.lit(1)) == F.col("first")
+    tail = F.col("text").substr(F.col("position") + 3, size)  # after the next character
     # Under another first character the edit is there, and the rest must be equal.
-    # Of two words of one length only the smaller finds the other: so the label is the greater one.
-    replaced = fits & (F.col("label") > F.expr("substring(rest, 1, size)")) & F.when(begins, F.expr("levenshtein(substring(rest, 1, size), label, 1) = 1")).otherwise(
-        F.expr("substring(rest, 2, size - 1) = substring(label, 2)")
+    replaced = F.when(begins, F.levenshtein(_after(size), "label", 1) == 1).otherwise(
+        F.col("text").substr(F.col("position") + 3, size - 1) == F.col("label").substr(F.lit(2), size)
     )
+    # Of two words of one length only the smaller finds the other: so the label is the greater one.
+    replaced = (F.col("label") > _after(size)) & replaced
     # At the end of a label that is followed exactly, the drop is left to the next node, if there is one.
-    last = F.col("ends").isNotNull() | ~F.col("rest").startswith(F.col("label"))
-    dropped = (F.length("rest") > F.col("size")) & last & F.when(
-        begins, F.expr("levenshtein(substring(rest, 1, size + 1), label, 1) = 1")
-    ).otherwise(F.expr("substring(rest, 2, size) = label"))
-    return _moved(met, [(replaced, F.col("size")), (dropped, F.col("size") + 1)])
+    last = F.col("ends").isNotNull() | (_after(size) != F.col("label"))
+    dropped = F.when(begins, last & (F.levenshtein(_after(size + 1), "label", 1) == 1)).otherwise(tail == F.col("label"))
+    return _moved(met, [(left >= size, size, replaced), (left > size, size + 1, dropped)])
 
 
 def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The edge whose label goes on as the word does."""
-    met = states.withColumn("first", F.expr("substring(text, position + 2, 1)")).join(edges, ["node", "salt", "first"])
-    return _moved(met, [(F.expr(_REST).startswith(F.col("label")), F.length("label"))])
+    met = states.withColumn("first", _after(F.lit(1))).join(edges, ["node", "salt", "first"])
+    size = F.length("label")
+    return _moved(met, [(F.lit(True), size, _after(size) == F.col("label"))])
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -213,8 +227,10 @@ def neighbours(words: DataFrame) -> DataFrame:
         return F.when(F.col(column).startswith("-"), F.reverse(body)).otherwise(body)
 
     pairs = found.select(plain("text").alias("word"), plain("ends").alias("near"))
-    pairs = pairs.where(F.levenshtein("word", "near", 1) == 1)
-    return pairs.unionAll(pairs.select("near", "word")).distinct()
+    # A pair is found from one of its words only, by several ways: so it is told apart before it is turned.
+    pairs = pairs.where(F.levenshtein("word", "near", 1) == 1).distinct()
+    turned = F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))
+    return pairs.select(F.explode(turned).alias("p")).select("p.*")
 
 
 # --- forms ----------------------------------------------------------------------------

@@ -330,3 +330,17 @@ def test_spent_tables_are_deleted_and_no_others(spark, tmp_path):
     spark.range(5).write.parquet(other)
     packing.forget(mine, spark.read.parquet(other))
     assert not os.path.exists(folder) and os.path.exists(other)
+
+
+def test_spelling_edges_are_tested_in_the_join(spark):
+    """Ways over an edge are the join's own condition, compiled; and each ordered pair comes once."""
+    drawn = random.Random(6)
+    words = sorted({"".join(drawn.choices("aab", k=drawn.randint(7, 9))) for _ in range(80)})
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    edges, states = spelling.tries(frame)
+    plan = spelling._edited(states, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "levenshtein" in line for line in plan.splitlines())
+    assert "lambda" not in plan
+    near = lambda a, b: a != b and any(a[:i] + a[i + 1 :] in (b, b[:i] + b[i + 1 :]) for i in range(len(a)))
+    want = sorted((a, b) for a in words for b in words if near(a, b) or near(b, a))
+    assert sorted(map(tuple, spelling.neighbours(frame).collect())) == want
