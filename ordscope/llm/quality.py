@@ -6,7 +6,8 @@ a document's vector is its indicators times these ratios. A linear hinge-loss mo
 over such vectors is fitted by dual coordinate descent, on at most ``fit_rows``
 distinct documents of at most ``fit_bytes`` in all, chosen by a hash of id and text; rows
 that repeat count as one with their number as weight. Scores are margins through a
-logistic curve fitted on the same rows.
+logistic curve fitted on the same rows. One task fits that bounded sample; the driver gets
+the sizes of its vectors and the model.
 
 The model is one float per hash slot (``2 ** bits``), a fixed size, so it can be sent
 to all tasks; scoring has no shuffle.
@@ -90,8 +91,11 @@ def fit_hinge(
     stands for ``times`` equal ones may carry as many times the cost.
     """
     times = np.ones(len(rows)) if times is None else times.astype(float)
-    values = [(ratios[s] / np.sqrt(max(1, len(s)))).astype(np.float32) for s in rows]
-    norms = np.array([float(v @ v) + 1.0 for v in values])
+
+    def vector(s: np.ndarray) -> np.ndarray:  # made anew at each visit: kept, they would take as much memory as the rows
+        return (ratios[s] / np.sqrt(max(1, len(s)))).astype(np.float32)
+
+    norms = np.array([float(v @ v) + 1.0 for v in map(vector, rows)])
     signs = np.where(labels > 0, 1.0, -1.0)
     # Each class carries half of the cost, however rare it is.
     up = float(times[labels > 0].sum() / times.sum())
@@ -101,11 +105,12 @@ def fit_hinge(
     for _ in range(passes):
         worst = 0.0
         for i in order.permutation(len(rows)).tolist():
-            gradient = signs[i] * (float(weights[rows[i]] @ values[i]) + bias) - 1.0
+            value = vector(rows[i])
+            gradient = signs[i] * (float(weights[rows[i]] @ value) + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), bound[i])
             step = (new - alpha[i]) * signs[i]
             if step:
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * value
                 bias += step
                 worst = max(worst, abs(step))
                 alpha[i] = new
@@ -132,6 +137,23 @@ def fit_curve(margins: np.ndarray, labels: np.ndarray, times: np.ndarray | None
 
 _SLOTS = pa.schema([("label", pa.int32()), ("pick", pa.int64()), ("slots", pa.binary())])
 _COUNTS = pa.schema([("slot", pa.int32()), ("up", pa.int64()), ("down", pa.int64())])
+_MODEL = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64())])
+
+
+def fit_model(up: np.ndarray, down: np.ndarray, sample: list[tuple], bits: int) -> Model:
+    """From the class counts per slot, one added, and the sample's ``pick, slots, label, times`` in any order."""
+    ratios = np.log(up / up.sum()) - np.log(down / down.sum())
+    sample = sorted(sample, key=lambda row: row[:3])
+    y, times = np.array([r[2] for r in sample], np.int64), np.array([r[3] for r in sample], float)
+    if len(set(y.tolist())) < 2:
+        share = (float((y * times).sum()) + 1) / (times.sum() + 2)
+        return Model(np.zeros(1 << bits), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
+    slots = [np.frombuffer(r[1], np.int32) for r in sample]
+    hinge, bias = fit_hinge(slots, ratios, y, times)
+    weights = hinge * ratios
+    margins = np.array([weights[s].sum() / np.sqrt(max(1, len(s))) + bias for s in slots])
+    slope, offset = fit_curve(margins, y, times)
+    return Model(weights, bias, slope, offset, bits)
 
 
 def train(
@@ -181,12 +203,9 @@ def train(
             )
 
     counts = vectors.mapInArrow(count, "slot int, up bigint, down bigint").groupBy("slot").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    table = counts.toPandas()  # at most 2 ** bits rows
-    up, down = np.ones(1 << bits), np.ones(1 << bits)
-    if len(table):
-        up[table["slot"].to_numpy()] += table["up"].to_numpy()
-        down[table["slot"].to_numpy()] += table["down"].to_numpy()
-    ratios = np.log(up / up.sum()) - np.log(down / down.sum())
+    # At most 2 ** bits slots, in lists of 1024.
+    lists = counts.groupBy(F.shiftright("slot", 10).alias("part")).agg(F.collect_list(F.struct("slot", "up", "down")).alias("counts"))
+    lists = materialise(lists.select("counts"), "counts")
 
     # A share of the rows by their hash; equal rows, of which there may be any number, collapse before they are counted.
     share = min(1.0, fit_rows / max(1, vectors.count()))
@@ -195,19 +214,21 @@ def train(
     chosen = materialise(chosen.orderBy("pick", "slots", "label").limit(fit_rows), "chosen")
     sizes = chosen.select("pick", F.octet_length("slots").alias("size")).toPandas().sort_values("pick", ignore_index=True)
     upto = sizes["pick"][(sizes["size"].cumsum() <= fit_bytes) | (sizes.index == 0)].max() if len(sizes) else 0
-    sample = chosen.where(F.col("pick") <= int(upto)).toPandas().sort_values(["pick", "slots", "label"], ignore_index=True)
-    y = sample["label"].to_numpy(np.int64) if len(sample) else np.zeros(0, np.int64)
-    if len(set(y.tolist())) < 2:
-        n = sample["times"].to_numpy(float) if len(sample) else np.zeros(0)
-        share = (float((y * n).sum()) + 1) / (n.sum() + 2)
-        return Model(np.zeros(1 << bits), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
-    slots = [np.frombuffer(s, np.int32) for s in sample["slots"]]
-    times = sample["times"].to_numpy(float)
-    hinge, bias = fit_hinge(slots, ratios, y, times)
-    weights = hinge * ratios
-    margins = np.array([weights[s].sum() / np.sqrt(max(1, len(s))) + bias for s in slots])
-    slope, offset = fit_curve(margins, y, times)
-    return Model(weights, bias, slope, offset, bits)
+    sample = chosen.where(F.col("pick") <= int(upto)).select(F.struct("pick", "slots", "label", "times").alias("row"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down, rows = np.ones(1 << bits), np.ones(1 << bits), []
+        for batch in batches:
+            slot, more, less = (c.to_numpy(zero_copy_only=False) for c in batch.column("counts").flatten().flatten())
+            up[slot] += more
+            down[slot] += less
+            rows += [tuple(row.values()) for row in batch.column("row").drop_null().to_pylist()]
+        model = fit_model(up, down, rows, bits)
+        yield batch_of(_MODEL, [(model.weights.tobytes(), model.bias, model.slope, model.offset)])
+
+    together = sample.unionByName(lists, allowMissingColumns=True).coalesce(1)
+    got = together.mapInArrow(fit, "weights binary, bias double, slope double, offset double").first()
+    return Model(np.frombuffer(got.weights), got.bias, got.slope, got.offset, bits)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

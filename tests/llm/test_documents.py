@@ -340,6 +340,19 @@ def test_classifier_without_labels_or_rows(spark):
     assert quality.classify(frame(spark, []), none).count() == 0
 
 
+def test_training_rows_stay_out_of_the_driver(spark):
+    """The sample and the counts are fitted in a task; the driver's Python gets the model."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{'%' * (i % 2)}{rng.getrandbits(40):x}" for _ in range(1500)), "s") for i in range(500)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id bigint, quality int")
+    quality.train(docs.limit(9), labels, bits=16)  # what is imported and kept from now on does not count
+    tracemalloc.start()
+    model = quality.train(docs, labels, bits=16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.any() and peak < 3e6, peak  # 500 vectors of over 2 000 slots: 4 MB and more
+
+
 def test_drop_rejected_keeps_columns(spark):
     rows, labels = quality_rows(120)
     docs = frame(spark, rows)
